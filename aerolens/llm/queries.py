@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 
 from .line_dedup import line_dedup
 from .mixing import mix_sources
+from .packing import pack_documents
+from .token_shards import read_token_shards, write_token_shards
+from .toxicity import fit_toxicity, toxicity
 from .url_filter import url_filter
 
+#: File name of the tokenizer in the folder of public tokenizers.
+TOKENIZER = "byte_bpe_50k.json"
+
 #: Fixed by the contract of op3.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
@@ -19,6 +25,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """Where the public tokenizer file lies on every machine."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER))
+
+
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
     return url_filter(_table(spark, sf_dir, "pages"), rules)
@@ -34,10 +51,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_token_shards(write_token_shards(_table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op3_url_filter": op3_url_filter,
     "op5_mix_sources": op5_mix_sources,
     "op6_line_dedup": op6_line_dedup,
+    "op8_token_shards": op8_token_shards,
+    "op10_toxicity": op10_toxicity,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
