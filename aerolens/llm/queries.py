@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .packing import pack_documents
+from .substring_dedup import substring_dedup
 from .token_shards import read_token_shards, write_token_shards
 from .toxicity import fit_toxicity, toxicity
 from .url_filter import url_filter
@@ -32,6 +33,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -61,6 +67,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_url_filter": op3_url_filter,
     "op5_mix_sources": op5_mix_sources,
