@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
@@ -15,6 +16,7 @@ from .substring_dedup import substring_dedup
 from .token_shards import read_token_shards, write_token_shards
 from .toxicity import fit_toxicity, toxicity
 from .url_filter import url_filter
+from .vector_dedup import vector_near_duplicates
 
 #: File name of the tokenizer in the folder of public tokenizers.
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,6 +64,14 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_shards(write_token_shards(_table(spark, sf_dir, "documents"), tokenizer_path()))
 
@@ -78,13 +88,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_line_dedup": op6_line_dedup,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_token_shards": op8_token_shards,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
 SQL: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM w),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k FROM p),
+f AS (SELECT k, min(doc_id) AS lo FROM k GROUP BY k),
+s AS (SELECT doc_id, i FROM k JOIN f USING (k) WHERE doc_id > lo),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM w),
+c AS (
+  SELECT x.doc_id, x.i, word,
+         coalesce(max(CASE WHEN s.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS 49 PRECEDING), 0) AS gone
+  FROM x LEFT JOIN s ON x.doc_id = s.doc_id AND x.i = s.i)
+SELECT d.doc_id, count(c.i) AS n_words, count(*) FILTER (WHERE gone = 1) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY c.i) FILTER (WHERE gone = 0), '')) AS kept_sha256
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id GROUP BY d.doc_id
+""",
+    "op7_embedding_near_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+r(id, c) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION
+  SELECT l.b, r.c FROM r JOIN l ON l.a = r.id WHERE r.c < l.b)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, min(r.c) AS component_id, e.vec_id = min(r.c) AS kept
+FROM embeddings e JOIN r ON r.id = e.vec_id GROUP BY e.vec_id
+""",
     "op4_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
