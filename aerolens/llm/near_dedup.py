@@ -299,13 +299,14 @@ def exact_links(docs: DataFrame, groups: DataFrame, *, words: int, percent: int,
 
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 4, width: int = 2, signature_size: int = 128, small: int = 64) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row.
+    """doc_id, row_hash, n_shingles, component_id, kept for every row.
 
-    Two documents are linked when 100 * shared >= percent * union of their
+    row_hash is xxhash64 of the text. Two documents are linked when 100 * shared >= percent * union of their
     shingle sets; a component's id is its smallest doc_id. Empty sets (null or
     blank texts) link with nothing. Equal sets, repeated rows included, are one
     class and always linked. Rows without doc_id are no documents: component
-    null, kept true. Of repeated rows of one doc_id all are kept or none.
+    null, kept true. Rows of one doc_id with different texts are judged each by
+    its own text.
     """
     margin = 5 * math.sqrt(percent / 100 * (1 - percent / 100) / signature_size)
     rows = staged(shingle_sets(docs, words, signature_size), "signatures")
@@ -322,6 +323,6 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees
     links = exact_links(docs, members, words=words, percent=percent)
     components = connected_components(links)
     labels = classes.select("c1", "c2", "doc_id").join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("c1", "c2", F.coalesce("component", "doc_id").alias("component_id"))
-    known = sets.select("doc_id", "n_shingles", "c1", "c2").join(labels, ["c1", "c2"]).select("doc_id", "n_shingles", "component_id")
-    rest = rows.filter("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    known = sets.select("doc_id", "row_hash", "n_shingles", "c1", "c2").join(labels, ["c1", "c2"]).select("doc_id", "row_hash", "n_shingles", "component_id")
+    rest = rows.filter("doc_id is null or n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -51,7 +51,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), words=2)
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,12 +131,14 @@ def toxicity(docs: DataFrame, model: FactorizationMachine, *, threshold: float =
     Repeated rows are repeated.
     """
 
+    whole = "text" in carry
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["score"] = [model.score(hashed_terms(t)) for t in batch.pop("text_")]
-            yield batch
+            texts = batch["text"] if whole else batch.pop("text")
+            yield batch.assign(score=[model.score(hashed_terms(t)) for t in texts])
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("text_"), *(F.col(c) for c in carry if c != "doc_id"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text_") + ", score double"
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *(F.col(c) for c in carry if c not in ("doc_id", "text")))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if whole or f.name != "text") + ", score double"
     scored = rows.mapInPandas(run, schema)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
