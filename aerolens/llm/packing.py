@@ -15,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .tokens import encoder
+from .tokens import encoded
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -29,20 +30,21 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id:
     but perhaps the first. A null text is empty and has the end id alone.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for at, text in enumerate(batch["text"]):
-                data = encode(text) + end
+            rows, piece, start, length, crc = [], [], [], [], []
+            for row, data in encoded(tokenizer, batch.column("text"), end_id):
                 n = len(data) // 4
                 edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                rows += [(at, k, a, b - a, zlib.crc32(data[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-            out = pd.DataFrame(rows, columns=["at", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = batch["doc_id"].to_numpy()[out["at"].to_numpy(dtype=int)]
-            yield out[["doc_id", "piece", "start", "length", "ids_crc32"]]
-
-    pieces = docs.select("doc_id", "text").mapInPandas(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+                for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
+                    rows.append(row)
+                    piece.append(k)
+                    start.append(a)
+                    length.append(b - a)
+                    crc.append(zlib.crc32(data[4 * a : 4 * b]))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+
+    pieces = docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
     return pieces.select(F.monotonically_increasing_id().alias("uid"), "*")
 
 

@@ -16,12 +16,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
-from .tokens import encoder
+from .tokens import encoded
 
 MAGIC = b"WMX1"
 BLOCK = 512
@@ -45,23 +46,26 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, seq = [], ids
         for b in range(bits - 1, -1, -1):
-            ones = (seq >> b) & 1 != 0
-            planes.append(np.packbits(ones))
-            seq = np.concatenate([seq[~ones], seq[ones]])
+            plane = np.packbits((seq & seq.dtype.type(1 << b)).astype(bool), bitorder="little")
+            planes.append(plane)
+            if b:  # Arrow filters by the packed bits
+                values = pa.array(seq)
+                zero, one = (values.filter(pa.Array.from_buffers(pa.bool_(), len(seq), [None, pa.py_buffer(p)])) for p in (~plane, plane))
+                seq = np.concatenate([zero.to_numpy(), one.to_numpy()])
         return cls(len(ids), planes)
 
     def _rank1(self, level: int, i: int) -> int:
         """Ones before place i."""
         block = i // BLOCK
         start = block * (BLOCK // 8)
-        part = np.unpackbits(self.planes[level][start : (i + 7) // 8])[: i - block * BLOCK]
+        part = np.unpackbits(self.planes[level][start : (i + 7) // 8], bitorder="little")[: i - block * BLOCK]
         return int(self.ranks[level][block]) + int(part.sum())
 
     def access(self, i: int) -> int:
         """The id at place i."""
         value = 0
         for level, plane in enumerate(self.planes):
-            bit = (int(plane[i >> 3]) >> (7 - (i & 7))) & 1
+            bit = (int(plane[i >> 3]) >> (i & 7)) & 1
             ones = self._rank1(level, i)
             value = value << 1 | bit
             i = self.zeros[level] + ones if bit else i - ones
@@ -87,7 +91,7 @@ class WaveletMatrix:
         ranks = self.ranks[level]
         counts = ranks if bit else np.arange(len(ranks)) * BLOCK - ranks
         block = int(np.searchsorted(counts, k, side="right")) - 1
-        part = np.unpackbits(self.planes[level][block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)])
+        part = np.unpackbits(self.planes[level][block * (BLOCK // 8) : (block + 1) * (BLOCK // 8)], bitorder="little")
         return block * BLOCK + int(np.flatnonzero(part == bit)[k - int(counts[block])])
 
     def occurrence(self, value: int, k: int) -> int:
@@ -105,7 +109,7 @@ class WaveletMatrix:
         """Every id in order, from the last plane up."""
         seq = np.zeros(self.n, dtype=np.uint16 if len(self.planes) <= 16 else np.uint32)
         for b, level in enumerate(range(len(self.planes) - 1, -1, -1)):
-            ones = np.unpackbits(self.planes[level], count=self.n).view(bool)
+            ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             up = np.empty_like(seq)
             up[~ones] = seq[: self.zeros[level]]
             up[ones] = seq[self.zeros[level] :] | (1 << b)
@@ -146,7 +150,7 @@ class TokenShard:
         return cls(np.frombuffer(parts[0], dtype="<i8"), known, np.cumsum(np.frombuffer(parts[2], dtype="<u4"), dtype=np.int64), WaveletMatrix(n_ids, [np.frombuffer(p, dtype=np.uint8) for p in parts[3:]]))
 
 
-def write_token_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 2, bits: int = 16, shard_ids: int = 2_000_000) -> DataFrame:
+def write_token_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 2, bits: int = 16, shard_ids: int = 500_000) -> DataFrame:
     """Encode all texts and write them as wavelet matrices in ascending doc_id order.
 
     Returns the written shard table: part, block (in order), n_docs, n_ids,
@@ -156,22 +160,21 @@ def write_token_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 2, bits
     null doc_ids come last; equal doc_ids are ordered by text.
     """
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = encoder(tokenizer).encode, np.array([end_id], dtype="<u4").tobytes()
-        part, block = TaskContext.get().partitionId(), 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, block, n = TaskContext.get().partitionId(), 0, 0
         doc_ids: list = []
         lengths: list[int] = []
         held: list[bytes] = []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), dtype="<u4").astype(np.uint16 if bits <= 16 else np.uint32)
-            return pd.DataFrame({"part": [part], "block": [block], "n_docs": [len(doc_ids)], "n_ids": [len(ids)], "blob": [TokenShard.pack(doc_ids, lengths, ids, bits)]})
+            blob = TokenShard.pack(doc_ids, lengths, ids, bits)
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_docs": [len(doc_ids)], "n_ids": [len(ids)], "blob": pa.array([blob], pa.binary())})
 
-        n = 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype("object").where(batch["doc_id"].notna(), None), batch["text"], strict=True):
-                data = encode(text) + end
-                doc_ids.append(doc_id if doc_id is None else int(doc_id))
+            known = batch.column("doc_id").to_pylist()
+            for row, data in encoded(tokenizer, batch.column("text"), end_id):
+                doc_ids.append(known[row])
                 lengths.append(len(data) // 4)
                 held.append(data)
                 n += len(data) // 4
@@ -183,7 +186,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 2, bits
 
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
-    shards = staged(ranged.mapInPandas(pack, "part int, block int, n_docs long, n_ids long, blob binary"), "shards")
+    shards = staged(ranged.mapInArrow(pack, "part int, block int, n_docs long, n_ids long, blob binary"), "shards")
     sums = shards.select("part", "block", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     return shards.join(sums, ["part", "block"])
 

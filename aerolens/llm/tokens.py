@@ -1,32 +1,17 @@
-"""Token ids of whole texts, fast: a worker remembers the ids of words it has met."""
+"""Token ids of whole texts, fast: words of a batch are counted once and remembered by the worker."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-#: Between two runs of white space a byte-level BPE pattern never joins what a single space or newline separates.
-_RUN = re.compile(r"\s\s|<\|")
-_ENCODERS: dict[str, Encoder] = {}
-
-
-class _Words(dict):
-    """Word -> its ids as little-endian unsigned 32-bit bytes, encoded when first asked for."""
-
-    def __init__(self, tokenizer, before: str) -> None:
-        super().__init__()
-        self.tokenizer, self.before = tokenizer, before
-
-    def __missing__(self, word: str) -> bytes:
-        ids = _ids(self.tokenizer, self.before + word)
-        if len(word) <= 48:
-            self[word] = ids
-        return ids
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-
-def _ids(tokenizer, text: str) -> bytes:
-    import numpy as np
-
-    return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
+_ENCODERS: dict[str, Encoder] = {}
+#: White space other than single spaces, or the start of a special token.
+_ODD = re.compile(r"[^\S ]|<\|")
 
 
 class Encoder:
@@ -34,35 +19,101 @@ class Encoder:
 
     Such a tokenizer cuts a text into pieces before it merges bytes, and a
     single space belongs to the word after it. So a text without runs of white
-    space is the sequence of its lines and of their space-led words, each encoded on its
-    own; any other text goes to the tokenizer whole. max_words bounds memory.
+    space is the sequence of its lines and of their space-led words, each with
+    ids of its own; any other text goes to the tokenizer whole. Unknown words
+    are encoded many at a time in one call and cut apart again where a token
+    begins with a space. max_words bounds memory.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000) -> None:
+    def __init__(self, path: str, max_words: int = 1_000_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.max_words = max_words
-        self.newline = _ids(self.tokenizer, "\n")
-        self.first, self.later = _Words(self.tokenizer, ""), _Words(self.tokenizer, " ")
-        self.first[""] = b""
-
-    def encode(self, text: str | None) -> bytes:
-        """Little-endian unsigned 32-bit ids; null is empty."""
-        if not text:
-            return b""
-        if _RUN.search(text):
-            return _ids(self.tokenizer, text)
-        first, later = self.first, self.later.__getitem__
-        for words in (first, self.later):
-            if len(words) > self.max_words:
-                words.clear()
-                first[""] = b""
-        lines = []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            lines.append(b"".join([first[head], *map(later, rest)]))
-        return self.newline.join(lines)
+        vocabulary = self.tokenizer.get_vocab()
+        space = self.tokenizer.encode(" ", add_special_tokens=False).tokens[0]
+        self.leads = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.leads[[i for t, i in vocabulary.items() if t.startswith(space)]] = True
+        self.newline = self._array("\n")
+        self.later: dict[str, bytes] = {}  # after a space
+        self.first: dict[str, bytes] = {}  # at the start of a line
+        self.marks = {m: self._array(m).tobytes() for m in ",."}
+
+    def _array(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _learn(self, words: list[str], known: dict[str, bytes], before: str) -> None:
+        """Add the ids of plain words to known."""
+        stems = [w[:-1] if w[-1] in ",." and w[:-1].isalpha() else w for w in words]  # a mark after letters is a piece of its own
+        fresh = [w for w in dict.fromkeys(stems) if w not in known]
+        for at in range(0, len(fresh), 4096):
+            part = fresh[at : at + 4096]
+            if before:
+                ids = self._array(before + before.join(part))
+                starts = np.flatnonzero(self.leads[ids]).tolist()
+                cuts = zip(starts, [*starts[1:], len(ids)], strict=True)
+            else:
+                ids = self._array("\n".join(part))
+                marks = np.flatnonzero(ids == self.newline[0]).tolist()
+                cuts = zip([0, *(m + 1 for m in marks)], [*marks, len(ids)], strict=True)
+            data = ids.tobytes()
+            known.update((w, data[4 * a : 4 * b]) for w, (a, b) in zip(part, cuts, strict=True))
+        for word, stem in zip(words, stems, strict=True):
+            if word is not stem:
+                known[word] = known[stem] + self.marks[word[-1]]
+
+    def _known(self, words: list[str], known: dict[str, bytes], before: str) -> list[bytes | None]:
+        """The ids of each word; None where it does not stand alone."""
+        if len(known) > self.max_words:
+            known.clear()
+        missing = [w for w in words if w and w not in known]
+        if missing and _ODD.search(" ".join(missing)):
+            # inside a word other white space may stand, but not at its edges next to a space
+            missing = [w for w in missing if not (w[0].isspace() or w[-1].isspace() or "<|" in w)]
+        self._learn(missing, known, before)
+        return list(map(known.get, words))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): text i has ids[offsets[i] : offsets[i + 1]]; null is empty."""
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " \n "), " ")
+        flat = lists.flatten().dictionary_encode()
+        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        code, words = flat.indices.to_numpy(), flat.dictionary.to_pylist()
+        n = len(words)
+        newline = words.index("\n") if "\n" in words else -1
+        heads = np.zeros(len(code), dtype=bool)
+        heads[edges[:-1]] = True
+        heads[1:] |= code[:-1] == newline
+        # a word's ids depend on whether it starts a line
+        leading = np.unique(code[heads])
+        table = self._known([w if w != "\n" else "" for w in words], self.later, " ")
+        table += self._known([words[i] if i != newline else "" for i in leading.tolist()], self.first, "")
+        where = np.zeros(n, dtype=np.int64)
+        where[leading] = n + np.arange(len(leading))
+        code = np.where(heads, where[code], code)
+        if newline >= 0:
+            table[newline] = self.newline.tobytes()
+        odd = np.zeros(len(table), dtype=bool)
+        if None in table:
+            odd[:] = [b is None for b in table]
+            table = [b or b"" for b in table]
+        lengths = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) >> 2
+        ids = np.frombuffer(b"".join(table), dtype="<u4")
+        starts = np.cumsum(lengths) - lengths
+        # an empty text is one empty word and needs no tokenizer
+        empty = pc.equal(pc.binary_length(pc.fill_null(texts, "")), 0).to_numpy(zero_copy_only=False)
+        strange = np.add.reduceat(odd[code], edges[:-1]) > 0 if len(code) else np.zeros(len(texts), dtype=bool)
+        strange &= ~empty
+        counts = lengths[code]
+        counts[np.repeat(strange, np.diff(edges))] = 0
+        ends = np.cumsum(counts)
+        place = np.repeat((starts[code] - (ends - counts)).astype(np.int64), counts) + np.arange(int(ends[-1]) if len(ends) else 0)
+        out = ids[place]
+        offsets = np.concatenate([[0], ends])[edges]
+        if not strange.any():
+            return out, offsets
+        parts = [self._array(texts[i].as_py()) if s else out[offsets[i] : offsets[i + 1]] for i, s in enumerate(strange.tolist())]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 def encoder(path: str) -> Encoder:
@@ -70,3 +121,17 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+def encoded(path: str, texts: pa.Array, end_id: int, chars: int = 12_000_000) -> Iterator[tuple[int, bytes]]:
+    """(row, ids with the end id as little-endian unsigned 32-bit bytes), worked on about so many bytes at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    end = np.array([end_id], dtype="<u4").tobytes()
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chars, side="right")))
+        ids, offsets = encoder(path).encode(texts.slice(at, to - at))
+        data = ids.tobytes()
+        for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
+            yield at + i, data[4 * a : 4 * b] + end
+        at = to
