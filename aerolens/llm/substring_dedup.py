@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, discard, staged
 
 _WORD = re.compile(WORD)
 #: 2^64-invertible bases of the rolling hashes, 3 modulo 8.
@@ -95,50 +96,75 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
 
 
-def repeated_windows(docs: DataFrame, *, window: int = 50, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
+
+
+def whole_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, row_hash of texts that equal one of a smaller doc_id, by 128 bits of hash."""
+    heads = _keyed(docs).select("doc_id", "row_hash", F.xxhash64(F.lit(3), "text").alias("second"))
+    firsts = heads.groupBy("row_hash", "second").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc")
+    return heads.join(firsts, ["row_hash", "second"]).filter("doc_id > first_doc").select("doc_id", "row_hash").distinct()
+
+
+def repeated_windows(docs: DataFrame, copies: DataFrame, *, window: int = 50, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """doc_id, row_hash, places: starts of windows that also start in a smaller doc_id.
 
+    Whole copies need no search: their windows start in the text that they copy.
     row_hash is xxhash64 of the text, so that repeated rows of a doc_id with
     different texts stay apart.
     """
 
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(_anchors(word_hashes(t)[1], window, period, cover)[1]) for t in batch["text"]]
-            counts = [len(f) for f in found]
-            if sum(counts):
-                yield pd.DataFrame({"anchor": _signed(np.concatenate(found)), "doc_id": np.repeat(batch["doc_id"].to_numpy(), counts)})
+            found = [np.unique(_anchors(word_hashes(t)[1], window, period, cover)[1]) for t in batch.column("text").to_pylist()]
+            rows = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            yield pa.RecordBatch.from_pydict({"anchor": pa.array(_signed(np.concatenate(found)) if found else [], pa.int64()), "doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64()))})
 
-    known = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    every = staged(known.mapInPandas(anchors, "anchor long, doc_id long"), "anchors")
+    texts = _keyed(docs)
+    known = texts.join(copies, ["doc_id", "row_hash"], "left_anti")
+    every = staged(known.select("doc_id", "text").mapInArrow(anchors, "anchor long, doc_id long"), "anchors")
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    by_doc = every.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    by_doc = staged(every.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "shared")
+    discard(every)
 
-    def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, row_hash, text, wanted in zip(batch["doc_id"], batch["row_hash"], batch["text"], batch["anchors"], strict=True):
+            lows, highs, starts_, counts, firsts = [], [], [], [], []
+            total = 0
+            for text, wanted in zip(batch.column("text").to_pylist(), batch.column("anchors"), strict=True):
                 _, hashes = word_hashes(text)
                 places, values = _anchors(hashes, window, period, cover)
-                places = places[np.isin(_signed(values), np.asarray(wanted, dtype=np.int64))]
-                if not len(places):
-                    continue
+                places = places[np.isin(_signed(values), wanted.values.to_numpy())]
                 # a window may start up to period - 1 words before its anchor
-                n = len(hashes) - window + 1
-                edge = np.zeros(n + period + 1, dtype=np.int32)
+                n = max(len(hashes) - window + 1, 0)
+                edge = np.zeros(n + 1, dtype=np.int32)
                 np.add.at(edge, np.maximum(places - period + 1, 0), 1)
-                np.add.at(edge, np.minimum(places, n - 1) + 1, -1)
+                np.add.at(edge, np.minimum(places + 1, n), -1)
                 starts = np.flatnonzero(np.cumsum(edge[:n]) > 0)
                 low, high = rolling(hashes, window, _BASES[0])[starts], rolling(_mixed(hashes), window, _BASES[1])[starts]
                 order = np.lexsort((starts, high, low))
                 low, high, starts = low[order], high[order], starts[order]
-                first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-                yield pd.DataFrame({"low": _signed(low[first]), "high": _signed(high[first]), "doc_id": doc_id, "row_hash": row_hash, "places": np.split(starts.astype(np.int32), first[1:])})
-
-    texts = known.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
-    windows = staged(texts.join(by_doc, "doc_id").mapInPandas(extend, "low long, high long, doc_id long, row_hash long, places array<int>"), "windows")
+                first = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])) if len(low) else np.zeros(0, dtype=np.int64)
+                lows.append(low[first])
+                highs.append(high[first])
+                starts_.append(starts)
+                firsts.append(first + total)
+                counts.append(len(first))
+                total += len(starts)
+            rows = pa.array(np.repeat(np.arange(len(counts)), counts), pa.int64())
+            offsets = pa.array(np.concatenate([*firsts, [total]]).astype(np.int32))
+            places = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(starts_).astype(np.int32) if starts_ else [], pa.int32()))
+            low, high = (pa.array(_signed(np.concatenate(x)) if x else [], pa.int64()) for x in (lows, highs))
+            yield pa.RecordBatch.from_pydict({"low": low, "high": high, "doc_id": batch.column("doc_id").take(rows), "row_hash": batch.column("row_hash").take(rows), "places": places})
+
+    found = known.join(by_doc, "doc_id").mapInArrow(extend, "low long, high long, doc_id long, row_hash long, places array<int>")
+    windows = staged(found, "windows")
     firsts = windows.groupBy("low", "high").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc").select("low", "high", "first_doc")
     later = windows.join(firsts, ["low", "high"]).filter("doc_id > first_doc")
-    return later.groupBy("doc_id", "row_hash").agg(F.flatten(F.collect_list("places")).alias("places"))
+    places = staged(later.groupBy("doc_id", "row_hash").agg(F.flatten(F.collect_list("places")).alias("places")), "places")
+    discard(by_doc, windows)
+    return places
 
 
 def substring_dedup(docs: DataFrame, *, window: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -152,15 +178,21 @@ def substring_dedup(docs: DataFrame, *, window: int = 50, carry: tuple[str, ...]
     Repeats inside one document, or in rows of one doc_id, are not removed. A row
     without doc_id is no document: it keeps all its words and is no source.
     """
-    places = repeated_windows(docs, window=window)
+    copies = staged(whole_copies(docs), "copies")
+    places = repeated_windows(docs, copies, window=window)
+    verdicts = places.withColumn("copy", F.lit(False)).unionByName(copies.withColumn("copy", F.lit(True)), allowMissingColumns=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text", *(F.col(c).alias(f"carry_{c}") for c in carry))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             total, removed, kept = [], [], []
-            for text, starts in zip(batch.pop("text"), batch.pop("places"), strict=True):
+            for text, starts, copy in zip(batch.pop("text"), batch.pop("places"), batch.pop("copy"), strict=True):
                 words = _WORD.findall(text) if text else []
                 total.append(len(words))
+                if copy and len(words) >= window:
+                    removed.append(len(words))
+                    kept.append("")
+                    continue
                 if starts is None:
                     removed.append(0)
                     kept.append(" ".join(words))
@@ -177,5 +209,5 @@ def substring_dedup(docs: DataFrame, *, window: int = 50, carry: tuple[str, ...]
 
     fields = [f for f in rows.schema if f.name not in ("text", "row_hash")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", n_words long, n_removed long, kept_text string"
-    out = rows.join(places, ["doc_id", "row_hash"], "left").select(*(f.name for f in fields), "row_hash", "text", "places").mapInPandas(cut, schema)
+    out = rows.join(verdicts, ["doc_id", "row_hash"], "left").select(*(f.name for f in fields), "row_hash", "text", "places", F.coalesce("copy", F.lit(False)).alias("copy")).mapInPandas(cut, schema)
     return out.select("doc_id", "n_words", "n_removed", "kept_text", *(F.col(f"carry_{c}").alias(c) for c in carry))
