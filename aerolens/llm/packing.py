@@ -131,7 +131,7 @@ def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], seed:
     return [g for _, _, g in ranked]
 
 
-def pack(pieces: DataFrame, *, capacity: int = 1024, shard_pieces: int = 4096, islands: int = 2, rounds: int = 2, children: int = 12, seed: int = 1) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 1024, shard_pieces: int = 4096, islands: int = 2, rounds: int = 3, children: int = 24, seed: int = 1) -> DataFrame:
     """sequence_id and offset for every piece (uid, length and further columns).
 
     A full piece is a sequence of its own. Others are dealt by hash of uid to
@@ -160,11 +160,13 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, shard_pieces: int = 4096, i
 
     kind = "shard long, island int, sizes array<int>, groups array<array<int>>, n int"
     state = shards.select("shard", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), sizes.alias("sizes"), F.lit(None).cast("array<array<int>>").alias("groups")).withColumn("groups", F.coalesce("groups", F.array().cast("array<array<int>>")))
+    # an island costs seconds for a few kilobytes, so tasks are not merged by size
+    tasks = min(n_shards * islands, max(2000, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     for turn in range(rounds):
         if turn:
             elite = state.select("shard", ((F.col("island") + 1) % islands).cast("int").alias("island"), F.slice("groups", 1, 1).alias("elite"))
             state = state.join(elite, ["shard", "island"]).withColumn("groups", F.concat("elite", F.slice("groups", 1, 3))).drop("elite", "n")
-        state = staged(state.repartition("shard", "island").mapInPandas(step(turn), kind), "islands")
+        state = staged(state.repartition(tasks, "shard", "island").mapInPandas(step(turn), kind), "islands")
     best = state.groupBy("shard").agg(F.min_by(F.get("groups", F.lit(0)), F.struct("n", "island")).alias("group"))
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
