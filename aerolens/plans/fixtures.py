@@ -102,9 +102,11 @@ def _used(sql: str, names) -> list[str]:
 def with_views(sql: str, dialect: str = "spark") -> str:
     """The query with the views that it names as leading CTEs, in one dialect."""
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in _used(sql, VIEWS))
-    text = f"WITH {ctes}\n{sql}" if ctes and not sql.lstrip().startswith("WITH ") else sql
-    if ctes and sql.lstrip().startswith("WITH "):
-        text = f"WITH {ctes},\n{sql.lstrip()[5:]}"
+    text = sql.lstrip()
+    if ctes:
+        opening = re.match(r"WITH (RECURSIVE )?", text)
+        rest = f",\n{text[opening.end():]}" if opening else f"\n{text}"
+        text = f"WITH {(opening and opening[1]) or ''}{ctes}{rest}"
     return re.sub(r"\bUS\(", "unix_micros(" if dialect == "spark" else "epoch_us(", text)
 
 

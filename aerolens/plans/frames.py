@@ -1,3 +1,553 @@
-"""Queries over frames."""
-QUERIES = {}
-SQL = {}
+"""Registered queries of the frame, window, state, graph and metric operators, with SQL where SQL can say them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from aerolens.functions import metrics, scalars
+from aerolens.operators import aggregates, filters, graph, joins, projections, state, windows
+from aerolens.plans.fixtures import run_sql, view
+from aerolens.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+#: Port ranges whose traffic is told apart.
+TCP_PORTS = "20-21 22 23 25 53 80 110 143 137-139 443 993-995 1194 1214 1900 3723-3724 4662 4672 6881-6889 6890-6999 1-65535"
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def _ranges(spark: SparkSession) -> DataFrame:
+    ports = spark.createDataFrame([(p,) for p in TCP_PORTS.split()], "port string")
+    return ports.select(scalars.port_range(F.col("port")).alias("r")).select("r.*")
+
+
+RANGES_SQL = "(VALUES " + ", ".join(f"({p.split('-')[0]}, {p.split('-')[-1]})" for p in TCP_PORTS.split()) + ") AS r(low, high)"
+F_ID = "frame_id"
+
+
+@query("fil_1_bssid", "SELECT frame_id FROM fx_frames WHERE nullif(bssid, 7) IS NULL OR bssid <> 3")
+def _(spark, d):
+    return filters.exclude_value(view(spark, d, "fx_frames").withColumn("bssid", F.nullif("bssid", F.lit(7))), "bssid", 3).select(F_ID)
+
+
+@query("fil_2_ssid", "SELECT bssid, ssid FROM fx_bss_stats WHERE ssid IS NULL OR lower(ssid) <> 'supplier#000000007'")
+def _(spark, d):
+    return filters.exclude_value(view(spark, d, "fx_bss_stats"), "ssid", "supplier#000000007", ignore_case=True).select("bssid", "ssid")
+
+
+@query("fil_3_beacons", "SELECT frame_id FROM fx_frames WHERE ((ftype * 4 + fsubtype * 16) & 12) = 0 AND ((ftype * 4 + fsubtype * 16) & 240) = 128")
+def _(spark, d):
+    return filters.mask_filter(view(spark, d, "fx_frames").withColumn("fc0", F.expr("ftype * 4 + fsubtype * 16")), "fc0", (0x0C, 0x00), (0xF0, 0x80)).select(F_ID)
+
+
+@query("fil_4_length", "SELECT frame_id FROM fx_frames WHERE length > 300")
+def _(spark, d):
+    return filters.min_length(view(spark, d, "fx_frames"), longest_dropped=300).select(F_ID)
+
+
+@query("fil_5_rejects", "SELECT rule, count(*) AS frames FROM (SELECT unnest(list_filter([CASE WHEN ftype = 0 AND length < 28 THEN 'short_management' END, CASE WHEN ftype = 1 AND length < 14 THEN 'short_control' END, CASE WHEN ftype = 2 AND length < 28 THEN 'short_data' END, CASE WHEN ftype = 1 AND retry THEN 'retried_control' END], lambda x: x IS NOT NULL)) AS rule FROM fx_frames) AS v GROUP BY rule")
+def _(spark, d):
+    _, bad = filters.validate_frames(view(spark, d, "fx_frames"), filters.FRAME_RULES)
+    return bad.select(F.explode("violations").alias("rule")).groupBy("rule").agg(F.count("*").alias("frames"))
+
+
+@query("fil_6_route", "SELECT route, count(*) AS frames FROM (SELECT CASE WHEN dport < 1024 THEN 'system' WHEN sport < 1024 THEN 'reply' ELSE 'other' END AS route FROM fx_frames) AS r GROUP BY route")
+def _(spark, d):
+    routed = filters.route(view(spark, d, "fx_frames"), [("system", F.col("dport") < 1024), ("reply", F.col("sport") < 1024)], "other")
+    return routed.groupBy("route").agg(F.count("*").alias("frames"))
+
+
+@query("fil_7_drop_unrouted", "SELECT frame_id, CASE WHEN dport % 7 = 0 THEN 'a' ELSE 'b' END AS route FROM fx_frames WHERE dport % 7 = 0 OR sport % 11 = 0")
+def _(spark, d):
+    return filters.route(view(spark, d, "fx_frames"), [("a", F.col("dport") % 7 == 0), ("b", F.col("sport") % 11 == 0)]).select(F_ID, "route")
+
+
+PAYLOAD = "CASE frame_id % 3 WHEN 0 THEN 'GET /x HTTP/1.1' WHEN 1 THEN 'HTTP/1.1 200 OK' END"
+
+
+@query("fil_8_http", "SELECT frame_id FROM fx_frames WHERE frame_id % 3 = 0")
+def _(spark, d):
+    return filters.http_requests(view(spark, d, "fx_frames").withColumn("payload", F.expr(PAYLOAD)))[0].select(F_ID)
+
+
+@query("fil_9_shared", "SELECT frame_id FROM fx_frames WHERE ftype = 0 OR dport < 2000")
+def _(spark, d):
+    return filters.shared_filter(view(spark, d, "fx_frames"), [F.col("ftype") == 0, F.col("dport") < 2000]).select(F_ID)
+
+
+TAP = "CASE frame_id % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'merged' ELSE 'ip' END"
+
+
+@query("fil_10_taps", "SELECT frame_id FROM fx_frames WHERE frame_id % 3 = 0 OR frame_id % 3 = 1 AND NOT retry")
+def _(spark, d):
+    return filters.select_taps(view(spark, d, "fx_frames").withColumns({"tap": F.expr(TAP), "is_dupe": F.col("retry")}), ["raw", "merged"]).select(F_ID)
+
+
+@query("fil_11_rest", "SELECT frame_id FROM (SELECT frame_id, row_number() OVER (ORDER BY ts, frame_id) AS n FROM fx_frames) AS a WHERE n > 100")
+def _(spark, d):
+    return filters.split_first(view(spark, d, "fx_frames"), 100, ["ts", F_ID])[1].select(F_ID)
+
+
+@query("fil_12_sample")
+def _(spark, d):
+    return filters.random_drop(view(spark, d, "fx_frames"), 0.9).select(F_ID)
+
+
+@query("fil_14_follow", "SELECT f.frame_id FROM fx_frames AS f JOIN (SELECT bssid, min((ts, frame_id)) AS s FROM fx_frames WHERE ftype = 0 AND fsubtype = 8 AND bssid % 4 = 1 GROUP BY bssid) AS l ON f.bssid = l.bssid AND (f.ts, f.frame_id) >= l.s")
+def _(spark, d):
+    return filters.follow_learned(view(spark, d, "fx_frames"), (F.col("ftype") == 0) & (F.col("fsubtype") == 8) & (F.col("bssid") % 4 == 1))[0].select(F_ID)
+
+
+@query("prj_1_strip", "SELECT doc_id, substr(text, 1, greatest(length(text) - 4, 0)) AS body, substr(text, 1, 24) AS header FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+def _(spark, d):
+    raw = F.encode("text", "UTF-8")
+    rows = table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$"))
+    return rows.select("doc_id", F.decode(projections.strip_tail(raw), "UTF-8").alias("body"), F.decode(projections.strip_to_header(raw), "UTF-8").alias("header"))
+
+
+@query("prj_2_print")
+def _(spark, d):
+    return projections.print_merged(state.merge_captures(view(spark, d, "fx_captures")), detailed=True)
+
+
+@query("prj_3_shift", "SELECT frame_id, US(ts) + 1500000 AS us FROM fx_frames")
+def _(spark, d):
+    return projections.shift_time(view(spark, d, "fx_frames"), 1_500_000).select(F_ID, F.unix_micros("ts").alias("us"))
+
+
+@query("jn_2_ciphers", "SELECT encryption_desc, count(DISTINCT bssid) AS networks FROM fx_bss_stats JOIN lu_encryptions ON (encryption_types & encryption_id) > 0 GROUP BY encryption_desc")
+def _(spark, d):
+    return joins.bitmask_join(view(spark, d, "fx_bss_stats"), "encryption_types", view(spark, d, "lu_encryptions"), "encryption_id").groupBy("encryption_desc").agg(F.countDistinct("bssid").alias("networks"))
+
+
+CHANGES = "SELECT sniffer_id, ts, max(channel) AS channel FROM fx_frames WHERE frame_id % 50 < 7 GROUP BY sniffer_id, ts"
+
+
+@query("jn_8_asof_channel", f"WITH c AS ({CHANGES}) SELECT frame_id, coalesce((SELECT max_by(c.channel, c.ts) FROM c WHERE c.sniffer_id = f.sniffer_id AND c.ts < f.ts), 0) AS channel FROM fx_frames AS f")
+def _(spark, d):
+    out = joins.asof_join(view(spark, d, "fx_frames").select(F_ID, "sniffer_id", "ts"), run_sql(spark, d, CHANGES), ["sniffer_id"], "ts", "ts", ["channel"], strict=True)
+    return out.select(F_ID, F.coalesce("asof_channel", F.lit(0)).alias("channel"))
+
+
+ADVERTISED = "SELECT bssid, US(ts) AS us, max(channel) AS adv FROM fx_frames WHERE ftype = 0 AND fsubtype = 8 GROUP BY bssid, ts"
+
+
+@query("jn_9_guess_channel", f"WITH a AS ({ADVERTISED}) SELECT frame_id, coalesce((SELECT CASE WHEN US(f.ts) - max(a.us) < 3600000000 THEN max_by(a.adv, a.us) END FROM a WHERE a.bssid = f.bssid AND a.us <= US(f.ts)), channel) AS channel FROM fx_frames AS f")
+def _(spark, d):
+    frames = view(spark, d, "fx_frames").select(F_ID, "bssid", "channel", F.unix_micros("ts").alias("us"))
+    out = joins.asof_join(frames, run_sql(spark, d, ADVERTISED), ["bssid"], "us", "us", ["adv"], tolerance=F.lit(3_600_000_000))
+    return out.select(F_ID, F.coalesce("asof_adv", "channel").alias("channel"))
+
+
+ASSOC = "SELECT station_mac, US(ts) AS us, max(bssid) AS ap FROM fx_associations GROUP BY station_mac, ts"
+
+
+@query("jn_10_infer_bssid", f"WITH s AS ({ASSOC}) SELECT frame_id, coalesce(CASE WHEN bssid < 5 THEN bssid END, (SELECT max_by(s.ap, s.us) FROM s WHERE s.station_mac = f.ta AND s.us <= US(f.ts)), (SELECT max_by(s.ap, s.us) FROM s WHERE s.station_mac = f.ta + 1 AND s.us <= US(f.ts))) AS bssid FROM fx_frames AS f")
+def _(spark, d):
+    known = run_sql(spark, d, ASSOC)
+    frames = view(spark, d, "fx_frames").select(F_ID, F.expr("CASE WHEN bssid < 5 THEN bssid END AS own"), F.col("ta").alias("station_mac"), (F.col("ta") + 1).alias("peer"), F.unix_micros("ts").alias("us"))
+    by_source = joins.asof_join(frames, known, ["station_mac"], "us", "us", ["ap"]).withColumnRenamed("asof_ap", "source_ap")
+    both = joins.asof_join(by_source.drop("station_mac").withColumnRenamed("peer", "station_mac"), known, ["station_mac"], "us", "us", ["ap"])
+    return both.select(F_ID, F.coalesce("own", "source_ap", "asof_ap").alias("bssid"))
+
+
+@query("jn_11_ports", f"SELECT low, high, sniffer_id, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM fx_frames JOIN {RANGES_SQL} ON sport BETWEEN low AND high OR dport BETWEEN low AND high GROUP BY low, high, sniffer_id")
+def _(spark, d):
+    return joins.range_count(view(spark, d, "fx_frames"), _ranges(spark), ["sport", "dport"], ["sniffer_id"], {"packets": F.count("*"), "bytes": F.sum("length").cast("long")})
+
+
+@query("jn_12_nodes", "SELECT c_custkey, n_nationkey AS node_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 20")
+def _(spark, d):
+    nodes = table(spark, d, "nation").filter("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("hostname"), F.col("n_nationkey").alias("node_id"))
+    return joins.node_lookup(table(spark, d, "customer").withColumn("host", F.col("c_nationkey").cast("string")), nodes)[0].select("c_custkey", "node_id")
+
+
+@query("jn_13_alerts", "SELECT a.src_mac, US(a.ts) AS us, a.sig_id, (SELECT max_by(f.sniffer_id, (f.ts, f.frame_id)) FROM fx_frames AS f WHERE f.ftype <> 1 AND f.ta = a.src_mac AND f.ts <= a.ts AND US(a.ts) - US(f.ts) < 86400000000) AS sniffer_id FROM fx_alerts AS a")
+def _(spark, d):
+    alerts = view(spark, d, "fx_alerts").select("src_mac", F.unix_micros("ts").alias("us"), "sig_id")
+    seen = view(spark, d, "fx_frames").filter("ftype <> 1").select(F.col("ta").alias("src_mac"), F.unix_micros("ts").alias("us"), F_ID, "sniffer_id")
+    out = joins.asof_join(alerts, seen, ["src_mac"], "us", "us", ["frame_id", "sniffer_id"], tolerance=F.lit(86_400_000_000))
+    return out.select("src_mac", "us", "sig_id", F.col("asof_sniffer_id").alias("sniffer_id"))
+
+
+@query("jn_14_skew_pairs")
+def _(spark, d):
+    return joins.skew_pairs(state.merge_captures(view(spark, d, "fx_captures")))
+
+
+@query("jn_15_compare", "SELECT count(*) AS records, count(*) FILTER (WHERE y IS NULL) AS only_first, count(*) FILTER (WHERE x IS NULL) AS only_second, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL AND a.length <> b.length) AS differs_length, count(*) FILTER (WHERE x IS NOT NULL AND y IS NOT NULL AND a.ch <> b.ch) AS differs_channel FROM (SELECT frame_id AS x, length, channel AS ch FROM fx_frames WHERE frame_id % 10 <> 0) AS a FULL JOIN (SELECT frame_id AS y, length - CAST(frame_id % 2 AS INT) AS length, channel AS ch FROM fx_frames WHERE frame_id % 7 <> 0) AS b ON x = y")
+def _(spark, d):
+    f = view(spark, d, "fx_frames")
+    return joins.compare_records(f.filter("frame_id % 10 <> 0"), f.filter("frame_id % 7 <> 0").withColumn("length", F.expr("length - cast(frame_id % 2 as int)")), F_ID, ["length", "channel"])
+
+
+@query("jn_16_routes", "SELECT verdict, count(*) AS frames FROM (SELECT CASE WHEN b IS NULL THEN 'no_bssid' WHEN b % 3 = 0 THEN 'no_owner' WHEN b % 7 <> sniffer_id THEN 'wrong_sender' ELSE 'ok' END AS verdict FROM (SELECT nullif(bssid, 4) AS b, sniffer_id FROM fx_frames) AS x) AS v GROUP BY verdict")
+def _(spark, d):
+    f = view(spark, d, "fx_frames").withColumn("bssid", F.nullif("bssid", F.lit(4)))
+    owners = f.filter("bssid % 3 <> 0").select("bssid", (F.col("bssid") % 7).cast("int").alias("owner")).distinct()
+    return joins.check_routes(f, owners).groupBy("verdict").agg(F.count("*").alias("frames"))
+
+
+_CLASS_SQL = ", ".join(f"count(*) FILTER (WHERE {t}) AS {n}_packets, CAST(coalesce(sum(length) FILTER (WHERE {t}), 0) AS BIGINT) AS {n}_bytes" for n, t in (("mgmt", "ftype = 0"), ("ctrl", "ftype = 1"), ("data", "ftype = 2"), ("null_data", "ftype = 2 AND fsubtype IN (4, 12)"), ("beacon", "ftype = 0 AND fsubtype = 8")))
+
+
+@query("agg_1_classes", f"SELECT sniffer_id, {_CLASS_SQL} FROM fx_frames GROUP BY sniffer_id")
+def _(spark, d):
+    return aggregates.class_counts(view(spark, d, "fx_frames"), keys=["sniffer_id"])
+
+
+@query("agg_2_field_sum", "SELECT CAST(sum(ascii(substr(text, 2, 1)) * 256 + ascii(substr(text, 3, 1))) AS BIGINT) AS total, count(*) AS n FROM documents WHERE length(text) >= 3 AND regexp_full_match(text, '[\\x00-\\x7f]*')")
+def _(spark, d):
+    rows = table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$")).withColumn("v", aggregates.bytes_as_integer(F.encode("text", "UTF-8"), 1, 2))
+    return rows.filter("v is not null").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
+
+
+@query("agg_3_unique", "SELECT min(frame_id) AS frame_id, ta FROM fx_frames GROUP BY ta")
+def _(spark, d):
+    return filters.first_per_key(view(spark, d, "fx_frames"), ["ta"], [F_ID]).select(F_ID, "ta")
+
+
+@query("agg_4_intervals", "SELECT US(ts) // 10000000 * 10000000 AS start_us, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM fx_frames GROUP BY 1")
+def _(spark, d):
+    out = aggregates.interval_counts(view(spark, d, "fx_frames"), interval="10 seconds", measures={"packets": F.count("*"), "bytes": F.sum("length").cast("long")})
+    return out.select(F.unix_micros("start").alias("start_us"), "packets", "bytes")
+
+
+@query("agg_5_traffic", "SELECT US(ts) // 3600000000 * 3600000000 AS start_us, sniffer_id, proto, count(*) AS packets, CAST(sum(length - 34) + max_by(34, -frame_id) AS BIGINT) AS bytes FROM (SELECT *, CAST(frame_id % 3 AS INT) AS proto FROM fx_frames) AS x GROUP BY 1, 2, 3")
+def _(spark, d):
+    f = view(spark, d, "fx_frames").withColumns({"proto": (F.col(F_ID) % 3).cast("int"), "ip_len": F.col("length") - 34})
+    out = aggregates.ip_traffic(f, "1 hour", ["sniffer_id", "proto"], [F_ID], first_packet_quirk=True)
+    return out.select(F.unix_micros("start").alias("start_us"), "sniffer_id", "proto", "packets", "bytes")
+
+
+@query("agg_6_channels", "SELECT channel, count(*) AS packets, count(DISTINCT bssid) AS aps FROM fx_frames GROUP BY channel")
+def _(spark, d):
+    return view(spark, d, "fx_frames").groupBy("channel").agg(F.count("*").alias("packets"), F.countDistinct("bssid").alias("aps"))
+
+
+@query("agg_7_median", "SELECT sniffer_id, quantile_disc(length, 0.5) AS median FROM fx_frames GROUP BY sniffer_id")
+def _(spark, d):
+    return view(spark, d, "fx_frames").groupBy("sniffer_id").agg(aggregates.lower_median("length").alias("median"))
+
+
+@query("agg_13_cdf", "SELECT CAST(i AS INT) AS point, v[CAST(floor((i + 1) * (len(v) - 1) / 20) AS BIGINT) + 1] AS value FROM (SELECT list_sort(list(length)) AS v FROM fx_frames) AS a, range(20) AS r(i)")
+def _(spark, d):
+    return aggregates.cdf_points(view(spark, d, "fx_frames"), "length", 20)
+
+
+@query("agg_14_home", "WITH c AS (SELECT bssid, sniffer_id, count(*) FILTER (WHERE ftype = 1 AND bssid > 9) AS a, count(*) AS b FROM fx_frames GROUP BY ALL), r AS (SELECT *, max(a) OVER (PARTITION BY bssid) AS ma, max(b) OVER (PARTITION BY bssid) AS mb FROM c) SELECT bssid, min(sniffer_id) AS sniffer_id FROM r WHERE ma > 0 AND a = ma OR ma = 0 AND b = mb GROUP BY bssid")
+def _(spark, d):
+    counts = view(spark, d, "fx_frames").groupBy("bssid", "sniffer_id").agg(F.count_if((F.col("ftype") == 1) & (F.col("bssid") > 9)).alias("a"), F.count("*").alias("b"))
+    return aggregates.best_observer(counts, "bssid", "sniffer_id", ["a", "b"])
+
+
+RATES = "SELECT bssid, sniffer_id, CAST(sum(length) AS DOUBLE) AS rate FROM fx_frames GROUP BY bssid, sniffer_id"
+
+
+@query("agg_15_owner", f"WITH r AS ({RATES}), b AS (SELECT bssid, max((rate, sniffer_id)) AS m FROM r GROUP BY bssid), o AS (SELECT b.bssid, CAST(b.bssid % 7 AS INT) AS owner, r.rate AS own FROM b LEFT JOIN r ON r.bssid = b.bssid AND r.sniffer_id = b.bssid % 7) SELECT b.bssid, CASE WHEN m[1] >= coalesce(own, 0) * 1.05 AND m[1] >= coalesce(own, 0) + 100 THEN m[2] ELSE owner END AS owner FROM b JOIN o ON o.bssid = b.bssid")
+def _(spark, d):
+    rates = run_sql(spark, d, RATES)
+    old = rates.select("bssid", (F.col("bssid") % 7).cast("int").alias("owner")).distinct()
+    return aggregates.owner_with_hysteresis(rates, old, ratio=1.05, margin=100.0)
+
+
+# hosts are nations; a route goes through the region's first nation, so paths have two links at most
+HOP = "SELECT a.n_nationkey AS src, b.n_nationkey AS dst, CAST(CASE WHEN a.n_regionkey = b.n_regionkey THEN b.n_nationkey ELSE b.n_regionkey END AS BIGINT) AS gateway FROM nation AS a JOIN nation AS b ON a.n_nationkey <> b.n_nationkey"
+PAIRS = "SELECT CAST(s_suppkey % 25 AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, CAST(sum(floor(s_acctbal) + 2000) AS DOUBLE) AS bytes FROM supplier WHERE s_suppkey % 25 <> s_nationkey GROUP BY 1, 2"
+
+
+def _routes(spark, d):
+    hops = run_sql(spark, d, HOP).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "gateway")
+    # a gateway that is the source itself sends straight on
+    return hops.withColumn("gateway", F.when(F.col("gateway") == F.col("src"), F.col("dst")).otherwise(F.col("gateway")))
+
+
+LINKS_SQL = """WITH p AS (SELECT CAST(s_suppkey % 25 AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, CAST(sum(floor(s_acctbal) + 2000) AS DOUBLE) AS bytes FROM supplier WHERE s_suppkey % 25 <> s_nationkey GROUP BY 1, 2),
+g AS (SELECT p.*, CASE WHEN a.n_regionkey = b.n_regionkey OR b.n_regionkey = p.src THEN p.dst ELSE CAST(b.n_regionkey AS BIGINT) END AS gw FROM p JOIN nation AS a ON a.n_nationkey = p.src JOIN nation AS b ON b.n_nationkey = p.dst)"""
+
+
+@query("gra_2_walk")
+def _(spark, d):
+    done, _ = graph.walk_routes(run_sql(spark, d, PAIRS), _routes(spark, d), 4)
+    return done.select("src", "dst", F.size("links").alias("hops"), F.to_json("links").alias("links"))
+
+
+@query("agg_16_links")
+def _(spark, d):
+    traffic = run_sql(spark, d, PAIRS)
+    return aggregates.link_load(traffic, graph.walk_routes(traffic, _routes(spark, d), 4)[0])
+
+
+@query("agg_18_wire", "SELECT sniffer_id, (sum(length) + count(*) * 88) * 0.35e0 AS wire FROM fx_frames GROUP BY sniffer_id")
+def _(spark, d):
+    return view(spark, d, "fx_frames").groupBy("sniffer_id").agg(aggregates.bytes_on_wire(F.sum("length"), F.count("*")).alias("wire"))
+
+
+@query("agg_19_status", "WITH m AS (SELECT ta AS host, ts, frame_id, rssi, length FROM fx_frames), n AS (SELECT *, US(ts) - lag(US(ts)) OVER (PARTITION BY host ORDER BY ts) AS gap FROM m) SELECT host, max_by(length, ts) AS cpu, CAST(sum(length) AS BIGINT) AS bytes, US(max(ts)) AS last_us, greatest(10.0::DOUBLE, (US(max(ts)) - US(max(ts) FILTER (WHERE gap IS NULL OR gap > 7200000000))) / 1e6) AS uptime FROM n GROUP BY host HAVING count(*) = count(DISTINCT ts)")
+def _(spark, d):
+    m = view(spark, d, "fx_frames").select(F.col("ta").alias("host"), "ts", F.col("length").alias("cpu"), F.col("length").cast("long").alias("bytes"))
+    unique = m.groupBy("host").agg(F.count("*").alias("n"), F.countDistinct("ts").alias("k")).filter("n = k").select("host")
+    out = aggregates.host_status(m.join(unique, "host"), F.lit("2024-02-01").cast("timestamp"), last=["cpu"], sums=["bytes"], gap=7200)
+    return out.select("host", "cpu", "bytes", F.unix_micros("last_seen").alias("last_us"), "uptime")
+
+
+@query("agg_21_loss", "SELECT host, CAST(sum(CASE WHEN k < 2 THEN length ELSE -length END) AS BIGINT) AS unaccounted FROM (SELECT sniffer_id AS host, frame_id % 6 AS k, length FROM fx_frames) AS x GROUP BY host")
+def _(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("captured", "in", "waitq_drops", "drops", "produced", "out"))), (F.col(F_ID) % 6 + 1).cast("int"))
+    return aggregates.loss_accounting(view(spark, d, "fx_frames").select(F.col("sniffer_id").alias("host"), kind.alias("kind"), F.col("length").cast("long").alias("n")))
+
+
+@query("agg_22_states", "SELECT capt_node_id, count(*) FILTER (WHERE NOT i AND NOT a) AS clients, count(*) FILTER (WHERE NOT i AND a) AS aps, count(*) FILTER (WHERE i) AS ibss, count(*) AS stations, count(DISTINCT bssid) AS bss FROM (SELECT capt_node_id, bssid, station_mac % 5 = 0 AS i, station_mac % 3 = 0 AS a FROM fx_associations) AS x GROUP BY capt_node_id")
+def _(spark, d):
+    s = view(spark, d, "fx_associations").withColumns({"is_ibss": F.col("station_mac") % 5 == 0, "is_ap": F.col("station_mac") % 3 == 0})
+    return aggregates.association_counts(s, ["capt_node_id"])
+
+
+@query("win_1_inferred", "WITH l AS (SELECT ta, seq, retry, lag(seq) OVER (PARTITION BY ta ORDER BY ts, frame_id) AS p FROM fx_frames), g AS (SELECT ta, CASE WHEN p IS NULL THEN CASE WHEN seq < 8 THEN seq ELSE 1 END WHEN p <= seq THEN seq - p WHEN p - seq < 3 AND retry THEN 0 ELSE seq + 4096 - p END AS gap FROM l) SELECT ta, count(*) AS captured, CAST(sum(CASE WHEN gap = 0 THEN 1 ELSE gap END) AS BIGINT) AS inferred FROM g GROUP BY ta")
+def _(spark, d):
+    return windows.inferred_packets(view(spark, d, "fx_frames"))
+
+
+@query("win_2_pings")
+def _(spark, d):
+    pings = view(spark, d, "fx_frames").select(F.col("ta").alias("source"), "ts", F.col(F_ID).alias("event_id"), (F.col(F_ID) % 100).alias("seq"))
+    return windows.ping_loss(pings)
+
+
+@query("win_3_sessions", "WITH g AS (SELECT src_mac, http_host, ts, CASE WHEN US(ts) - lag(US(ts)) OVER w <= 86400000000 THEN 0 ELSE 1 END AS n FROM fx_web_requests WINDOW w AS (PARTITION BY src_mac, http_host ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY src_mac, http_host ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT src_mac, http_host, CAST(session AS BIGINT) AS session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS requests FROM s GROUP BY src_mac, http_host, session")
+def _(spark, d):
+    return windows.session_summary(view(spark, d, "fx_web_requests"), ["src_mac", "http_host"], gap_seconds=86_400)
+
+
+@query("win_4_rolling", "WITH r AS (SELECT frame_id, list_sort(list(length) OVER (PARTITION BY ta ORDER BY ts, frame_id ROWS 10 PRECEDING)) AS v FROM fx_frames) SELECT frame_id, v[len(v) // 2 + 1] AS median, v[len(v)] - v[1] AS spread FROM r")
+def _(spark, d):
+    return windows.rolling_median(view(spark, d, "fx_frames"), ["ta"], ["ts", F_ID], "length").select(F_ID, "median", "spread")
+
+
+@query("win_5_duration", "SELECT frame_id, coalesce(CAST(floor((US(ts) - lag(US(ts)) OVER (PARTITION BY sniffer_id ORDER BY ts, frame_id)) / 1000) AS BIGINT), 10000) AS duration_msec FROM fx_frames")
+def _(spark, d):
+    return windows.report_duration(view(spark, d, "fx_frames"), ["sniffer_id"], order=[F_ID]).select(F_ID, F.col("duration_msec").cast("long").alias("duration_msec"))
+
+
+@query("win_6_averages", "SELECT frame_id, avg(length) OVER (PARTITION BY sniffer_id ORDER BY ts, frame_id ROWS 9 PRECEDING) AS avg_10, avg(length) OVER (PARTITION BY sniffer_id ORDER BY ts, frame_id ROWS 59 PRECEDING) AS avg_60 FROM fx_frames")
+def _(spark, d):
+    return windows.moving_averages(view(spark, d, "fx_frames"), ["sniffer_id"], ["ts", F_ID], "length", (10, 60)).select(F_ID, "avg_10", "avg_60")
+
+
+@query("win_7_fidelity")
+def _(spark, d):
+    return windows.fidelity(view(spark, d, "fx_frames").filter("ftype = 0"), bcn_int_us=3_600_000_000, interval_seconds=86_400, threshold=0.01)
+
+
+@query("win_8_dwell", "WITH c AS (SELECT sniffer_id, channel, US(lead(ts) OVER (PARTITION BY sniffer_id ORDER BY ts, frame_id)) - US(ts) AS us FROM fx_frames) SELECT sniffer_id, channel, sum(us) / 1e6 AS dwell_sec FROM c WHERE us IS NOT NULL GROUP BY sniffer_id, channel")
+def _(spark, d):
+    return windows.channel_dwell(view(spark, d, "fx_frames").select("sniffer_id", "channel", "ts", F_ID), order=[F_ID])
+
+
+@query("win_9_shares")
+def _(spark, d):
+    f = view(spark, d, "fx_frames").select("sniffer_id", "channel", "ts", F_ID)
+    dwell = windows.channel_dwell(f, order=[F_ID])
+    counts = f.groupBy("sniffer_id", "channel").agg(F.count("*").alias("n"))
+    rates = dwell.join(counts, ["sniffer_id", "channel"]).select("sniffer_id", "channel", F.when(F.col("dwell_sec") > 0, F.col("n") / F.col("dwell_sec")).otherwise(F.lit(0.0)).alias("rate"))
+    return windows.channel_shares(rates)
+
+
+@query("srt_1_late", "SELECT frame_id FROM fx_frames WHERE length % 10 >= 5")
+def _(spark, d):
+    f = view(spark, d, "fx_frames").withColumn("arrival_ts", F.timestamp_micros(F.unix_micros("ts") + F.expr("cast(length % 10 as long) * 1000000")))
+    return windows.time_order(f, arrival_ts="arrival_ts")[1].select(F_ID)
+
+
+@query("srt_5_log_merge", "SELECT event_id, ts, data FROM fx_loglines ORDER BY ts, event_id LIMIT 50")
+def _(spark, d):
+    logs = view(spark, d, "fx_loglines")
+    both = logs.filter("event_id % 2 = 0").unionByName(logs.filter("event_id % 2 = 1")).withColumn("rank", metrics.level_rank(F.col("level")))
+    return both.filter(F.col("rank") >= 2).orderBy("ts", "event_id").limit(50).select("event_id", "ts", "data")
+
+
+@query("set_1_union", "SELECT sniffer_id, count(*) AS n FROM (SELECT sniffer_id FROM fx_frames UNION ALL SELECT sniffer_id FROM fx_captures) AS u GROUP BY sniffer_id")
+def _(spark, d):
+    return view(spark, d, "fx_frames").select("sniffer_id").unionByName(view(spark, d, "fx_captures").select("sniffer_id")).groupBy("sniffer_id").agg(F.count("*").alias("n"))
+
+
+@query("fn_2_escape", "SELECT DISTINCT text_head AS raw, CASE WHEN regexp_matches(text_head, '[^\\x20-\\x21\\x23-\\x7E]') THEN hex(encode(text_head)) ELSE text_head END AS ssid FROM (SELECT substr(text, 1, 12) AS text_head FROM documents) AS t")
+def _(spark, d):
+    head = table(spark, d, "documents").select(F.substring("text", 1, 12).alias("raw")).distinct()
+    return head.select("raw", scalars.escape_ssid(F.col("raw")).alias("ssid"))
+
+
+@query("fn_4_addresses", "SELECT frame_id, CASE frame_id % 4 WHEN 0 THEN a2 WHEN 1 THEN a2 WHEN 2 THEN a3 ELSE a4 END AS sa, CASE frame_id % 4 WHEN 0 THEN a1 WHEN 1 THEN a3 WHEN 2 THEN a1 ELSE a3 END AS da, CASE frame_id % 4 WHEN 0 THEN a3 WHEN 1 THEN a1 WHEN 2 THEN a2 END AS bssid FROM (SELECT frame_id, concat('a', ta) AS a1, concat('b', bssid) AS a2, concat('c', sniffer_id) AS a3, concat('d', channel) AS a4 FROM fx_frames) AS x")
+def _(spark, d):
+    f = view(spark, d, "fx_frames").select(F_ID, *(F.concat(F.lit(p), F.col(c).cast("string")).alias(n) for p, c, n in (("a", "ta", "a1"), ("b", "bssid", "a2"), ("c", "sniffer_id", "a3"), ("d", "channel", "a4"))))
+    got = scalars.addresses(F.col(F_ID) % 4, *(F.col(f"a{i}") for i in range(1, 5)))
+    return f.select(F_ID, *(got[k].alias(k) for k in ("sa", "da", "bssid")))
+
+
+@query("fn_5_cipher_bits", "SELECT event_id, CAST(1 | CASE WHEN event_id % 2 = 0 THEN 4 ELSE 1 END | 8 AS INT) AS bits FROM events")
+def _(spark, d):
+    codes = F.array(F.lit(1), F.expr("case when event_id % 2 = 0 then 4 else 1 end"), F.lit(8))
+    return table(spark, d, "events").select("event_id", scalars.cipher_bits(codes).alias("bits"))
+
+
+@query("fn_6_cipher_names", "SELECT bssid, CASE WHEN encryption_types = 0 THEN 'none' ELSE coalesce((SELECT string_agg(encryption_desc, ',' ORDER BY encryption_id) FROM lu_encryptions WHERE (encryption_id & encryption_types) > 0), '') END AS names FROM fx_bss_stats")
+def _(spark, d):
+    return view(spark, d, "fx_bss_stats").select("bssid", scalars.cipher_names(F.col("encryption_types")).alias("names"))
+
+
+@query("fn_7_site", "SELECT page_id, array_to_string(list_reverse(string_split(h, '.'))[1:2][2:2] || list_reverse(string_split(h, '.'))[1:1], '.') AS site FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h FROM pages) AS p WHERE h LIKE '%.example.%' OR h LIKE 'example.%'")
+def _(spark, d):
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    return table(spark, d, "pages").withColumn("h", F.lower(host)).filter("h like '%.example.%' or h like 'example.%'").select("page_id", scalars.site_of_host(F.col("h")).alias("site"))
+
+
+@query("fn_8_search", "SELECT page_id, nullif(regexp_extract(url, '[?&](ref=([^&#]{1,}))', 1), '') AS term FROM pages")
+def _(spark, d):
+    fake = F.regexp_replace("url", "([?&])ref=", "$1q=")
+    return table(spark, d, "pages").select("page_id", F.regexp_replace(scalars.search_query(fake, F.lit("www.example.com"), least=1), "^q=", "ref=").alias("term"))
+
+
+@query("fn_11_multicast", "SELECT event_id, user_id % 2 = 1 AS multicast FROM events")
+def _(spark, d):
+    mac = F.concat(F.lpad(F.hex(F.col("user_id") % 256), 2, "0"), F.lit(":00:5e:00:00:01"))
+    return table(spark, d, "events").select("event_id", scalars.is_multicast(mac).alias("multicast"))
+
+
+@query("fn_12_kv", "SELECT event_id, concat('citysense', CAST(event_id % 7 AS VARCHAR)) AS host, CAST((event_id * 31) % 1000 AS VARCHAR) AS recv FROM events")
+def _(spark, d):
+    rows = metrics.with_fields(view(spark, d, "fx_loglines"))
+    return rows.select("event_id", F.try_element_at("fields", F.lit("host")).alias("host"), F.try_element_at("fields", F.lit("kern-recv")).alias("recv"))
+
+
+@query("fn_13_records", "SELECT event_id, trim(unnest(string_split(concat('a=', event_id, ' | b=', user_id), '|'))) AS record FROM events")
+def _(spark, d):
+    text = F.concat(F.lit("a="), "event_id", F.lit(" | b="), "user_id")
+    return table(spark, d, "events").select("event_id", F.explode(scalars.split_records(text)).alias("record"))
+
+
+@query("fn_16_midpoint", "SELECT frame_id, least(ts_us, frame_id) + CAST(floor(abs(ts_us - frame_id) / 2) AS BIGINT) AS mid FROM fx_captures")
+def _(spark, d):
+    return view(spark, d, "fx_captures").select(F_ID, scalars.midpoint(F.col("ts_us"), F.col(F_ID)).alias("mid"))
+
+
+@query("fn_19_geo", "WITH g AS (SELECT event_id, user_id AS bssid, CASE WHEN event_id % 10 = 0 THEN 0.0::DOUBLE ELSE value END AS lat, 0.0::DOUBLE AS lon, CASE event_id % 7 WHEN 0 THEN 'infra' WHEN 1 THEN 'adhoc' WHEN 2 THEN 'probe' ELSE 'other' END AS kind FROM events), p AS (SELECT *, max(CASE WHEN kind = 'infra' THEN 1 ELSE 0 END) OVER (PARTITION BY bssid) AS i FROM g WHERE lat <> 0 OR lon <> 0) SELECT event_id FROM p WHERE CASE WHEN i = 1 THEN kind = 'infra' ELSE kind NOT IN ('adhoc', 'probe') END")
+def _(spark, d):
+    g = table(spark, d, "events").selectExpr("event_id", "user_id as bssid", "case when event_id % 10 = 0 then 0d else value end as lat", "0d as lon", "case event_id % 7 when 0 then 'infra' when 1 then 'adhoc' when 2 then 'probe' else 'other' end as kind")
+    return scalars.geo_candidates(g).select("event_id")
+
+
+@query("str_1_merge")
+def _(spark, d):
+    merged = state.merge_captures(view(spark, d, "fx_captures"))
+    return merged.select(F_ID, "payload_hash", "ts_us", "channel", F.size("members").alias("n"))
+
+
+@query("str_2_skew")
+def _(spark, d):
+    captures = view(spark, d, "fx_captures")
+    skews = state.estimate_skew(state.merge_captures(captures))
+    paths = graph.shortest_hop_sums(skews, 0).select("sniffer_id", "skew_us", "spread_us")
+    return state.merge_captures(state.apply_skew(captures, paths)).select(F_ID, "ts_us", F.size("members").alias("n"))
+
+
+@query("gra_1_paths")
+def _(spark, d):
+    return graph.shortest_hop_sums(state.estimate_skew(state.merge_captures(view(spark, d, "fx_captures"))), 0)
+
+
+@query("str_3_stations", "WITH l AS (SELECT *, lag(seq) OVER (PARTITION BY ta ORDER BY ts, frame_id) AS p FROM fx_frames), g AS (SELECT *, CASE WHEN p IS NULL THEN CASE WHEN seq < 8 THEN seq ELSE 1 END WHEN p <= seq THEN seq - p WHEN p - seq < 3 AND retry THEN 0 ELSE seq + 4096 - p END AS gap, frame_id % 3 AS dir, ftype = 2 AND fsubtype NOT IN (4, 12) AS data, ftype = 0 AND fsubtype = 8 AS bcn FROM l) SELECT US(ts) // 86400000000 * 86400000000 AS start_us, ta, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, CAST(sum(CASE WHEN ftype = 1 THEN 0 WHEN gap = 0 THEN 1 ELSE gap END) AS BIGINT) AS inferred_packets, CAST(coalesce(sum(length) FILTER (WHERE data), 0) AS BIGINT) AS data_bytes, count(*) FILTER (WHERE bcn) AS beacons, CAST(bit_or(CASE WHEN data AND dir = 1 THEN 1 WHEN data AND dir = 2 OR bcn THEN 2 WHEN data AND dir = 0 THEN 4 ELSE 0 END) AS INT) AS flags FROM g GROUP BY 1, ta")
+def _(spark, d):
+    out = state.station_stats(view(spark, d, "fx_frames").withColumn("dir", (F.col(F_ID) % 3).cast("int")), "1 day")
+    return out.select(F.unix_micros("start").alias("start_us"), "ta", "packets", "bytes", "inferred_packets", "data_bytes", "beacons", "flags")
+
+
+@query("str_4_associations")
+def _(spark, d):
+    f = view(spark, d, "fx_frames").filter("ftype = 2").withColumns({"dir": (F.col(F_ID) % 3).cast("int"), "ra": (F.col("ta") + 1000)})
+    return state.associations(f, timeout_us=7 * 86_400_000_000, refresh_us=86_400_000_000, ap_hold_us=3_600_000_000)
+
+
+BEACONS = "SELECT frame_id, ts, bssid, CASE WHEN frame_id % 4 = 0 THEN '' ELSE concat('net', CAST(frame_id % 3 AS VARCHAR(8))) END AS ssid, channel AS adv_channel, CAST(frame_id % 16 AS INT) AS cipher_bits, fsubtype = 8 AS is_beacon, CAST(100 + bssid % 2 * (frame_id % 2) AS INT) AS bcn_int FROM fx_frames WHERE ftype = 0"
+
+
+@query("str_5_networks", f"WITH b AS ({BEACONS}) SELECT bssid, coalesce(max_by(ssid, (ts, frame_id)) FILTER (WHERE ssid <> ''), '') AS ssid, count(DISTINCT ssid) FILTER (WHERE ssid <> '') AS names, CAST(bit_or(1 << (adv_channel - 1)) AS INT) AS channels, bit_or(cipher_bits) AS ciphers, CASE WHEN count(DISTINCT bcn_int) > 1 THEN 0 ELSE max(bcn_int) END AS bcn_int FROM b GROUP BY bssid")
+def _(spark, d):
+    return state.bss_state(run_sql(spark, d, BEACONS))[0].select("bssid", "ssid", "names", "channels", "ciphers", "bcn_int")
+
+
+@query("str_5_events", f"WITH b AS ({BEACONS}), n AS (SELECT *, row_number() OVER w AS k, last_value(nullif(ssid, '') IGNORE NULLS) OVER (PARTITION BY bssid ORDER BY ts, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM b WINDOW w AS (PARTITION BY bssid ORDER BY ts, frame_id)) SELECT * FROM (SELECT bssid, frame_id, CASE WHEN k = 1 THEN 'new' WHEN ssid <> '' AND p IS NULL THEN 'named' WHEN ssid <> '' AND ssid <> p THEN 'renamed' END AS event, ssid FROM n) AS e WHERE event IS NOT NULL")
+def _(spark, d):
+    return state.bss_events(run_sql(spark, d, BEACONS)).select("bssid", F_ID, "event", "ssid")
+
+
+@query("str_6_channels", "WITH c AS (SELECT bssid AS ap, ts, frame_id, channel, lag(channel) OVER (PARTITION BY bssid ORDER BY ts, frame_id) AS p FROM fx_frames WHERE ftype = 0), m AS (SELECT *, row_number() OVER (PARTITION BY ap, CAST(ts AS DATE) ORDER BY ts, frame_id) AS n FROM c WHERE p IS NOT NULL AND p <> channel) SELECT ap, ts, p AS prev_chan, channel AS new_chan FROM m WHERE n <= 3")
+def _(spark, d):
+    f = view(spark, d, "fx_frames").filter("ftype = 0").select(F.col("bssid").alias("ap"), "ts", F_ID, "channel")
+    return windows.channel_changes(f, order=[F_ID], max_per_day=3)
+
+
+@query("str_7_probes", "WITH RECURSIVE p AS (SELECT src_mac, bssid, ssid, US(ts) AS us FROM fx_probe_requests WHERE ssid <> ''), a AS (SELECT src_mac, bssid, ssid, min(us) AS us FROM p GROUP BY ALL UNION ALL SELECT a.src_mac, a.bssid, a.ssid, (SELECT min(p.us) FROM p WHERE p.src_mac = a.src_mac AND p.bssid = a.bssid AND p.ssid = a.ssid AND p.us > a.us + 864000000000) AS us FROM a WHERE a.us IS NOT NULL) SELECT src_mac, bssid, ssid, us FROM a WHERE us IS NOT NULL")
+def _(spark, d):
+    probes = view(spark, d, "fx_probe_requests").filter("ssid <> ''")
+    out = state.suppress_repeats(probes, ["src_mac", "bssid", "ssid"], window_seconds=864_000)
+    return out.select("src_mac", "bssid", "ssid", F.unix_micros("ts").alias("us"))
+
+
+@query("str_8_flows")
+def _(spark, d):
+    f = view(spark, d, "fx_frames").select(F.col("ta").alias("flow"), "ts", F.col(F_ID).alias("event_id"), (F.col(F_ID) % 2 == 1).alias("is_response"), F.expr("case when frame_id % 3 = 0 then concat('h', sniffer_id) end").alias("host"), F.expr("case when frame_id % 5 = 0 then concat('c', channel) end").alias("cookie"), F.expr("case when frame_id % 7 = 0 then concat('t', bssid) end").alias("term"))
+    return state.web_flows(f, idle_seconds=86_400)
+
+
+@query("str_9_alerts", "WITH RECURSIVE p AS (SELECT src_mac, US(ts) AS us FROM fx_alerts), a AS (SELECT src_mac, min(us) AS us FROM p GROUP BY ALL UNION ALL SELECT a.src_mac, (SELECT min(p.us) FROM p WHERE p.src_mac = a.src_mac AND p.us > a.us + 864000000000) AS us FROM a WHERE a.us IS NOT NULL) SELECT src_mac, us FROM a WHERE us IS NOT NULL")
+def _(spark, d):
+    return state.suppress_repeats(view(spark, d, "fx_alerts").select("src_mac", "ts"), ["src_mac"], window_seconds=864_000).select("src_mac", F.unix_micros("ts").alias("us"))
+
+
+SEGMENTS = "SELECT ta AS flow, frame_id * 100 AS start, CAST(length AS BIGINT) AS length FROM fx_frames"
+
+
+@query("str_14_ranges", f"WITH s AS ({SEGMENTS}), h AS (SELECT *, max(start + length) OVER (PARTITION BY flow ORDER BY start, start + length ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM s), i AS (SELECT *, sum(CASE WHEN high IS NULL OR start > high THEN 1 ELSE 0 END) OVER (PARTITION BY flow ORDER BY start, start + length ROWS UNBOUNDED PRECEDING) AS k FROM h), r AS (SELECT flow, min(start) AS lo, max(start + length) AS hi FROM i GROUP BY flow, k) SELECT flow, count(*) AS ranges, CAST(sum(hi - lo) AS BIGINT) AS covered, max(hi) - min(lo) AS span FROM r GROUP BY flow")
+def _(spark, d):
+    return windows.coverage_ranges(run_sql(spark, d, SEGMENTS))[1].select("flow", "ranges", "covered", "span")
+
+
+@query("met_1_pcap", "SELECT event_id, ts, concat('citysense', CAST(event_id % 7 AS VARCHAR)) AS host, (event_id * 31) % 1000 AS kernel_recv, event_id % 3 AS kernel_drop FROM events")
+def _(spark, d):
+    return metrics.typed_table(view(spark, d, "fx_loglines"), metrics.TABLES["pcap_stats"])[0].select("event_id", "ts", "host", "kernel_recv", "kernel_drop")
+
+
+@query("met_3_series", "SELECT concat('citysense', CAST(event_id % 7 AS VARCHAR)) AS host, US(ts) // 3600000000 * 3600000000 AS start_us, sum((event_id * 31) % 1000 * 0.1e0) AS value FROM events GROUP BY 1, 2")
+def _(spark, d):
+    out = metrics.metric_series(view(spark, d, "fx_loglines"), "kern-recv", window=3600)
+    return out.select("host", F.expr("unix_micros(ts) div 3600000000 * 3600000000").alias("start_us"), F.round("value", 6).alias("value"))
+
+
+SQL["met_3_series"] = SQL["met_3_series"].replace("sum((event_id * 31) % 1000 * 0.1e0)", "round(sum((event_id * 31) % 1000 * 0.1e0), 6)")
+
+
+@query("met_6_merge_rate", "SELECT sniffer_id AS host, sum(length) / sum(channel) AS rate FROM fx_frames WHERE channel > 1 GROUP BY sniffer_id")
+def _(spark, d):
+    counts = view(spark, d, "fx_frames").select(F.col("sniffer_id").alias("host"), F.col("length").alias("n_in"), F.expr("case when channel > 1 then channel else 0 end").alias("n_out"))
+    return metrics.merge_rate(counts)
+
+
+@query("udf_2_ewma")
+def _(spark, d):
+    values = F.transform(F.sort_array(F.collect_list(F.struct("ts", F_ID, "length"))), lambda x: x["length"])
+    return view(spark, d, "fx_frames").groupBy("ta", F.to_date("ts").alias("day")).agg(values.alias("v")).select("ta", "day", windows.ewma(F.col("v")).alias("ewma"))
+
+
