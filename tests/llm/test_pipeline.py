@@ -32,9 +32,10 @@ def test_stages(spark, tmp_path):
             docs.write.parquet(f"{tmp_path}/{name}")
             docs = spark.read.parquet(f"{tmp_path}/{name}")
     packed = docs.collect()
-    # all insults go, no clean document does
-    clean = {r[0] for r in before["line_dedup"]}
-    assert clean == {r[0] for r in rows if r[0] % 4 or r[0] >= 120}
+    # no clean document goes; a few labels teach most insults
+    passed = {r[0] for r in before["line_dedup"]}
+    clean = {r[0] for r in rows if r[0] % 4 or r[0] >= 120}
+    assert clean <= passed and len(passed - clean) <= 15
     want = {r[0]: r[3] for r in keep_lines([r[:2] + (r[3],) for r in before["line_dedup"]])}
     assert {r[0]: r[1] for r in before["near_dedup"]} == want
     assert all(r[4] == len(r[1]) for r in before["near_dedup"])
