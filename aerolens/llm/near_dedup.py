@@ -155,11 +155,11 @@ def _matrix(signatures: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), dtype="<u2").reshape(len(signatures), -1)
 
 
-def candidate_groups(classes: DataFrame, *, trees: int, width: int, small: int, close: float, done: float, far: float) -> DataFrame:
+def candidate_groups(classes: DataFrame, *, trees: int, width: int, small: int, close: float, done: float, far: float, pivots: int = 4) -> DataFrame:
     """Pairs (a, b) of classes that tie each candidate group together; linear in the nodes.
 
     close: estimate from which two classes of a small node are tied. In a larger
-    node a class is tied to the pivot from `far` on and leaves from `done` on:
+    node a class is tied to a pivot from `far` on and leaves from `done` on:
     whatever is linked to it then resembles the pivot enough to be tied too.
     """
     n = classes.count()
@@ -174,7 +174,42 @@ def candidate_groups(classes: DataFrame, *, trees: int, width: int, small: int,
                 nodes = branch(nodes, sig, width)
             yield pd.DataFrame({"node": nodes.ravel().view(np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(), nodes.shape[1])})
 
-    rows = classes.select("doc_id", "sig").mapInPandas(plant, "node long, doc_id long")
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for ids, sigs in zip(batch["ids"], batch["sigs"], strict=True):
+                sig, forest = _matrix(sigs), _Forest(len(ids))
+                for i in range(len(ids) - 1):
+                    for j in (np.flatnonzero((sig[i + 1 :] == sig[i]).mean(axis=1) >= close) + i + 1).tolist():
+                        forest.join(i, j)
+                out += forest.edges([int(x) for x in ids])
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            sig, ids = _matrix(batch["sig"]), batch["doc_id"].to_numpy()
+            ps = [(batch[f"p{k}"].to_numpy(), _matrix(batch[f"s{k}"])) for k in range(pivots)]
+            near = np.stack([(sig == s).mean(axis=1) for _, s in ps])
+            best = near.argmax(axis=0)
+            out = []
+            for k, (p, s) in enumerate(ps):
+                # the best pivot, and others that are not tied to it themselves
+                same = np.zeros(len(ids), dtype=bool)
+                for j, (_, t) in enumerate(ps):
+                    same |= (best == j) & (j != k) & ((s == t).mean(axis=1) >= far)
+                # a pivot's own row ties it to the other pivots
+                own = np.any([ids == q for q, _ in ps], axis=0)
+                tied = (near[k] >= far) & (ids != p) & ((best == k) | ~same | own)
+                out.append(pd.DataFrame({"edge": True, "x": p[tied], "doc_id": ids[tied]}))
+            on = near.max(axis=0) < done
+            children = branch(batch["node"].to_numpy()[on].view(np.uint64)[:, None], sig[on], width)
+            out.append(pd.DataFrame({"edge": False, "x": children.ravel().view(np.int64), "doc_id": np.repeat(ids[on], width)}))
+            yield pd.concat(out)
+
+    signed = classes.select("doc_id", "sig")
+    rows = signed.mapInPandas(plant, "node long, doc_id long")
     edges: DataFrame | None = None
     while True:
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
@@ -182,41 +217,17 @@ def candidate_groups(classes: DataFrame, *, trees: int, width: int, small: int,
         # equal nodes of several trees are compared once
         nodes = live.filter(F.col("n") <= small).groupBy("node").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
         members = nodes.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("doc_id"))
-        compared = members.join(classes.select("doc_id", "sig"), "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("m")).select(F.col("m.doc_id").alias("ids"), F.col("m.sig").alias("sigs"))
-
-        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = []
-                for ids, sigs in zip(batch["ids"], batch["sigs"], strict=True):
-                    sig, forest = _matrix(sigs), _Forest(len(ids))
-                    for i in range(len(ids) - 1):
-                        for j in (np.flatnonzero((sig[i + 1 :] == sig[i]).mean(axis=1) >= close) + i + 1).tolist():
-                            forest.join(i, j)
-                    out += forest.edges([int(x) for x in ids])
-                yield pd.DataFrame(out, columns=["a", "b"])
-
-        found = compared.mapInPandas(compare, "a long, b long")
+        compared = members.join(signed, "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("m")).select(F.col("m.doc_id").alias("ids"), F.col("m.sig").alias("sigs"))
+        found = staged(compared.mapInPandas(compare, "a long, b long").distinct(), "ties")
         edges = found if edges is None else edges.unionByName(found)
         large = live.filter(F.col("n") > small).select("node", "doc_id")
         if large.isEmpty():
             return edges
-        signed = large.join(classes.select("doc_id", "sig"), "doc_id")
-        pivots = signed.groupBy("node").agg(F.min_by(F.struct("doc_id", "sig"), F.xxhash64("node", "doc_id")).alias("p")).select("node", F.col("p.doc_id").alias("pivot"), F.col("p.sig").alias("pivot_sig"))
-
-        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if not len(batch):
-                    continue
-                sig = _matrix(batch["sig"])
-                near = (sig == _matrix(batch["pivot_sig"])).mean(axis=1)
-                ids, pivots_ = batch["doc_id"].to_numpy(), batch["pivot"].to_numpy()
-                tied = (near >= far) & (ids != pivots_)
-                yield pd.DataFrame({"edge": True, "x": pivots_[tied], "doc_id": ids[tied]})
-                on = near < done
-                children = branch(batch["node"].to_numpy()[on].view(np.uint64)[:, None], sig[on], width)
-                yield pd.DataFrame({"edge": False, "x": children.ravel().view(np.int64), "doc_id": np.repeat(ids[on], width)})
-
-        parts = staged(signed.join(pivots, "node").select("node", "doc_id", "sig", "pivot", "pivot_sig").mapInPandas(split, "edge boolean, x long, doc_id long"), "branches")
+        with_sig = large.join(signed, "doc_id")
+        # the same few classes become pivots of many nodes, so their ties repeat
+        chosen = with_sig.groupBy("node").agg(*(F.min_by(F.struct("doc_id", "sig"), F.xxhash64("doc_id", F.lit(k))).alias(f"m{k}") for k in range(pivots)))
+        chosen = chosen.select("node", *(c for k in range(pivots) for c in (F.col(f"m{k}.doc_id").alias(f"p{k}"), F.col(f"m{k}.sig").alias(f"s{k}"))))
+        parts = staged(with_sig.join(chosen, "node").mapInPandas(split, "edge boolean, x long, doc_id long").distinct(), "branches")
         edges = edges.unionByName(parts.filter("edge").select(F.col("x").alias("a"), F.col("doc_id").alias("b")))
         rows = parts.filter("not edge").select(F.col("x").alias("node"), "doc_id")
 
@@ -318,9 +329,9 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees
     apart = 1 - percent / 100
     done = 1 - 1.5 * apart
     pairs = candidate_groups(large, trees=trees, width=width, small=small, close=1 - apart - margin, done=done, far=max(0.1, done - apart - 0.15))
-    groups = connected_components(pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("group"))
+    groups = staged(connected_components(pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "candidates")
     members = groups.join(classes.select("doc_id", "row_hash"), "doc_id")
-    links = exact_links(docs, members, words=words, percent=percent)
+    links = staged(exact_links(docs, members, words=words, percent=percent), "exact")
     components = connected_components(links)
     labels = classes.select("c1", "c2", "doc_id").join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("c1", "c2", F.coalesce("component", "doc_id").alias("component_id"))
     known = sets.select("doc_id", "row_hash", "n_shingles", "c1", "c2").join(labels, ["c1", "c2"]).select("doc_id", "row_hash", "n_shingles", "component_id")
