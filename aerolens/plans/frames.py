@@ -551,3 +551,104 @@ def _(spark, d):
     return view(spark, d, "fx_frames").groupBy("ta", F.to_date("ts").alias("day")).agg(values.alias("v")).select("ta", "day", windows.ewma(F.col("v")).alias("ewma"))
 
 
+
+
+@query("agg_17_usage")
+def _(spark, d):
+    traffic = run_sql(spark, d, PAIRS).select("src", "dst", "bytes", F.element_at(F.array(F.lit("overlay"), F.lit("merged"), F.lit("raw")), (F.col("src") % 3 + 1).cast("int")).alias("class"), F.timestamp_seconds(F.col("dst")).alias("ts"))
+    return aggregates.usage_by_class(traffic, graph.walk_routes(traffic.select("src", "dst").distinct(), _routes(spark, d), 4)[0])
+
+
+@query("agg_20_query_status", "SELECT sniffer_id AS host, channel AS query_id, max_by(length, (ts, frame_id)) AS last_length, CAST(sum(length) AS BIGINT) AS bytes, US(max(ts)) AS last_us FROM fx_frames GROUP BY sniffer_id, channel")
+def _(spark, d):
+    m = view(spark, d, "fx_frames").select(F.col("sniffer_id").alias("host"), F.col("channel").alias("query_id"), "ts", F_ID, "length")
+    out = m.groupBy("host", "query_id").agg(F.max_by("length", F.struct("ts", F_ID)).alias("last_length"), F.sum("length").cast("long").alias("bytes"), F.max("ts").alias("last_seen"))
+    return out.select("host", "query_id", "last_length", "bytes", F.unix_micros("last_seen").alias("last_us"))
+
+
+@query("fn_1_frame_hash", "SELECT min(doc_id) AS first_doc, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1")
+def _(spark, d):
+    docs = table(spark, d, "documents").filter("text is not null").withColumn("raw", F.encode("text", "UTF-8"))
+    # equal hashes are compared by bytes as well
+    return docs.groupBy(scalars.frame_hash(F.col("raw")).alias("h"), "raw").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).filter("copies > 1").select("first_doc", "copies")
+
+
+@query("fn_3_hidden", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN '' ELSE 'net' END AS ssid FROM events")
+def _(spark, d):
+    name = F.when(F.col("event_id") % 3 == 0, F.lit("\x00\x00")).when(F.col("event_id") % 3 == 1, F.lit("")).otherwise(F.lit("net"))
+    return table(spark, d, "events").select("event_id", scalars.visible_ssid(name).alias("ssid"))
+
+
+@query("fn_9_cookies", "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN concat('site', event_id % 9, '.com') END AS domain FROM events")
+def _(spark, d):
+    site = F.concat(F.lit("site"), F.col("event_id") % 9, F.lit(".com"))
+    head = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("HTTP/1.1 200 OK\r\nSet-Cookie: a=1; Domain=."), site, F.lit("; path=/\r\n"))).otherwise(F.lit("HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\n"))
+    return table(spark, d, "events").select("event_id", scalars.cookie_domain(head).alias("domain"))
+
+
+@query("fn_10_ranges", "SELECT event_id, CAST(event_id % 1000 AS INT) AS low, CAST(event_id % 1000 + event_id % 3 AS INT) AS high FROM events")
+def _(spark, d):
+    low = F.col("event_id") % 1000
+    text = F.when(F.col("event_id") % 3 == 0, low.cast("string")).otherwise(F.concat_ws("-", low, low + F.col("event_id") % 3))
+    return table(spark, d, "events").select("event_id", scalars.port_range(text).alias("r")).select("event_id", "r.low", "r.high")
+
+
+@query("fn_15_epoch", "SELECT event_id, US(ts) // 1000000 AS s FROM events")
+def _(spark, d):
+    whole = F.timestamp_seconds(F.floor(F.unix_micros("ts") / 1_000_000).cast("long"))
+    return table(spark, d, "events").select("event_id", F.unix_seconds(whole).alias("s"))
+
+
+@query("fn_17_alerts", "SELECT event_id, CAST(event_id % 50 AS INT) AS ip_count, CASE WHEN event_id % 2 = 0 THEN '1:99' END AS port_range, -1 AS port_count FROM events")
+def _(spark, d):
+    text = F.concat(F.lit("Priority Count: 5\nIP Count: "), F.col("event_id") % 50, F.when(F.col("event_id") % 2 == 0, F.lit("\nPort/Proto Range: 1:99")).otherwise(F.lit("")))
+    got = scalars.alert_fields(text)
+    return table(spark, d, "events").select("event_id", *(got[k].alias(k) for k in ("ip_count", "port_range", "port_count")))
+
+
+@query("fn_18_bytes")
+def _(spark, d):
+    return view(spark, d, "fx_station_stats").groupBy("mac").agg(scalars.human_bytes(F.sum("bytes")).alias("bytes"))
+
+
+@query("fn_20_links", "SELECT least(ta, bssid) AS a, greatest(ta, bssid) AS b, count(*) AS frames FROM fx_frames GROUP BY 1, 2")
+def _(spark, d):
+    return view(spark, d, "fx_frames").groupBy(scalars.link(F.col("ta"), F.col("bssid")).alias("l")).agg(F.count("*").alias("frames")).select("l.a", "l.b", "frames")
+
+
+LINES = "SELECT event_id, concat('Jan ', CASE WHEN event_id % 5 = 0 THEN 'x' ELSE '05' END, ' 10:00:00.250 pcap INFO STATS n=', CAST(event_id AS VARCHAR(12))) AS value FROM events"
+
+
+@query("src_5_log", "SELECT event_id, 1704448800250000 AS us, concat('STATS n=', event_id) AS data FROM events WHERE event_id % 5 <> 0")
+def _(spark, d):
+    entries, _ = metrics.parse_log(run_sql(spark, d, LINES), F.lit("2024-02-01").cast("timestamp"))
+    return entries.select("event_id", F.unix_micros("ts").alias("us"), "data")
+
+
+@query("src_5_rejects", "SELECT count(*) AS n FROM events WHERE event_id % 5 = 0")
+def _(spark, d):
+    return metrics.parse_log(run_sql(spark, d, LINES), F.lit("2024-02-01").cast("timestamp"))[1].agg(F.count("*").alias("n"))
+
+
+@query("met_2_metrics", "SELECT metric, count(*) AS entries, round(sum(v), 6) AS total FROM (SELECT 'kern-drops' AS metric, event_id % 3 * 0.1e0 AS v FROM events UNION ALL SELECT 'kern-recv', (event_id * 31) % 1000 * 0.1e0 FROM events) AS m GROUP BY metric")
+def _(spark, d):
+    rows = metrics.with_fields(view(spark, d, "fx_loglines"))
+    out = None
+    for name in ("kern-drops", "kern-recv"):
+        m = metrics.METRICS[name]
+        one = rows.filter((F.col("source") == m.source) & (F.col("head") == m.head)).select(F.lit(name).alias("metric"), (F.try_element_at("fields", F.lit(m.field)).cast("double") / metrics.REPORT_SECONDS).alias("v"))
+        out = one if out is None else out.unionByName(one)
+    return out.groupBy("metric").agg(F.count("*").alias("entries"), F.round(F.sum("v"), 6).alias("total"))
+
+
+@query("met_5_routes", "SELECT event, count(*) AS n FROM (SELECT CASE WHEN event_id % 4 = 0 THEN 'change' ELSE 'addition' END AS event FROM events) AS e GROUP BY event")
+def _(spark, d):
+    text = F.concat(F.lit("route bssid=b"), F.col("event_id") % 20, F.lit(" owner=n"), F.col("event_id") % 7, F.when(F.col("event_id") % 4 == 0, F.lit(" was=n0")).otherwise(F.lit("")))
+    entries = table(spark, d, "events").select("ts", F.lit("wifi_ol_server").alias("source"), text.alias("data"))
+    return metrics.route_events(entries).groupBy("event").agg(F.count("*").alias("n"))
+
+
+@query("str_15_state_counts", "SELECT US(ts) // 86400000000 * 86400000000 AS start_us, count(*) FILTER (WHERE NOT i AND NOT a) AS clients, count(*) FILTER (WHERE NOT i AND a) AS aps, count(*) FILTER (WHERE i) AS ibss, count(*) AS stations, count(DISTINCT bssid) AS bss FROM (SELECT ts, bssid, station_mac % 5 = 0 AS i, station_mac % 3 = 0 AS a FROM fx_associations) AS x GROUP BY 1")
+def _(spark, d):
+    s = view(spark, d, "fx_associations").withColumns({"is_ibss": F.col("station_mac") % 5 == 0, "is_ap": F.col("station_mac") % 3 == 0, "start_us": F.expr("unix_micros(ts) div 86400000000 * 86400000000")})
+    return aggregates.association_counts(s, ["start_us"])
