@@ -38,14 +38,14 @@ def hash_plan(n: int, cosine: float, recall: float, width: float) -> tuple[int,
 
 
 def bucket_keys(x: np.ndarray, projections: int, tables: int, width: float, seed: int) -> np.ndarray:
-    """rows x tables: 64-bit bucket names of vectors of length one."""
+    """rows x tables: 32-bit bucket names of vectors of length one; chance equals only cost a comparison."""
     rng = np.random.default_rng([seed, x.shape[1]])
     a, b = rng.normal(size=(x.shape[1], tables * projections)), rng.uniform(0, width, tables * projections)
     cells = np.floor((x @ a + b) / width).astype(np.int64).reshape(len(x), tables, projections)
     mix = rng.integers(1, 1 << 62, (tables, projections), dtype=np.int64) * 2 + 1
     with np.errstate(over="ignore"):
         keys = (cells * mix[None]).sum(axis=2)
-        return keys ^ (keys >> 31)
+        return ((keys ^ (keys >> 29)) >> 17).astype(np.int32)
 
 
 def vector_near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, recall: float = 0.9999, width: float = 1.0, block: int = 256, seed: int = 11) -> DataFrame:
@@ -60,7 +60,9 @@ def vector_near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_co
     rows = usable(vectors, id_col, vec_col)
     # equal vectors are one class from here on, however many there are
     classes = rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("size"))
-    classes = staged(classes.select("id", "size", "vec", F.xxhash64("vec").alias("cls"), F.size("vec").alias("dim")), "vectors")
+    classes = staged(classes.select("id", "size", "vec", F.size("vec").alias("dim")), "vectors")
+    # vectors travel in the type that they came in
+    kind = vectors.schema[vec_col].dataType.simpleString()
     projections, tables = hash_plan(classes.count(), cosine, recall, width)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,7 +72,7 @@ def vector_near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_co
                 x /= np.sqrt((x * x).sum(axis=1))[:, None]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "size": part["size"].to_numpy(), "dim": part["dim"].to_numpy(), "vec": list(part["vec"]), "keys": list(bucket_keys(x, projections, tables, width, seed))})
 
-    hashed = staged(classes.select("id", "size", "dim", "vec").mapInPandas(keys, "id long, size long, dim int, vec array<double>, keys array<long>"), "hashed")
+    hashed = staged(classes.select("id", "size", "dim", F.col("vec").cast(kind).alias("vec")).mapInPandas(keys, f"id long, size long, dim int, vec {kind}, keys array<int>"), "hashed")
     dealt = hashed.select("id", "dim", F.posexplode("keys").alias("t", "key"))
     counts = dealt.groupBy("t", "dim", "key").agg(F.count("*").alias("n")).filter("n > 1")
     live = dealt.join(counts, ["t", "dim", "key"])
