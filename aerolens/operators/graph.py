@@ -11,8 +11,10 @@ def shortest_hop_sums(edges: DataFrame, base: int, max_hops: int = 6) -> DataFra
 
     Of equal hops the path through the lowest ids wins. Level k holds for each
     sniffer the best walk of k hops; the first level that has it is its distance.
-    Edges are one row a pair of sniffers.
+    Edges are one row a pair of sniffers, kept in memory as every level reads
+    them; what is lost with an executor is computed again.
     """
+    edges = edges.persist()
     one = edges.sparkSession.range(1)
     level = one.select(F.lit(base).alias("sniffer_id"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("skew_us"), F.lit(0).cast("long").alias("spread_us"), F.lpad(F.lit(str(base)), 8, "0").alias("via"))
     hops = edges.select(F.col("src").cast("int").alias("sniffer_id"), F.col("dst").cast("int").alias("next"), F.col("skew_us").cast("long").alias("e_skew"), F.col("spread_us").cast("long").alias("e_spread"))
