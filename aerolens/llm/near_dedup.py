@@ -155,7 +155,7 @@ def _matrix(signatures: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), dtype="<u2").reshape(len(signatures), -1)
 
 
-def candidate_groups(classes: DataFrame, *, trees: int, width: int, small: int, close: float, done: float, far: float, pivots: int = 4) -> DataFrame:
+def candidate_groups(classes: DataFrame, *, trees: int, width: int, small: int, close: float, done: float, far: float, pivots: int = 6) -> DataFrame:
     """Pairs (a, b) of classes that tie each candidate group together; linear in the nodes.
 
     close: estimate from which two classes of a small node are tied. In a larger
@@ -309,7 +309,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, *, words: int, percent: int,
     return edges.unionByName(_compare_groups(dealt, percent, ["group", "i", "j", "with_core"]))
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 4, width: int = 2, signature_size: int = 128, small: int = 64) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees: int = 4, width: int = 2, signature_size: int = 128, small: int = 128) -> DataFrame:
     """doc_id, row_hash, n_shingles, component_id, kept for every row.
 
     row_hash is xxhash64 of the text. Two documents are linked when 100 * shared >= percent * union of their
@@ -327,8 +327,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees
     least = math.ceil(percent / (100 - percent))
     large = classes.filter(F.col("n_shingles") >= least)
     apart = 1 - percent / 100
-    done = 1 - 1.5 * apart
-    pairs = candidate_groups(large, trees=trees, width=width, small=small, close=1 - apart - margin, done=done, far=max(0.1, done - apart - 0.15))
+    done = 1 - 2 * apart
+    pairs = candidate_groups(large, trees=trees, width=width, small=small, close=1 - apart - margin, done=done, far=max(0.1, done - apart - 0.1))
     groups = staged(connected_components(pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "candidates")
     members = groups.join(classes.select("doc_id", "row_hash"), "doc_id")
     links = staged(exact_links(docs, members, words=words, percent=percent), "exact")
