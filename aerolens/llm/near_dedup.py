@@ -172,7 +172,7 @@ def candidate_groups(classes: DataFrame, *, trees: int, width: int, small: int,
             nodes = np.repeat(_mix(np.arange(1, trees + 1, dtype=np.uint64))[None, :], len(sig), axis=0)
             for _ in range(depth):
                 nodes = branch(nodes, sig, width)
-            yield pd.DataFrame({"node": nodes.ravel().view(np.int64), "doc_id": np.repeat(batch["doc_id"].to_numpy(), nodes.shape[1])})
+            yield pd.DataFrame({"node": nodes.ravel().view(np.int64), "id": np.repeat(batch["id"].to_numpy(), nodes.shape[1])})
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -189,7 +189,7 @@ def candidate_groups(classes: DataFrame, *, trees: int, width: int, small: int,
         for batch in batches:
             if not len(batch):
                 continue
-            sig, ids = _matrix(batch["sig"]), batch["doc_id"].to_numpy()
+            sig, ids = _matrix(batch["sig"]), batch["id"].to_numpy()
             ps = [(batch[f"p{k}"].to_numpy(), _matrix(batch[f"s{k}"])) for k in range(pivots)]
             near = np.stack([(sig == s).mean(axis=1) for _, s in ps])
             best = near.argmax(axis=0)
@@ -202,42 +202,42 @@ def candidate_groups(classes: DataFrame, *, trees: int, width: int, small: int,
                 # a pivot's own row ties it to the other pivots
                 own = np.any([ids == q for q, _ in ps], axis=0)
                 tied = (near[k] >= far) & (ids != p) & ((best == k) | ~same | own)
-                out.append(pd.DataFrame({"edge": True, "x": p[tied], "doc_id": ids[tied]}))
+                out.append(pd.DataFrame({"edge": True, "x": p[tied], "id": ids[tied]}))
             on = near.max(axis=0) < done
             children = branch(batch["node"].to_numpy()[on].view(np.uint64)[:, None], sig[on], width)
-            out.append(pd.DataFrame({"edge": False, "x": children.ravel().view(np.int64), "doc_id": np.repeat(ids[on], width)}))
+            out.append(pd.DataFrame({"edge": False, "x": children.ravel().view(np.int64), "id": np.repeat(ids[on], width)}))
             yield pd.concat(out)
 
-    signed = classes.select("doc_id", "sig")
-    rows = signed.mapInPandas(plant, "node long, doc_id long")
+    signed = classes.select("id", "sig")
+    rows = signed.mapInPandas(plant, "node long, id long")
     edges: DataFrame | None = None
     while True:
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         live = staged(rows.join(counts, "node"), "nodes")
         # equal nodes of several trees are compared once
-        nodes = live.filter(F.col("n") <= small).groupBy("node").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
-        members = nodes.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("doc_id"))
-        compared = members.join(signed, "doc_id").groupBy("node").agg(F.collect_list(F.struct("doc_id", "sig")).alias("m")).select(F.col("m.doc_id").alias("ids"), F.col("m.sig").alias("sigs"))
+        nodes = live.filter(F.col("n") <= small).groupBy("node").agg(F.sort_array(F.collect_set("id")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
+        members = nodes.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("id"))
+        compared = members.join(signed, "id").groupBy("node").agg(F.collect_list(F.struct("id", "sig")).alias("m")).select(F.col("m.id").alias("ids"), F.col("m.sig").alias("sigs"))
         found = staged(compared.mapInPandas(compare, "a long, b long").distinct(), "ties")
         edges = found if edges is None else edges.unionByName(found)
-        large = live.filter(F.col("n") > small).select("node", "doc_id")
+        large = live.filter(F.col("n") > small).select("node", "id")
         if large.isEmpty():
             return edges
-        with_sig = large.join(signed, "doc_id")
+        with_sig = large.join(signed, "id")
         # the same few classes become pivots of many nodes, so their ties repeat
-        chosen = with_sig.groupBy("node").agg(*(F.min_by(F.struct("doc_id", "sig"), F.xxhash64("doc_id", F.lit(k))).alias(f"m{k}") for k in range(pivots)))
-        chosen = chosen.select("node", *(c for k in range(pivots) for c in (F.col(f"m{k}.doc_id").alias(f"p{k}"), F.col(f"m{k}.sig").alias(f"s{k}"))))
-        parts = staged(with_sig.join(chosen, "node").mapInPandas(split, "edge boolean, x long, doc_id long").distinct(), "branches")
-        edges = edges.unionByName(parts.filter("edge").select(F.col("x").alias("a"), F.col("doc_id").alias("b")))
-        rows = parts.filter("not edge").select(F.col("x").alias("node"), "doc_id")
+        chosen = with_sig.groupBy("node").agg(*(F.min_by(F.struct("id", "sig"), F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(pivots)))
+        chosen = chosen.select("node", *(c for k in range(pivots) for c in (F.col(f"m{k}.id").alias(f"p{k}"), F.col(f"m{k}.sig").alias(f"s{k}"))))
+        parts = staged(with_sig.join(chosen, "node").mapInPandas(split, "edge boolean, x long, id long").distinct(), "branches")
+        edges = edges.unionByName(parts.filter("edge").select(F.col("x").alias("a"), F.col("id").alias("b")))
+        rows = parts.filter("not edge").select(F.col("x").alias("node"), "id")
 
 
 def _compare_groups(groups: DataFrame, percent: int, by: list[str]) -> DataFrame:
-    """Edges (a, b) that span the links inside each group of rows (doc_id, left, set).
+    """Edges (a, b) that span the links inside each group of rows (id, left, set).
 
     Rows marked left are compared with all rows of the group.
     """
-    packed = groups.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct((~F.col("left")).alias("right"), "doc_id", "set"))).alias("m"))
+    packed = groups.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct((~F.col("left")).alias("right"), "id", "set"))).alias("m"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -252,11 +252,11 @@ def _compare_groups(groups: DataFrame, percent: int, by: list[str]) -> DataFrame
                         forest.join(i, j)
                 yield pd.DataFrame(forest.edges([int(x) for x in ids]), columns=["a", "b"])
 
-    return packed.select(F.col("m.doc_id").alias("ids"), F.col("m.right").alias("right"), F.col("m.set").alias("sets")).mapInPandas(run, "a long, b long")
+    return packed.select(F.col("m.id").alias("ids"), F.col("m.right").alias("right"), F.col("m.set").alias("sets")).mapInPandas(run, "a long, b long")
 
 
 def exact_links(docs: DataFrame, groups: DataFrame, *, words: int, percent: int, block: int = 128, pivots: int = 4) -> DataFrame:
-    """Edges (a, b) that span the exact links inside each group (doc_id, row_hash, group)."""
+    """Edges (a, b) that span the exact links inside each group of classes (id, doc_id, row_hash, group)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -264,10 +264,10 @@ def exact_links(docs: DataFrame, groups: DataFrame, *, words: int, percent: int,
             yield batch
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
-    picked = groups.join(texts, ["doc_id", "row_hash"]).select("group", "doc_id", "text").dropDuplicates(["doc_id"])
-    sets = staged(picked.mapInPandas(read, "group long, doc_id long, set binary"), "sets")
-    sizes = staged(sets.groupBy("group").agg(F.count("*").alias("n"), F.min_by("doc_id", F.xxhash64("doc_id", F.lit(1))).alias("p0"), *(F.min_by("doc_id", F.xxhash64("doc_id", F.lit(k + 1))).alias(f"p{k}") for k in range(1, pivots))).filter("n > 1"), "groups")
-    small = sets.join(sizes.filter(F.col("n") <= block).select("group"), "group").select("group", "doc_id", F.lit(True).alias("left"), "set")
+    picked = groups.join(texts, ["doc_id", "row_hash"]).select("group", "id", "text").dropDuplicates(["id"])
+    sets = staged(picked.mapInPandas(read, "group long, id long, set binary"), "sets")
+    sizes = staged(sets.groupBy("group").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(1))).alias("p0"), *(F.min_by("id", F.xxhash64("id", F.lit(k + 1))).alias(f"p{k}") for k in range(1, pivots))).filter("n > 1"), "groups")
+    small = sets.join(sizes.filter(F.col("n") <= block).select("group"), "group").select("group", "id", F.lit(True).alias("left"), "set")
     edges = _compare_groups(small, percent, ["group"])
     large = sizes.filter(F.col("n") > block)
     if large.isEmpty():
@@ -275,7 +275,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, *, words: int, percent: int,
 
     # large groups: everything against a few pivots; what links to the best of them is one component
     chosen = large.select("group", F.explode(F.array_distinct(F.array(*(f"p{k}" for k in range(pivots))))).alias("pivot"))
-    pivot_sets = chosen.join(sets.select(F.col("doc_id").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
+    pivot_sets = chosen.join(sets.select(F.col("id").alias("pivot"), F.col("set").alias("pivot_set")), "pivot")
 
     def against(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -284,17 +284,17 @@ def exact_links(docs: DataFrame, groups: DataFrame, *, words: int, percent: int,
                 x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.loc[np.array(keep, dtype=bool), ["group", "doc_id", "pivot"]]
+            yield batch.loc[np.array(keep, dtype=bool), ["group", "id", "pivot"]]
 
     members = sets.join(large.select("group", "n"), "group")
-    linked = staged(members.join(pivot_sets, "group").select("group", "doc_id", "set", "pivot", "pivot_set").mapInPandas(against, "group long, doc_id long, pivot long"), "pivots")
-    edges = edges.unionByName(linked.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")))
+    linked = staged(members.join(pivot_sets, "group").select("group", "id", "set", "pivot", "pivot_set").mapInPandas(against, "group long, id long, pivot long"), "pivots")
+    edges = edges.unionByName(linked.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     counts = linked.groupBy("group", "pivot").agg(F.count("*").alias("k"))
     best = counts.groupBy("group").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("pivot"))
-    core = linked.join(best, ["group", "pivot"]).select("doc_id", F.lit(True).alias("core"))
+    core = linked.join(best, ["group", "pivot"]).select("id", F.lit(True).alias("core"))
     # blocks: the rest against the rest and against the core
-    blocks = members.join(core, "doc_id", "left").select("group", "doc_id", "set", F.coalesce("core", F.lit(False)).alias("core"), F.col("n"))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(99)), F.ceil(F.col("n") / block)).cast("int"))
+    blocks = members.join(core, "id", "left").select("group", "id", "set", F.coalesce("core", F.lit(False)).alias("core"), F.col("n"))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id", F.lit(99)), F.ceil(F.col("n") / block)).cast("int"))
     n_blocks = F.ceil(F.col("n") / block).cast("int")
     cells = F.when(
         F.col("core"),
@@ -305,7 +305,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, *, words: int, percent: int,
             F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.lit(False).alias("with_core"), (F.col("block") <= j).alias("left"))),
         )
     )
-    dealt = blocks.select("group", "doc_id", "set", F.explode(cells).alias("c")).select("group", "doc_id", "set", "c.*")
+    dealt = blocks.select("group", "id", "set", F.explode(cells).alias("c")).select("group", "id", "set", "c.*")
     return edges.unionByName(_compare_groups(dealt, percent, ["group", "i", "j", "with_core"]))
 
 
@@ -323,17 +323,24 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees
     rows = staged(shingle_sets(docs, words, signature_size), "signatures")
     sets = rows.filter("doc_id is not null and n_shingles > 0")
     classes = staged(sets.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row_hash", "n_shingles", "sig")).alias("m")).select("c1", "c2", "m.*"), "classes")
+    # a doc_id with several texts has several classes, so classes have ids of their own
+    seed = 0
+    while not (named := classes.withColumn("id", F.xxhash64("c1", "c2", F.lit(seed)))).groupBy("id").count().filter("count > 1").isEmpty():
+        seed += 1
+    classes = named
     # fewer shingles than this cannot be similar without being equal
     least = math.ceil(percent / (100 - percent))
     large = classes.filter(F.col("n_shingles") >= least)
     apart = 1 - percent / 100
     done = 1 - 2 * apart
     pairs = candidate_groups(large, trees=trees, width=width, small=small, close=1 - apart - margin, done=done, far=max(0.1, done - apart - 0.1))
-    groups = staged(connected_components(pairs).select(F.col("id").alias("doc_id"), F.col("component").alias("group")), "candidates")
-    members = groups.join(classes.select("doc_id", "row_hash"), "doc_id")
+    groups = staged(connected_components(pairs).select("id", F.col("component").alias("group")), "candidates")
+    members = groups.join(classes.select("id", "doc_id", "row_hash"), "id")
     links = staged(exact_links(docs, members, words=words, percent=percent), "exact")
-    components = connected_components(links)
-    labels = classes.select("c1", "c2", "doc_id").join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("c1", "c2", F.coalesce("component", "doc_id").alias("component_id"))
+    components = connected_components(links).join(classes.select("id", "doc_id"), "id")
+    smallest = components.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    linked = components.join(smallest, "component").select("id", "component_id")
+    labels = classes.select("c1", "c2", "id", "doc_id").join(linked, "id", "left").select("c1", "c2", F.coalesce("component_id", "doc_id").alias("component_id"))
     known = sets.select("doc_id", "row_hash", "n_shingles", "c1", "c2").join(labels, ["c1", "c2"]).select("doc_id", "row_hash", "n_shingles", "component_id")
     rest = rows.filter("doc_id is null or n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

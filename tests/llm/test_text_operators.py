@@ -144,6 +144,19 @@ def test_near_duplicates(spark, words):
     assert kept["kept"] and kept["component_id"] is None
 
 
+def test_texts_of_one_id_are_judged_apart(spark):
+    """Of two texts of an id one is a near copy of another document and the other like nothing, whichever comes first."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(0, 120, 3):
+        a, b = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(2))
+        rows += [(i, " ".join([*a, "end"]), "s"), (i + 1, " ".join(a), "s"), (i + 1, " ".join(b), "s")]
+    rng.shuffle(rows)
+    out = near_duplicates(docs_of(spark, rows), words=2).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out) == groups(rows, 2, 80)
+    assert sum(r["kept"] for r in out) == 80
+
+
 # --- mixing
 
 
