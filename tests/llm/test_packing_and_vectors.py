@@ -148,3 +148,35 @@ def test_nearest(spark, n):
     # the tied copies: smallest ids first
     assert [m[1] for m in sorted(got[200_000])] == [100_000 + i for i in range(10)]
     assert nearest(frame(spark, [])).count() == 0
+
+
+def recall_of(spark, rows, **options):
+    """Share of the true 10 nearest that are found, and the fewest hits of a query."""
+    got = {}
+    for r in nearest(frame(spark, rows), **options).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+    hits = []
+    for q in np.flatnonzero(ids % 100 == 0).tolist():
+        far = ((x - x[q]) ** 2).sum(axis=1)
+        far[q] = np.inf
+        hits.append(len(got.get(int(ids[q]), set()) & set(ids[np.argsort(far)[:10]].tolist())) / 10)
+    return np.mean(hits), min(map(len, got.values()))
+
+
+@pytest.mark.parametrize(("n", "list_rows", "lists"), [(3000, 8, 375), (10_000, 4, 2500)])
+def test_recall_with_more_lists_than_probes(spark, n, list_rows, lists):
+    rng = np.random.default_rng(2)
+    rows = [(i * 10, v) for i, v in enumerate(rng.normal(size=(n, 32)).astype(np.float32).tolist())]
+    assert n // list_rows == lists
+    recall, least = recall_of(spark, rows, list_rows=list_rows)
+    print(f"{lists} lists: recall {recall:.3f}")
+    assert recall >= 0.9 and least == 10
+
+
+def test_queries_in_small_lists_get_all_hits(spark):
+    """Four vectors far from all others are a list of their own."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(500, 8)), 1e4 + rng.normal(size=(4, 8)) * 0.01]).astype(np.float32)
+    recall, least = recall_of(spark, [(i * 100 if i >= 500 else i, v) for i, v in enumerate(x.tolist())], list_rows=4)
+    assert recall >= 0.9 and least == 10
