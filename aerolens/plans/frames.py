@@ -118,6 +118,13 @@ def _(spark, d):
     return rows.select("doc_id", F.decode(projections.strip_tail(raw), "UTF-8").alias("body"), F.decode(projections.strip_to_header(raw), "UTF-8").alias("header"))
 
 
+# the whole table as bytes; DuckDB's substr counts characters, so these have no SQL
+@query("prj_1_strip_bytes")
+def _(spark, d):
+    raw = F.encode("text", "UTF-8")
+    return table(spark, d, "documents").select("doc_id", F.hex(projections.strip_tail(raw)).alias("body"), F.hex(projections.strip_to_header(raw)).alias("header"))
+
+
 @query("prj_2_print")
 def _(spark, d):
     return projections.print_merged(state.merge_captures(view(spark, d, "fx_captures")), detailed=True)
@@ -215,6 +222,12 @@ def _(spark, d):
     return rows.filter("v is not null").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
 
 
+@query("agg_2_field_sum_bytes")
+def _(spark, d):
+    rows = table(spark, d, "documents").withColumn("v", aggregates.bytes_as_integer(F.encode("text", "UTF-8"), 1, 2))
+    return rows.agg(F.sum("v").alias("total"), F.count("v").alias("n"))
+
+
 @query("agg_3_unique", "SELECT min(frame_id) AS frame_id, ta FROM fx_frames GROUP BY ta")
 def _(spark, d):
     return filters.first_per_key(view(spark, d, "fx_frames"), ["ta"], [F_ID]).select(F_ID, "ta")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolens.functions import metrics, scalars
 from aerolens.operators import aggregates, filters, graph, joins, projections, state, windows
+from aerolens.plans import frames
 
 
 def rows(df):
@@ -235,3 +236,13 @@ def test_print_and_shift(spark):
     times = spark.createDataFrame([(5,), (7,)], "s int").withColumn("ts", F.timestamp_seconds("s"))
     moved = projections.shift_time(times, 0, now=F.timestamp_seconds(F.lit(100))).select(F.unix_seconds("ts"))
     assert rows(moved) == [(100,), (102,)]
+
+
+def test_bytes_of_all_documents(spark, tmp_path):
+    texts = ["plain text of more than 24 bytes", "\u00e4\u20ac\U0001f600 caf\u00e9", "\u00fc", "a", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    raw = [t if t is None else t.encode() for t in texts]
+    got = {r["doc_id"]: (r["body"], r["header"]) for r in frames.QUERIES["prj_1_strip_bytes"](spark, str(tmp_path)).collect()}
+    assert got == {i: (None, None) if b is None else (b[: max(len(b) - 4, 0)].hex().upper(), b[:24].hex().upper()) for i, b in enumerate(raw)}
+    fields = [int.from_bytes(b[1:3], "big") for b in raw if b is not None and len(b) >= 3]
+    assert rows(frames.QUERIES["agg_2_field_sum_bytes"](spark, str(tmp_path))) == [(sum(fields), len(fields))]
