@@ -149,6 +149,15 @@ def _(spark, d):
     return out.select(F_ID, F.coalesce("asof_channel", F.lit(0)).alias("channel"))
 
 
+ALL_CHANGES = "SELECT sniffer_id, ts, channel FROM (SELECT *, lag(channel) OVER (PARTITION BY sniffer_id ORDER BY ts) AS previous FROM (SELECT sniffer_id, ts, max(channel) AS channel FROM fx_frames GROUP BY sniffer_id, ts) AS g) AS h WHERE previous IS DISTINCT FROM channel"
+
+
+@query("jn_8_asof_channel_all", f"WITH c AS ({ALL_CHANGES}) SELECT frame_id, coalesce(c.channel, 0) AS channel FROM fx_frames AS f ASOF LEFT JOIN c ON c.sniffer_id = f.sniffer_id AND f.ts > c.ts")
+def _(spark, d):
+    out = joins.asof_join(view(spark, d, "fx_frames").select(F_ID, "sniffer_id", "ts"), run_sql(spark, d, ALL_CHANGES), ["sniffer_id"], "ts", "ts", ["channel"], strict=True)
+    return out.select(F_ID, F.coalesce("asof_channel", F.lit(0)).alias("channel"))
+
+
 ADVERTISED = "SELECT bssid, US(ts) AS us, max(channel) AS adv FROM fx_frames WHERE ftype = 0 AND fsubtype = 8 GROUP BY bssid, ts"
 
 
@@ -392,6 +401,13 @@ def _(spark, d):
     return both.filter(F.col("rank") >= 2).orderBy("ts", "event_id").limit(50).select("event_id", "ts", "data")
 
 
+@query("srt_5_log_merge_all", "SELECT event_id, ts, data FROM fx_loglines ORDER BY ts, event_id")
+def _(spark, d):
+    logs = view(spark, d, "fx_loglines")
+    both = logs.filter("event_id % 2 = 0").unionByName(logs.filter("event_id % 2 = 1")).withColumn("rank", metrics.level_rank(F.col("level")))
+    return both.filter(F.col("rank") >= 2).orderBy("ts", "event_id").select("event_id", "ts", "data")
+
+
 @query("set_1_union", "SELECT sniffer_id, count(*) AS n FROM (SELECT sniffer_id FROM fx_frames UNION ALL SELECT sniffer_id FROM fx_captures) AS u GROUP BY sniffer_id")
 def _(spark, d):
     return view(spark, d, "fx_frames").select("sniffer_id").unionByName(view(spark, d, "fx_captures").select("sniffer_id")).groupBy("sniffer_id").agg(F.count("*").alias("n"))
@@ -403,6 +419,11 @@ def _(spark, d):
     return head.select("raw", scalars.escape_ssid(F.col("raw")).alias("ssid"))
 
 
+@query("fn_2_escape_all", "SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\x20-\\x21\\x23-\\x7E]') THEN hex(encode(text)) ELSE text END AS ssid FROM documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", scalars.escape_ssid(F.col("text")).alias("ssid"))
+
+
 @query("fn_4_addresses", "SELECT frame_id, CASE frame_id % 4 WHEN 0 THEN a2 WHEN 1 THEN a2 WHEN 2 THEN a3 ELSE a4 END AS sa, CASE frame_id % 4 WHEN 0 THEN a1 WHEN 1 THEN a3 WHEN 2 THEN a1 ELSE a3 END AS da, CASE frame_id % 4 WHEN 0 THEN a3 WHEN 1 THEN a1 WHEN 2 THEN a2 END AS bssid FROM (SELECT frame_id, concat('a', ta) AS a1, concat('b', bssid) AS a2, concat('c', sniffer_id) AS a3, concat('d', channel) AS a4 FROM fx_frames) AS x")
 def _(spark, d):
     f = view(spark, d, "fx_frames").select(F_ID, *(F.concat(F.lit(p), F.col(c).cast("string")).alias(n) for p, c, n in (("a", "ta", "a1"), ("b", "bssid", "a2"), ("c", "sniffer_id", "a3"), ("d", "channel", "a4"))))

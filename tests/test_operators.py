@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from aerolens.functions import metrics, scalars
 from aerolens.operators import aggregates, filters, graph, joins, projections, state, windows
 from aerolens.plans import frames
+from aerolens.plans.fixtures import view
 
 
 def rows(df):
@@ -246,3 +247,28 @@ def test_bytes_of_all_documents(spark, tmp_path):
     assert got == {i: (None, None) if b is None else (b[: max(len(b) - 4, 0)].hex().upper(), b[:24].hex().upper()) for i, b in enumerate(raw)}
     fields = [int.from_bytes(b[1:3], "big") for b in raw if b is not None and len(b) >= 3]
     assert rows(frames.QUERIES["agg_2_field_sum_bytes"](spark, str(tmp_path))) == [(sum(fields), len(fields))]
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_channel_history_of_all_frames(spark):
+    got = dict(rows(frames.QUERIES["jn_8_asof_channel_all"](spark, SMALL)))
+    by_time = {}
+    for f in view(spark, SMALL, "fx_frames").collect():
+        by_time.setdefault(f["sniffer_id"], {}).setdefault(f["ts"], []).append(f)
+    want = {}
+    for times in by_time.values():
+        channel = 0
+        for ts in sorted(times):
+            want |= {f["frame_id"]: channel for f in times[ts]}
+            channel = max(f["channel"] for f in times[ts])
+    assert got == want
+
+
+def test_log_merge_and_escape_of_all_rows(spark):
+    merged = [(r["ts"], r["event_id"], r["data"]) for r in frames.QUERIES["srt_5_log_merge_all"](spark, SMALL).collect()]
+    assert merged == sorted((r["ts"], r["event_id"], r["data"]) for r in view(spark, SMALL, "fx_loglines").collect()) and len(merged) > 50
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    plain = lambda t: all(" " <= c <= "~" and c != '"' for c in t)
+    assert dict(rows(frames.QUERIES["fn_2_escape_all"](spark, SMALL))) == {i: t if t is None or plain(t) else t.encode().hex().upper() for i, t in texts.items()}
