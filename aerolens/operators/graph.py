@@ -6,26 +6,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def shortest_hop_sums(edges: DataFrame, base: int, max_hops: int = 6) -> DataFrame:
+def shortest_hop_sums(edges: DataFrame, base: int) -> DataFrame:
     """sniffer_id, hops, skew_us, spread_us: sums over the path of fewest hops from the base.
 
-    Of equal hops the path through the lowest ids wins. Level k holds for each
-    sniffer the best walk of k hops; the first level that has it is its distance.
-    Edges are one row a pair of sniffers, kept in memory as every level reads
-    them; what is lost with an executor is computed again.
+    Of equal hops the path through the lowest ids wins. A level holds the
+    sniffers that no level before it has, one row each, which the driver keeps;
+    the search ends with a level that adds none. Edges are one row a pair of
+    sniffers, kept in memory as every level reads them; what is lost with an
+    executor is computed again.
     """
     edges = edges.persist()
-    one = edges.sparkSession.range(1)
-    level = one.select(F.lit(base).alias("sniffer_id"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("skew_us"), F.lit(0).cast("long").alias("spread_us"), F.lpad(F.lit(str(base)), 8, "0").alias("via"))
+    spark = edges.sparkSession
+    schema = "sniffer_id int, hops int, skew_us long, spread_us long"
     hops = edges.select(F.col("src").cast("int").alias("sniffer_id"), F.col("dst").cast("int").alias("next"), F.col("skew_us").cast("long").alias("e_skew"), F.col("spread_us").cast("long").alias("e_spread"))
-    every = level
-    for _ in range(max_hops):
+    level = [(base, 0, 0, 0, str(base).rjust(8, "0"))]
+    found = {base: level[0]}
+    while level:
         via = F.concat("via", F.lit("/"), F.lpad(F.col("next").cast("string"), 8, "0"))
-        step = level.join(hops, "sniffer_id").select(F.col("next").alias("sniffer_id"), via.alias("via"), (F.col("hops") + 1).alias("hops"), (F.col("skew_us") + F.col("e_skew")).alias("skew_us"), (F.col("spread_us") + F.col("e_spread")).alias("spread_us"))
-        level = step.groupBy("sniffer_id").agg(F.min(F.struct("via", "hops", "skew_us", "spread_us")).alias("m")).select("sniffer_id", "m.hops", "m.skew_us", "m.spread_us", "m.via")
-        every = every.unionByName(level)
-    best = every.groupBy("sniffer_id").agg(F.min(F.struct("hops", "via", "skew_us", "spread_us")).alias("m"))
-    return best.select("sniffer_id", "m.hops", "m.skew_us", "m.spread_us")
+        step = spark.createDataFrame(level, f"{schema}, via string").join(hops, "sniffer_id").select(F.col("next").alias("sniffer_id"), via.alias("via"), (F.col("hops") + 1).alias("hops"), (F.col("skew_us") + F.col("e_skew")).alias("skew_us"), (F.col("spread_us") + F.col("e_spread")).alias("spread_us"))
+        best = step.groupBy("sniffer_id").agg(F.min(F.struct("via", "hops", "skew_us", "spread_us")).alias("m")).select("sniffer_id", "m.hops", "m.skew_us", "m.spread_us", "m.via")
+        level = [tuple(r) for r in best.collect() if r["sniffer_id"] not in found]
+        found |= {r[0]: r for r in level}
+    return spark.createDataFrame([r[:4] for r in found.values()], schema)
 
 
 def routes(observations: DataFrame, now: str | None = None, window_seconds: int = 7200) -> DataFrame:

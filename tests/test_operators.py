@@ -272,3 +272,8 @@ def test_log_merge_and_escape_of_all_rows(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     plain = lambda t: all(" " <= c <= "~" and c != '"' for c in t)
     assert dict(rows(frames.QUERIES["fn_2_escape_all"](spark, SMALL))) == {i: t if t is None or plain(t) else t.encode().hex().upper() for i, t in texts.items()}
+
+
+def test_skew_paths_of_many_hops(spark):
+    edges = spark.createDataFrame([(i, i + 1, 10, 1) for i in range(9)] + [(i + 1, i, -10, 1) for i in range(9)], "src int, dst int, skew_us long, spread_us long")
+    assert rows(graph.shortest_hop_sums(edges, 0)) == [(i, i, 10 * i, i) for i in range(10)]
