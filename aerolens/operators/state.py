@@ -34,8 +34,32 @@ def run_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: C
 
 
 def run_keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: str) -> DataFrame:
-    """Batch form of a step: the rows of each key in order, from an empty state."""
-    return run_groups(df, keys, order, lambda rows: step(None, rows)[1], schema)
+    """Batch form of a step: the rows of each key in order, from an empty state.
+
+    Rows are sorted by Spark and streamed, with the state carried from batch to
+    batch, so a key of any size is never held as a whole.
+    """
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    rest = [c for c in df.columns if c not in order and c not in keys]
+    rows = df.repartition(*keys).sortWithinPartitions(*keys, *order, *rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            out, same = [], []
+            for row in batch.to_pylist():
+                k = tuple(row[c] for c in keys)
+                if k != key:
+                    if same:
+                        out += step(state, same)[1]
+                    key, state, same = k, None, []
+                same.append(row)
+            if same:
+                state, more = step(state, same)
+                out += more
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return rows.mapInArrow(run, schema)
 
 
 def last_accepted(ts_us: str, window_us: int, keep: Sequence[str]) -> Step:
@@ -116,8 +140,11 @@ def association_rows(df: DataFrame) -> DataFrame:
 
 
 def associations(df: DataFrame, **options) -> DataFrame:
-    """Association events of every station."""
-    return run_keyed(association_rows(df), ["station"], ["ts_us", "frame_id"], association_step(**options), ASSOCIATION)
+    """Association events of every station. A state ends after the timeout, so a station is cut at longer gaps."""
+    w = Window.partitionBy("station").orderBy("ts_us", "frame_id")
+    new = F.coalesce((F.col("ts_us") - F.lag("ts_us").over(w) > options.get("timeout_us", 300_000_000)).cast("int"), F.lit(1))
+    rows = association_rows(df).withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return run_keyed(rows, ["station", "_island"], ["ts_us", "frame_id"], association_step(**options), ASSOCIATION)
 
 
 def bss_state(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -277,3 +277,11 @@ def test_log_merge_and_escape_of_all_rows(spark):
 def test_skew_paths_of_many_hops(spark):
     edges = spark.createDataFrame([(i, i + 1, 10, 1) for i in range(9)] + [(i + 1, i, -10, 1) for i in range(9)], "src int, dst int, skew_us long, spread_us long")
     assert rows(graph.shortest_hop_sums(edges, 0)) == [(i, i, 10 * i, i) for i in range(10)]
+
+
+def test_keyed_rows_are_streamed(spark):
+    """One key over many Arrow batches: the state goes on, and no list of the key's rows is built."""
+    df = spark.range(25_000).select(F.lit("a").alias("k"), (F.col("id") * 4_000_000).alias("us"))
+    out = state.run_keyed(df, ["k"], ["us"], state.last_accepted("us", 6_000_000, ["k", "us"]), "k string, us long")
+    assert [r["us"] for r in out.orderBy("us").collect()] == [i * 8_000_000 for i in range(12_500)]
+    assert "collect_list" not in out._jdf.queryExecution().toString()
