@@ -7,8 +7,8 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from aerolens.llm.token_shards import TokenShard, WaveletMatrix, read_token_shards, write_token_shards
-from aerolens.llm.tokens import encoded
+from aerolens.llm.token_shards import CHUNK, TokenShard, WaveletMatrix, find_token, read_token_shards, write_token_shards
+from aerolens.llm.tokens import Encoder, encoded
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
 ODD = ["", None, " a", "a ", "a  b", "a\n\nb", "\n", "x\t y", "don't stop\n's", "a b c", " ", "a <|endoftext|> b", "é́, ok.", "12,", "a\n b", "x" * 3000, "tab\tin word", "a \r\nb", "ok, ok. OK", "½² ³", "end\n"]
@@ -29,7 +29,7 @@ def test_ids_equal_the_tokenizers():
 
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
-    for n in (1, 7, 512, 513, 3000):
+    for n in (1, 7, 512, 513, 3000, CHUNK, CHUNK + 1, 3 * CHUNK - 5):
         ids = rng.integers(0, 300, n).astype(np.uint16)
         m = WaveletMatrix.build(ids, 16)
         assert m.all_ids().tolist() == ids.tolist()
@@ -44,6 +44,47 @@ def test_wavelet_matrix():
             assert m.occurrence(v, len(places)) == -1
 
 
+def test_answers_read_few_chunks():
+    """Access, count and occurrence decompress at most two chunks a plane of a shard with hundreds."""
+    rng = np.random.default_rng(2)
+    ids = (rng.zipf(1.3, 400_000) % 50_000).astype(np.uint16)
+    blob = TokenShard.pack([1], [len(ids)], ids, 16)
+    assert 16 * -(-len(ids) // CHUNK) > 200
+    for i in rng.integers(0, len(ids), 5).tolist():
+        m = TokenShard.unpack(blob).matrix
+        assert m.access(i) == ids[i] and m.reads <= 16
+        m = TokenShard.unpack(blob).matrix
+        places = np.flatnonzero(ids == ids[i])
+        assert m.count(int(ids[i])) == len(places) and m.reads <= 32
+        m = TokenShard.unpack(blob).matrix
+        assert m.occurrence(int(ids[i]), len(places) - 1) == places[-1] and m.reads <= 48
+
+
+def test_tokenizers_of_other_kinds_take_texts_whole(tmp_path):
+    """A file whose pre-tokenizer puts a space before every text is not cut into words."""
+    import json
+
+    described = json.load(open(PATH))
+    described["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "prefix.json"
+    path.write_text(json.dumps(described))
+    texts = ["a b", "word", "", "x  y"]
+    ids, offsets = Encoder(str(path)).encode(pa.array(texts))
+    tokenizer = Tokenizer.from_file(str(path))
+    assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_find_token(spark):
+    texts = ["a b a", "b", "a a a a", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    shards = write_token_shards(docs, PATH, shard_ids=4)
+    flat = [i for t in texts for i in [*plain_ids(t), 2]]
+    for token in (plain_ids("a")[0], plain_ids(" a")[0], 2, 40_000):
+        out = find_token(shards, token).collect()
+        assert sum(r["n"] for r in out) == flat.count(token)
+        assert min((r["first"] for r in out), default=-1) == (flat.index(token) if token in flat else -1)
+
+
 def test_shard_round_trip_keeps_null_ids():
     ids = np.array([5, 6, 2, 2, 9, 2], dtype=np.uint16)
     shard = TokenShard.unpack(TokenShard.pack([3, None, 4], [3, 1, 2], ids, 16))
