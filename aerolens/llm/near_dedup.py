@@ -211,25 +211,29 @@ def candidate_groups(classes: DataFrame, *, trees: int, width: int, small: int,
     signed = classes.select("id", "sig")
     rows = signed.mapInPandas(plant, "node long, id long")
     edges: DataFrame | None = None
+    nodes: DataFrame | None = None
     while True:
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         live = staged(rows.join(counts, "node"), "nodes")
-        # equal nodes of several trees are compared once
-        nodes = live.filter(F.col("n") <= small).groupBy("node").agg(F.sort_array(F.collect_set("id")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
-        members = nodes.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("id"))
-        compared = members.join(signed, "id").groupBy("node").agg(F.collect_list(F.struct("id", "sig")).alias("m")).select(F.col("m.id").alias("ids"), F.col("m.sig").alias("sigs"))
-        found = staged(compared.mapInPandas(compare, "a long, b long").distinct(), "ties")
-        edges = found if edges is None else edges.unionByName(found)
+        part = live.filter(F.col("n") <= small).select("node", "id")
+        nodes = part if nodes is None else nodes.unionByName(part)
         large = live.filter(F.col("n") > small).select("node", "id")
         if large.isEmpty():
-            return edges
+            break
         with_sig = large.join(signed, "id")
         # the same few classes become pivots of many nodes, so their ties repeat
         chosen = with_sig.groupBy("node").agg(*(F.min_by(F.struct("id", "sig"), F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(pivots)))
         chosen = chosen.select("node", *(c for k in range(pivots) for c in (F.col(f"m{k}.id").alias(f"p{k}"), F.col(f"m{k}.sig").alias(f"s{k}"))))
         parts = staged(with_sig.join(chosen, "node").mapInPandas(split, "edge boolean, x long, id long").distinct(), "branches")
-        edges = edges.unionByName(parts.filter("edge").select(F.col("x").alias("a"), F.col("id").alias("b")))
+        found = parts.filter("edge").select(F.col("x").alias("a"), F.col("id").alias("b"))
+        edges = found if edges is None else edges.unionByName(found)
         rows = parts.filter("not edge").select(F.col("x").alias("node"), "id")
+    # small nodes of all rounds at once; equal nodes of several trees are compared once
+    groups = nodes.groupBy("node").agg(F.sort_array(F.collect_set("id")).alias("ids")).filter("size(ids) > 1").select("ids").distinct()
+    members = groups.select(F.xxhash64("ids").alias("node"), F.explode("ids").alias("id"))
+    compared = members.join(signed, "id").groupBy("node").agg(F.collect_list(F.struct("id", "sig")).alias("m")).select(F.col("m.id").alias("ids"), F.col("m.sig").alias("sigs"))
+    ties = compared.mapInPandas(compare, "a long, b long").distinct()
+    return ties if edges is None else ties.unionByName(edges)
 
 
 def _compare_groups(groups: DataFrame, percent: int, by: list[str]) -> DataFrame:
@@ -292,20 +296,19 @@ def exact_links(docs: DataFrame, groups: DataFrame, *, words: int, percent: int,
     counts = linked.groupBy("group", "pivot").agg(F.count("*").alias("k"))
     best = counts.groupBy("group").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("pivot"))
     core = linked.join(best, ["group", "pivot"]).select("id", F.lit(True).alias("core"))
-    # blocks: the rest against the rest and against the core
-    blocks = members.join(core, "id", "left").select("group", "id", "set", F.coalesce("core", F.lit(False)).alias("core"), F.col("n"))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id", F.lit(99)), F.ceil(F.col("n") / block)).cast("int"))
-    n_blocks = F.ceil(F.col("n") / block).cast("int")
-    cells = F.when(
-        F.col("core"),
-        F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(True).alias("with_core"), F.lit(False).alias("left"))),
-    ).otherwise(
-        F.concat(
-            F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(True).alias("with_core"), F.lit(True).alias("left"))),
-            F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda j: F.struct(F.least("block", j).alias("i"), F.greatest("block", j).alias("j"), F.lit(False).alias("with_core"), (F.col("block") <= j).alias("left"))),
-        )
+    # the rest, in blocks of its own, against itself and against the blocks of the core
+    sides = members.select("group", "id").join(core, "id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
+    many = sides.groupBy("group", "core").agg(F.ceil(F.count("*") / block).alias("k"))
+    placed = staged(sides.join(many, ["group", "core"]).select("group", "id", "core", F.pmod(F.xxhash64("id", F.lit(99)), F.col("k")).cast("int").alias("own")), "blocks")
+    held = placed.select("group", "core", F.col("own").alias("other")).distinct()
+    with_rest = placed.join(held.filter("not core").drop("core"), "group")
+    with_core = placed.filter("not core").join(held.filter("core").drop("core"), "group")
+    cells = (
+        with_rest.filter("core").select("group", "id", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(True).alias("with_core"), F.lit(False).alias("left"))
+        .unionByName(with_core.select("group", "id", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(True).alias("with_core"), F.lit(True).alias("left")))
+        .unionByName(with_rest.filter("not core").select("group", "id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.lit(False).alias("with_core"), (F.col("own") <= F.col("other")).alias("left")))
     )
-    dealt = blocks.select("group", "id", "set", F.explode(cells).alias("c")).select("group", "id", "set", "c.*")
+    dealt = cells.join(sets, ["group", "id"])
     return edges.unionByName(_compare_groups(dealt, percent, ["group", "i", "j", "with_core"]))
 
 
