@@ -1,10 +1,10 @@
 """Line dedup: the first document with a line keeps it, all later ones lose it.
 
 Every step is a built-in DataFrame function. Lines travel as 128-bit hashes of
-their keys. Hashes are pre-aggregated in salted groups, range-partitioned and
-sorted by hash and document, and the stream of each hash gives its first
-document. What comes back for a document is a bitmap of the lines to drop, never
-text.
+their keys with document and position. They are range-partitioned by hash and
+sorted by hash, document and position; the stream of a hash begins with its first
+document, and every line of a later one is marked. What comes back for a document
+is a compressed bitmap of the lines it keeps, never text.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, lower_ascii
+from .common import SPACES, lower_ascii, staged
 
 
 def split_lines(text: Column) -> Column:
@@ -20,48 +20,49 @@ def split_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text")
-
-
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
+    """h1, h2, doc_id, row_hash, pos of every line whose key is long enough; row_hash is xxhash64 of the text."""
     key = lower_ascii(F.btrim(F.col("line"), F.lit(SPACES)))
     return (
-        _keyed(docs.filter("doc_id is not null"))
-        .select("doc_id", "row_hash", F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
+        docs.filter("doc_id is not null")
+        .select("doc_id", F.xxhash64("text").alias("row_hash"), F.posexplode(split_lines(F.col("text"))).alias("pos", "line"))
         .select("doc_id", "row_hash", "pos", key.alias("key"))
         .filter(F.length("key") >= min_chars)
-        .select("doc_id", "row_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
+        .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc_id", "row_hash", "pos")
     )
 
 
-def first_documents(lines: DataFrame, salts: int = 64) -> DataFrame:
-    """h1, h2, first_doc of each line found in at least two documents.
+def later_lines(lines: DataFrame, salts: int = 64) -> DataFrame:
+    """doc_id, row_hash, pos of each line that a document with a smaller id holds too.
 
-    A hash that a third of all documents hold leaves the salted groups as at
-    most `salts` rows, so no range is large.
+    A hash with more than a quarter of a partition's fair share of rows is hot;
+    there are at most four a partition, so they fit a broadcast. The rows of a
+    hot hash are salted by document into several streams, so none of them knows
+    the first document; it is aggregated apart, one row a hot hash.
     """
-    salted = lines.groupBy("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).alias("salt")).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    ranged = salted.select("h1", "h2", "lo", "hi").repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2", "lo")
-    stream = Window.partitionBy("h1", "h2").orderBy("lo")
-    whole = Window.partitionBy("h1", "h2")
-    return (
-        ranged.select("h1", "h2", F.row_number().over(stream).alias("nth"), F.col("lo").alias("first_doc"), F.max("hi").over(whole).alias("last_doc"))
-        .filter("nth = 1 and first_doc < last_doc")
-        .select("h1", "h2", "first_doc")
-    )
-
-
-def line_drop_bitmaps(docs: DataFrame, *, min_chars: int = 10, salts: int = 64) -> DataFrame:
-    """doc_id, row_hash, bitmap (map word -> 64 bits, only words with a bit) of the lines to drop.
-
-    Documents that lose nothing have no row. Bit p % 64 of word p div 64 stands
-    for line p.
+    fair = max(1, lines.count() // (4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > max(fair, salts)).select("h1", "h2", F.lit(True).alias("hot"))
+    hot = staged(hot, "hot")
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    salted = lines.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("salt", salt)
+    ranged = salted.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id", "pos")
+    stream = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    seen = ranged.select("h1", "h2", "doc_id", "row_hash", "pos", "hot", F.first("doc_id").over(stream).alias("first_doc"))
+    heads = lines.join(F.broadcast(hot), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("doc_id").alias("hot_doc"))
+    first = F.coalesce("hot_doc", "first_doc")
+    return seen.join(F.broadcast(heads), ["h1", "h2"], "left").filter(F.col("doc_id") > first).select("doc_id", "row_hash", "pos")
+
+
+def line_keep_bitmaps(docs: DataFrame, *, min_chars: int = 10, salts: int = 64) -> DataFrame:
+    """doc_id, row_hash, bitmap of the lines that a document keeps.
+
+    bitmap maps words to 64 bits: bit p % 64 of word p div 64 is set where line
+    p stays. Words of which all lines stay are left out, and documents that lose
+    nothing have no row.
     """
-    lines = _lines(docs, min_chars)
-    later = lines.join(first_documents(lines, salts), ["h1", "h2"]).filter("doc_id > first_doc")
+    lines = staged(line_hashes(docs, min_chars), "lines")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.expr("cast(pos % 64 as int)"))
-    words = later.groupBy("doc_id", "row_hash", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = later_lines(lines, salts).groupBy("doc_id", "row_hash", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bitwise_not(F.bit_or(bit)).alias("bits"))
     return words.groupBy("doc_id", "row_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bitmap"))
 
 
@@ -78,16 +79,17 @@ def line_dedup(docs: DataFrame, *, min_chars: int = 10, salts: int = 64, carry:
     of a doc_id count as one document, each row judged by its own lines. A row
     without doc_id is no document: it is kept whole and starts nothing.
     """
-    bitmaps = line_drop_bitmaps(docs, min_chars=min_chars, salts=salts)
+    bitmaps = line_keep_bitmaps(docs, min_chars=min_chars, salts=salts)
     rows = docs.select("doc_id", F.xxhash64("text").alias("row_hash"), "text", F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried"))
     lines = split_lines(F.col("text"))
+    every = F.lit(-1).cast("long")
     dense = F.when(
         F.col("bitmap").isNotNull(),
-        F.transform(F.sequence(F.lit(0), F.expr("cast((n_lines - 1) div 64 as int)")), lambda w: F.coalesce(F.element_at("bitmap", w), F.lit(0).cast("long"))),
+        F.transform(F.sequence(F.lit(0), F.expr("cast((n_lines - 1) div 64 as int)")), lambda w: F.coalesce(F.element_at("bitmap", w), every)),
     )
     bit = lambda i: F.call_function("shiftright", F.get("dense", (i / 64).cast("int")), i % 64).bitwiseAND(F.lit(1))
-    kept = F.when(F.col("dense").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda line, i: bit(i) == 0), "\n"))
-    dropped = F.coalesce(F.aggregate("dense", F.lit(0).cast("long"), lambda n, w: n + F.bit_count(w)), F.lit(0).cast("long"))
+    kept = F.when(F.col("dense").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.filter(lines, lambda line, i: bit(i) == 1), "\n"))
+    dropped = F.coalesce(F.aggregate("dense", F.lit(0).cast("long"), lambda n, w: n + 64 - F.bit_count(w)), F.lit(0).cast("long"))
     out = (
         rows.join(bitmaps, ["doc_id", "row_hash"], "left")
         .withColumn("n_lines", F.size(lines).cast("long"))
