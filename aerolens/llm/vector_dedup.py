@@ -37,6 +37,11 @@ def hash_plan(n: int, cosine: float, recall: float, width: float) -> tuple[int,
     return k, max(1, math.ceil(math.log(1 - recall) / math.log1p(-(near**k))))
 
 
+def best_width(n: int, cosine: float, recall: float) -> float:
+    """The bucket width that needs fewest tables."""
+    return min((w / 4 for w in range(2, 25)), key=lambda w: (hash_plan(n, cosine, recall, w)[1], w))
+
+
 def bucket_keys(x: np.ndarray, projections: int, tables: int, width: float, seed: int) -> np.ndarray:
     """rows x tables: 32-bit bucket names of vectors of length one; chance equals only cost a comparison."""
     rng = np.random.default_rng([seed, x.shape[1]])
@@ -48,22 +53,26 @@ def bucket_keys(x: np.ndarray, projections: int, tables: int, width: float, seed
         return ((keys ^ (keys >> 29)) >> 17).astype(np.int32)
 
 
-def vector_near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, recall: float = 0.9999, width: float = 1.0, block: int = 256, seed: int = 11) -> DataFrame:
+def vector_near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, recall: float = 0.9999, width: float | None = None, block: int = 256, seed: int = 11) -> DataFrame:
     """id_col, n_links, component_id, kept for every row.
 
     n_links counts the other rows with cosine >= `cosine`, equal vectors
     included; a component's id is the smallest id that links reach. Vectors that
     are null, zero or hold null or non-finite parts link with nothing, nor do
-    vectors of different lengths. Repeated rows of an id count as rows. A row
-    without id has component null and is kept. Other columns are not carried.
+    vectors of different lengths. Repeated rows of an id count as rows, and
+    different vectors of one id are judged apart. A row without id has component
+    null and is kept. Other columns are not carried. Without a width the one
+    that needs fewest tables is taken.
     """
     rows = usable(vectors, id_col, vec_col)
-    # equal vectors are one class from here on, however many there are
-    classes = rows.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("size"))
-    classes = staged(classes.select("id", "size", "vec", F.size("vec").alias("dim")), "vectors")
+    # equal vectors are one class from here on, however many there are; its id is its own, as one vec_id may have several
+    classes = rows.groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("size"))
+    classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), "first", "size", "vec", F.size("vec").alias("dim")), "vectors")
     # vectors travel in the type that they came in
     kind = vectors.schema[vec_col].dataType.simpleString()
-    projections, tables = hash_plan(classes.count(), cosine, recall, width)
+    n = classes.count()
+    width = width or best_width(n, cosine, recall)
+    projections, tables = hash_plan(n, cosine, recall, width)
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -110,9 +119,11 @@ def vector_near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_co
 
     found = staged(groups.select("t", "i", "j", *(F.col(f"m.{c}").alias(n) for c, n in (("id", "ids"), ("size", "sizes"), ("own", "own"), ("vec", "vecs"), ("keys", "names")))).mapInPandas(compare, "a long, b long, n long"), "pairs")
     links = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("outer")).withColumnRenamed("a", "id")
-    components = connected_components(found.filter("b is not null").select("a", "b"))
-    labels = classes.select("id", "size", "vec").join(links, "id", "left").join(components, "id", "left")
-    labels = labels.select("vec", (F.col("size") - 1 + F.coalesce("outer", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    components = connected_components(found.filter("b is not null").select("a", "b")).join(classes.select("id", "first"), "id")
+    smallest = components.groupBy("component").agg(F.min("first").alias("component_id"))
+    linked = components.join(smallest, "component").select("id", "component_id")
+    labels = classes.select("id", "first", "size", "vec").join(links, "id", "left").join(linked, "id", "left")
+    labels = labels.select("vec", (F.col("size") - 1 + F.coalesce("outer", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
     known = rows.join(labels, "vec").select("id", "n_links", "component_id")
     every = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     good = F.coalesce(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0), F.lit(False))

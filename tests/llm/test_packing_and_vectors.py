@@ -112,6 +112,22 @@ def test_vector_near_duplicates(spark):
     assert vector_near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_vectors_of_one_id_are_judged_apart(spark):
+    """Id 5 has two different vectors; 6 is near the first and 7 near the second, by one link each."""
+    at = lambda *v: [*map(float, v), 0.0, 0.0, 0.0, 0.0]
+    rows = [(5, at(1, 0, 0, 0.1)), (5, at(0, 1, 0, 0.1)), (6, at(1, 0.02, 0, 0.1)), (7, at(0.02, 1, 0, 0.1)), (8, at(0, 0, 1, 0))]
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vector_near_duplicates(frame(spark, rows)).collect())
+    assert out == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (8, 0, 8, True)]
+
+
+def test_very_long_vectors(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=5000).astype(np.float32)
+    rows = [(1, v.tolist()), (2, (v + 0.1 * rng.normal(size=5000)).astype(np.float32).tolist()), (3, rng.normal(size=5000).astype(np.float32).tolist())]
+    out = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in vector_near_duplicates(frame(spark, rows)).collect())
+    assert out == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
 def test_graph_finds_centroids():
     rng = np.random.default_rng(1)
     sample = rng.normal(size=(4000, 16))
