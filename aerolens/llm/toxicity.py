@@ -2,7 +2,8 @@
 
 The score of a document is sigmoid(b + sum of w + sum over pairs of v.v) over the
 terms it contains, so a pair such as an insult and a group's name can weigh more
-than the two alone.
+than the two alone. A term enters the model for an effect of its own or for one
+that it has only together with another term.
 """
 
 from __future__ import annotations
@@ -46,12 +47,13 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, *, max_terms: int = 2000, min_docs: int = 3, factors: int = 4, epochs: int = 12, rate: float = 0.1, l1: float = 1e-3, l2: float = 1e-3, seed: int = 7) -> FactorizationMachine:
-        """Adaptive-gradient descent on log loss with an L1 step on w.
+    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, *, max_terms: int = 2000, pair_terms: int = 2048, min_docs: int = 3, factors: int = 4, epochs: int = 30, batch: int = 32, rate: float = 0.2, l1: float = 1e-3, l2: float = 1e-3, seed: int = 7) -> FactorizationMachine:
+        """Adaptive-gradient descent in mini-batches on log loss with an L1 step on w.
 
-        Terms in fewer than min_docs rows are left out; of the others the
-        max_terms that tell the labels best apart (log-odds in standard errors)
-        get weights.
+        Of the terms in min_docs rows or more at most max_terms get weights:
+        first those of a pair with an effect of its own (see pair_effects; pairs
+        of the pair_terms most frequent terms are looked at), then those that
+        tell the labels best apart alone (log-odds over 2 standard errors).
         """
         n = len(rows)
         rate_of_label = float((labels.sum() + 0.5) / (n + 1)) if n else 0.0
@@ -62,36 +64,77 @@ class FactorizationMachine:
         of = np.repeat(np.arange(n), [len(r) for r in rows])
         df = np.bincount(ids, minlength=len(keys))
         hit = np.bincount(ids, weights=labels[of], minlength=len(keys))
-        pos, neg = labels.sum(), n - labels.sum()
-        odds = np.log((hit + 0.5) / (pos - hit + 0.5)) - np.log((df - hit + 0.5) / (neg - df + hit + 0.5))
-        error = np.sqrt(1 / (hit + 0.5) + 1 / (pos - hit + 0.5) + 1 / (df - hit + 0.5) + 1 / (neg - df + hit + 0.5))
+        odds, error = log_odds(hit, df - hit, labels.sum() - hit, n - labels.sum() - df + hit)
         z = np.where(df >= min_docs, np.abs(odds) / error, 0)
-        chosen = np.sort(np.argsort(-z, kind="stable")[: min(max_terms, int((z > 2).sum()))])
-        model = cls(keys[chosen], empty.bias, np.zeros(len(chosen)), np.random.default_rng(seed).normal(0, 0.01, (len(chosen), factors)))
+        frequent = np.argsort(-df, kind="stable")[:pair_terms]
+        frequent = np.sort(frequent[(df[frequent] >= min_docs) & (df[frequent] < n)])
+        place = np.full(len(keys), -1)
+        place[frequent] = np.arange(len(frequent))
+        paired = np.zeros(len(keys))
+        paired[frequent] = pair_effects(of[place[ids] >= 0], place[ids][place[ids] >= 0], labels, len(frequent))
+        score = np.where(paired > 6, 1e6 + paired, np.where(z > 2, z, 0))
+        chosen = np.sort(np.argsort(-score, kind="stable")[: min(max_terms, int((score > 0).sum()))])
+        model = cls(keys[chosen], empty.bias, np.zeros(len(chosen)), np.random.default_rng(seed).normal(0, 0.05, (len(chosen), factors)))
         data = [model.known(r) for r in rows]
         rng = np.random.default_rng(seed)
         gw, gv, gb = np.full(len(chosen), 1e-8), np.full((len(chosen), factors), 1e-8), 1e-8
         for _ in range(epochs):
-            for i in rng.permutation(n).tolist():
-                at = data[i]
-                v = model.v[at]
-                s = v.sum(axis=0)
-                p = 1 / (1 + np.exp(-np.clip(model.bias + model.w[at].sum() + 0.5 * ((s * s).sum() - (v * v).sum()), -30, 30)))
-                g = p - labels[i]
-                gb += g * g
-                model.bias -= rate * g / np.sqrt(gb)
-                if not len(at):
-                    continue
-                gw[at] += g * g
-                step = rate / np.sqrt(gw[at])
-                w = model.w[at] - step * g
-                model.w[at] = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-                dv = g * (s - v) + l2 * v
-                gv[at] += dv * dv
-                model.v[at] = v - rate * dv / np.sqrt(gv[at])
+            order = rng.permutation(n)
+            for at in range(0, n, batch):
+                part = order[at : at + batch]
+                terms = np.concatenate([data[i] for i in part])
+                of = np.repeat(np.arange(len(part)), [len(data[i]) for i in part])
+                v = model.v[terms]
+                s = np.stack([np.bincount(of, weights=v[:, f], minlength=len(part)) for f in range(factors)], axis=1)
+                squares = np.bincount(of, weights=(v * v).sum(axis=1), minlength=len(part))
+                raw = model.bias + np.bincount(of, weights=model.w[terms], minlength=len(part)) + 0.5 * ((s * s).sum(axis=1) - squares)
+                g = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[part]
+                gb += g.sum() ** 2
+                model.bias -= rate * g.sum() / np.sqrt(gb)
+                used, inverse = np.unique(terms, return_inverse=True)
+                dw = np.bincount(inverse, weights=g[of], minlength=len(used))
+                dv = np.stack([np.bincount(inverse, weights=g[of] * (s[of, f] - v[:, f]), minlength=len(used)) for f in range(factors)], axis=1) + l2 * model.v[used]
+                gw[used] += dw * dw
+                step = rate / np.sqrt(gw[used])
+                w = model.w[used] - step * dw
+                model.w[used] = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+                gv[used] += dv * dv
+                model.v[used] -= rate * dv / np.sqrt(gv[used])
         return model
 
 
+def log_odds(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log of (a / b) / (c / d) with half a row added to each count, and its standard error."""
+    cells = [x + 0.5 for x in (a, b, c, d)]
+    return np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3]), np.sqrt(sum(1 / x for x in cells))
+
+
+def pair_effects(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_terms: int, block: int = 256) -> np.ndarray:
+    """For each term the largest effect, in standard errors, of a pair that it is in beyond the effects of the two alone.
+
+    rows and terms say which of n_terms terms stand in which row. The effect is
+    the change of one term's log-odds with the other's presence.
+    """
+    most = np.zeros(n_terms)
+    x = np.zeros((len(labels), n_terms), dtype=np.float32)
+    x[rows, terms] = 1
+    toxic = x[labels > 0]
+    df, hit = x.sum(axis=0, dtype=np.float64), toxic.sum(axis=0, dtype=np.float64)
+    n, pos = float(len(labels)), float(len(toxic))
+    for at in range(0, n_terms, block):
+        both = (x[:, at : at + block].T @ x).astype(np.float64)
+        bad = (toxic[:, at : at + block].T @ toxic).astype(np.float64)
+        di, hi = df[at : at + block, None], hit[at : at + block, None]
+        # rows with both, only the first, only the second, neither; in each the toxic ones
+        counts = [(both, bad), (di - both, hi - bad), (df - both, hit - bad), (n - di - df + both, pos - hi - hit + bad)]
+        with_other, e1 = log_odds(counts[0][1], counts[0][0] - counts[0][1], counts[1][1], counts[1][0] - counts[1][1])
+        without, e2 = log_odds(counts[2][1], counts[2][0] - counts[2][1], counts[3][1], counts[3][0] - counts[3][1])
+        z = np.abs(with_other - without) / np.sqrt(e1 * e1 + e2 * e2)
+        z[np.arange(len(z)), at + np.arange(len(z))] = 0
+        most[at : at + block] = z.max(axis=1)
+    return most
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that training never sees."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
@@ -102,7 +145,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, **
 
     The sample is the first max_rows labels in the order of xxhash64(doc_id), so
     it is bounded at every size. Several labels of a document count as their
-    largest; null labels and ids are void. The label is the only thing joined in.
+    largest, of several texts of a doc_id the one with the smallest hash is
+    read; null labels and ids are void. The label is the only thing joined in.
     """
     chosen = (
         labels.filter("doc_id is not null and toxic is not null")
@@ -118,7 +162,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, **
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "terms": [hashed_terms(t).astype(np.int64) for t in batch["text"]]})
 
     # at most max_rows rows of two numbers, so the broadcast is bounded
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(terms, "doc_id long, label double, terms array<long>").toPandas()
+    marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    single = marked.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("m")).select("doc_id", "label", "m.text")
+    rows = single.mapInPandas(terms, "doc_id long, label double, terms array<long>").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
     return FactorizationMachine.fit([np.asarray(t, dtype=np.uint32) for t in rows["terms"]], rows["label"].to_numpy(dtype=float), **options)
 

@@ -245,6 +245,57 @@ def test_interactions_are_learned():
     assert right >= 195
 
 
+def test_terms_without_an_effect_alone_are_learned():
+    """Insult and group each stand as often in toxic rows as in clean ones; only the pair tells."""
+    import numpy as np
+
+    rng = random.Random(3)
+    rows, labels = [], []
+    for _ in range(1500):
+        two = [w for w in ("insult", "group") if rng.random() < 0.5]
+        rows.append(hashed_terms(" ".join(["n" * (1 + rng.randrange(50)) for _ in range(8)] + two)))
+        labels.append(float(len(two) != 1))
+    model = FactorizationMachine.fit(rows[:1000], np.array(labels[:1000]))
+    right = sum((model.score(r) >= 0.5) == bool(y) for r, y in zip(rows[1000:], labels[1000:], strict=True))
+    assert right >= 490
+
+
+def test_scores_are_the_pairwise_sum(spark):
+    """The scores of a query are recomputed term by term and pair by pair."""
+    import math
+    import zlib
+
+    rng = random.Random(4)
+    words = ["scum", "idiot", "they", "them", *(f"w{c}" for c in "abcdefghij")]
+    texts = [" ".join(rng.choice(words) for _ in range(12)) for _ in range(300)] + ["", None, "scum " * 5000]
+    docs = spark.createDataFrame([(i, t, 0.5, "p", True) for i, t in enumerate(texts)], "doc_id long, text string, score double, predicted string, held_out boolean")
+    labels = spark.createDataFrame([(i, int("scum" in t or ("idiot" in t and "they" in t))) for i, t in enumerate(texts[:300])], "doc_id long, toxic int")
+    model = fit_toxicity(docs, labels)
+    weight = {int(k): (float(w), v) for k, w, v in zip(model.keys, model.w, model.v, strict=True)}
+    out = toxicity(docs, model).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        found = {zlib.crc32(w.encode()) for w in (texts[r["doc_id"]] or "").split()}
+        terms = [weight[h] for h in sorted(found) if h in weight]
+        z = model.bias + sum(w for w, _ in terms) + sum(float(a[1] @ b[1]) for i, a in enumerate(terms) for b in terms[:i])
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+        assert r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_one_text_of_a_labelled_id_is_learned(spark):
+    """However often a labelled id is repeated, the driver reads one row of it."""
+    docs = spark.createDataFrame([(i % 4 + 1, f"word{i % 3} bad") for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, toxic int")
+    seen = []
+    original = FactorizationMachine.fit
+    FactorizationMachine.fit = lambda rows, marks, **o: seen.append(len(rows)) or original(rows, marks, **o)
+    try:
+        fit_toxicity(docs, labels)
+    finally:
+        FactorizationMachine.fit = original
+    assert seen[0] <= 4
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     rows, labels = [], []
