@@ -20,26 +20,39 @@ def lower_ascii(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, as in tests, a local session gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="spark-aerolens-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+class Scratch:
+    """A folder for the staged tables of one piece of work, emptied when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_dir(spark)}/aerolens-{uuid.uuid4().hex}"
+        self.used = False
+
+    def staged(self, df: DataFrame, name: str) -> DataFrame:
+        self.used = True
+        return _written(df, f"{self.folder}/{name}-{uuid.uuid4().hex}")
+
+    def clear(self) -> None:
+        """Delete all tables: an empty one takes the place of the folder."""
+        if self.used:
+            self.spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(self.folder)
+
+
 #: Spark setting: drop a query's shuffle files when it ends, not when the driver happens to collect garbage.
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it back.
-
-    A lost executor then costs the tasks it ran, not the work before them, and the
-    shuffle files of the work before go at once.
-    """
+def _written(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/aerolens-{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_SHUFFLES, None)
     spark.conf.set(CLEAN_SHUFFLES, "true")
     try:
@@ -52,10 +65,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete staged tables that nothing reads any more."""
-    for table in tables:
-        spark = table.sparkSession
-        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write df as a table in the shared folder and read it back.
+
+    A lost executor then costs the tasks it ran, not the work before them, and the
+    shuffle files of the work before go at once. Tables that a lazy result reads
+    are staged here; those that end with the work, in its Scratch.
+    """
+    return _written(df, f"{shared_dir(df.sparkSession)}/aerolens-{name}-{uuid.uuid4().hex}")

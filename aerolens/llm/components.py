@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Scratch
 
 
 def _least_neighbour(pairs: DataFrame) -> DataFrame:
@@ -19,18 +19,19 @@ def _stars(links: DataFrame) -> bool:
     return ends.groupBy("id").agg(F.sum("up").alias("up"), F.sum("down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, work: Scratch) -> DataFrame:
     """(id, component) of every id in edges (a, b); component is the smallest id reachable.
 
     Every step keeps the graph connected as it was and links ids to smaller ones,
     until all point at their component. Rows stay linear in the edges; a hub's
-    rows are joined to one row, which Spark can split. No edges: no rows.
+    rows are joined to one row, which Spark can split. No edges: no rows. The result
+    reads a table of work.
     """
-    links = staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    links = work.staged(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     while not _stars(links):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(_least_neighbour(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = _least_neighbour(large)
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "links")
+        links = work.staged(small.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct(), "links")
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

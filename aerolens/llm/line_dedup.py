@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, lower_ascii, staged
+from .common import SPACES, Scratch, lower_ascii, staged
 
 
 def split_lines(text: Column) -> Column:
@@ -32,7 +32,7 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def later_lines(lines: DataFrame, salts: int = 64) -> DataFrame:
+def later_lines(lines: DataFrame, work: Scratch, salts: int = 64) -> DataFrame:
     """doc_id, row_hash, pos of each line that a document with a smaller id holds too.
 
     A hash with more than a quarter of a partition's fair share of rows is hot;
@@ -42,7 +42,7 @@ def later_lines(lines: DataFrame, salts: int = 64) -> DataFrame:
     """
     fair = max(1, lines.count() // (4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     hot = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") > max(fair, salts)).select("h1", "h2", F.lit(True).alias("hot"))
-    hot = staged(hot, "hot")
+    hot = work.staged(hot, "hot")
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(F.lit(0)).cast("int")
     salted = lines.join(F.broadcast(hot), ["h1", "h2"], "left").withColumn("salt", salt)
     ranged = salted.repartitionByRange("h1", "h2", "salt").sortWithinPartitions("h1", "h2", "salt", "doc_id", "pos")
@@ -60,10 +60,13 @@ def line_keep_bitmaps(docs: DataFrame, *, min_chars: int = 10, salts: int = 64)
     p stays. Words of which all lines stay are left out, and documents that lose
     nothing have no row.
     """
-    lines = staged(line_hashes(docs, min_chars), "lines")
+    work = Scratch(docs.sparkSession)
+    lines = work.staged(line_hashes(docs, min_chars), "lines")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.expr("cast(pos % 64 as int)"))
-    words = later_lines(lines, salts).groupBy("doc_id", "row_hash", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bitwise_not(F.bit_or(bit)).alias("bits"))
-    return words.groupBy("doc_id", "row_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bitmap"))
+    words = later_lines(lines, work, salts).groupBy("doc_id", "row_hash", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.bitwise_not(F.bit_or(bit)).alias("bits"))
+    bitmaps = staged(words.groupBy("doc_id", "row_hash").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("bitmap")), "bitmaps")
+    work.clear()
+    return bitmaps
 
 
 def line_dedup(docs: DataFrame, *, min_chars: int = 10, salts: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, Scratch, staged
 
 
 def source_targets(totals: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
@@ -60,7 +60,8 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[float] = (3.0, 1.0, 2.0),
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = staged(docs.select("doc_id", "source", size.alias("size"), order.alias("nth"), F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried")), "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
-    targets = staged(targets, "targets")
+    work = Scratch(docs.sparkSession)
+    targets = work.staged(targets, "targets")
 
     def boundary(cells: DataFrame, cell: str, left: str) -> DataFrame:
         """source and the cell in which the words left run out, with the words left for it."""
@@ -78,6 +79,7 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[float] = (3.0, 1.0, 2.0),
     sums = inside.groupBy("source", "c2", "left_c1").agg(F.sum("size").alias("words"))
     cut2 = boundary(sums, "c2", "left_c1")
     cuts = staged(_with(_with(targets, cut1), cut2), "cuts")
+    work.clear()
 
     all_rows = _with(rows, cuts).withColumns({"a": first, "b": second})
     # no boundary: the part is 0 and nothing more is taken

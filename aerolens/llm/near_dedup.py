@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, WORD, staged
+from .common import UPPER, WORD, Scratch, staged
 from .components import connected_components
 from .substring_dedup import _HASHES
 
@@ -155,7 +155,7 @@ def _matrix(signatures: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(signatures), dtype="<u2").reshape(len(signatures), -1)
 
 
-def candidate_groups(classes: DataFrame, *, trees: int, width: int, small: int, close: float, done: float, far: float, pivots: int = 6) -> DataFrame:
+def candidate_groups(classes: DataFrame, work: Scratch, *, trees: int, width: int, small: int, close: float, done: float, far: float, pivots: int = 6) -> DataFrame:
     """Pairs (a, b) of classes that tie each candidate group together; linear in the nodes.
 
     close: estimate from which two classes of a small node are tied. In a larger
@@ -214,7 +214,7 @@ def candidate_groups(classes: DataFrame, *, trees: int, width: int, small: int,
     nodes: DataFrame | None = None
     while True:
         counts = rows.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        live = staged(rows.join(counts, "node"), "nodes")
+        live = work.staged(rows.join(counts, "node"), "nodes")
         part = live.filter(F.col("n") <= small).select("node", "id")
         nodes = part if nodes is None else nodes.unionByName(part)
         large = live.filter(F.col("n") > small).select("node", "id")
@@ -224,7 +224,7 @@ def candidate_groups(classes: DataFrame, *, trees: int, width: int, small: int,
         # the same few classes become pivots of many nodes, so their ties repeat
         chosen = with_sig.groupBy("node").agg(*(F.min_by(F.struct("id", "sig"), F.xxhash64("id", F.lit(k))).alias(f"m{k}") for k in range(pivots)))
         chosen = chosen.select("node", *(c for k in range(pivots) for c in (F.col(f"m{k}.id").alias(f"p{k}"), F.col(f"m{k}.sig").alias(f"s{k}"))))
-        parts = staged(with_sig.join(chosen, "node").mapInPandas(split, "edge boolean, x long, id long").distinct(), "branches")
+        parts = work.staged(with_sig.join(chosen, "node").mapInPandas(split, "edge boolean, x long, id long").distinct(), "branches")
         found = parts.filter("edge").select(F.col("x").alias("a"), F.col("id").alias("b"))
         edges = found if edges is None else edges.unionByName(found)
         rows = parts.filter("not edge").select(F.col("x").alias("node"), "id")
@@ -259,7 +259,7 @@ def _compare_groups(groups: DataFrame, percent: int, by: list[str]) -> DataFrame
     return packed.select(F.col("m.id").alias("ids"), F.col("m.right").alias("right"), F.col("m.set").alias("sets")).mapInPandas(run, "a long, b long")
 
 
-def exact_links(docs: DataFrame, groups: DataFrame, *, words: int, percent: int, block: int = 128, pivots: int = 4) -> DataFrame:
+def exact_links(docs: DataFrame, groups: DataFrame, work: Scratch, *, words: int, percent: int, block: int = 128, pivots: int = 4) -> DataFrame:
     """Edges (a, b) that span the exact links inside each group of classes (id, doc_id, row_hash, group)."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,8 +269,8 @@ def exact_links(docs: DataFrame, groups: DataFrame, *, words: int, percent: int,
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
     picked = groups.join(texts, ["doc_id", "row_hash"]).select("group", "id", "text").dropDuplicates(["id"])
-    sets = staged(picked.mapInPandas(read, "group long, id long, set binary"), "sets")
-    sizes = staged(sets.groupBy("group").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(1))).alias("p0"), *(F.min_by("id", F.xxhash64("id", F.lit(k + 1))).alias(f"p{k}") for k in range(1, pivots))).filter("n > 1"), "groups")
+    sets = work.staged(picked.mapInPandas(read, "group long, id long, set binary"), "sets")
+    sizes = work.staged(sets.groupBy("group").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", F.lit(1))).alias("p0"), *(F.min_by("id", F.xxhash64("id", F.lit(k + 1))).alias(f"p{k}") for k in range(1, pivots))).filter("n > 1"), "groups")
     small = sets.join(sizes.filter(F.col("n") <= block).select("group"), "group").select("group", "id", F.lit(True).alias("left"), "set")
     edges = _compare_groups(small, percent, ["group"])
     large = sizes.filter(F.col("n") > block)
@@ -291,7 +291,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, *, words: int, percent: int,
             yield batch.loc[np.array(keep, dtype=bool), ["group", "id", "pivot"]]
 
     members = sets.join(large.select("group", "n"), "group")
-    linked = staged(members.join(pivot_sets, "group").select("group", "id", "set", "pivot", "pivot_set").mapInPandas(against, "group long, id long, pivot long"), "pivots")
+    linked = work.staged(members.join(pivot_sets, "group").select("group", "id", "set", "pivot", "pivot_set").mapInPandas(against, "group long, id long, pivot long"), "pivots")
     edges = edges.unionByName(linked.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     counts = linked.groupBy("group", "pivot").agg(F.count("*").alias("k"))
     best = counts.groupBy("group").agg(F.max_by("pivot", F.struct("k", "pivot")).alias("pivot"))
@@ -299,7 +299,7 @@ def exact_links(docs: DataFrame, groups: DataFrame, *, words: int, percent: int,
     # the rest, in blocks of its own, against itself and against the blocks of the core
     sides = members.select("group", "id").join(core, "id", "left").withColumn("core", F.coalesce("core", F.lit(False)))
     many = sides.groupBy("group", "core").agg(F.ceil(F.count("*") / block).alias("k"))
-    placed = staged(sides.join(many, ["group", "core"]).select("group", "id", "core", F.pmod(F.xxhash64("id", F.lit(99)), F.col("k")).cast("int").alias("own")), "blocks")
+    placed = work.staged(sides.join(many, ["group", "core"]).select("group", "id", "core", F.pmod(F.xxhash64("id", F.lit(99)), F.col("k")).cast("int").alias("own")), "blocks")
     held = placed.select("group", "core", F.col("own").alias("other")).distinct()
     with_rest = placed.join(held.filter("not core").drop("core"), "group")
     with_core = placed.filter("not core").join(held.filter("core").drop("core"), "group")
@@ -322,10 +322,11 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees
     null, kept true. Rows of one doc_id with different texts are judged each by
     its own text.
     """
+    work = Scratch(docs.sparkSession)
     margin = 5 * math.sqrt(percent / 100 * (1 - percent / 100) / signature_size)
     rows = staged(shingle_sets(docs, words, signature_size), "signatures")
     sets = rows.filter("doc_id is not null and n_shingles > 0")
-    classes = staged(sets.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row_hash", "n_shingles", "sig")).alias("m")).select("c1", "c2", "m.*"), "classes")
+    classes = work.staged(sets.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "row_hash", "n_shingles", "sig")).alias("m")).select("c1", "c2", "m.*"), "classes")
     # a doc_id with several texts has several classes, so classes have ids of their own
     seed = 0
     while not (named := classes.withColumn("id", F.xxhash64("c1", "c2", F.lit(seed)))).groupBy("id").count().filter("count > 1").isEmpty():
@@ -336,14 +337,16 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, trees
     large = classes.filter(F.col("n_shingles") >= least)
     apart = 1 - percent / 100
     done = 1 - 2 * apart
-    pairs = candidate_groups(large, trees=trees, width=width, small=small, close=1 - apart - margin, done=done, far=max(0.1, done - apart - 0.1))
-    groups = staged(connected_components(pairs).select("id", F.col("component").alias("group")), "candidates")
+    pairs = candidate_groups(large, work, trees=trees, width=width, small=small, close=1 - apart - margin, done=done, far=max(0.1, done - apart - 0.1))
+    groups = work.staged(connected_components(pairs, work).select("id", F.col("component").alias("group")), "candidates")
     members = groups.join(classes.select("id", "doc_id", "row_hash"), "id")
-    links = staged(exact_links(docs, members, words=words, percent=percent), "exact")
-    components = connected_components(links).join(classes.select("id", "doc_id"), "id")
+    links = work.staged(exact_links(docs, members, work, words=words, percent=percent), "exact")
+    components = connected_components(links, work).join(classes.select("id", "doc_id"), "id")
     smallest = components.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     linked = components.join(smallest, "component").select("id", "component_id")
     labels = classes.select("c1", "c2", "id", "doc_id").join(linked, "id", "left").select("c1", "c2", F.coalesce("component_id", "doc_id").alias("component_id"))
+    labels = staged(labels, "labels")
+    work.clear()
     known = sets.select("doc_id", "row_hash", "n_shingles", "c1", "c2").join(labels, ["c1", "c2"]).select("doc_id", "row_hash", "n_shingles", "component_id")
     rest = rows.filter("doc_id is null or n_shingles = 0").select("doc_id", "row_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     return known.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

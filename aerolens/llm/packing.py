@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Scratch, staged
 from .tokens import encoded
 
 
@@ -158,6 +158,7 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, shard_pieces: int = 4096, i
 
         return run
 
+    work = Scratch(pieces.sparkSession)
     kind = "shard long, island int, sizes array<int>, groups array<array<int>>, n int"
     state = shards.select("shard", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), sizes.alias("sizes"), F.lit(None).cast("array<array<int>>").alias("groups")).withColumn("groups", F.coalesce("groups", F.array().cast("array<array<int>>")))
     # an island costs seconds for a few kilobytes, so tasks are not merged by size
@@ -166,8 +167,9 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, shard_pieces: int = 4096, i
         if turn:
             elite = state.select("shard", ((F.col("island") + 1) % islands).cast("int").alias("island"), F.slice("groups", 1, 1).alias("elite"))
             state = state.join(elite, ["shard", "island"]).withColumn("groups", F.concat("elite", F.slice("groups", 1, 3))).drop("elite", "n")
-        state = staged(state.repartition(tasks, "shard", "island").mapInPandas(step(turn), kind), "islands")
-    best = state.groupBy("shard").agg(F.min_by(F.get("groups", F.lit(0)), F.struct("n", "island")).alias("group"))
+        state = work.staged(state.repartition(tasks, "shard", "island").mapInPandas(step(turn), kind), "islands")
+    best = staged(state.groupBy("shard").agg(F.min_by(F.get("groups", F.lit(0)), F.struct("n", "island")).alias("group")), "groupings")
+    work.clear()
 
     def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

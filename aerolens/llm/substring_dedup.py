@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, discard, staged
+from .common import WORD, Scratch, staged
 
 _WORD = re.compile(WORD)
 #: 2^64-invertible bases of the rolling hashes, 3 modulo 8.
@@ -123,10 +123,11 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, *, window: int = 50, pe
 
     texts = _keyed(docs)
     known = texts.join(copies, ["doc_id", "row_hash"], "left_anti")
-    every = staged(known.select("doc_id", "text").mapInArrow(anchors, "anchor long, doc_id long"), "anchors")
+    work, found_anchors = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    every = found_anchors.staged(known.select("doc_id", "text").mapInArrow(anchors, "anchor long, doc_id long"), "anchors")
     shared = every.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("anchor")
-    by_doc = staged(every.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "shared")
-    discard(every)
+    by_doc = work.staged(every.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "shared")
+    found_anchors.clear()
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,11 +160,11 @@ def repeated_windows(docs: DataFrame, copies: DataFrame, *, window: int = 50, pe
             yield pa.RecordBatch.from_pydict({"low": low, "high": high, "doc_id": batch.column("doc_id").take(rows), "row_hash": batch.column("row_hash").take(rows), "places": places})
 
     found = known.join(by_doc, "doc_id").mapInArrow(extend, "low long, high long, doc_id long, row_hash long, places array<int>")
-    windows = staged(found, "windows")
+    windows = work.staged(found, "windows")
     firsts = windows.groupBy("low", "high").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).filter("first_doc < last_doc").select("low", "high", "first_doc")
     later = windows.join(firsts, ["low", "high"]).filter("doc_id > first_doc")
     places = staged(later.groupBy("doc_id", "row_hash").agg(F.flatten(F.collect_list("places")).alias("places")), "places")
-    discard(by_doc, windows)
+    work.clear()
     return places
 
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import Scratch, staged
 from .components import connected_components
 from .near_dedup import _Forest
 from .vectors import matrix, usable
@@ -64,10 +64,11 @@ def vector_near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_co
     null and is kept. Other columns are not carried. Without a width the one
     that needs fewest tables is taken.
     """
+    work = Scratch(vectors.sparkSession)
     rows = usable(vectors, id_col, vec_col)
     # equal vectors are one class from here on, however many there are; its id is its own, as one vec_id may have several
     classes = rows.groupBy("vec").agg(F.min("id").alias("first"), F.count("*").alias("size"))
-    classes = staged(classes.select(F.monotonically_increasing_id().alias("id"), "first", "size", "vec", F.size("vec").alias("dim")), "vectors")
+    classes = work.staged(classes.select(F.monotonically_increasing_id().alias("id"), "first", "size", "vec", F.size("vec").alias("dim")), "vectors")
     # vectors travel in the type that they came in
     kind = vectors.schema[vec_col].dataType.simpleString()
     n = classes.count()
@@ -81,7 +82,7 @@ def vector_near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_co
                 x /= np.sqrt((x * x).sum(axis=1))[:, None]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "size": part["size"].to_numpy(), "dim": part["dim"].to_numpy(), "vec": list(part["vec"]), "keys": list(bucket_keys(x, projections, tables, width, seed))})
 
-    hashed = staged(classes.select("id", "size", "dim", F.col("vec").cast(kind).alias("vec")).mapInPandas(keys, f"id long, size long, dim int, vec {kind}, keys array<int>"), "hashed")
+    hashed = work.staged(classes.select("id", "size", "dim", F.col("vec").cast(kind).alias("vec")).mapInPandas(keys, f"id long, size long, dim int, vec {kind}, keys array<int>"), "hashed")
     dealt = hashed.select("id", "dim", F.posexplode("keys").alias("t", "key"))
     counts = dealt.groupBy("t", "dim", "key").agg(F.count("*").alias("n")).filter("n > 1")
     live = dealt.join(counts, ["t", "dim", "key"])
@@ -117,13 +118,15 @@ def vector_near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_co
                 out += [(p, q, 0) for p, q in forest.edges(names_of)]
             yield pd.DataFrame(out, columns=["a", "b", "n"]).astype({"a": "Int64", "b": "Int64", "n": "Int64"})
 
-    found = staged(groups.select("t", "i", "j", *(F.col(f"m.{c}").alias(n) for c, n in (("id", "ids"), ("size", "sizes"), ("own", "own"), ("vec", "vecs"), ("keys", "names")))).mapInPandas(compare, "a long, b long, n long"), "pairs")
+    found = work.staged(groups.select("t", "i", "j", *(F.col(f"m.{c}").alias(n) for c, n in (("id", "ids"), ("size", "sizes"), ("own", "own"), ("vec", "vecs"), ("keys", "names")))).mapInPandas(compare, "a long, b long, n long"), "pairs")
     links = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("outer")).withColumnRenamed("a", "id")
-    components = connected_components(found.filter("b is not null").select("a", "b")).join(classes.select("id", "first"), "id")
+    components = connected_components(found.filter("b is not null").select("a", "b"), work).join(classes.select("id", "first"), "id")
     smallest = components.groupBy("component").agg(F.min("first").alias("component_id"))
     linked = components.join(smallest, "component").select("id", "component_id")
     labels = classes.select("id", "first", "size", "vec").join(links, "id", "left").join(linked, "id", "left")
     labels = labels.select("vec", (F.col("size") - 1 + F.coalesce("outer", F.lit(0))).alias("n_links"), F.coalesce("component_id", "first").alias("component_id"))
+    labels = staged(labels, "labels")
+    work.clear()
     known = rows.join(labels, "vec").select("id", "n_links", "component_id")
     every = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     good = F.coalesce(F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0), F.lit(False))
