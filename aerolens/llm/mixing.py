@@ -22,7 +22,9 @@ def source_targets(totals: DataFrame, weights: Sequence[float], share: float, ma
     `share` times all words; none exceeds max_epochs times its own size and the
     excess goes to the others by weight until none is above. Sorted by cap over
     weight the capped sources are a prefix, so one pass of running sums finds
-    the level. One row a source goes through one task here, nothing else does.
+    the level. One row a source goes through one task here, nothing else does;
+    that suits names of sources, up to some millions, not a column such as a
+    url host.
     """
     every = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.row_number().over(every) - 1) % len(weights) + 1).cast("int"))
@@ -53,10 +55,14 @@ def mix_sources(docs: DataFrame, *, weights: Sequence[float] = (3.0, 1.0, 2.0),
     repetition it takes documents in the order of md5(seed, doc_id), whole ones
     until the target is reached and the last in part, so a source's sum is its
     target to the word. Null text: size 0. Null sources are one source, the
-    last. Equal documents (ties, repeated rows) are interchangeable; a null
-    doc_id hashes as empty text. No documents: no rows.
+    last. Equal documents (ties, repeated rows) are interchangeable; where the
+    doc_id is null the text takes its place in the order. Only rows of one
+    doc_id, or of one text without id, must share a cell of the order, and only
+    the cell in which a source's words run out is sorted, by one task a source.
+    No documents: no rows.
     """
-    order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    order = F.md5(F.concat(F.lit(f"{seed}:"), name))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = staged(docs.select("doc_id", "source", size.alias("size"), order.alias("nth"), F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried")), "sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)

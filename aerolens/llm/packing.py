@@ -131,12 +131,14 @@ def evolve(sizes: np.ndarray, capacity: int, population: list[np.ndarray], seed:
     return [g for _, _, g in ranked]
 
 
-def pack(pieces: DataFrame, *, capacity: int = 1024, shard_pieces: int = 4096, islands: int = 2, rounds: int = 3, children: int = 24, seed: int = 1) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 1024, shard_pieces: int = 4096, islands: int = 2, rounds: int = 8, children: int = 24, seed: int = 1) -> DataFrame:
     """sequence_id and offset for every piece (uid, length and further columns).
 
     A full piece is a sequence of its own. Others are dealt by hash of uid to
     shards of about shard_pieces, so no shard grows with the data; each shard
-    loses at most part of one sequence. islands evolve each shard in rounds.
+    loses at most part of one sequence. islands evolve each shard in rounds,
+    until a round saves no sequence or every shard is at its lower bound, at
+    most `rounds` of them.
     """
     columns = pieces.columns
     full = pieces.filter(F.col("length") >= capacity).select(*columns, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -161,13 +163,19 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, shard_pieces: int = 4096, i
     work = Scratch(pieces.sparkSession)
     kind = "shard long, island int, sizes array<int>, groups array<array<int>>, n int"
     state = shards.select("shard", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), sizes.alias("sizes"), F.lit(None).cast("array<array<int>>").alias("groups")).withColumn("groups", F.coalesce("groups", F.array().cast("array<array<int>>")))
-    # an island costs seconds for a few kilobytes, so tasks are not merged by size
-    tasks = min(n_shards * islands, max(2000, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    # an island costs seconds for a few kilobytes, so tasks are not merged by size; a task has some islands where there are many
+    n_islands = n_shards * islands
+    tasks = max(min(n_islands, 2000), n_islands // 16)
+    fewest = None
     for turn in range(rounds):
         if turn:
             elite = state.select("shard", ((F.col("island") + 1) % islands).cast("int").alias("island"), F.slice("groups", 1, 1).alias("elite"))
             state = state.join(elite, ["shard", "island"]).withColumn("groups", F.concat("elite", F.slice("groups", 1, 3))).drop("elite", "n")
         state = work.staged(state.repartition(tasks, "shard", "island").mapInPandas(step(turn), kind), "islands")
+        now, least = state.groupBy("shard").agg(F.min("n").alias("n"), F.first(F.ceil(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x) / capacity)).alias("least")).agg(F.sum("n"), F.sum("least")).first()
+        if now == least or now == fewest:
+            break
+        fewest = now
     best = staged(state.groupBy("shard").agg(F.min_by(F.get("groups", F.lit(0)), F.struct("n", "island")).alias("group")), "groupings")
     work.clear()
 

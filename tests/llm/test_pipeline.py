@@ -49,3 +49,23 @@ def test_stages(spark, tmp_path):
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     key = lambda r: (r["doc_id"], r["piece"], r["ids_crc32"])
     assert sorted(map(key, whole)) == sorted(map(key, packed))
+
+
+def test_stages_on_null_rows_and_no_rows(spark, tmp_path):
+    """Every stage keeps its promises on nulls in any column, repeated rows and an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars int, score double, piece int"
+    rows = [(1, None, None, None, None, 0.5, 1), (2, "", "en", None, 0, None, None), (None, "no id here at all", None, "a", 17, None, 2), (3, "a line that comes twice\nx", "en", "a", None, 0.1, 3), (4, "A line that comes twice \ny z", "en", "a", 27, 0.1, 3), (4, "A line that comes twice \ny z", "en", "a", 27, 0.1, 3), (None, None, None, None, None, None, None)]
+    spark.createDataFrame([(3, 0, None), (None, 1, 1), (4, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, schema)
+    got = {name: sorted(map(str, (tuple(r) for r in stage(spark, docs, str(tmp_path)).collect()))) for name, stage in corpus_pipeline.STAGES}
+    assert len(got["toxicity"]) == len(got["line_dedup"]) == 7
+    texts = sorted(r["text"] for r in corpus_pipeline.drop_lines(spark, docs, str(tmp_path)).collect())
+    assert texts == ["", "", "", "a line that comes twice\nx", "no id here at all", "y z", "y z"]
+    assert len(got["near_dedup"]) == 7
+    # documents without words are taken once
+    assert sum("None" in r or "''" in r for r in got["mixing"]) >= 3
+    assert len(got["packing"]) == 7
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        assert name == "packing" or empty.columns == list(COLUMNS)
