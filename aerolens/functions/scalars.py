@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,6 +107,18 @@ def kv_map(text: Column, dashes: bool = False) -> Column:
     return F.when(valid, F.map_from_entries(last))
 
 
+def kv_field(text: Column, key: str) -> Column:
+    """The value of one key of a key=value text, found without building the map; null where it is missing.
+
+    As in kv_map the last of equal keys counts, quotes are removed and an
+    underscore in the text stands for a dash of the key. What follows the key is
+    not looked at.
+    """
+    name = "[-_]".join(re.escape(part) for part in re.split("[-_]", key))
+    value = F.regexp_extract(text, rf'(?s)^(?:(?:[^\s="]++(?:=(?:"[^"]*+"|[^\s"]*+))?)?\s++)*{name}=("[^"]*"|[^\s"]*)', 1)
+    return F.when(value != "", F.regexp_replace(value, '^"|"$', ""))
+
+
 def split_records(text: Column) -> Column:
     """The records of a line, separated by bars."""
     return F.transform(F.split(text, r"\|"), lambda x: F.trim(x))

@@ -18,23 +18,8 @@ from pyspark.sql.types import StructType
 Step = Callable[[Any, list[dict]], tuple[Any, list[dict]]]
 
 
-def run_groups(df: DataFrame, keys: Sequence[str], order: Sequence[str], work: Callable[[list[dict]], list[dict]], schema: str) -> DataFrame:
-    """work on the rows of each key in order. Many small groups go to Python in one Arrow batch."""
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-    rows = F.struct(*order, *(c for c in df.columns if c not in order and c not in keys), *(c for c in keys if c not in order))
-    grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(rows)).alias("rows")).select("rows")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                out = [o for group in batch.column("rows").slice(at, 512).to_pylist() for o in work(group)]
-                yield pa.RecordBatch.from_pylist(out, schema=arrow)
-
-    return grouped.mapInArrow(run, schema)
-
-
-def run_keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: str) -> DataFrame:
-    """Batch form of a step: the rows of each key in order, from an empty state.
+def run_keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: str, finish: Callable[[Any], list[dict]] = lambda state: []) -> DataFrame:
+    """Batch form of a step: the rows of each key in order, from an empty state; finish gives what a state still holds.
 
     Rows are sorted by Spark and streamed, with the state carried from batch to
     batch, so a key of any size is never held as a whole.
@@ -51,13 +36,17 @@ def run_keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: St
                 k = tuple(row[c] for c in keys)
                 if k != key:
                     if same:
-                        out += step(state, same)[1]
+                        state, more = step(state, same)
+                        out += more
+                    out += finish(state)
                     key, state, same = k, None, []
                 same.append(row)
             if same:
                 state, more = step(state, same)
                 out += more
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
+        if left := finish(state):
+            yield pa.RecordBatch.from_pylist(left, schema=arrow)
 
     return rows.mapInArrow(run, schema)
 
@@ -101,30 +90,41 @@ def suppress_repeats(df: DataFrame, keys: Sequence[str], ts: str = "ts", window_
 ASSOCIATION = "station string, ts_us long, bssid string, is_ap boolean, event string"
 
 
-def association_step(timeout_us: int = 300_000_000, refresh_us: int = 60_000_000, ap_hold_us: int = 60_000_000) -> Step:
+def association_step(timeout_us: int = 300_000_000, refresh_us: int = 60_000_000, ap_hold_us: int = 60_000_000, tx_hold_us: int = 60_000_000, rx_guard: str = "documented") -> Step:
     """New station, changed BSSID, or a refresh when the last event is old; an access point holds its BSSID for a while.
 
-    The state of a key is its BSSID, role, last event and last update; it ends after the timeout.
+    A frame that a station receives (as_tx false) may change its BSSID only when
+    it has sent none for tx_hold_us. With rx_guard "code" every change is refused
+    that long after the BSSID was last set by a sent frame, as the older system
+    does. The state of a key is its BSSID, role, last event, last update and last
+    sent frame; it ends after the timeout.
     """
+    documented = rx_guard == "documented"
 
     def step(state: tuple | None, rows: list[dict]) -> tuple[tuple | None, list[dict]]:
         out = []
         for row in rows:
-            t, bssid, is_ap = int(row["ts_us"]), row["bssid"], bool(row["is_ap"])
+            t, bssid, is_ap, as_tx = int(row["ts_us"]), row["bssid"], bool(row["is_ap"]), bool(row.get("as_tx", True))
             if state is not None and t - state[3] > timeout_us:
                 state = None
+            sent = t if as_tx else None
             if state is None:
                 event = "new"
             elif bssid != state[0]:
-                if state[1] and t - state[3] < ap_hold_us:
+                quiet = state[4] is None or t - state[4] >= tx_hold_us
+                refused = not as_tx and not quiet if documented else quiet
+                if (state[1] and t - state[3] <= ap_hold_us) or refused:
+                    if documented and as_tx:
+                        state = (*state[:4], t)
                     continue
-                event = "change"
-            elif t - state[2] >= refresh_us:
-                event = "refresh"
+                event, sent = "change", t if as_tx else state[4]
             else:
-                state = (bssid, state[1] or is_ap, state[2], t)
-                continue
-            state = (bssid, is_ap, t, t)
+                last_tx = t if documented and as_tx else state[4]
+                if t - state[2] < refresh_us:
+                    state = (bssid, state[1], state[2], t, last_tx)
+                    continue
+                event, is_ap, sent = "refresh", state[1], last_tx
+            state = (bssid, is_ap, t, t, sent)
             out.append({"station": row["station"], "ts_us": t, "bssid": bssid, "is_ap": is_ap, "event": event})
         return state, out
 
@@ -132,19 +132,29 @@ def association_step(timeout_us: int = 300_000_000, refresh_us: int = 60_000_000
 
 
 def association_rows(df: DataFrame) -> DataFrame:
-    """Two rows a data frame, for its transmitter and its receiver; multicast stations are none."""
+    """Two rows a data frame, for its transmitter and its receiver.
+
+    Frames without data, to or from multicast addresses, and without a BSSID or
+    with the broadcast one tell nothing. Addresses are texts.
+    """
+    from aerolens.functions.scalars import is_multicast
+
     us = F.unix_micros("ts")
-    sides = F.array(F.struct(F.col("ta").cast("string").alias("station"), (F.col("dir") == 2).alias("is_ap")), F.struct(F.col("ra").cast("string").alias("station"), (F.col("dir") == 1).alias("is_ap")))
-    rows = df.filter("bssid is not null").select("frame_id", us.alias("ts_us"), F.col("bssid").cast("string").alias("bssid"), F.explode(sides).alias("s"))
-    return rows.select("frame_id", "ts_us", "bssid", "s.station", "s.is_ap").filter("station is not null")
+    side = lambda address, role, sent: F.struct(F.col(address).alias("station"), (F.col("dir") == role).alias("is_ap"), F.lit(sent).alias("as_tx"))
+    data = df.filter((F.col("ftype") == 2) & (F.col("fsubtype").bitwiseAND(F.lit(4)) == 0) & ~is_multicast(F.col("ra")) & ~is_multicast(F.col("ta")) & (F.col("bssid") != "ff:ff:ff:ff:ff:ff"))
+    rows = data.select("frame_id", us.alias("ts_us"), "bssid", F.explode(F.array(side("ta", 2, True), side("ra", 1, False))).alias("s"))
+    return rows.select("frame_id", "ts_us", "bssid", "s.station", "s.is_ap", "s.as_tx")
 
 
 def associations(df: DataFrame, **options) -> DataFrame:
-    """Association events of every station. A state ends after the timeout, so a station is cut at longer gaps."""
+    """Association events of every station. A state ends after the timeout, so a station is cut at longer gaps.
+
+    Of the two rows of one frame the sent one comes first.
+    """
     w = Window.partitionBy("station").orderBy("ts_us", "frame_id")
     new = F.coalesce((F.col("ts_us") - F.lag("ts_us").over(w) > options.get("timeout_us", 300_000_000)).cast("int"), F.lit(1))
-    rows = association_rows(df).withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    return run_keyed(rows, ["station", "_island"], ["ts_us", "frame_id"], association_step(**options), ASSOCIATION)
+    rows = association_rows(df).withColumn("_rx", ~F.col("as_tx")).withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return run_keyed(rows, ["station", "_island"], ["ts_us", "frame_id", "_rx"], association_step(**options), ASSOCIATION)
 
 
 def bss_state(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -180,7 +190,7 @@ def station_stats(df: DataFrame, interval: str = "300 seconds", keys: Sequence[s
     from .windows import sequence_gaps
 
     rows = sequence_gaps(df.filter(F.col("ta").isNotNull()), keys[0])
-    data = (F.col("ftype") == 2) & ~F.col("fsubtype").isin(4, 12)
+    data = (F.col("ftype") == 2) & (F.col("fsubtype").bitwiseAND(F.lit(4)) == 0)
     beacon = (F.col("ftype") == 0) & (F.col("fsubtype") == 8)
     flag = F.when(data & (F.col("dir") == 1), 1).when(data & (F.col("dir") == 2) | beacon, 2).when(data & (F.col("dir") == 0), 4).otherwise(0)
     out = rows.groupBy(F.window("ts", interval).alias("w"), *keys).agg(
@@ -194,65 +204,133 @@ def station_stats(df: DataFrame, interval: str = "300 seconds", keys: Sequence[s
 MERGED = "frame_id long, payload_hash long, ts_us long, channel int, is_dupe boolean, members array<struct<sniffer_id:int,ts_us:long,channel:int,rssi:int,noise:int>>"
 
 
-def merge_island(rows: list[dict], *, max_err: int = 250_000, ctrl_err: int = 300, rssi_thresh: int = 5, slack: int = 250_000) -> list[dict]:
-    """Merge the captures of one content, in time order, into transmissions.
+def _bound(row: dict, max_err: int, ctrl_err: int) -> int:
+    return min(row["err_us"], ctrl_err) if row["is_ctrl"] else max(row["err_us"], max_err)
+
 
-    The earliest capture left is the base. Its error bound opens a window; a
-    second capture of the same sniffer closes it half way to the first such one. One
-    capture a sniffer inside the window belongs to the transmission. The channel
-    is that of the strongest capture, unknown (0) if one nearly as strong disagrees.
+def _member(row: dict) -> dict:
+    return {"sniffer_id": int(row["sniffer_id"]), "ts_us": int(row["local_us"]), "channel": int(row["channel"]), "rssi": int(row["rssi"]), "noise": int(row["noise"])}
+
+
+def merge_first(left: list[dict], *, max_err: int = 250_000, ctrl_err: int = 300, rssi_thresh: int = 5) -> tuple[dict, list[dict], int]:
+    """(transmission of the earliest capture, the captures left, the time up to which captures belong to it or are duplicates).
+
+    The earliest capture is the base. Its error bound opens a window; a later
+    capture of the base's own sniffer closes it half way. One capture a sniffer
+    inside the window belongs to the transmission. The channel is that of the
+    strongest capture above the noise, unknown (0) if one nearly as strong
+    disagrees. The time is that of the middle member on its own clock.
+    """
+    base = left[0]
+    high = base["ts_us"] + _bound(base, max_err, ctrl_err)
+    limit = high + max_err
+    again = next((r["ts_us"] for r in left if r["sniffer_id"] == base["sniffer_id"] and r["ts_us"] != base["ts_us"]), None)
+    if again is not None:
+        limit = min(limit, base["ts_us"] + (again - base["ts_us"]) // 2)
+    members, rest, taken = [], [], set()
+    best, channel = -999, 0
+    for r in left:
+        if r["ts_us"] > limit or r["ts_us"] - r["err_us"] > high or r["sniffer_id"] in taken:
+            rest.append(r)
+            continue
+        members.append(r)
+        taken.add(r["sniffer_id"])
+        strength = r["rssi"] - r["noise"]
+        if strength > best + rssi_thresh:
+            best, channel = strength, r["channel"]
+        elif strength > best - rssi_thresh and r["channel"] != channel:
+            channel = 0
+    at = members[len(members) // 2]["local_us"] if len(members) > 1 else base["ts_us"]
+    out = {"frame_id": base["frame_id"], "payload_hash": base["payload_hash"], "ts_us": int(at), "channel": int(channel), "is_dupe": False, "members": [_member(r) for r in members]}
+    return out, rest, limit
+
+
+def merge_step(**options) -> Step:
+    """Captures of one content in time order: a transmission is put out when no later capture can belong to it.
+
+    The state holds the captures within half a second of the earliest one left.
     """
-    bound = lambda r: min(r["err_us"], ctrl_err) if r["is_ctrl"] else max(r["err_us"], max_err)
-    left, out = list(rows), []
+    max_err, ctrl_err = options.get("max_err", 250_000), options.get("ctrl_err", 300)
+
+    def step(left: list[dict] | None, rows: list[dict]) -> tuple[list[dict], list[dict]]:
+        left, out = left or [], []
+        for row in rows:
+            while left and row["ts_us"] > left[0]["ts_us"] + _bound(left[0], max_err, ctrl_err) + max_err:
+                done, left, _ = merge_first(left, **options)
+                out.append(done)
+            left.append(row)
+        return left, out
+
+    return step
+
+
+def merge_rest(left: list[dict] | None, **options) -> list[dict]:
+    """The transmissions of all captures left."""
+    out = []
     while left:
-        base = left[0]
-        high = base["ts_us"] + bound(base)
-        limit = high + slack
-        seen = set()
-        for r in left:
-            if r["sniffer_id"] in seen and r["ts_us"] != base["ts_us"]:
-                first = next(x for x in left if x["sniffer_id"] == r["sniffer_id"])
-                limit = min(limit, first["ts_us"] + (r["ts_us"] - first["ts_us"]) // 2)
-                break
-            seen.add(r["sniffer_id"])
-        members, rest, taken = [], [], set()
-        for r in left:
-            if r["ts_us"] <= limit and r["ts_us"] - bound(r) <= high and r["sniffer_id"] not in taken:
-                members.append(r)
-                taken.add(r["sniffer_id"])
-            else:
-                rest.append(r)
-        if not members:
-            members, rest = [base], left[1:]
-        best, channel = members[0], members[0]["channel"]
-        for r in members[1:]:
-            if r["rssi"] > best["rssi"] + rssi_thresh:
-                best, channel = r, r["channel"]
-            elif r["rssi"] >= best["rssi"] - rssi_thresh and r["channel"] != channel:
-                channel = 0
-        out.append({
-            "frame_id": base["frame_id"], "payload_hash": base["payload_hash"], "ts_us": members[len(members) // 2]["ts_us"], "channel": channel, "is_dupe": False,
-            "members": [{k: int(r[k]) for k in ("sniffer_id", "ts_us", "channel", "rssi", "noise")} for r in members],
-        })
-        left = rest
+        done, left, _ = merge_first(left, **options)
+        out.append(done)
     return out
 
 
+def arrival_step(timeout_us: int = 10_000_000, expiry_us: int = 120_000_000, **options) -> Step:
+    """Captures of one content in the order of their arrival (arrival_us), as a merger that runs meets them.
+
+    A transmission is put out the timeout after its earliest capture arrived. A
+    capture that comes later with a time up to the limit of the last transmission
+    is a duplicate, put out alone; the limit is forgotten the expiry after that
+    transmission, if nothing is left by then. The state is (captures left in time
+    order, limit, time of the last output).
+    """
+
+    def step(state: tuple | None, rows: list[dict]) -> tuple[tuple, list[dict]]:
+        left, limit, last = state or ([], None, None)
+        out = []
+        for row in rows:
+            now = row["arrival_us"]
+            while left and left[0]["arrival_us"] + timeout_us <= now:
+                last = left[0]["arrival_us"] + timeout_us
+                done, left, limit = merge_first(left, **options)
+                out.append(done)
+            if not left and limit is not None and now >= last + expiry_us:
+                limit = None
+            if limit is not None and row["ts_us"] <= limit:
+                out.append({"frame_id": row["frame_id"], "payload_hash": row["payload_hash"], "ts_us": int(row["ts_us"]), "channel": int(row["channel"]), "is_dupe": True, "members": [_member(row)]})
+                continue
+            at = next((i for i, r in enumerate(left) if row["ts_us"] <= r["ts_us"]), len(left))
+            left.insert(at, row)
+        return (left, limit, last), out
+
+    return step
+
+
 def merge_captures(df: DataFrame, **options) -> DataFrame:
-    """Transmissions from captures (frame_id, payload_hash, ts_us, err_us, sniffer_id, channel, rssi, noise, is_ctrl).
+    """Transmissions from captures (frame_id, payload_hash, ts_us, sniffer_id, channel, rssi, noise, is_ctrl).
 
-    Captures of equal content more than 500 ms apart never meet, so a content is
-    cut into islands at such gaps; that splits hot contents such as equal
-    acknowledgements. Islands of one capture never reach Python.
+    err_us (0) is the error bound of a time, local_us (ts_us) the time on the
+    sniffer's own clock. With arrival_us captures are merged in the order of
+    their arrival and late ones become duplicates; else all are at hand, in the
+    order of time, sniffer and frame, and there are none.
+
+    A content is cut where no capture before can meet one after, so hot contents
+    such as equal acknowledgements are many small groups; the rows of a group are
+    streamed, and only half a second of them is held. Groups of one capture never
+    reach Python.
     """
-    rows = df if "err_us" in df.columns else df.withColumn("err_us", F.lit(0))
+    for column, default in (("err_us", F.lit(0)), ("local_us", F.col("ts_us"))):
+        if column not in df.columns:
+            df = df.withColumn(column, default)
+    if "arrival_us" in df.columns:
+        return run_keyed(df, ["payload_hash"], ["arrival_us", "frame_id"], arrival_step(**options), MERGED, lambda state: merge_rest(state[0] if state else None, **{k: v for k, v in options.items() if k not in ("timeout_us", "expiry_us")}))
+    bound = F.when(F.col("is_ctrl"), F.least("err_us", F.lit(options.get("ctrl_err", 300)))).otherwise(F.greatest("err_us", F.lit(options.get("max_err", 250_000))))
     w = Window.partitionBy("payload_hash").orderBy("ts_us", "sniffer_id", "frame_id")
-    marked = rows.withColumn("_new", F.coalesce((F.col("ts_us") - F.lag("ts_us").over(w) > 500_000).cast("int"), F.lit(1)))
+    reached = F.max(F.col("ts_us") + bound).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    lowest = F.min(F.col("ts_us") - F.col("err_us")).over(w.rowsBetween(0, Window.unboundedFollowing))
+    marked = df.withColumn("_new", F.coalesce((lowest > reached).cast("int"), F.lit(1)))
     islands = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.count("*").over(Window.partitionBy("payload_hash", "_island")))
-    alone = islands.filter("_n = 1").select("frame_id", "payload_hash", "ts_us", "channel", F.lit(False).alias("is_dupe"), F.array(F.struct("sniffer_id", "ts_us", "channel", "rssi", "noise")).alias("members"))
-
-    cols = ["ts_us", "sniffer_id", "frame_id"]
-    many = run_groups(islands.filter("_n > 1"), ["payload_hash", "_island"], cols, lambda rows: merge_island(rows, **options), MERGED)
+    own = F.array(F.struct("sniffer_id", F.col("local_us").alias("ts_us"), "channel", "rssi", "noise"))
+    alone = islands.filter("_n = 1").select("frame_id", "payload_hash", "ts_us", "channel", F.lit(False).alias("is_dupe"), own.alias("members"))
+    many = run_keyed(islands.filter("_n > 1").drop("_new", "_n"), ["payload_hash", "_island"], ["ts_us", "sniffer_id", "frame_id"], merge_step(**options), MERGED, lambda left: merge_rest(left, **options))
     return alone.unionByName(many)
 
 
@@ -270,9 +348,10 @@ def estimate_skew(merged: DataFrame, window: int = 11) -> DataFrame:
 def apply_skew(captures: DataFrame, skews: DataFrame, default_err: int = 100_000, clamp: tuple[int, int] = (50, 250_000)) -> DataFrame:
     """Captures on the base sniffer's clock: skews hold sniffer_id, skew_us, spread_us, one row a sniffer.
 
-    A sniffer without a path keeps its time and gets the default error.
+    A sniffer without a path keeps its time and gets the default error. local_us
+    is the time on the sniffer's own clock.
     """
-    joined = captures.join(skews, "sniffer_id", "left")
+    joined = captures.join(skews, "sniffer_id", "left").withColumn("local_us", F.col("ts_us"))
     err = F.least(F.greatest(F.coalesce("spread_us", F.lit(default_err)), F.lit(clamp[0])), F.lit(clamp[1]))
     return joined.withColumn("ts_us", F.col("ts_us") - F.coalesce("skew_us", F.lit(0))).withColumn("err_us", err.cast("int")).drop("skew_us", "spread_us")
 

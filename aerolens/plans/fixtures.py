@@ -1,7 +1,8 @@
 """Views that give the operators wireless-shaped input from the driver's tables.
 
 One SQL text serves Spark and DuckDB; `US(x)` stands for the microseconds of a
-time in the dialect at hand.
+time and `LOGTIME(x)` for the time of a log line in the dialect at hand; Spark
+reckons `ONCE(x)` once, however often the column is used.
 """
 
 from __future__ import annotations
@@ -72,11 +73,35 @@ FROM events WHERE event_type IN ('view', 'click')""",
 SELECT CAST(ts AS TIMESTAMP) AS ts, user_id AS src_mac, event_id % 8 AS sig_id, 1 AS sig_rev,
        CAST(event_id % 3 AS INT) AS priority, concat('sig ', CAST(event_id % 8 AS VARCHAR(8))) AS message
 FROM events WHERE event_type = 'error'""",
+    # log lines of every kind; some miss their last field, hold no number, or use underscores
     "fx_loglines": """
-SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, 'pcap' AS source, 'INFO' AS level,
-       concat('STATS host=citysense', CAST(event_id % 7 AS VARCHAR(8)), ' kern-recv=', CAST((event_id * 31) % 1000 AS VARCHAR(8)),
-              ' kern-drop=', CAST(event_id % 3 AS VARCHAR(8))) AS data
-FROM events""",
+SELECT event_id, ts, source, level,
+       ONCE(CASE WHEN event_id % 11 = 3 THEN regexp_replace(data, ' [^ ]*$', '') WHEN event_id % 13 = 5 THEN regexp_replace(data, '=[0-9]+$', '=x') ELSE data END) AS data
+FROM (
+  SELECT event_id, ts, CASE WHEN event_id % 9 = 4 THEN 'WARN' WHEN event_id % 9 = 5 THEN 'DEBUG' ELSE 'INFO' END AS level,
+         CASE k WHEN 0 THEN 'pcap' WHEN 1 THEN 'script' WHEN 2 THEN 'queries' WHEN 3 THEN 'to_server' WHEN 4 THEN 'to_server' WHEN 5 THEN 'wifi_ol' WHEN 6 THEN 'wifi_ol_lab' WHEN 7 THEN 'ol_in_proxy'
+                WHEN 8 THEN 'wifi_ol' WHEN 9 THEN 'wifi_ol' WHEN 10 THEN 'system' WHEN 11 THEN 'wifi_merge' WHEN 12 THEN 'wifi_ol' WHEN 13 THEN 'pcap' ELSE 'wifi_ol' END AS source,
+         ONCE(CASE k WHEN 0 THEN concat('STATS host=', h, ' kern-recv=', a, ' kern-drop=', b, ' mem-drop=', c, ' pre-capt-pkts=', a, ' pre-capt-bytes=', d, ' post-capt-pkts=', b, ' post-capt-bytes=', d)
+                WHEN 1 THEN concat('STATS host=', h, ' kern_recv=', a, ' kern_drop=', b, ' pre_capt_pkts=', a, ' pre_capt_bytes=', d, ' post_capt_pkts=', b, ' post_capt_bytes=', d)
+                WHEN 2 THEN concat('STATS host=', h, ' query="q ', c, '" in-pkts=', a, ' out-pkts=', b, ' out-bytes=', d, ' drop-pkts=', c)
+                WHEN 3 THEN concat('STATS host=', h, ' query=q', c, ' port=', CASE WHEN c > 4 THEN 'on_wire' ELSE 'log' END, ' count=', b, ' bytes=', d)
+                WHEN 4 THEN concat('OUT-STATS host=', h, ' count=', b, ' bytes=', d, ' avg-compress-rate=0.', c, ' avg-compress-size=', a, '.5 avg-cpu=', c)
+                WHEN 5 THEN concat('STATS host=', h, ' routes=', a, ' self-routes=', b, ' no-route-pkts=', c, ' unclassified=', c, ' bcast-pkts=', b, ' drops=', c, ' drop-bytes=', d, ' waitq-drops=', b, ' waitq-drop-bytes=', d,
+                                   ' ttl-drops=', c, ' ttl-drop-bytes=', d, ' out-pkts=', a, ' from-self-pkts=', a, ' from-peers-pkts=', b, ' recv=', b, ' recv-bytes=', d)
+                WHEN 6 THEN concat('STATS host=', h, ' routes=', a)
+                WHEN 7 THEN concat('STATS host=', h, ' recv=', a, ' recv-bytes=', d)
+                WHEN 8 THEN concat('IN-STATS host=', h, ' peer=node', c, ' in-pkts=', a, ' in-ctrl=', b, ' in-bytes=', d)
+                WHEN 9 THEN concat('OUT-STATS host=', h, ' peer=node', c, ' queued-pkts=', a, ' queued-ctrl=', b, ' queued-bytes=', d, ' queued-reroutes=', c, ' drop-pkts=', b, ' drop-ctrl=', c, ' drop-bytes=', d,
+                                   ' out-all=', a, ' send-bytes=', d, ' compress-rate=0.', c, ' avg-compress-size=', a, ' avg-cpu=', c)
+                WHEN 10 THEN concat('SYSINFO host=', h, ' cpu-10=', a, '.25 maxrss-kb=', d, ' alloc-pkts=', a, '/', b)
+                WHEN 11 THEN concat('STATS host=', h, ' avg_merge=1.', c, ' out_merges=', c)
+                WHEN 12 THEN concat('created ', b, ' new routes; updated ', c, ' routes')
+                WHEN 13 THEN concat('APP-STATS host=', h, ' log-qdrops=', b, ' pkt-qdrops=', c)
+                ELSE concat('NET-USAGE src=node', c, ' dst=node', b % 9, ' capt_pkts=', b, ' capt_bytes=', d, ' | src=node', c, ' dst=node', c, ' capt_pkts=', c, ' capt_bytes=', a) END) AS data
+  FROM (
+    SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, CAST((event_id + user_id) % 15 AS INT) AS k, CASE WHEN user_id % 8 = 0 THEN 'server' ELSE concat('node', CAST(user_id % 8 AS VARCHAR(8))) END AS h,
+           CAST((event_id * 31) % 1000 AS VARCHAR(8)) AS a, CAST(event_id % 17 AS INT) AS b, CAST(user_id % 7 AS INT) AS c, CAST((event_id * 7919) % 65536 AS VARCHAR(8)) AS d
+    FROM events) AS e) AS l""",
     # fixed values: bits of the cipher set
     "lu_encryptions": """
 SELECT CAST(id AS INT) AS encryption_id, name AS encryption_desc
@@ -107,6 +132,8 @@ def with_views(sql: str, dialect: str = "spark") -> str:
         opening = re.match(r"WITH (RECURSIVE )?", text)
         rest = f",\n{text[opening.end():]}" if opening else f"\n{text}"
         text = f"WITH {(opening and opening[1]) or ''}{ctes}{rest}"
+    text = re.sub(r"\bLOGTIME\((\w+)\)", r"date_format(\1, 'MMM dd HH:mm:ss.SSS')" if dialect == "spark" else r"strftime(\1, '%b %d %H:%M:%S.%g')", text)
+    text = re.sub(r"\bONCE\((.*?)\) AS data", r"explode(array(\1)) AS data" if dialect == "spark" else r"\1 AS data", text, flags=re.DOTALL)
     return re.sub(r"\bUS\(", "unix_micros(" if dialect == "spark" else "epoch_us(", text)
 
 

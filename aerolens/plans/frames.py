@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolens.functions import metrics, scalars
+from aerolens.functions import scalars
 from aerolens.operators import aggregates, filters, graph, joins, projections, state, windows
 from aerolens.plans.fixtures import run_sql, view
 from aerolens.session import table
@@ -394,20 +394,6 @@ def _(spark, d):
     return windows.time_order(f, arrival_ts="arrival_ts")[1].select(F_ID)
 
 
-@query("srt_5_log_merge", "SELECT event_id, ts, data FROM fx_loglines ORDER BY ts, event_id LIMIT 50")
-def _(spark, d):
-    logs = view(spark, d, "fx_loglines")
-    both = logs.filter("event_id % 2 = 0").unionByName(logs.filter("event_id % 2 = 1")).withColumn("rank", metrics.level_rank(F.col("level")))
-    return both.filter(F.col("rank") >= 2).orderBy("ts", "event_id").limit(50).select("event_id", "ts", "data")
-
-
-@query("srt_5_log_merge_all", "SELECT event_id, ts, data FROM fx_loglines ORDER BY ts, event_id")
-def _(spark, d):
-    logs = view(spark, d, "fx_loglines")
-    both = logs.filter("event_id % 2 = 0").unionByName(logs.filter("event_id % 2 = 1")).withColumn("rank", metrics.level_rank(F.col("level")))
-    return both.filter(F.col("rank") >= 2).orderBy("ts", "event_id").select("event_id", "ts", "data")
-
-
 @query("set_1_union", "SELECT sniffer_id, count(*) AS n FROM (SELECT sniffer_id FROM fx_frames UNION ALL SELECT sniffer_id FROM fx_captures) AS u GROUP BY sniffer_id")
 def _(spark, d):
     return view(spark, d, "fx_frames").select("sniffer_id").unionByName(view(spark, d, "fx_captures").select("sniffer_id")).groupBy("sniffer_id").agg(F.count("*").alias("n"))
@@ -460,12 +446,6 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", scalars.is_multicast(mac).alias("multicast"))
 
 
-@query("fn_12_kv", "SELECT event_id, concat('citysense', CAST(event_id % 7 AS VARCHAR)) AS host, CAST((event_id * 31) % 1000 AS VARCHAR) AS recv FROM events")
-def _(spark, d):
-    rows = metrics.with_fields(view(spark, d, "fx_loglines"))
-    return rows.select("event_id", F.try_element_at("fields", F.lit("host")).alias("host"), F.try_element_at("fields", F.lit("kern-recv")).alias("recv"))
-
-
 @query("fn_13_records", "SELECT event_id, trim(unnest(string_split(concat('a=', event_id, ' | b=', user_id), '|'))) AS record FROM events")
 def _(spark, d):
     text = F.concat(F.lit("a="), "event_id", F.lit(" | b="), "user_id")
@@ -559,26 +539,6 @@ def _(spark, d):
     return windows.coverage_ranges(run_sql(spark, d, SEGMENTS))[1].select("flow", "ranges", "covered", "span")
 
 
-@query("met_1_pcap", "SELECT event_id, ts, concat('citysense', CAST(event_id % 7 AS VARCHAR)) AS host, (event_id * 31) % 1000 AS kernel_recv, event_id % 3 AS kernel_drop FROM events")
-def _(spark, d):
-    return metrics.typed_table(view(spark, d, "fx_loglines"), metrics.TABLES["pcap_stats"])[0].select("event_id", "ts", "host", "kernel_recv", "kernel_drop")
-
-
-@query("met_3_series", "SELECT concat('citysense', CAST(event_id % 7 AS VARCHAR)) AS host, US(ts) // 3600000000 * 3600000000 AS start_us, sum((event_id * 31) % 1000 * 0.1e0) AS value FROM events GROUP BY 1, 2")
-def _(spark, d):
-    out = metrics.metric_series(view(spark, d, "fx_loglines"), "kern-recv", window=3600)
-    return out.select("host", F.expr("unix_micros(ts) div 3600000000 * 3600000000").alias("start_us"), F.round("value", 6).alias("value"))
-
-
-SQL["met_3_series"] = SQL["met_3_series"].replace("sum((event_id * 31) % 1000 * 0.1e0)", "round(sum((event_id * 31) % 1000 * 0.1e0), 6)")
-
-
-@query("met_6_merge_rate", "SELECT sniffer_id AS host, sum(length) / sum(channel) AS rate FROM fx_frames WHERE channel > 1 GROUP BY sniffer_id")
-def _(spark, d):
-    counts = view(spark, d, "fx_frames").select(F.col("sniffer_id").alias("host"), F.col("length").alias("n_in"), F.expr("case when channel > 1 then channel else 0 end").alias("n_out"))
-    return metrics.merge_rate(counts)
-
-
 @query("udf_2_ewma")
 def _(spark, d):
     values = F.transform(F.sort_array(F.collect_list(F.struct("ts", F_ID, "length"))), lambda x: x["length"])
@@ -650,38 +610,6 @@ def _(spark, d):
     return view(spark, d, "fx_frames").groupBy(scalars.link(F.col("ta"), F.col("bssid")).alias("l")).agg(F.count("*").alias("frames")).select("l.a", "l.b", "frames")
 
 
-LINES = "SELECT event_id, concat('Jan ', CASE WHEN event_id % 5 = 0 THEN 'x' ELSE '05' END, ' 10:00:00.250 pcap INFO STATS n=', CAST(event_id AS VARCHAR(12))) AS value FROM events"
-
-
-@query("src_5_log", "SELECT event_id, 1704448800250000 AS us, concat('STATS n=', event_id) AS data FROM events WHERE event_id % 5 <> 0")
-def _(spark, d):
-    entries, _ = metrics.parse_log(run_sql(spark, d, LINES), F.lit("2024-02-01").cast("timestamp"))
-    return entries.select("event_id", F.unix_micros("ts").alias("us"), "data")
-
-
-@query("src_5_rejects", "SELECT count(*) AS n FROM events WHERE event_id % 5 = 0")
-def _(spark, d):
-    return metrics.parse_log(run_sql(spark, d, LINES), F.lit("2024-02-01").cast("timestamp"))[1].agg(F.count("*").alias("n"))
-
-
-@query("met_2_metrics", "SELECT metric, count(*) AS entries, round(sum(v), 6) AS total FROM (SELECT 'kern-drops' AS metric, event_id % 3 * 0.1e0 AS v FROM events UNION ALL SELECT 'kern-recv', (event_id * 31) % 1000 * 0.1e0 FROM events) AS m GROUP BY metric")
-def _(spark, d):
-    rows = metrics.with_fields(view(spark, d, "fx_loglines"))
-    out = None
-    for name in ("kern-drops", "kern-recv"):
-        m = metrics.METRICS[name]
-        one = rows.filter((F.col("source") == m.source) & (F.col("head") == m.head)).select(F.lit(name).alias("metric"), (F.try_element_at("fields", F.lit(m.field)).cast("double") / metrics.REPORT_SECONDS).alias("v"))
-        out = one if out is None else out.unionByName(one)
-    return out.groupBy("metric").agg(F.count("*").alias("entries"), F.round(F.sum("v"), 6).alias("total"))
-
-
-@query("met_5_routes", "SELECT event, count(*) AS n FROM (SELECT CASE WHEN event_id % 4 = 0 THEN 'change' ELSE 'addition' END AS event FROM events) AS e GROUP BY event")
-def _(spark, d):
-    text = F.concat(F.lit("route bssid=b"), F.col("event_id") % 20, F.lit(" owner=n"), F.col("event_id") % 7, F.when(F.col("event_id") % 4 == 0, F.lit(" was=n0")).otherwise(F.lit("")))
-    entries = table(spark, d, "events").select("ts", F.lit("wifi_ol_server").alias("source"), text.alias("data"))
-    return metrics.route_events(entries).groupBy("event").agg(F.count("*").alias("n"))
-
-
 @query("str_15_state_counts", "SELECT US(ts) // 86400000000 * 86400000000 AS start_us, count(*) FILTER (WHERE NOT i AND NOT a) AS clients, count(*) FILTER (WHERE NOT i AND a) AS aps, count(*) FILTER (WHERE i) AS ibss, count(*) AS stations, count(DISTINCT bssid) AS bss FROM (SELECT ts, bssid, station_mac % 5 = 0 AS i, station_mac % 3 = 0 AS a FROM fx_associations) AS x GROUP BY 1")
 def _(spark, d):
     s = view(spark, d, "fx_associations").withColumns({"is_ibss": F.col("station_mac") % 5 == 0, "is_ap": F.col("station_mac") % 3 == 0, "start_us": F.expr("unix_micros(ts) div 86400000000 * 86400000000")})

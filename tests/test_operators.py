@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from aerolens.functions import metrics, scalars
 from aerolens.operators import aggregates, filters, graph, joins, projections, state, windows
-from aerolens.plans import frames
+from aerolens.plans import frames, logs  # noqa: F401  logs adds its queries to those of frames
 from aerolens.plans.fixtures import view
 
 
@@ -152,6 +152,48 @@ def test_merge_keeps_every_capture(spark):
     assert all(len({m["sniffer_id"] for m in r["members"]}) == len(r["members"]) for r in out)
 
 
+def test_merge_closes_at_the_base_sniffer_only(spark):
+    """Sniffer 2 comes twice, but only a second capture of the base's own sniffer narrows the window."""
+    data = [(1, 7, 0, 1, 6, -50, -95, False), (2, 7, 10, 2, 6, -50, -95, False), (3, 7, 30, 2, 6, -50, -95, False), (4, 7, 200_000, 3, 6, -50, -95, False)]
+    out = state.merge_captures(spark.createDataFrame(data, CAPTURE)).collect()
+    assert sorted([m["sniffer_id"] for m in r["members"]] for r in out) == [[1, 2, 3], [2]]
+
+
+def test_merge_strength_is_above_the_noise(spark):
+    # 5 below the best is no conflict; the second is stronger above its noise
+    assert merged(spark, [(1, 7, 0, 1, 6, -50, -95, False), (2, 7, 40, 2, 11, -55, -95, False)]) == [(40, 6, 2)]
+    assert merged(spark, [(1, 7, 0, 1, 6, -50, -80, False), (2, 7, 40, 2, 11, -55, -95, False)]) == [(40, 11, 2)]
+
+
+def test_merge_streams_a_hot_content(spark):
+    """One content every 100 ms is one island; the state holds half a second of it."""
+    rows_ = [{"frame_id": i, "payload_hash": 7, "ts_us": i * 100_000, "local_us": i * 100_000, "err_us": 0, "sniffer_id": i % 3, "channel": 6, "rssi": -50, "noise": -95, "is_ctrl": False} for i in range(3000)]
+    step, left, out, most = state.merge_step(), None, [], 0
+    for r in rows_:
+        left, more = step(left, [r])
+        out += more
+        most = max(most, len(left))
+    out += state.merge_rest(left)
+    assert most <= 6 and sum(len(o["members"]) for o in out) == 3000 and out == state.merge_rest(rows_)
+
+
+def test_late_captures_are_duplicates(spark):
+    late = f"{CAPTURE}, arrival_us long"
+    data = [(1, 7, 0, 1, 6, -50, -95, False, 0), (2, 7, 40, 2, 6, -60, -95, False, 100), (3, 7, 60, 3, 6, -60, -95, False, 10_000_001), (4, 7, 50, 4, 6, -60, -95, False, 130_000_001), (5, 8, 0, 1, 6, -50, -95, False, 0)]
+    out = state.merge_captures(spark.createDataFrame(data, late)).collect()
+    assert sorted((r["frame_id"], r["is_dupe"], len(r["members"])) for r in out) == [(1, False, 2), (3, True, 1), (4, False, 1), (5, False, 1)]
+
+
+def test_receivers_change_only_in_silence(spark):
+    at = lambda s, b, tx: {"station": "s", "ts_us": s * 1_000_000, "bssid": b, "is_ap": False, "as_tx": tx}
+    seen = [at(0, "x", True), at(30, "y", False), at(50, "x", True), at(90, "y", False), at(110, "y", False)]
+    assert [(e["ts_us"] // 1_000_000, e["bssid"]) for e in state.association_step()(None, seen)[1]] == [(0, "x"), (110, "y")]
+    assert [(e["ts_us"] // 1_000_000, e["bssid"]) for e in state.association_step(rx_guard="code")(None, seen)[1]] == [(0, "x"), (30, "y"), (50, "x"), (90, "y")]
+    frames_ = [(1, 2, 0, "00:00:00:00:00:02"), (2, 2, 4, "00:00:00:00:00:02"), (3, 2, 0, "01:00:5e:00:00:01"), (4, 0, 0, "00:00:00:00:00:02"), (5, 2, 8, None)]
+    df = spark.createDataFrame([(i, t, s, "00:00:00:00:00:01", r, "00:00:00:00:00:09", 1) for i, t, s, r in frames_], "frame_id int, ftype int, fsubtype int, ta string, ra string, bssid string, dir int").withColumn("ts", F.timestamp_seconds("frame_id"))
+    assert rows(state.association_rows(df).select("frame_id", "station", "is_ap", "as_tx")) == [(1, "00:00:00:00:00:01", False, True), (1, "00:00:00:00:00:02", True, False)]
+
+
 def test_associations(spark):
     step = state.association_step()
     at = lambda s, b, ap=False: {"station": "s", "ts_us": s * 1_000_000, "bssid": b, "is_ap": ap}
@@ -175,7 +217,7 @@ def test_skew_paths(spark):
     assert rows(graph.shortest_hop_sums(edges, 0)) == [(0, 0, 0, 0), (1, 1, 10, 1), (2, 2, 15, 3), (3, 1, 7, 1)]
     captures = spark.createDataFrame([(2, 100), (9, 100)], "sniffer_id int, ts_us long")
     skews = graph.shortest_hop_sums(edges, 0).select("sniffer_id", "skew_us", "spread_us")
-    assert rows(state.apply_skew(captures, skews)) == [(2, 85, 50), (9, 100, 100_000)]
+    assert rows(state.apply_skew(captures, skews).select("sniffer_id", "ts_us", "err_us")) == [(2, 85, 50), (9, 100, 100_000)]
 
 
 def test_walk_routes_and_loops(spark):
@@ -202,7 +244,8 @@ def test_kv_map(spark, text, want):
 
 
 def test_log_lines_and_tables(spark):
-    lines = spark.createDataFrame([("Mar 03 10:00:00.250 pcap INFO STATS host=a kern-recv=5 kern-drop=1",), ("Dec 30 10:00:00.000 pcap INFO STATS host=a kern-recv=x kern-drop=1",), ("rubbish",)], "value string")
+    rest = "kern-drop=1 mem-drop=0 pre-capt-pkts=5 pre_capt_bytes=500 post-capt-pkts=4 post-capt-bytes=400"
+    lines = spark.createDataFrame([(f"Mar 03 10:00:00.250 pcap INFO STATS host=a kern-recv=5 {rest}",), (f"Dec 30 10:00:00.000 pcap INFO STATS host=a kern-recv=x {rest}",), ("rubbish",)], "value string")
     entries, bad = metrics.parse_log(lines, F.lit("2024-06-01").cast("timestamp"))
     assert sorted(str(r["ts"])[:10] for r in entries.collect()) == ["2023-12-30", "2024-03-03"]
     assert rows(bad) == [("rubbish",)]
@@ -211,6 +254,37 @@ def test_log_lines_and_tables(spark):
     assert len(metrics.METRICS) == 34 and len(metrics.TABLES) == 9
 
 
+def test_reports_keep_time_and_metrics_their_hosts(spark):
+    lines = [("2024-01-01 00:00:00", "pcap", "STATS host=a kern-recv=5"), ("2024-01-01 00:00:30", "wifi_ol", "created 3 new routes; updated 0 routes"), ("2024-01-01 00:01:00", "pcap", "STATS host=s kern-recv=7"), ("2024-01-01 00:01:10", "script", 'STATS note="kern-recv=9 x" host=a kern_recv=6')]
+    entries = spark.createDataFrame(lines, "ts string, source string, data string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {(r["metric"], r["host"], round(r["value"], 6)) for r in metrics.metric_values(entries, metrics.METRICS, "s").collect()}
+    assert got == {("kern-recv", "a", 0.5), ("kern-recv", "a", 0.6), ("route-additions", "s", 3.0), ("route-changes", "s", 0.0)}
+    assert [(r["event"], r["n"]) for r in metrics.route_events(entries, "s").orderBy("event").collect()] == [("addition", 3), ("change", 0)]
+    spec = metrics.TableSpec("pcap", "STATS", {"host": ("host", "string"), "n": ("n", "long")})
+    rows_ = [("2024-01-01 00:00:00", "STATS host=a n=1"), ("2024-01-01 00:00:10", "STATS host=a n=bad"), ("2024-01-01 00:00:15", "STATS host=a n=2")]
+    e = spark.createDataFrame([(t, "pcap", d) for t, d in rows_], "ts string, source string, data string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert [(r["n"], r["duration_msec"]) for r in metrics.typed_table(e, spec)[0].orderBy("n").collect()] == [(1, 10_000), (2, 5_000)]
+
+
+def test_log_reader_holds_lines_back(spark):
+    """Against the reader itself: a heap that is emptied up to a window before the latest time."""
+    import heapq
+    import random
+
+    rng = random.Random(1)
+    lines = [(n, rng.randrange(0, 400) + n * 2) for n in range(300)]
+    heap, top, want = [], 0, []
+    for n, t in lines:
+        while heap and top - heap[0][0] >= 60:
+            want.append(heapq.heappop(heap)[1])
+        heapq.heappush(heap, (t, n))
+        top = max(top, t)
+    while heap:
+        want.append(heapq.heappop(heap)[1])
+    df = spark.createDataFrame(lines, "line int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    assert [r["line"] for r in metrics.log_order(df).orderBy("place").collect()] == want
+
+
 def test_scalar_functions(spark):
     one = spark.range(1)
     value = lambda c: one.select(c).first()[0]
