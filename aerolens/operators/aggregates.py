@@ -15,8 +15,9 @@ CLASSES: dict[str, str] = {
     "mgmt": "ftype = 0",
     "ctrl": "ftype = 1",
     "data": "ftype = 2",
-    "null_data": "ftype = 2 and fsubtype in (4, 12)",
+    "null_data": "ftype = 2 and fsubtype & 4 = 4",
     "beacon": "ftype = 0 and fsubtype = 8",
+    "encrypted": "ftype = 2 and protected",
 }
 
 
@@ -56,6 +57,31 @@ def ip_traffic(df: DataFrame, interval: str, keys: Sequence[str], order: Sequenc
     return out.select(F.col("w.start").alias("start"), *keys, "packets", (F.col("s") - F.col("head.ip_len") + F.col("head.length")).alias("bytes"))
 
 
+def traffic_counts(df: DataFrame, interval: str, ranges: Mapping[str, Sequence[tuple[int, int]]], keys: Sequence[str] = (), order: Sequence[str] = ("frame_id",), first_packet_quirk: bool = True) -> DataFrame:
+    """start, keys, kind, code, high, packets, bytes of every kind of traffic, in one pass.
+
+    kind ether counts by ethertype, wifi by type and subtype (type + 4 * subtype),
+    ip by protocol, and tcp and udp by each port range (code to high) that holds
+    one of the ports. Ether and wifi count whole frames, ip its own length (but
+    the frame's for the first packet of a protocol and interval), tcp and udp
+    that length without the IP header. A frame without a layer does not count
+    there. Columns: ts, length, ethertype, ftype, fsubtype, ip_proto, ip_len,
+    ip_hl (bytes), sport, dport.
+    """
+    count = lambda kind, code, size, high=None: F.struct(F.lit(kind).alias("kind"), F.lit(code).cast("int").alias("code") if isinstance(code, int) else code.cast("int").alias("code"), F.lit(high).cast("int").alias("high"), size.cast("long").alias("size"))
+    ip = F.col("ip_proto").isNotNull()
+    entries = [F.when(F.col("ethertype").isNotNull(), count("ether", F.col("ethertype"), F.col("length"))), F.when(F.col("ftype").isNotNull(), count("wifi", F.col("ftype") + 4 * F.col("fsubtype"), F.col("length"))), F.when(ip, count("ip", F.col("ip_proto"), F.col("ip_len")))]
+    # fixed values: numbers of the protocols
+    for kind, proto in (("tcp", 6), ("udp", 17)):
+        for low, high in ranges.get(kind, ()):
+            inside = F.col("sport").between(low, high) | F.col("dport").between(low, high)
+            entries.append(F.when((F.col("ip_proto") == proto) & inside, count(kind, low, F.col("ip_len") - F.col("ip_hl"), high)))
+    rows = df.select("ts", *keys, *order, "length", "ip_len", F.explode(F.array_compact(F.array(*entries))).alias("c"))
+    out = rows.groupBy(F.window("ts", interval).alias("w"), *keys, "c.kind", "c.code", "c.high").agg(F.count("*").alias("packets"), F.sum("c.size").alias("s"), F.min(F.struct(*order, "length", "ip_len")).alias("head"))
+    first = F.when((F.col("kind") == "ip") & F.lit(first_packet_quirk), F.col("head.length") - F.col("head.ip_len")).otherwise(0)
+    return out.select(F.col("w.start").alias("start"), *keys, "kind", "code", "high", "packets", (F.col("s") + first).alias("bytes"))
+
+
 def lower_median(col: str) -> Column:
     """Element ceil(n / 2) of the sorted values without nulls."""
     return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {col})")
@@ -128,17 +154,19 @@ def usage_by_class(traffic: DataFrame, paths: DataFrame) -> DataFrame:
     return out.select("host", "class", (F.col("bytes") * 8 / 1024 / F.when(F.col("span") == 0, F.lit(0.001)).otherwise(F.col("span"))).alias("kbits"))
 
 
-def host_status(messages: DataFrame, now: Column, keys: Sequence[str] = ("host",), last: Sequence[str] = ("cpu", "rss"), sums: Sequence[str] = ("recv", "drop", "bytes"), gap: int = 60) -> DataFrame:
-    """Last values, running sums, uptime without gaps over `gap` seconds, and whether the host is online.
+def host_status(messages: DataFrame, now: Column, keys: Sequence[str] = ("host",), last: Sequence[str] = ("cpu", "rss"), sums: Sequence[str] = ("recv", "drop", "bytes"), gap: int = 60, order: Sequence[str] = ()) -> DataFrame:
+    """Last values, running sums, uptime without gaps, and whether the host is online.
 
-    Uptime is that of the current run of messages, 10 s at least.
+    A pause of `gap` seconds or more is a gap; uptime is the length of all runs
+    of messages between gaps, 10 s at least. order tells messages of one time apart.
     """
     us = F.unix_micros("ts")
-    w = Window.partitionBy(*keys).orderBy("ts")
-    marked = messages.withColumn("_new", F.coalesce((us - F.lag(us).over(w) > gap * 1_000_000).cast("int"), F.lit(1)))
-    starts = F.max(F.when(F.col("_new") == 1, F.col("ts")))
-    out = marked.groupBy(*keys).agg(*(F.max_by(c, "ts").alias(c) for c in last), *(F.sum(c).alias(c) for c in sums), F.max("ts").alias("last_seen"), starts.alias("_up"))
-    up = F.greatest(F.lit(10.0), (F.unix_micros("last_seen") - F.unix_micros("_up")) / 1e6)
+    w = Window.partitionBy(*keys).orderBy("ts", *order)
+    pause = us - F.lag(us).over(w)
+    marked = messages.withColumn("_up", F.when(pause < gap * 1_000_000, pause).otherwise(0))
+    at = F.struct("ts", *order)
+    out = marked.groupBy(*keys).agg(*(F.max_by(c, at).alias(c) for c in last), *(F.sum(c).alias(c) for c in sums), F.max("ts").alias("last_seen"), F.sum("_up").alias("_up"))
+    up = F.greatest(F.lit(10.0), F.col("_up") / 1e6)
     return out.withColumn("uptime", up).withColumn("online", F.unix_micros(now) - F.unix_micros("last_seen") < gap * 1_000_000).drop("_up")
 
 

@@ -79,11 +79,29 @@ def select_taps(df: DataFrame, taps: Sequence[str], dupes: bool = False) -> Data
 
 
 def split_first(df: DataFrame, n: int, order_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(the first n rows of a total order, the rest). Spark plans the first as a top-n, so no task sorts all."""
-    order = [F.col(c) for c in order_by]
-    top = df.orderBy(*order).limit(n)
-    edge = top.agg(F.max(F.struct(*order_by))).scalar()
-    return top, df.filter(F.struct(*order_by) > edge)
+    """(the first n rows in order, the rest); rows that tie are told apart by their other columns.
+
+    Spark plans the first as a top-n, so no task sorts all. Rows equal in every
+    column are alike: those beyond the n are counted and put back.
+    """
+    columns = [*order_by, *(c for c in df.columns if c not in order_by)]
+    whole = F.struct(*columns)
+    top = df.orderBy(*columns).limit(n)
+    edge = top.agg(F.max(whole).alias("edge"), F.count("*").alias("n")).first()
+    if not edge["n"]:
+        return top, df
+    at_edge = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(v)) for c, v in zip(columns, edge["edge"], strict=True)])
+    after = F.lit(False)
+    for c, v in reversed(list(zip(columns, edge["edge"], strict=True))):
+        value = F.lit(v)
+        greater = F.col(c).isNotNull() if v is None else F.coalesce(F.col(c) > value, F.lit(False))
+        after = greater | (F.col(c).eqNullSafe(value) & after)
+    rest = df.filter(after)
+    spare = df.filter(at_edge).count() - top.filter(at_edge).count()
+    if spare:
+        row = top.filter(at_edge).limit(1)
+        rest = rest.unionByName(df.sparkSession.range(spare).drop("id").crossJoin(F.broadcast(row)).select(*df.columns))
+    return top, rest
 
 
 def follow_learned(df: DataFrame, learn: Column, key: str = "bssid", also: str | None = "ta", ts: str = "ts", order: str = "frame_id") -> tuple[DataFrame, DataFrame]:

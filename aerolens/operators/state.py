@@ -345,24 +345,101 @@ def estimate_skew(merged: DataFrame, window: int = 11) -> DataFrame:
     return last.select("src", "dst", F.col("v.median").alias("skew_us"), F.col("v.spread").alias("spread_us"))
 
 
-def apply_skew(captures: DataFrame, skews: DataFrame, default_err: int = 100_000, clamp: tuple[int, int] = (50, 250_000)) -> DataFrame:
+def skew_history(merged: DataFrame, slice_us: int = 60_000_000, window: int = 11) -> DataFrame:
+    """slice, src, dst, skew_us, spread_us: what is known of each pair at the start of each time slice.
+
+    A slice knows the rolling median of the last skews before it, so it holds
+    until the pair's next sample and one row stands for each slice up to the last
+    one of all. merged should be beacons only, as in the older system.
+    """
+    from .joins import skew_pairs
+    from .windows import rolling_median
+
+    slot = F.floor(F.col("ts_us") / slice_us)
+    pairs = skew_pairs(merged).join(merged.select("frame_id", "ts_us"), "frame_id")
+    rolled = rolling_median(pairs, ["src", "dst"], ["ts_us", "frame_id"], "skew_us", window)
+    known = rolled.groupBy("src", "dst", (slot + 1).alias("slice")).agg(F.max_by(F.struct("median", "spread"), F.struct("ts_us", "frame_id")).alias("v"))
+    last = merged.agg(F.max(slot)).scalar()
+    until = F.coalesce(F.lead("slice").over(Window.partitionBy("src", "dst").orderBy("slice")) - 1, last)
+    spans = known.withColumn("until", until).filter("slice <= until")
+    return spans.select(F.explode(F.sequence("slice", "until")).alias("slice"), "src", "dst", F.col("v.median").cast("long").alias("skew_us"), F.col("v.spread").cast("long").alias("spread_us"))
+
+
+def base_sniffer(captures: DataFrame, warmup_us: int = 60_000_000) -> tuple[int | None, int]:
+    """(the sniffer with most captures during the warm-up, the end of the warm-up); ties keep the lowest, without warm-up it is the first one's."""
+    first = captures.agg(F.min(F.struct("ts_us", "sniffer_id")).alias("m")).first()["m"]
+    if first is None:
+        return None, 0
+    end = first["ts_us"] + warmup_us
+    most = captures.filter(F.col("ts_us") < end).groupBy("sniffer_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "sniffer_id").first()
+    return (most["sniffer_id"] if most else first["sniffer_id"]), end
+
+
+def apply_skew(captures: DataFrame, skews: DataFrame, default_err: int = 100_000, clamp: tuple[int, int] = (50, 250_000), slice_us: int | None = None, warmup_end: int = 0) -> DataFrame:
     """Captures on the base sniffer's clock: skews hold sniffer_id, skew_us, spread_us, one row a sniffer.
 
     A sniffer without a path keeps its time and gets the default error. local_us
-    is the time on the sniffer's own clock.
+    is the time on the sniffer's own clock. With slice_us skews have a slice and
+    a capture takes those of the slice that it lies in. Captures before the end
+    of the warm-up stay as they are, without error.
     """
-    joined = captures.join(skews, "sniffer_id", "left").withColumn("local_us", F.col("ts_us"))
+    keys = ["sniffer_id"] if slice_us is None else ["sniffer_id", "slice"]
+    rows = captures.withColumn("local_us", F.col("ts_us"))
+    if slice_us is not None:
+        rows = rows.withColumn("slice", F.floor(F.col("ts_us") / slice_us))
+    joined = rows.join(skews.select(*keys, "skew_us", "spread_us"), keys, "left")
+    cold = F.col("ts_us") < warmup_end
     err = F.least(F.greatest(F.coalesce("spread_us", F.lit(default_err)), F.lit(clamp[0])), F.lit(clamp[1]))
-    return joined.withColumn("ts_us", F.col("ts_us") - F.coalesce("skew_us", F.lit(0))).withColumn("err_us", err.cast("int")).drop("skew_us", "spread_us")
+    moved = joined.withColumn("err_us", F.when(cold, F.lit(0)).otherwise(err).cast("int")).withColumn("ts_us", F.when(cold, F.col("ts_us")).otherwise(F.col("ts_us") - F.coalesce("skew_us", F.lit(0))))
+    return moved.drop("skew_us", "spread_us", "slice")
 
 
-def web_flows(requests: DataFrame, idle_seconds: int = 180) -> DataFrame:
-    """One row per flow and idle period: times, first host, longest cookie domain, distinct search terms, flags."""
+#: What was captured of a flow: fixed values.
+WEB_FLAGS = {"request": 1, "response": 2, "syn": 4, "head": 8, "host": 16, "cookie": 32}
+
+
+def client_side(packets: DataFrame, web_ports: Sequence[int] = (80,)) -> DataFrame:
+    """Packets to or from a web port with the flow seen from its client: client, client_port, server, server_port, is_response."""
+    up = F.col("dport").isin(*web_ports)
+    pick = lambda a, b: F.when(up, F.col(a)).otherwise(F.col(b))
+    rows = packets.filter(up | F.col("sport").isin(*web_ports))
+    return rows.withColumns({"client": pick("src", "dst"), "client_port": pick("sport", "dport"), "server": pick("dst", "src"), "server_port": pick("dport", "sport"), "is_response": ~up})
+
+
+FLOW = ("client", "client_port", "server", "server_port")
+
+
+def web_flows(packets: DataFrame, idle_seconds: int = 180, keys: Sequence[str] = FLOW, order: str = "event_id", compat: bool = False) -> DataFrame:
+    """One row per flow and idle period: times, sniffer of the first request, first host, longest cookie domain, search terms, flags.
+
+    packets: keys, ts, order, is_response, sniffer_id, host, cookie, term, and
+    syn, seq, payload_len of the requests. The head flag says that the segment
+    after the SYN was captured. Hosts lose their port; terms are distinct, joined
+    in the order in which they came; of equally long cookie domains the first
+    stays. compat: a second request sets the response flag, as in the older
+    system.
+    """
     from .windows import gap_sessions
 
-    s = gap_sessions(requests, ["flow"], gap_seconds=idle_seconds, inclusive=True, order=["event_id"])
-    flags = F.bit_or(F.when(F.col("is_response"), 2).otherwise(1))
-    return s.groupBy("flow", "session").agg(
-        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min_by("host", F.when(F.col("host").isNotNull(), F.struct("ts", "event_id"))).alias("host"),
-        F.max_by("cookie", F.when(F.col("cookie").isNotNull(), F.struct(F.length("cookie"), "cookie"))).alias("cookie"), F.array_join(F.sort_array(F.collect_set("term")), "&").alias("terms"), flags.alias("flags"),
+    s = gap_sessions(packets, list(keys), gap_seconds=idle_seconds, inclusive=True, order=[order])
+    period = [*keys, "session"]
+    at = F.struct("ts", order)
+    request = ~F.col("is_response")
+    data = request & (F.col("payload_len") > 0)
+    syn_seq = F.min_by(F.when(request & F.col("syn"), F.col("seq")), F.when(request & F.col("syn"), at))
+    out = s.groupBy(*period).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min_by("sniffer_id", F.when(request, at)).alias("sniffer_id"),
+        F.min_by(F.regexp_extract("host", r"^([^:]*)", 1), F.when(request & F.col("host").isNotNull(), at)).alias("host"),
+        F.max_by("cookie", F.when(F.col("is_response") & F.col("cookie").isNotNull(), F.struct(F.length("cookie"), -F.unix_micros("ts"), -F.col(order)))).alias("cookie"),
+        F.count_if(request).alias("_requests"), F.count_if(F.col("is_response")).alias("_responses"), syn_seq.alias("_syn"),
     )
+    # the data segments that may follow the SYN
+    heads = s.filter(data).select(*period, F.col("seq").alias("_next")).distinct()
+    heads = out.filter("_syn is not null").select(*period, (F.col("_syn") + 1).alias("_next")).join(heads, [*period, "_next"], "left_semi").select(*period, F.lit(True).alias("_head"))
+    terms = s.filter(request & F.col("term").isNotNull()).groupBy(*period, "term").agg(F.min(at).alias("at"))
+    terms = terms.groupBy(*period).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]), "&").alias("terms"))
+    flag = lambda name, test: F.when(test, WEB_FLAGS[name]).otherwise(0)
+    answered = (F.col("_responses") > 0) | (F.col("_requests") > 1) if compat else F.col("_responses") > 0
+    flags = flag("request", F.col("_requests") > 0) + flag("response", answered) + flag("syn", F.col("_syn").isNotNull()) + flag("head", F.coalesce("_head", F.lit(False))) + flag("host", F.col("host").isNotNull()) + flag("cookie", F.col("cookie").isNotNull())
+    rows = out.join(heads, period, "left").join(terms, period, "left")
+    return rows.select(*period, "first_ts", "last_ts", "sniffer_id", "host", "cookie", F.coalesce("terms", F.lit("")).alias("terms"), flags.alias("flags"))

@@ -139,9 +139,10 @@ def time_order(df: DataFrame, ts: str = "ts", arrival_ts: str | None = None, tim
     """(rows in time order over range partitions, late rows).
 
     Late: arrived the timeout or more after their time; they pass unless dropped.
+    A row without arrival time is not late.
     """
     ranged = lambda d: d.repartitionByRange(F.col(ts)).sortWithinPartitions(ts, *order)
     if arrival_ts is None:
         return ranged(df), df.limit(0)
-    late = F.unix_micros(arrival_ts) - F.unix_micros(ts) >= int(timeout_seconds * 1_000_000)
+    late = F.coalesce(F.unix_micros(arrival_ts) - F.unix_micros(ts) >= int(timeout_seconds * 1_000_000), F.lit(False))
     return ranged(df.filter(~late)), df.filter(late) if not drop_late else df.filter(late).limit(0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,3 +30,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     zoneless = {f.name: F.col(f.name).cast("timestamp") for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)}
     return df.withColumns(zoneless) if zoneless else df
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint of df in the folder of spark.checkpoint.dir, so that loops do not repeat earlier rounds.
+
+    Where the setting is missing, as in tests, a local session gets a temporary folder.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not context.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            where = "file://" + tempfile.mkdtemp(prefix="spark-aerolens-")
+        context.setCheckpointDir(where)
+    return df.checkpoint()

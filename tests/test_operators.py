@@ -220,6 +220,31 @@ def test_skew_paths(spark):
     assert rows(state.apply_skew(captures, skews).select("sniffer_id", "ts_us", "err_us")) == [(2, 85, 50), (9, 100, 100_000)]
 
 
+def test_routes_over_wires_and_to_the_coordinator(spark):
+    table = spark.createDataFrame([(i, 30, i + 1) for i in range(1, 30)] + [(40, 99, 41), (42, 99, 40), (50, 60, 99), (99, 60, 60)], "src long, dst long, gateway long")
+    wired = spark.createDataFrame([(41, 99), (1, 2), (1, 30)], "src long, dst long")
+    pairs = spark.createDataFrame([(10, 30), (9, 30), (42, 99), (41, 99), (1, 2), (1, 30), (50, 60)], "src long, dst long")
+    done, lost = graph.walk_routes(pairs, table, 20, wired, 99)
+    got = {(r["src"], r["dst"]): [(x["a"], x["b"]) for x in r["links"]] for r in done.collect()}
+    # 20 hops arrive and 21 do not; wires alone have no links; the hop to the coordinator adds none
+    assert got == {(10, 30): [(i, i + 1) for i in range(10, 30)], (42, 99): [(40, 42), (40, 41)], (41, 99): [], (1, 2): [], (1, 30): []}
+    assert rows(lost) == [(9, 30), (50, 60)]
+
+
+def test_skews_follow_the_time(spark):
+    merge = "frame_id long, ts_us long, members array<struct<sniffer_id:int,ts_us:long>>"
+    at = lambda i, t, skew: (i, t, [(0, t), (1, t + skew)])
+    history = state.skew_history(spark.createDataFrame([at(1, 0, 5), at(2, 10, 7), at(3, 150, 9), at(4, 420, 9)], merge), slice_us=100)
+    forth = sorted((r["slice"], r["skew_us"], r["spread_us"]) for r in history.collect() if r["src"] == 0)
+    assert forth == [(1, 7, 2), (2, 7, 4), (3, 7, 4), (4, 7, 4)]
+    paths = graph.skew_paths(history, 0)
+    assert sorted((r["slice"], r["sniffer_id"], r["skew_us"]) for r in paths.collect()) == [(s, n, 7 * n) for s in (1, 2, 3, 4) for n in (0, 1)]
+    captures = spark.createDataFrame([(1, 50), (1, 150), (2, 150), (0, 10), (0, 20)], "sniffer_id int, ts_us long")
+    assert state.base_sniffer(captures, 100) == (0, 110) and state.base_sniffer(captures, 0) == (0, 10)
+    moved = state.apply_skew(captures, paths, slice_us=100, warmup_end=40)
+    assert rows(moved.select("sniffer_id", "local_us", "ts_us", "err_us")) == [(0, 10, 10, 0), (0, 20, 20, 0), (1, 50, 50, 100_000), (1, 150, 143, 50), (2, 150, 150, 100_000)]
+
+
 def test_walk_routes_and_loops(spark):
     table = spark.createDataFrame([(1, 4, 2), (2, 4, 3), (3, 4, 4), (5, 6, 7), (7, 6, 5)], "src long, dst long, gateway long")
     pairs = spark.createDataFrame([(1, 4), (5, 6), (1, 9)], "src long, dst long")
@@ -285,6 +310,55 @@ def test_log_reader_holds_lines_back(spark):
     assert [r["line"] for r in metrics.log_order(df).orderBy("place").collect()] == want
 
 
+def test_split_first_loses_no_row(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (None, "b"), (2, None), (2, "c"), (1, "b")], "k int, v string")
+    every = sorted(map(str, df.collect()))
+    for n in range(9):
+        first, rest = filters.split_first(df, n, ["k"])
+        assert first.count() == min(n, 7) and sorted(map(str, first.collect() + rest.collect())) == every
+    one = spark.createDataFrame([(1,), (1,), (2,)], "k int")
+    assert [rows(x) for x in filters.split_first(one, 1, ["k"])] == [[(1,)], [(1,), (2,)]]
+
+
+def test_rows_without_arrival_are_in_order(spark):
+    df = spark.createDataFrame([(1, 1), (2, None), (3, 30)], "s int, a int").select("s", F.timestamp_seconds("s").alias("ts"), F.timestamp_seconds("a").alias("arrival_ts"))
+    on_time, late = windows.time_order(df, arrival_ts="arrival_ts")
+    assert rows(on_time.select("s")) == [(1,), (2,)] and rows(late.select("s")) == [(3,)]
+
+
+def test_uptime_counts_all_runs(spark):
+    df = spark.createDataFrame([("h", s, 1.0, 1) for s in (0, 30, 90, 100, 400)], "host string, s int, cpu double, recv int").withColumn("ts", F.timestamp_seconds("s"))
+    out = aggregates.host_status(df, F.timestamp_seconds(F.lit(459)), last=["cpu"], sums=["recv"]).first()
+    # 30 s, a pause of exactly 60 s, 10 s, a pause
+    assert (out["uptime"], out["recv"], out["online"]) == (40.0, 5, True)
+
+
+def test_traffic_of_every_layer(spark):
+    data = [(1, 0, 100, 0x800, 2, 8, 6, 80, 20, 1234, 80), (2, 0, 100, 0x800, 2, 8, 6, 60, 24, 80, 22), (3, 0, 50, 0x806, 2, 0, None, None, None, None, None), (4, 0, 70, 0x800, 2, 0, 17, 60, 20, 53, 53)]
+    df = spark.createDataFrame(data, "frame_id int, s int, length int, ethertype int, ftype int, fsubtype int, ip_proto int, ip_len int, ip_hl int, sport int, dport int").withColumn("ts", F.timestamp_seconds("s"))
+    out = aggregates.traffic_counts(df, "10 seconds", {"tcp": [(80, 80), (20, 30)], "udp": [(53, 53)]})
+    assert sorted((r["kind"], r["code"], r["packets"], r["bytes"]) for r in out.collect()) == [("ether", 0x800, 3, 270), ("ether", 0x806, 1, 50), ("ip", 6, 2, 160), ("ip", 17, 1, 70), ("tcp", 20, 1, 36), ("tcp", 80, 2, 96), ("udp", 53, 1, 40), ("wifi", 2, 2, 120), ("wifi", 34, 2, 200)]
+
+
+def test_web_flows_by_client(spark):
+    packet = "event_id int, s int, src string, sport int, dst string, dport int, sniffer_id int, syn boolean, seq long, payload_len int, host string, cookie string, term string"
+    data = [
+        (1, 0, "c", 5000, "w", 80, 3, True, 100, 0, None, None, None),
+        (2, 1, "c", 5000, "w", 80, 4, False, 101, 9, "h.com:80", None, "q=b"),
+        (3, 2, "w", 80, "c", 5000, 5, False, 7, 9, None, "x.com", None),
+        (4, 3, "w", 80, "c", 5000, 5, False, 8, 9, None, "y.com", None),
+        (5, 4, "c", 5000, "w", 80, 6, False, 110, 9, "other", None, "q=a"),
+        (6, 5, "c", 5000, "w", 80, 6, False, 119, 9, None, None, "q=b"),
+        (7, 500, "c", 5000, "w", 80, 6, False, 200, 9, None, None, None),
+        (8, 501, "c", 5000, "w", 80, 6, False, 209, 9, None, None, None),
+        (9, 0, "c", 5000, "w", 443, 6, False, 1, 9, None, None, None),
+    ]
+    df = spark.createDataFrame(data, packet).withColumn("ts", F.timestamp_seconds("s"))
+    flows = lambda **o: [(r["client"], r["server"], r["session"], r["sniffer_id"], r["host"], r["cookie"], r["terms"], r["flags"]) for r in state.web_flows(state.client_side(df), **o).orderBy("session").collect()]
+    assert flows() == [("c", "w", 1, 3, "h.com", "x.com", "q=b&q=a", 63), ("c", "w", 2, 6, None, None, "", 1)]
+    assert [f[-1] for f in flows(compat=True)] == [63, 3]
+
+
 def test_scalar_functions(spark):
     one = spark.range(1)
     value = lambda c: one.select(c).first()[0]
