@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,12 +48,16 @@ def cipher_names(bits: Column) -> Column:
     return F.when(bits == 0, F.lit("none")).otherwise(F.array_join(F.array_compact(named), ","))
 
 
-def site_of_host(host: Column) -> Column:
+#: Ports that web servers are known to use.
+WEB_PORTS = (80, 3128, 8080, 8088)
+
+
+def site_of_host(host: Column, ports: Sequence[int] = WEB_PORTS) -> Column:
     """The site of a host name: port cut off, the last two labels, three under co.xx and for the sites that differ by service.
 
-    Null for addresses, names without a dot and bad ports.
+    Null for addresses, names without a dot and ports that are none of the web's.
     """
-    name = F.lower(F.regexp_extract(host, r"^([^:]*)(:\d+)?$", 1))
+    name = F.lower(F.regexp_extract(host, rf"^([^:]*)(?::0*(?:{'|'.join(map(str, ports))}))?$", 1))
     labels = F.split(name, r"\.")
     n = F.size(labels)
     last = lambda k: F.array_join(F.slice(labels, -k, k), ".")
@@ -61,6 +66,16 @@ def site_of_host(host: Column) -> Column:
     return F.when(~bad, F.when(three & (n >= 3), last(3)).otherwise(last(2)))
 
 
+def user_sites(df: DataFrame, site: str, remap: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Rows of sites that people visit: a site that serves another one (remap: site, target) counts as that, blocked ones (site) go.
+
+    Both lists are small and hold each site once; Spark broadcasts them by size.
+    """
+    named = df.join(remap.select(F.col("site").alias("_s"), "target"), F.col(site) == F.col("_s"), "left")
+    moved = named.withColumn(site, F.coalesce("target", site)).drop("_s", "target")
+    return moved.filter(F.col(site).isNotNull()).join(blocked.select(F.col("site").alias(site)), site, "left_anti").select(*df.columns)
+
+
 def search_query(resource: Column, host: Column, least: int = 3) -> Column:
     """The first q= (p= at yahoo.com) term of a url's query of so many characters at least, else null."""
     find = lambda key: F.regexp_extract(resource, rf"[?&]({key}=([^&#]{{{least},}}))", 1)

@@ -51,6 +51,20 @@ def run_keyed(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: St
     return rows.mapInArrow(run, schema)
 
 
+def keyed_ewma(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, shift: int = 4) -> DataFrame:
+    """keys, ewma: the exponentially weighted mean of each key's values in order, streamed; each step moves 1 / 2^shift of the way."""
+
+    def step(state: dict | None, rows: list[dict]) -> tuple[dict | None, list[dict]]:
+        for row in rows:
+            if row[value] is not None:
+                mean = float(row[value]) if state is None else state["ewma"] + (row[value] - state["ewma"]) / (1 << shift)
+                state = {k: row[k] for k in keys} | {"ewma": mean}
+        return state, []
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema) + ", ewma double"
+    return run_keyed(df.select(*keys, *(c for c in order if c not in keys), *([value] if value not in keys and value not in order else [])), keys, order, step, schema, lambda state: [state] if state else [])
+
+
 def last_accepted(ts_us: str, window_us: int, keep: Sequence[str]) -> Step:
     """Accept a row unless it is at most the window after the last accepted one of its key, or before it."""
 

@@ -24,8 +24,8 @@ def inferred_packets(df: DataFrame, key: str = "ta", **options) -> DataFrame:
     return sequence_gaps(df, key, **options).groupBy(key).agg(F.count("*").alias("captured"), F.sum(F.when(F.col("gap") == 0, 1).otherwise(F.col("gap"))).cast("long").alias("inferred"))
 
 
-def ping_loss(df: DataFrame, source: str = "source", order: Sequence[str] = ("ts", "event_id"), seq: str = "seq") -> DataFrame:
-    """received, dropped, duplicates per source.
+def ping_loss(df: DataFrame, source: str = "source", order: Sequence[str] = ("ts", "event_id"), seq: str = "seq", delay: str | None = None) -> DataFrame:
+    """received, dropped, duplicates per source; with a delay column also its weighted mean over the pings received.
 
     Number 0 restarts the count; a number not above the highest since then is a
     duplicate or late. The very first row of a source adds its own number as drops.
@@ -36,7 +36,13 @@ def ping_loss(df: DataFrame, source: str = "source", order: Sequence[str] = ("ts
     gaps = runs.withColumn("_high", F.max(seq).over(before))
     fresh = F.col("_high").isNull() | (F.col(seq) > F.col("_high"))
     lost = F.when(F.col("_first"), F.col(seq)).when(F.col(seq) == 0, F.lit(0)).when(fresh, F.col(seq) - F.coalesce("_high", F.col(seq)) - F.when(F.col("_high").isNull(), 0).otherwise(1)).otherwise(0)
-    return gaps.withColumn("_fresh", fresh).withColumn("_lost", lost).groupBy(source).agg(F.count_if("_fresh").alias("received"), F.sum("_lost").cast("long").alias("dropped"), F.count_if(~F.col("_fresh")).alias("duplicates"))
+    marked = gaps.withColumn("_fresh", fresh).withColumn("_lost", lost)
+    counts = marked.groupBy(source).agg(F.count_if("_fresh").alias("received"), F.sum("_lost").cast("long").alias("dropped"), F.count_if(~F.col("_fresh")).alias("duplicates"))
+    if delay is None:
+        return counts
+    from .state import keyed_ewma
+
+    return counts.join(keyed_ewma(marked.filter("_fresh"), [source], list(order), delay).withColumnRenamed("ewma", "avg_delay"), source, "left")
 
 
 def gap_sessions(df: DataFrame, keys: Sequence[str], ts: str = "ts", gap_seconds: float = 1200, inclusive: bool = True, order: Sequence[str] = ()) -> DataFrame:

@@ -25,14 +25,25 @@ SELECT event_id AS frame_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS ta, user_id
        CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS ftype,
        CASE event_type WHEN 'signup' THEN 8 WHEN 'purchase' THEN 4 WHEN 'error' THEN 13 WHEN 'view' THEN 0 ELSE 8 END AS fsubtype,
        CAST((event_id * 7919) % 65536 AS INT) AS sport, CAST((event_id * 104729) % 65536 AS INT) AS dport,
-       -50 - CAST(event_id % 40 AS INT) AS rssi, -95 AS noise
+       -50 - CAST(event_id % 40 AS INT) AS rssi, -95 AS noise, user_id % 3 = 1 AS protected
 FROM events""",
+    # twelve captures a content, within a second or, of control frames, within a millisecond
     "fx_captures": """
-SELECT event_id AS frame_id, event_id - event_id % 3 AS payload_hash,
-       (event_id - event_id % 3) * 400000 + (event_id % 3) * (40 + event_id % 11) AS ts_us,
-       CAST(event_id % 3 AS INT) AS sniffer_id, 1 + CAST(event_id % 11 AS INT) AS channel,
-       -50 - CAST((event_id * 17) % 40 AS INT) AS rssi, -95 AS noise, event_type = 'error' AS is_ctrl
+SELECT event_id AS frame_id, event_id - event_id % 12 AS payload_hash,
+       (event_id - event_id % 12) * 400000 + (event_id * 7919) % 12 * CASE WHEN (event_id - event_id % 12) % 60 = 0 THEN 70 ELSE 90000 END + user_id % 50 AS ts_us,
+       CAST((event_id * event_id + user_id) % 4 AS INT) AS sniffer_id, 1 + CAST(user_id % 3 AS INT) AS channel,
+       -50 - CAST((event_id * 17) % 40 AS INT) AS rssi, -95 - CAST(user_id % 6 AS INT) AS noise,
+       (event_id - event_id % 12) % 60 = 0 AS is_ctrl, CAST(100 + user_id * 7 % 400 AS INT) AS err_us
 FROM events""",
+    "fx_web_packets": """
+SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, up, CAST((event_id * 31) % 7 AS INT) AS sniffer_id,
+       CASE WHEN up THEN c ELSE s END AS src, CASE WHEN up THEN 5000 + CAST(user_id % 3 AS INT) ELSE w END AS sport,
+       CASE WHEN up THEN s ELSE c END AS dst, CASE WHEN up THEN w ELSE 5000 + CAST(user_id % 3 AS INT) END AS dport,
+       up AND event_id % 5 = 0 AS syn, (event_id * 13) % 50 AS seq, CAST(event_id % 4 AS INT) * 100 AS payload_len,
+       CASE WHEN event_id % 3 = 0 THEN concat('h', CAST(user_id % 5 AS VARCHAR(8)), '.com', CASE WHEN event_id % 2 = 0 THEN ':80' ELSE '' END) END AS host,
+       CASE WHEN event_id % 5 = 1 THEN concat('c', CAST((event_id * 7) % 1000 AS VARCHAR(8)), '.com') END AS cookie,
+       CASE WHEN event_id % 4 = 1 THEN concat('q=t', CAST(event_id % 9 AS VARCHAR(8))) END AS term
+FROM (SELECT *, (event_id * 7919) % 5 < 3 AS up, concat('c', CAST(user_id AS VARCHAR(8))) AS c, concat('s', CAST(user_id % 4 AS VARCHAR(8))) AS s, CASE WHEN event_id % 11 = 0 THEN 443 ELSE 80 END AS w FROM events) AS e""",
     "fx_station_stats": """
 SELECT l_partkey AS mac, 300 AS duration_sec,
        CASE WHEN l_partkey % 6 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' SECOND * CAST(l_orderkey % (1 + l_partkey % 97) * 100 AS INT)

@@ -111,21 +111,39 @@ def _(spark, d):
     return filters.follow_learned(view(spark, d, "fx_frames"), (F.col("ftype") == 0) & (F.col("fsubtype") == 8) & (F.col("bssid") % 4 == 1))[0].select(F_ID)
 
 
-@query("prj_1_strip", "SELECT doc_id, substr(text, 1, greatest(length(text) - 4, 0)) AS body, substr(text, 1, 24) AS header FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
+RAW_SQL = "SELECT doc_id, hex(encode(text)) AS h FROM documents"
+
+
+@query("prj_1_strip", f"SELECT doc_id, substr(h, 1, greatest(len(h) - 8, 0)) AS body FROM ({RAW_SQL}) AS r")
 def _(spark, d):
-    raw = F.encode("text", "UTF-8")
-    rows = table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return rows.select("doc_id", F.decode(projections.strip_tail(raw), "UTF-8").alias("body"), F.decode(projections.strip_to_header(raw), "UTF-8").alias("header"))
+    return table(spark, d, "documents").select("doc_id", F.hex(projections.strip_tail(F.encode("text", "UTF-8"))).alias("body"))
 
 
-# the whole table as bytes; DuckDB's substr counts characters, so these have no SQL
-@query("prj_1_strip_bytes")
+@query("prj_1_strip_bytes", f"SELECT doc_id, substr(h, 1, greatest(len(h) - 8, 0)) AS body, substr(h, 1, 48) AS header FROM ({RAW_SQL}) AS r")
 def _(spark, d):
     raw = F.encode("text", "UTF-8")
     return table(spark, d, "documents").select("doc_id", F.hex(projections.strip_tail(raw)).alias("body"), F.hex(projections.strip_to_header(raw)).alias("header"))
 
 
-@query("prj_2_print")
+#: Captures merged by the rules of the merger, one transmission of each content a step; m holds its members in order.
+MERGED_SQL = """caps AS (SELECT payload_hash, list(struct_pack(f := frame_id, t := ts_us, s := sniffer_id, c := channel, r := rssi, z := noise, k := is_ctrl, e := err_us) ORDER BY ts_us, sniffer_id, frame_id) AS l FROM fx_captures GROUP BY payload_hash),
+rec(payload_hash, l, m) AS (
+  SELECT payload_hash, l, l[1:0] FROM caps
+  UNION ALL
+  SELECT payload_hash, list_filter(l, lambda x: NOT list_contains(list_transform(m, lambda y: y.f), x.f)), m FROM (
+    SELECT payload_hash, l, list_filter(cand, lambda x, i: list_position(list_transform(cand, lambda y: y.s), x.s) = i) AS m FROM (
+      SELECT payload_hash, l, list_filter(l, lambda x: x.t <= lim AND x.t - x.e <= high) AS cand FROM (
+        SELECT payload_hash, l, high, least(high + 250000, coalesce(mid, high + 250000)) AS lim FROM (
+          SELECT payload_hash, l, l[1].t + CASE WHEN l[1].k THEN least(l[1].e, 300) ELSE greatest(l[1].e, 250000) END AS high,
+                 l[1].t + (list_filter(l, lambda x: x.s = l[1].s AND x.t <> l[1].t)[1].t - l[1].t) // 2 AS mid
+          FROM rec WHERE len(l) > 0) AS a) AS b) AS c) AS d),
+merged AS (
+  SELECT payload_hash, m, m[1].f AS frame_id, m[len(m) // 2 + 1].t AS ts_us,
+         list_reduce(list_prepend({'b': -999, 'c': 0}, list_transform(m, lambda x: {'b': x.r - x.z, 'c': x.c})), lambda a, x: CASE WHEN x.b > a.b + 5 THEN x WHEN x.b > a.b - 5 AND x.c <> a.c THEN {'b': a.b, 'c': 0} ELSE a END).c AS channel
+  FROM rec WHERE len(m) > 0)"""
+
+
+@query("prj_2_print", f"WITH RECURSIVE {MERGED_SQL} SELECT frame_id, format('{{}} sniffer={{}} dt={{}} chan={{}} rssi={{}} noise={{}}', frame_id, x.s, x.t - ts_us, x.c, x.r, x.z) AS line FROM (SELECT frame_id, ts_us, unnest(m) AS x FROM merged) AS u")
 def _(spark, d):
     return projections.print_merged(state.merge_captures(view(spark, d, "fx_captures")), detailed=True)
 
@@ -140,10 +158,10 @@ def _(spark, d):
     return joins.bitmask_join(view(spark, d, "fx_bss_stats"), "encryption_types", view(spark, d, "lu_encryptions"), "encryption_id").groupBy("encryption_desc").agg(F.countDistinct("bssid").alias("networks"))
 
 
-CHANGES = "SELECT sniffer_id, ts, max(channel) AS channel FROM fx_frames WHERE frame_id % 50 < 7 GROUP BY sniffer_id, ts"
+CHANGES = "SELECT sniffer_id, ts, max(channel) AS channel FROM fx_frames GROUP BY sniffer_id, ts"
 
 
-@query("jn_8_asof_channel", f"WITH c AS ({CHANGES}) SELECT frame_id, coalesce((SELECT max_by(c.channel, c.ts) FROM c WHERE c.sniffer_id = f.sniffer_id AND c.ts < f.ts), 0) AS channel FROM fx_frames AS f")
+@query("jn_8_asof_channel", f"WITH c AS ({CHANGES}) SELECT frame_id, coalesce(c.channel, 0) AS channel FROM fx_frames AS f ASOF LEFT JOIN c ON c.sniffer_id = f.sniffer_id AND f.ts > c.ts")
 def _(spark, d):
     out = joins.asof_join(view(spark, d, "fx_frames").select(F_ID, "sniffer_id", "ts"), run_sql(spark, d, CHANGES), ["sniffer_id"], "ts", "ts", ["channel"], strict=True)
     return out.select(F_ID, F.coalesce("asof_channel", F.lit(0)).alias("channel"))
@@ -199,7 +217,10 @@ def _(spark, d):
     return out.select("src_mac", "us", "sig_id", F.col("asof_sniffer_id").alias("sniffer_id"))
 
 
-@query("jn_14_skew_pairs")
+PAIRS_SQL = "pairs AS (SELECT frame_id, ts_us, x.s AS src, y.s AS dst, y.t - x.t AS skew_us FROM (SELECT frame_id, ts_us, x, unnest(m) AS y FROM (SELECT frame_id, ts_us, m, unnest(m) AS x FROM merged) AS a) AS b WHERE x.s <> y.s)"
+
+
+@query("jn_14_skew_pairs", f"WITH RECURSIVE {MERGED_SQL}, {PAIRS_SQL} SELECT frame_id, src, dst, skew_us FROM pairs")
 def _(spark, d):
     return joins.skew_pairs(state.merge_captures(view(spark, d, "fx_captures")))
 
@@ -217,21 +238,24 @@ def _(spark, d):
     return joins.check_routes(f, owners).groupBy("verdict").agg(F.count("*").alias("frames"))
 
 
-_CLASS_SQL = ", ".join(f"count(*) FILTER (WHERE {t}) AS {n}_packets, CAST(coalesce(sum(length) FILTER (WHERE {t}), 0) AS BIGINT) AS {n}_bytes" for n, t in (("mgmt", "ftype = 0"), ("ctrl", "ftype = 1"), ("data", "ftype = 2"), ("null_data", "ftype = 2 AND fsubtype IN (4, 12)"), ("beacon", "ftype = 0 AND fsubtype = 8")))
+SUBTYPED = "SELECT * EXCLUDE (fsubtype), CASE WHEN ftype = 2 THEN CAST(frame_id % 16 AS INT) ELSE fsubtype END AS fsubtype FROM fx_frames"
+_CLASS_SQL = ", ".join(f"count(*) FILTER (WHERE {t}) AS {n}_packets, CAST(coalesce(sum(length) FILTER (WHERE {t}), 0) AS BIGINT) AS {n}_bytes" for n, t in (("mgmt", "ftype = 0"), ("ctrl", "ftype = 1"), ("data", "ftype = 2"), ("null_data", "ftype = 2 AND fsubtype IN (4, 5, 6, 7, 12, 13, 14, 15)"), ("beacon", "ftype = 0 AND fsubtype = 8"), ("encrypted", "ftype = 2 AND protected")))
 
 
-@query("agg_1_classes", f"SELECT sniffer_id, {_CLASS_SQL} FROM fx_frames GROUP BY sniffer_id")
+@query("agg_1_classes", f"SELECT sniffer_id, {_CLASS_SQL} FROM ({SUBTYPED}) AS f GROUP BY sniffer_id")
 def _(spark, d):
-    return aggregates.class_counts(view(spark, d, "fx_frames"), keys=["sniffer_id"])
+    # every subtype of data frames
+    f = view(spark, d, "fx_frames").withColumn("fsubtype", F.expr("CASE WHEN ftype = 2 THEN CAST(frame_id % 16 AS INT) ELSE fsubtype END"))
+    return aggregates.class_counts(f, keys=["sniffer_id"])
 
 
-@query("agg_2_field_sum", "SELECT CAST(sum(ascii(substr(text, 2, 1)) * 256 + ascii(substr(text, 3, 1))) AS BIGINT) AS total, count(*) AS n FROM documents WHERE length(text) >= 3 AND regexp_full_match(text, '[\\x00-\\x7f]*')")
+@query("agg_2_field_sum", f"SELECT CAST(sum(v) AS BIGINT) AS total, count(v) AS n FROM (SELECT CAST('0x' || substr(h, 5, 2) || substr(h, 3, 2) AS BIGINT) AS v FROM ({RAW_SQL}) AS r WHERE len(h) >= 6) AS x")
 def _(spark, d):
-    rows = table(spark, d, "documents").filter(F.col("text").rlike(r"^[\x00-\x7f]*$")).withColumn("v", aggregates.bytes_as_integer(F.encode("text", "UTF-8"), 1, 2))
-    return rows.filter("v is not null").agg(F.sum("v").alias("total"), F.count("*").alias("n"))
+    rows = table(spark, d, "documents").withColumn("v", aggregates.bytes_as_integer(F.encode("text", "UTF-8"), 1, 2, little_endian=True))
+    return rows.agg(F.sum("v").alias("total"), F.count("v").alias("n"))
 
 
-@query("agg_2_field_sum_bytes")
+@query("agg_2_field_sum_bytes", f"SELECT CAST(sum(v) AS BIGINT) AS total, count(v) AS n FROM (SELECT CAST('0x' || substr(h, 3, 4) AS BIGINT) AS v FROM ({RAW_SQL}) AS r WHERE len(h) >= 6) AS x")
 def _(spark, d):
     rows = table(spark, d, "documents").withColumn("v", aggregates.bytes_as_integer(F.encode("text", "UTF-8"), 1, 2))
     return rows.agg(F.sum("v").alias("total"), F.count("v").alias("n"))
@@ -255,6 +279,17 @@ def _(spark, d):
     return out.select(F.unix_micros("start").alias("start_us"), "sniffer_id", "proto", "packets", "bytes")
 
 
+LAYERS = "SELECT frame_id, ts, sniffer_id, length, ftype, fsubtype, sport, dport, CASE frame_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 2054 ELSE 2048 END AS ethertype, CASE frame_id % 7 WHEN 2 THEN 1 WHEN 3 THEN 6 WHEN 4 THEN 6 WHEN 5 THEN 17 WHEN 6 THEN 47 END AS ip_proto, CASE WHEN frame_id % 7 > 1 THEN length - 24 END AS ip_len, CASE WHEN frame_id % 7 > 1 THEN 20 + 4 * CAST(frame_id % 2 AS INT) END AS ip_hl FROM fx_frames"
+_PORTS = {"tcp": [(80, 80), (1, 65535), (6881, 6889)], "udp": [(53, 53), (1, 1023)]}
+_PORTS_SQL = " UNION ALL ".join(f"SELECT ts, frame_id, sniffer_id, '{k}', {a}, {b}, ip_len - ip_hl FROM l WHERE ip_proto = {n} AND (sport BETWEEN {a} AND {b} OR dport BETWEEN {a} AND {b})" for k, n in (("tcp", 6), ("udp", 17)) for a, b in _PORTS[k])
+
+
+@query("agg_5_layers", f"WITH l AS ({LAYERS}), c AS (SELECT ts, frame_id, sniffer_id, 'ether' AS kind, ethertype AS code, NULL::INT AS high, length AS size FROM l WHERE ethertype IS NOT NULL UNION ALL SELECT ts, frame_id, sniffer_id, 'wifi', ftype + 4 * fsubtype, NULL, length FROM l UNION ALL SELECT ts, frame_id, sniffer_id, 'ip', ip_proto, NULL, CASE WHEN row_number() OVER (PARTITION BY US(ts) // 3600000000, sniffer_id, ip_proto ORDER BY frame_id) = 1 THEN length ELSE ip_len END FROM l WHERE ip_proto IS NOT NULL UNION ALL {_PORTS_SQL}) SELECT US(ts) // 3600000000 * 3600000000 AS start_us, sniffer_id, kind, code, high, count(*) AS packets, CAST(sum(size) AS BIGINT) AS bytes FROM c GROUP BY ALL")
+def _(spark, d):
+    out = aggregates.traffic_counts(run_sql(spark, d, LAYERS), "1 hour", _PORTS, ["sniffer_id"])
+    return out.select(F.unix_micros("start").alias("start_us"), "sniffer_id", "kind", "code", "high", "packets", "bytes")
+
+
 @query("agg_6_channels", "SELECT channel, count(*) AS packets, count(DISTINCT bssid) AS aps FROM fx_frames GROUP BY channel")
 def _(spark, d):
     return view(spark, d, "fx_frames").groupBy("channel").agg(F.count("*").alias("packets"), F.countDistinct("bssid").alias("aps"))
@@ -286,31 +321,40 @@ def _(spark, d):
     return aggregates.owner_with_hysteresis(rates, old, ratio=1.05, margin=100.0)
 
 
-# hosts are nations; a route goes through the region's first nation, so paths have two links at most
-HOP = "SELECT a.n_nationkey AS src, b.n_nationkey AS dst, CAST(CASE WHEN a.n_regionkey = b.n_regionkey THEN b.n_nationkey ELSE b.n_regionkey END AS BIGINT) AS gateway FROM nation AS a JOIN nation AS b ON a.n_nationkey <> b.n_nationkey"
+# hosts are nations: straight on inside a region, else to the next number; one region is wired, host 0 coordinates, some have no route
+HOP = "SELECT CAST(a.n_nationkey AS BIGINT) AS src, CAST(b.n_nationkey AS BIGINT) AS dst, CAST(CASE WHEN a.n_regionkey = b.n_regionkey THEN b.n_nationkey WHEN b.n_nationkey > a.n_nationkey THEN a.n_nationkey + 1 ELSE a.n_nationkey - 1 END AS BIGINT) AS gateway FROM nation AS a, nation AS b WHERE a.n_nationkey <> b.n_nationkey AND (a.n_nationkey * 7 + b.n_nationkey) % 31 <> 3"
+WIRED = "SELECT CAST(a.n_nationkey AS BIGINT) AS src, CAST(b.n_nationkey AS BIGINT) AS dst FROM nation AS a, nation AS b WHERE a.n_nationkey <> b.n_nationkey AND a.n_regionkey = 3 AND b.n_regionkey = 3"
 PAIRS = "SELECT CAST(s_suppkey % 25 AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, CAST(sum(floor(s_acctbal) + 2000) AS DOUBLE) AS bytes FROM supplier WHERE s_suppkey % 25 <> s_nationkey GROUP BY 1, 2"
+WALK_SQL = f"""hop AS (SELECT src, dst, gateway, FALSE AS wired FROM ({HOP}) AS h WHERE (src, dst) NOT IN ({WIRED}) UNION ALL SELECT src, dst, dst, TRUE FROM ({WIRED}) AS w),
+traffic AS ({PAIRS}),
+walk(src, dst, here, n, links, wired) AS (
+  SELECT src, dst, src, 0, CAST([] AS STRUCT(a BIGINT, b BIGINT)[]), TRUE FROM traffic
+  UNION ALL
+  SELECT w.src, w.dst, h.gateway, n + 1, CASE WHEN h.gateway = 0 THEN links ELSE list_append(links, {{'a': least(here, h.gateway), 'b': greatest(here, h.gateway)}}) END, w.wired AND h.wired
+  FROM walk AS w JOIN hop AS h ON h.src = w.here AND h.dst = w.dst WHERE here <> w.dst AND n < 20 AND (h.gateway <> 0 OR w.dst = 0)),
+paths AS (SELECT src, dst, CASE WHEN wired THEN links[1:0] ELSE links END AS links FROM walk WHERE here = dst)"""
 
 
-def _routes(spark, d):
-    hops = run_sql(spark, d, HOP).select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), "gateway")
-    # a gateway that is the source itself sends straight on
-    return hops.withColumn("gateway", F.when(F.col("gateway") == F.col("src"), F.col("dst")).otherwise(F.col("gateway")))
+def _walk(spark, d, traffic: DataFrame) -> DataFrame:
+    return graph.walk_routes(traffic.select("src", "dst").distinct(), run_sql(spark, d, HOP), wired=run_sql(spark, d, WIRED), coordinator=0)[0]
 
 
-LINKS_SQL = """WITH p AS (SELECT CAST(s_suppkey % 25 AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, CAST(sum(floor(s_acctbal) + 2000) AS DOUBLE) AS bytes FROM supplier WHERE s_suppkey % 25 <> s_nationkey GROUP BY 1, 2),
-g AS (SELECT p.*, CASE WHEN a.n_regionkey = b.n_regionkey OR b.n_regionkey = p.src THEN p.dst ELSE CAST(b.n_regionkey AS BIGINT) END AS gw FROM p JOIN nation AS a ON a.n_nationkey = p.src JOIN nation AS b ON b.n_nationkey = p.dst)"""
+@query("gra_2_walk", f"WITH RECURSIVE {WALK_SQL} SELECT src, dst, len(links) AS hops, list_aggregate(list_transform(links, lambda x: concat(x.a, '-', x.b)), 'string_agg', ' ') AS links FROM paths")
+def _(spark, d):
+    text = F.array_join(F.transform("links", lambda x: F.concat_ws("-", x["a"], x["b"])), " ")
+    return _walk(spark, d, run_sql(spark, d, PAIRS)).select("src", "dst", F.size("links").cast("long").alias("hops"), F.when(F.size("links") > 0, text).alias("links"))
 
 
-@query("gra_2_walk")
+@query("gra_2_lost", f"WITH RECURSIVE {WALK_SQL} SELECT src, dst FROM traffic WHERE (src, dst) NOT IN (SELECT src, dst FROM paths)")
 def _(spark, d):
-    done, _ = graph.walk_routes(run_sql(spark, d, PAIRS), _routes(spark, d), 4)
-    return done.select("src", "dst", F.size("links").alias("hops"), F.to_json("links").alias("links"))
+    traffic = run_sql(spark, d, PAIRS).select("src", "dst")
+    return graph.walk_routes(traffic, run_sql(spark, d, HOP), wired=run_sql(spark, d, WIRED), coordinator=0)[1]
 
 
-@query("agg_16_links")
+@query("agg_16_links", f"WITH RECURSIVE {WALK_SQL} SELECT x.a AS a, x.b AS b, sum(bytes) AS bytes FROM (SELECT bytes, unnest(links) AS x FROM paths JOIN traffic USING (src, dst)) AS u GROUP BY 1, 2")
 def _(spark, d):
     traffic = run_sql(spark, d, PAIRS)
-    return aggregates.link_load(traffic, graph.walk_routes(traffic, _routes(spark, d), 4)[0])
+    return aggregates.link_load(traffic, _walk(spark, d, traffic))
 
 
 @query("agg_18_wire", "SELECT sniffer_id, (sum(length) + count(*) * 88) * 0.35e0 AS wire FROM fx_frames GROUP BY sniffer_id")
@@ -318,12 +362,11 @@ def _(spark, d):
     return view(spark, d, "fx_frames").groupBy("sniffer_id").agg(aggregates.bytes_on_wire(F.sum("length"), F.count("*")).alias("wire"))
 
 
-@query("agg_19_status", "WITH m AS (SELECT ta AS host, ts, frame_id, rssi, length FROM fx_frames), n AS (SELECT *, US(ts) - lag(US(ts)) OVER (PARTITION BY host ORDER BY ts) AS gap FROM m) SELECT host, max_by(length, ts) AS cpu, CAST(sum(length) AS BIGINT) AS bytes, US(max(ts)) AS last_us, greatest(10.0::DOUBLE, (US(max(ts)) - US(max(ts) FILTER (WHERE gap IS NULL OR gap > 7200000000))) / 1e6) AS uptime FROM n GROUP BY host HAVING count(*) = count(DISTINCT ts)")
+@query("agg_19_status", "WITH m AS (SELECT ta AS host, ts, frame_id, length FROM fx_frames), n AS (SELECT *, US(ts) - lag(US(ts)) OVER (PARTITION BY host ORDER BY ts, frame_id) AS gap FROM m) SELECT host, max_by(length, (ts, frame_id)) AS cpu, CAST(sum(length) AS BIGINT) AS bytes, US(max(ts)) AS last_us, greatest(10.0::DOUBLE, coalesce(sum(gap) FILTER (WHERE gap < 7200000000), 0) / 1e6) AS uptime, US(max(ts)) > US(TIMESTAMP '2024-01-30 12:00:00') - 7200000000 AS online FROM n GROUP BY host")
 def _(spark, d):
-    m = view(spark, d, "fx_frames").select(F.col("ta").alias("host"), "ts", F.col("length").alias("cpu"), F.col("length").cast("long").alias("bytes"))
-    unique = m.groupBy("host").agg(F.count("*").alias("n"), F.countDistinct("ts").alias("k")).filter("n = k").select("host")
-    out = aggregates.host_status(m.join(unique, "host"), F.lit("2024-02-01").cast("timestamp"), last=["cpu"], sums=["bytes"], gap=7200)
-    return out.select("host", "cpu", "bytes", F.unix_micros("last_seen").alias("last_us"), "uptime")
+    m = view(spark, d, "fx_frames").select(F.col("ta").alias("host"), "ts", F_ID, F.col("length").alias("cpu"), F.col("length").cast("long").alias("bytes"))
+    out = aggregates.host_status(m, F.lit("2024-01-30 12:00:00").cast("timestamp"), last=["cpu"], sums=["bytes"], gap=7200, order=[F_ID])
+    return out.select("host", "cpu", "bytes", F.unix_micros("last_seen").alias("last_us"), "uptime", "online")
 
 
 @query("agg_21_loss", "SELECT host, CAST(sum(CASE WHEN k < 2 THEN length ELSE -length END) AS BIGINT) AS unaccounted FROM (SELECT sniffer_id AS host, frame_id % 6 AS k, length FROM fx_frames) AS x GROUP BY host")
@@ -343,10 +386,12 @@ def _(spark, d):
     return windows.inferred_packets(view(spark, d, "fx_frames"))
 
 
-@query("win_2_pings")
+PINGS = "SELECT ta AS source, ts, frame_id AS event_id, CASE WHEN frame_id % 10 = 9 THEN 0 ELSE frame_id % 400 END AS seq, length AS delay FROM fx_frames"
+
+
+@query("win_2_pings", f"WITH p AS ({PINGS}), n AS (SELECT *, row_number() OVER w AS k, sum(CASE WHEN seq = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM p WINDOW w AS (PARTITION BY source ORDER BY ts, event_id)), h AS (SELECT *, max(seq) OVER (PARTITION BY source, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM n), g AS (SELECT *, high IS NULL OR seq > high AS fresh FROM h) SELECT source, count(*) FILTER (WHERE fresh) AS received, CAST(sum(CASE WHEN k = 1 THEN seq WHEN seq = 0 OR NOT fresh THEN 0 ELSE seq - high - 1 END) AS BIGINT) AS dropped, count(*) FILTER (WHERE NOT fresh) AS duplicates, list_reduce(list(CAST(delay AS DOUBLE) ORDER BY k) FILTER (WHERE fresh), lambda m, x: m + (x - m) / 16) AS avg_delay FROM g GROUP BY source")
 def _(spark, d):
-    pings = view(spark, d, "fx_frames").select(F.col("ta").alias("source"), "ts", F.col(F_ID).alias("event_id"), (F.col(F_ID) % 100).alias("seq"))
-    return windows.ping_loss(pings)
+    return windows.ping_loss(run_sql(spark, d, PINGS), delay="delay")
 
 
 @query("win_3_sessions", "WITH g AS (SELECT src_mac, http_host, ts, CASE WHEN US(ts) - lag(US(ts)) OVER w <= 86400000000 THEN 0 ELSE 1 END AS n FROM fx_web_requests WINDOW w AS (PARTITION BY src_mac, http_host ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY src_mac, http_host ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT src_mac, http_host, CAST(session AS BIGINT) AS session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS requests FROM s GROUP BY src_mac, http_host, session")
@@ -369,7 +414,7 @@ def _(spark, d):
     return windows.moving_averages(view(spark, d, "fx_frames"), ["sniffer_id"], ["ts", F_ID], "length", (10, 60)).select(F_ID, "avg_10", "avg_60")
 
 
-@query("win_7_fidelity")
+@query("win_7_fidelity", "WITH s AS (SELECT bssid, sniffer_id, US(ts) // 86400000000 AS slot, least(1.0::DOUBLE, count(*) / 24.0::DOUBLE) AS share FROM fx_frames WHERE ftype = 0 GROUP BY ALL), f AS (SELECT bssid, sniffer_id, list_reduce(list(share ORDER BY slot), lambda m, x: m + (x - m) / 16) AS fidelity FROM s GROUP BY ALL) SELECT * FROM f WHERE fidelity >= 0.01")
 def _(spark, d):
     return windows.fidelity(view(spark, d, "fx_frames").filter("ftype = 0"), bcn_int_us=3_600_000_000, interval_seconds=86_400, threshold=0.01)
 
@@ -379,13 +424,13 @@ def _(spark, d):
     return windows.channel_dwell(view(spark, d, "fx_frames").select("sniffer_id", "channel", "ts", F_ID), order=[F_ID])
 
 
-@query("win_9_shares")
+@query("win_9_shares", "WITH RECURSIVE c AS (SELECT sniffer_id, channel, US(lead(ts) OVER (PARTITION BY sniffer_id ORDER BY ts, frame_id)) - US(ts) AS us FROM fx_frames), w AS (SELECT sniffer_id, channel, sum(us) / 1e6 AS dwell FROM c WHERE us IS NOT NULL GROUP BY ALL), n AS (SELECT sniffer_id, channel, count(*) AS n FROM fx_frames GROUP BY ALL), r AS (SELECT sniffer_id, channel, CASE WHEN dwell > 0 THEN n / dwell ELSE 0 END AS rate FROM w JOIN n USING (sniffer_id, channel)), k AS (SELECT *, row_number() OVER (PARTITION BY sniffer_id ORDER BY rate, channel) AS i, sum(rate) OVER (PARTITION BY sniffer_id) AS total FROM r), t(sniffer_id, i, channel, leftover, rates, share) AS (SELECT DISTINCT sniffer_id, 0::BIGINT, 0, 1.0::DOUBLE, total::DOUBLE, 0.0::DOUBLE FROM k UNION ALL SELECT k.sniffer_id, k.i, k.channel, t.leftover - greatest(0.02, t.leftover * k.rate / t.rates), t.rates - k.rate, greatest(0.02, t.leftover * k.rate / t.rates) FROM t JOIN k ON k.sniffer_id = t.sniffer_id AND k.i = t.i + 1) SELECT sniffer_id, channel, round(share, 9) AS share FROM t WHERE i > 0")
 def _(spark, d):
     f = view(spark, d, "fx_frames").select("sniffer_id", "channel", "ts", F_ID)
     dwell = windows.channel_dwell(f, order=[F_ID])
     counts = f.groupBy("sniffer_id", "channel").agg(F.count("*").alias("n"))
     rates = dwell.join(counts, ["sniffer_id", "channel"]).select("sniffer_id", "channel", F.when(F.col("dwell_sec") > 0, F.col("n") / F.col("dwell_sec")).otherwise(F.lit(0.0)).alias("rate"))
-    return windows.channel_shares(rates)
+    return windows.channel_shares(rates).withColumn("share", F.round("share", 9))
 
 
 @query("srt_1_late", "SELECT frame_id FROM fx_frames WHERE length % 10 >= 5")
@@ -399,10 +444,9 @@ def _(spark, d):
     return view(spark, d, "fx_frames").select("sniffer_id").unionByName(view(spark, d, "fx_captures").select("sniffer_id")).groupBy("sniffer_id").agg(F.count("*").alias("n"))
 
 
-@query("fn_2_escape", "SELECT DISTINCT text_head AS raw, CASE WHEN regexp_matches(text_head, '[^\\x20-\\x21\\x23-\\x7E]') THEN hex(encode(text_head)) ELSE text_head END AS ssid FROM (SELECT substr(text, 1, 12) AS text_head FROM documents) AS t")
+@query("fn_2_escape", "SELECT DISTINCT text AS raw, CASE WHEN regexp_matches(text, '[^\\x20-\\x21\\x23-\\x7E]') THEN hex(encode(text)) ELSE text END AS ssid FROM documents")
 def _(spark, d):
-    head = table(spark, d, "documents").select(F.substring("text", 1, 12).alias("raw")).distinct()
-    return head.select("raw", scalars.escape_ssid(F.col("raw")).alias("ssid"))
+    return table(spark, d, "documents").select(F.col("text").alias("raw")).distinct().select("raw", scalars.escape_ssid(F.col("raw")).alias("ssid"))
 
 
 @query("fn_2_escape_all", "SELECT doc_id, CASE WHEN regexp_matches(text, '[^\\x20-\\x21\\x23-\\x7E]') THEN hex(encode(text)) ELSE text END AS ssid FROM documents")
@@ -428,10 +472,19 @@ def _(spark, d):
     return view(spark, d, "fx_bss_stats").select("bssid", scalars.cipher_names(F.col("encryption_types")).alias("names"))
 
 
-@query("fn_7_site", "SELECT page_id, array_to_string(list_reverse(string_split(h, '.'))[1:2][2:2] || list_reverse(string_split(h, '.'))[1:1], '.') AS site FROM (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h FROM pages) AS p WHERE h LIKE '%.example.%' OR h LIKE 'example.%'")
+HOSTS = "SELECT page_id, concat(CASE page_id % 9 WHEN 1 THEN 'WWW.' WHEN 2 THEN 'mail.google.' WHEN 3 THEN 'a.co.uk.' WHEN 4 THEN '10.0.' ELSE '' END, CASE WHEN page_id % 9 = 2 THEN 'com' WHEN page_id % 9 = 3 THEN 'x.co.nz' WHEN page_id % 9 = 4 THEN '0.7' WHEN page_id % 9 = 8 THEN 'localhost' ELSE regexp_extract(url, '://([^/?#]*)', 1) END, CASE page_id % 5 WHEN 1 THEN ':80' WHEN 2 THEN ':8080' WHEN 3 THEN ':22' ELSE '' END) AS h FROM pages"
+
+
+@query("fn_7_site", f"SELECT page_id, CASE WHEN n = '' OR len(l) < 2 OR regexp_full_match(n, '[0-9.]+') THEN NULL WHEN len(l) >= 3 AND (regexp_matches(n, '\\.co\\.[a-z]{{2}}$') OR regexp_matches(n, '(^|\\.)(google|amazon|live)\\.[a-z.]+$')) THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END AS site FROM (SELECT page_id, n, string_split(n, '.') AS l FROM (SELECT page_id, lower(regexp_extract(h, '^([^:]*)(?::0*(?:80|3128|8080|8088))?$', 1)) AS n FROM ({HOSTS}) AS a) AS b) AS c")
+def _(spark, d):
+    return run_sql(spark, d, HOSTS).select("page_id", scalars.site_of_host(F.col("h")).alias("site"))
+
+
+@query("fn_7_visits", "WITH s AS (SELECT page_id, coalesce(CASE n % 4 WHEN 1 THEN concat('site', (n + 1) % 10, '.com') END, concat('site', n, '.com')) AS site FROM (SELECT page_id, page_id % 10 AS n FROM pages) AS p) SELECT page_id, site FROM s WHERE site NOT IN ('site4.com', 'site6.com')")
 def _(spark, d):
-    host = F.regexp_extract("url", "://([^/?#]*)", 1)
-    return table(spark, d, "pages").withColumn("h", F.lower(host)).filter("h like '%.example.%' or h like 'example.%'").select("page_id", scalars.site_of_host(F.col("h")).alias("site"))
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit("site"), F.col("page_id") % 10, F.lit(".com")).alias("site"))
+    remap = spark.createDataFrame([(f"site{n}.com", f"site{(n + 1) % 10}.com") for n in (1, 5, 9)], "site string, target string")
+    return scalars.user_sites(pages, "site", remap, spark.createDataFrame([("site4.com",), ("site6.com",)], "site string"))
 
 
 @query("fn_8_search", "SELECT page_id, nullif(regexp_extract(url, '[?&](ref=([^&#]{1,}))', 1), '') AS term FROM pages")
@@ -463,21 +516,35 @@ def _(spark, d):
     return scalars.geo_candidates(g).select("event_id")
 
 
-@query("str_1_merge")
+@query("str_1_merge", f"WITH RECURSIVE {MERGED_SQL} SELECT frame_id, payload_hash, ts_us, channel, len(m) AS n FROM merged")
 def _(spark, d):
     merged = state.merge_captures(view(spark, d, "fx_captures"))
-    return merged.select(F_ID, "payload_hash", "ts_us", "channel", F.size("members").alias("n"))
+    return merged.select(F_ID, "payload_hash", "ts_us", "channel", F.size("members").cast("long").alias("n"))
 
 
-@query("str_2_skew")
+SKEW_SLICE = 600_000_000
+SLICES_SQL = f"""rolled AS (SELECT *, list_sort(list(skew_us) OVER (PARTITION BY src, dst ORDER BY ts_us, frame_id ROWS 10 PRECEDING)) AS v FROM pairs),
+known AS (SELECT src, dst, ts_us // {SKEW_SLICE} + 1 AS slice, max_by(v, (ts_us, frame_id)) AS v FROM rolled GROUP BY ALL),
+span AS (SELECT src, dst, slice, v, coalesce(lead(slice) OVER (PARTITION BY src, dst ORDER BY slice) - 1, (SELECT max(ts_us // {SKEW_SLICE}) FROM merged)) AS until FROM known),
+edge AS (SELECT src, dst, v[len(v) // 2 + 1] AS skew_us, v[len(v)] - v[1] AS spread_us, unnest(range(slice, until + 1)) AS slice FROM span WHERE slice <= until),
+base AS (SELECT sniffer_id AS b FROM fx_captures WHERE ts_us < (SELECT min(ts_us) FROM fx_captures) + 60000000 GROUP BY sniffer_id ORDER BY count(*) DESC, sniffer_id LIMIT 1),
+path(slice, s, skew_us, spread_us, via) AS (
+  SELECT DISTINCT slice, b, 0::BIGINT, 0::BIGINT, [b] FROM edge, base
+  UNION ALL
+  SELECT p.slice, e.dst, p.skew_us + e.skew_us, p.spread_us + e.spread_us, list_append(via, e.dst) FROM path AS p JOIN edge AS e ON e.slice = p.slice AND e.src = p.s WHERE NOT list_contains(via, e.dst)),
+best AS (SELECT slice, s, min_by(skew_us, (len(via), via)) AS skew_us, min_by(spread_us, (len(via), via)) AS spread_us FROM path GROUP BY slice, s)"""
+
+
+@query("str_2_skew", f"WITH RECURSIVE {MERGED_SQL}, {PAIRS_SQL}, {SLICES_SQL}, first AS (SELECT min(ts_us) + 60000000 AS warm FROM fx_captures) SELECT frame_id, CASE WHEN ts_us < warm THEN ts_us ELSE ts_us - coalesce(b.skew_us, 0) END AS ts_us, CASE WHEN ts_us < warm THEN 0 ELSE CAST(least(greatest(coalesce(b.spread_us, 100000), 50), 250000) AS INT) END AS err_us FROM first, fx_captures AS c LEFT JOIN best AS b ON b.s = c.sniffer_id AND b.slice = c.ts_us // {SKEW_SLICE}")
 def _(spark, d):
     captures = view(spark, d, "fx_captures")
-    skews = state.estimate_skew(state.merge_captures(captures))
-    paths = graph.shortest_hop_sums(skews, 0).select("sniffer_id", "skew_us", "spread_us")
-    return state.merge_captures(state.apply_skew(captures, paths)).select(F_ID, "ts_us", F.size("members").alias("n"))
+    base, warm = state.base_sniffer(captures)
+    history = state.skew_history(state.merge_captures(captures), slice_us=SKEW_SLICE)
+    adjusted = state.apply_skew(captures, graph.skew_paths(history, base), slice_us=SKEW_SLICE, warmup_end=warm)
+    return adjusted.select(F_ID, "ts_us", "err_us")
 
 
-@query("gra_1_paths")
+@query("gra_1_paths", f"WITH RECURSIVE {MERGED_SQL}, {PAIRS_SQL}, rolled AS (SELECT *, list_sort(list(skew_us) OVER (PARTITION BY src, dst ORDER BY frame_id ROWS 10 PRECEDING)) AS v FROM pairs), edge AS (SELECT src, dst, max_by(v, frame_id) AS v FROM rolled GROUP BY ALL), path(s, skew_us, spread_us, via) AS (SELECT 0, 0::BIGINT, 0::BIGINT, [0] UNION ALL SELECT e.dst, p.skew_us + v[len(v) // 2 + 1], p.spread_us + v[len(v)] - v[1], list_append(via, e.dst) FROM path AS p JOIN edge AS e ON e.src = p.s WHERE NOT list_contains(via, e.dst)) SELECT s AS sniffer_id, CAST(min(len(via)) - 1 AS INT) AS hops, min_by(skew_us, (len(via), via)) AS skew_us, min_by(spread_us, (len(via), via)) AS spread_us FROM path GROUP BY s")
 def _(spark, d):
     return graph.shortest_hop_sums(state.estimate_skew(state.merge_captures(view(spark, d, "fx_captures"))), 0)
 
@@ -488,10 +555,30 @@ def _(spark, d):
     return out.select(F.unix_micros("start").alias("start_us"), "ta", "packets", "bytes", "inferred_packets", "data_bytes", "beacons", "flags")
 
 
-@query("str_4_associations")
+_MAC = lambda c: f"concat('00:00:00:00:0', CAST({c} % 10 AS VARCHAR(4)), ':', CAST(100 + {c} % 100 AS VARCHAR(4)))"
+ADDRESSED = f"SELECT frame_id, ts, ftype, CAST(frame_id % 16 AS INT) AS fsubtype, CAST(frame_id % 3 AS INT) AS dir, {_MAC('ta % 37')} AS ta, CASE frame_id % 13 WHEN 0 THEN 'ff:ff:ff:ff:ff:ff' WHEN 1 THEN '01:00:5e:00:00:01' ELSE {_MAC('(ta + frame_id) % 41')} END AS ra, CASE frame_id % 17 WHEN 0 THEN NULL WHEN 1 THEN 'ff:ff:ff:ff:ff:ff' ELSE {_MAC('(sniffer_id % 3)')} END AS bssid FROM fx_frames"
+_ASSOC = {"timeout_us": 12 * 3_600_000_000, "refresh_us": 7_200_000_000, "ap_hold_us": 3_600_000_000, "tx_hold_us": 3_600_000_000}
+ASSOC_SQL = f"""f AS ({ADDRESSED}), d AS (SELECT *, US(ts) AS us FROM f WHERE ftype = 2 AND fsubtype IN (0, 1, 2, 3, 8, 9, 10, 11) AND bssid <> 'ff:ff:ff:ff:ff:ff' AND ra NOT IN ('ff:ff:ff:ff:ff:ff', '01:00:5e:00:00:01')),
+r AS (SELECT ta AS station, us, frame_id, bssid, dir = 2 AS ap, TRUE AS tx FROM d UNION ALL SELECT ra, us, frame_id, bssid, dir = 1, FALSE FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY us, frame_id, tx DESC) AS k FROM r),
+-- b, a: BSSID and role; e, u, x: times of the last event, update and sent frame
+s AS (
+  SELECT station, k, us, bssid AS b, ap AS a, us AS e, us AS u, CASE WHEN tx THEN us END AS x, 'new' AS event FROM n WHERE k = 1
+  UNION ALL
+  SELECT station, k, us,
+         CASE WHEN event IN ('new', 'change') THEN bssid ELSE b END, CASE WHEN event IN ('new', 'change') THEN ap ELSE a END, CASE WHEN event IS NOT NULL AND event <> 'held' THEN us ELSE e END,
+         CASE WHEN event = 'held' THEN u ELSE us END, CASE WHEN tx THEN us WHEN event = 'new' THEN NULL ELSE x END, event
+  FROM (
+    SELECT n.*, s.b, s.a, s.e, s.u, s.x,
+           CASE WHEN n.us - s.u > {_ASSOC["timeout_us"]} THEN 'new'
+                WHEN n.bssid <> s.b THEN CASE WHEN s.a AND n.us - s.u <= {_ASSOC["ap_hold_us"]} OR NOT n.tx AND s.x IS NOT NULL AND n.us - s.x < {_ASSOC["tx_hold_us"]} THEN 'held' ELSE 'change' END
+                WHEN n.us - s.e >= {_ASSOC["refresh_us"]} THEN 'refresh' END AS event
+    FROM s JOIN n ON n.station = s.station AND n.k = s.k + 1) AS j)"""
+
+
+@query("str_4_associations", f"WITH RECURSIVE {ASSOC_SQL} SELECT station, us AS ts_us, b AS bssid, a AS is_ap, event FROM s WHERE event IN ('new', 'change', 'refresh')")
 def _(spark, d):
-    f = view(spark, d, "fx_frames").filter("ftype = 2").withColumns({"dir": (F.col(F_ID) % 3).cast("int"), "ra": (F.col("ta") + 1000)})
-    return state.associations(f, timeout_us=7 * 86_400_000_000, refresh_us=86_400_000_000, ap_hold_us=3_600_000_000)
+    return state.associations(run_sql(spark, d, ADDRESSED), **_ASSOC)
 
 
 BEACONS = "SELECT frame_id, ts, bssid, CASE WHEN frame_id % 4 = 0 THEN '' ELSE concat('net', CAST(frame_id % 3 AS VARCHAR(8))) END AS ssid, channel AS adv_channel, CAST(frame_id % 16 AS INT) AS cipher_bits, fsubtype = 8 AS is_beacon, CAST(100 + bssid % 2 * (frame_id % 2) AS INT) AS bcn_int FROM fx_frames WHERE ftype = 0"
@@ -520,10 +607,20 @@ def _(spark, d):
     return out.select("src_mac", "bssid", "ssid", F.unix_micros("ts").alias("us"))
 
 
-@query("str_8_flows")
+@query("str_8_flows", """WITH p AS (SELECT *, NOT up AS resp, CASE WHEN up THEN src ELSE dst END AS client, CASE WHEN up THEN sport ELSE dport END AS client_port, CASE WHEN up THEN dst ELSE src END AS server FROM fx_web_packets WHERE CASE WHEN up THEN dport ELSE sport END = 80),
+g AS (SELECT *, CASE WHEN US(ts) - lag(US(ts)) OVER (PARTITION BY client, client_port, server ORDER BY ts, event_id) <= 86400000000 THEN 0 ELSE 1 END AS fresh FROM p),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY client, client_port, server ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g),
+a AS (SELECT client, client_port, server, session, min(ts) AS first_ts, max(ts) AS last_ts, min_by(sniffer_id, (ts, event_id)) FILTER (WHERE NOT resp) AS sniffer_id,
+        split_part(min_by(host, (ts, event_id)) FILTER (WHERE NOT resp AND host IS NOT NULL), ':', 1) AS host, max_by(cookie, (length(cookie), -US(ts), -event_id)) FILTER (WHERE resp AND cookie IS NOT NULL) AS cookie,
+        min_by(seq, (ts, event_id)) FILTER (WHERE syn AND NOT resp) AS syn_seq, list(seq) FILTER (WHERE NOT resp AND payload_len > 0) AS segments, count(*) FILTER (WHERE NOT resp) AS reqs, count(*) FILTER (WHERE resp) AS resps FROM s GROUP BY ALL),
+t AS (SELECT client, client_port, server, session, term, min((ts, event_id)) AS seen FROM s WHERE NOT resp AND term IS NOT NULL GROUP BY ALL),
+j AS (SELECT client, client_port, server, session, string_agg(term, '&' ORDER BY seen) AS terms FROM t GROUP BY ALL)
+SELECT client, client_port, server, 80 AS server_port, CAST(session AS BIGINT) AS session, first_ts, last_ts, sniffer_id, host, cookie, coalesce(terms, '') AS terms,
+       CASE WHEN reqs > 0 THEN 1 ELSE 0 END + CASE WHEN resps > 0 THEN 2 ELSE 0 END + CASE WHEN syn_seq IS NOT NULL THEN 4 ELSE 0 END + CASE WHEN coalesce(list_contains(segments, syn_seq + 1), FALSE) THEN 8 ELSE 0 END + CASE WHEN host IS NOT NULL THEN 16 ELSE 0 END + CASE WHEN cookie IS NOT NULL THEN 32 ELSE 0 END AS flags
+FROM a LEFT JOIN j USING (client, client_port, server, session)""")
 def _(spark, d):
-    f = view(spark, d, "fx_frames").select(F.col("ta").alias("flow"), "ts", F.col(F_ID).alias("event_id"), (F.col(F_ID) % 2 == 1).alias("is_response"), F.expr("case when frame_id % 3 = 0 then concat('h', sniffer_id) end").alias("host"), F.expr("case when frame_id % 5 = 0 then concat('c', channel) end").alias("cookie"), F.expr("case when frame_id % 7 = 0 then concat('t', bssid) end").alias("term"))
-    return state.web_flows(f, idle_seconds=86_400)
+    packets = state.client_side(view(spark, d, "fx_web_packets").drop("up"))
+    return state.web_flows(packets, idle_seconds=86_400)
 
 
 @query("str_9_alerts", "WITH RECURSIVE p AS (SELECT src_mac, US(ts) AS us FROM fx_alerts), a AS (SELECT src_mac, min(us) AS us FROM p GROUP BY ALL UNION ALL SELECT a.src_mac, (SELECT min(p.us) FROM p WHERE p.src_mac = a.src_mac AND p.us > a.us + 864000000000) AS us FROM a WHERE a.us IS NOT NULL) SELECT src_mac, us FROM a WHERE us IS NOT NULL")
@@ -539,18 +636,23 @@ def _(spark, d):
     return windows.coverage_ranges(run_sql(spark, d, SEGMENTS))[1].select("flow", "ranges", "covered", "span")
 
 
-@query("udf_2_ewma")
+@query("udf_2_ewma", "SELECT ta, CAST(ts AS DATE) AS day, list_reduce(list(CAST(length AS DOUBLE) ORDER BY ts, frame_id), lambda m, x: m + (x - m) / 16) AS ewma FROM fx_frames GROUP BY ALL")
 def _(spark, d):
     values = F.transform(F.sort_array(F.collect_list(F.struct("ts", F_ID, "length"))), lambda x: x["length"])
     return view(spark, d, "fx_frames").groupBy("ta", F.to_date("ts").alias("day")).agg(values.alias("v")).select("ta", "day", windows.ewma(F.col("v")).alias("ewma"))
 
 
+@query("udf_2_ewma_stream", "SELECT ta, list_reduce(list(CAST(length AS DOUBLE) ORDER BY ts, frame_id), lambda m, x: m + (x - m) / 16) AS ewma FROM fx_frames GROUP BY ta")
+def _(spark, d):
+    return state.keyed_ewma(view(spark, d, "fx_frames"), ["ta"], ["ts", F_ID], "length")
+
+
 
 
-@query("agg_17_usage")
+@query("agg_17_usage", f"WITH RECURSIVE {WALK_SQL}, u AS (SELECT (['overlay', 'merged', 'raw'])[src % 3 + 1] AS class, dst AS sec, bytes, unnest(links) AS x FROM paths JOIN traffic USING (src, dst)), e AS (SELECT class, sec, bytes, unnest([x.a, x.b]) AS host FROM u) SELECT host, class, sum(bytes) * 8 / 1024 / CASE WHEN max(sec) = min(sec) THEN 0.001::DOUBLE ELSE (max(sec) - min(sec))::DOUBLE END AS kbits FROM e GROUP BY host, class")
 def _(spark, d):
     traffic = run_sql(spark, d, PAIRS).select("src", "dst", "bytes", F.element_at(F.array(F.lit("overlay"), F.lit("merged"), F.lit("raw")), (F.col("src") % 3 + 1).cast("int")).alias("class"), F.timestamp_seconds(F.col("dst")).alias("ts"))
-    return aggregates.usage_by_class(traffic, graph.walk_routes(traffic.select("src", "dst").distinct(), _routes(spark, d), 4)[0])
+    return aggregates.usage_by_class(traffic, _walk(spark, d, traffic))
 
 
 @query("agg_20_query_status", "SELECT sniffer_id AS host, channel AS query_id, max_by(length, (ts, frame_id)) AS last_length, CAST(sum(length) AS BIGINT) AS bytes, US(max(ts)) AS last_us FROM fx_frames GROUP BY sniffer_id, channel")
@@ -600,7 +702,7 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", *(got[k].alias(k) for k in ("ip_count", "port_range", "port_count")))
 
 
-@query("fn_18_bytes")
+@query("fn_18_bytes", "SELECT mac, CASE WHEN n >= 1099511627776 THEN concat(format('{:,.2f}', n / 1099511627776), ' TiB') WHEN n >= 1073741824 THEN concat(format('{:,.2f}', n / 1073741824), ' GiB') WHEN n >= 1048576 THEN concat(format('{:,.2f}', n / 1048576), ' MiB') WHEN n >= 1024 THEN concat(format('{:,.2f}', n / 1024), ' KiB') ELSE concat(n, ' B') END AS bytes FROM (SELECT mac, CAST(sum(bytes) AS BIGINT) AS n FROM fx_station_stats GROUP BY mac) AS b")
 def _(spark, d):
     return view(spark, d, "fx_station_stats").groupBy("mac").agg(scalars.human_bytes(F.sum("bytes")).alias("bytes"))
 
