@@ -29,11 +29,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _ranges(spark: SparkSession) -> DataFrame:
-    ports = spark.createDataFrame([(p,) for p in TCP_PORTS.split()], "port string")
-    return ports.select(scalars.port_range(F.col("port")).alias("r")).select("r.*")
-
-
+RANGES = [(int(p.split("-")[0]), int(p.split("-")[-1])) for p in TCP_PORTS.split()]
 RANGES_SQL = "(VALUES " + ", ".join(f"({p.split('-')[0]}, {p.split('-')[-1]})" for p in TCP_PORTS.split()) + ") AS r(low, high)"
 F_ID = "frame_id"
 
@@ -163,7 +159,7 @@ CHANGES = "SELECT sniffer_id, ts, max(channel) AS channel FROM fx_frames GROUP B
 
 @query("jn_8_asof_channel", f"WITH c AS ({CHANGES}) SELECT frame_id, coalesce(c.channel, 0) AS channel FROM fx_frames AS f ASOF LEFT JOIN c ON c.sniffer_id = f.sniffer_id AND f.ts > c.ts")
 def _(spark, d):
-    out = joins.asof_join(view(spark, d, "fx_frames").select(F_ID, "sniffer_id", "ts"), run_sql(spark, d, CHANGES), ["sniffer_id"], "ts", "ts", ["channel"], strict=True)
+    out = joins.asof_join(view(spark, d, "fx_frames").select(F_ID, "sniffer_id", "ts"), run_sql(spark, d, CHANGES), ["sniffer_id"], "ts", "ts", ["channel"], strict=True, slice_length=86_400)
     return out.select(F_ID, F.coalesce("asof_channel", F.lit(0)).alias("channel"))
 
 
@@ -172,7 +168,7 @@ ALL_CHANGES = "SELECT sniffer_id, ts, channel FROM (SELECT *, lag(channel) OVER
 
 @query("jn_8_asof_channel_all", f"WITH c AS ({ALL_CHANGES}) SELECT frame_id, coalesce(c.channel, 0) AS channel FROM fx_frames AS f ASOF LEFT JOIN c ON c.sniffer_id = f.sniffer_id AND f.ts > c.ts")
 def _(spark, d):
-    out = joins.asof_join(view(spark, d, "fx_frames").select(F_ID, "sniffer_id", "ts"), run_sql(spark, d, ALL_CHANGES), ["sniffer_id"], "ts", "ts", ["channel"], strict=True)
+    out = joins.asof_join(view(spark, d, "fx_frames").select(F_ID, "sniffer_id", "ts"), run_sql(spark, d, ALL_CHANGES), ["sniffer_id"], "ts", "ts", ["channel"], strict=True, slice_length=86_400)
     return out.select(F_ID, F.coalesce("asof_channel", F.lit(0)).alias("channel"))
 
 
@@ -182,7 +178,7 @@ ADVERTISED = "SELECT bssid, US(ts) AS us, max(channel) AS adv FROM fx_frames WHE
 @query("jn_9_guess_channel", f"WITH a AS ({ADVERTISED}) SELECT frame_id, coalesce((SELECT CASE WHEN US(f.ts) - max(a.us) < 3600000000 THEN max_by(a.adv, a.us) END FROM a WHERE a.bssid = f.bssid AND a.us <= US(f.ts)), channel) AS channel FROM fx_frames AS f")
 def _(spark, d):
     frames = view(spark, d, "fx_frames").select(F_ID, "bssid", "channel", F.unix_micros("ts").alias("us"))
-    out = joins.asof_join(frames, run_sql(spark, d, ADVERTISED), ["bssid"], "us", "us", ["adv"], tolerance=F.lit(3_600_000_000))
+    out = joins.asof_join(frames, run_sql(spark, d, ADVERTISED), ["bssid"], "us", "us", ["adv"], tolerance=F.lit(3_600_000_000), slice_length=86_400_000_000)
     return out.select(F_ID, F.coalesce("asof_adv", "channel").alias("channel"))
 
 
@@ -200,7 +196,7 @@ def _(spark, d):
 
 @query("jn_11_ports", f"SELECT low, high, sniffer_id, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM fx_frames JOIN {RANGES_SQL} ON sport BETWEEN low AND high OR dport BETWEEN low AND high GROUP BY low, high, sniffer_id")
 def _(spark, d):
-    return joins.range_count(view(spark, d, "fx_frames"), _ranges(spark), ["sport", "dport"], ["sniffer_id"], {"packets": F.count("*"), "bytes": F.sum("length").cast("long")})
+    return joins.range_count(view(spark, d, "fx_frames"), RANGES, ["sport", "dport"], ["sniffer_id"], {"packets": F.count("*"), "bytes": F.sum("length").cast("long")})
 
 
 @query("jn_12_nodes", "SELECT c_custkey, n_nationkey AS node_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey < 20")

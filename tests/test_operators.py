@@ -48,6 +48,22 @@ def test_asof_strict_and_tolerance(spark):
     assert run(tolerance=F.lit(5))[1] == ("a", 20, None)
 
 
+def test_asof_in_slices_is_the_same(spark):
+    rng = random.Random(9)
+    left = spark.createDataFrame([(rng.choice("ab"), rng.randrange(1000)) for _ in range(200)], "k string, t int")
+    right = spark.createDataFrame([(rng.choice("ab"), rng.randrange(1000), i) for i in range(60)], "k string, u int, v int")
+    for options in ({}, {"strict": True}, {"tolerance": F.lit(40)}):
+        plain, sliced = (rows(joins.asof_join(left, right, ["k"], "t", "u", ["v"], slice_length=n, **options)) for n in (None, 37))
+        assert plain == sliced and any(r[2] is not None for r in plain)
+    times = left.withColumn("t", F.timestamp_seconds("t")), right.withColumn("u", F.timestamp_seconds("u"))
+    assert [r[2] for r in rows(joins.asof_join(*times, ["k"], "t", "u", ["v"], slice_length=37))] == [r[2] for r in rows(joins.asof_join(left, right, ["k"], "t", "u", ["v"]))]
+
+
+def test_ranges_without_a_join(spark):
+    df = spark.createDataFrame([(1, 80, 5), (2, 5, 5), (3, None, 90), (4, None, None)], "id int, a int, b int")
+    assert rows(joins.range_join(df, [(80, 80), (1, 100), (5, 5)], ["a", "b"]).select("id", "low", "high")) == [(1, 1, 100), (1, 5, 5), (1, 80, 80), (2, 1, 100), (2, 5, 5), (3, 1, 100)]
+
+
 def test_lower_median_and_cdf(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "x int")
     assert df.agg(aggregates.lower_median("x")).first()[0] == 2
