@@ -48,6 +48,18 @@ FRAME_RULES: dict[str, str] = {
 }
 
 
+#: Rules of decoded management frames (length, protected, tags, bad_elements, bad_ciphers) after those above: fixed
+#: fields whole, elements whole, name (0) and rates (1) present where the subtype must have them. Protected ones pass.
+ELEMENT_RULES: dict[str, str] = {
+    "short_fields": "ftype = 0 and not protected and length < 24 + case fsubtype when 0 then 4 when 1 then 6 when 2 then 10 when 3 then 6 when 5 then 12 when 8 then 12 when 10 then 2 when 11 then 4 when 12 then 2 else 0 end",
+    "cut_element": "ftype = 0 and not protected and coalesce(bad_elements, false)",
+    "no_name": "ftype = 0 and not protected and fsubtype in (0, 2, 4, 5, 8) and not coalesce(array_contains(tags, 0), false)",
+    "no_rates": "ftype = 0 and not protected and fsubtype in (0, 1, 2, 3, 4, 5, 8) and not coalesce(array_contains(tags, 1), false)",
+    "bad_ciphers": "ftype = 0 and not protected and coalesce(bad_ciphers, false)",
+    "no_length": "length is null",
+}
+
+
 def route(df: DataFrame, rules: Sequence[tuple[str, Column]], default: str | None = None) -> DataFrame:
     """Rows with the name of the first rule that holds; without a default, rows that none matches are dropped."""
     if default is None and not rules:

@@ -33,6 +33,36 @@ def test_read_and_decode(spark, tmp_path):
     assert frames.read_captures(spark, str(tmp_path), limit=1).count() == 1
 
 
+def test_ciphers_elements_and_ethertype(spark, tmp_path):
+    from aerolens.operators import filters
+
+    mac = bytes([2, 0, 0, 0, 0, 9])
+    head = bytes([0x80, 0, 0, 0]) + b"\xff" * 6 + mac + mac + b"\0\0" + b"\0" * 8
+    element = lambda tag, body: bytes([tag, len(body)]) + body
+    plain = element(0, b"net") + element(1, b"\x82")
+    suite = lambda oui, group, pair, key: b"\x01\0" + oui + bytes([group]) + b"\x01\0" + oui + bytes([pair]) + b"\x01\0" + oui + bytes([key])
+    rsn, wpa = suite(frames.RSN, 2, 4, 2), frames.WPA + b"\x01" + suite(frames.WPA, 1, 0, 1)
+    bodies = [
+        (struct.pack("<HH", 100, 1), plain),  # open
+        (struct.pack("<HH", 100, 17), plain),  # WEP
+        (struct.pack("<HH", 100, 17), plain + element(48, rsn)),
+        (struct.pack("<HH", 100, 17), plain + element(221, wpa)),
+        (struct.pack("<HH", 100, 17), plain + element(48, b"\x02\0")),  # malformed
+        (struct.pack("<HH", 100, 1), element(0, b"net")),
+        (struct.pack("<HH", 100, 1), plain[:-1]),
+    ]
+    llc = b"\xaa\xaa\x03\0\0\0\x08\0"
+    data = [bytes([0x08, 2, 0, 0]) + mac * 3 + b"\0\0" + llc, bytes([0x88, 2, 0, 0]) + mac * 3 + b"\0\0\0\0" + llc, bytes([0x08, 0x42, 0, 0]) + mac * 3 + b"\0\0" + llc]
+    (tmp_path / "node1.pcap").write_bytes(capture([(i, head + fixed + rest) for i, (fixed, rest) in enumerate(bodies)] + [(10 + i, raw) for i, raw in enumerate(data)]))
+    (tmp_path / "node2.pcap").write_bytes(b"something else altogether")
+    df = frames.decode_frames(frames.read_captures(spark, str(tmp_path)))
+    got = {r["ts_us"]: r for r in df.collect()}
+    assert [got[i]["cipher_bits"] for i in range(7)] == [0, 1 | 8, 2 | 4 | 8, 1 | 16, 1 | 8, 0, 0]
+    assert [got[i]["ethertype"] for i in (10, 11, 12)] == [0x800, 0x800, None]
+    _, bad = filters.validate_frames(df, filters.FRAME_RULES | filters.ELEMENT_RULES)
+    assert {r["ts_us"]: r["violations"] for r in bad.collect()} == {4: ["bad_ciphers"], 5: ["no_rates"], 6: ["cut_element", "no_rates"]}
+
+
 def test_daily_and_hourly_sinks(spark, tmp_path):
     df = spark.createDataFrame([(0, 1), (90_000, 2)], "s int, level_rank int").withColumn("ts", F.timestamp_seconds("s")).withColumns({"source": F.lit("pcap"), "level": F.lit("INFO"), "data": F.lit("x")})
     frames.write_daily(df.select("s", "ts"), f"{tmp_path}/daily")
