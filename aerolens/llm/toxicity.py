@@ -113,25 +113,29 @@ def pair_effects(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_term
     """For each term the largest effect, in standard errors, of a pair that it is in beyond the effects of the two alone.
 
     rows and terms say which of n_terms terms stand in which row. The effect is
-    the change of one term's log-odds with the other's presence.
+    the change of one term's log-odds with the other's presence. Pairs are
+    counted a block of terms against another, so memory stays small.
     """
     most = np.zeros(n_terms)
-    x = np.zeros((len(labels), n_terms), dtype=np.float32)
-    x[rows, terms] = 1
-    toxic = x[labels > 0]
-    df, hit = x.sum(axis=0, dtype=np.float64), toxic.sum(axis=0, dtype=np.float64)
-    n, pos = float(len(labels)), float(len(toxic))
+    present = np.zeros((len(labels), n_terms), dtype=bool)
+    present[rows, terms] = True
+    toxic = labels > 0
+    df, hit = present.sum(axis=0).astype(np.float32), present[toxic].sum(axis=0).astype(np.float32)
+    n, pos = np.float32(len(labels)), np.float32(toxic.sum())
     for at in range(0, n_terms, block):
-        both = (x[:, at : at + block].T @ x).astype(np.float64)
-        bad = (toxic[:, at : at + block].T @ toxic).astype(np.float64)
-        di, hi = df[at : at + block, None], hit[at : at + block, None]
-        # rows with both, only the first, only the second, neither; in each the toxic ones
-        counts = [(both, bad), (di - both, hi - bad), (df - both, hit - bad), (n - di - df + both, pos - hi - hit + bad)]
-        with_other, e1 = log_odds(counts[0][1], counts[0][0] - counts[0][1], counts[1][1], counts[1][0] - counts[1][1])
-        without, e2 = log_odds(counts[2][1], counts[2][0] - counts[2][1], counts[3][1], counts[3][0] - counts[3][1])
-        z = np.abs(with_other - without) / np.sqrt(e1 * e1 + e2 * e2)
-        z[np.arange(len(z)), at + np.arange(len(z))] = 0
-        most[at : at + block] = z.max(axis=1)
+        x = present[:, at : at + block].astype(np.float32)
+        for to in range(0, at + 1, block):
+            y = present[:, to : to + block].astype(np.float32)
+            both, bad = x.T @ y, x[toxic].T @ y[toxic]
+            di, hi, dj, hj = df[at : at + block, None], hit[at : at + block, None], df[to : to + block], hit[to : to + block]
+            # toxic rows and others: with both terms, the first alone, the second alone, neither
+            with_other, e1 = log_odds(bad, both - bad, hi - bad, di - both - hi + bad)
+            without, e2 = log_odds(hj - bad, dj - both - hj + bad, pos - hi - hj + bad, n - di - dj + both - pos + hi + hj - bad)
+            z = np.abs(with_other - without) / np.sqrt(e1 * e1 + e2 * e2)
+            if at == to:
+                np.fill_diagonal(z, 0)
+            most[at : at + block] = np.maximum(most[at : at + block], z.max(axis=1))
+            most[to : to + block] = np.maximum(most[to : to + block], z.max(axis=0))
     return most
 
 
@@ -159,14 +163,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_rows: int = 8000, **
 
     def terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "terms": [hashed_terms(t).astype(np.int64) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "terms": [hashed_terms(t).astype("<u4").tobytes() for t in batch["text"]]})
 
     # at most max_rows rows of two numbers, so the broadcast is bounded
     marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     single = marked.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("m")).select("doc_id", "label", "m.text")
-    rows = single.mapInPandas(terms, "doc_id long, label double, terms array<long>").toPandas()
+    rows = single.mapInPandas(terms, "doc_id long, label double, terms binary").toPandas()
     rows = rows.sort_values("doc_id", kind="stable")
-    return FactorizationMachine.fit([np.asarray(t, dtype=np.uint32) for t in rows["terms"]], rows["label"].to_numpy(dtype=float), **options)
+    return FactorizationMachine.fit([np.frombuffer(t, dtype="<u4") for t in rows["terms"]], rows["label"].to_numpy(dtype=float), **options)
 
 
 def toxicity(docs: DataFrame, model: FactorizationMachine, *, threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
