@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from aerolens.operators.state import Step
 
 
 class KeyedStep(StatefulProcessor):
-    """Runs a step over the rows of a key in order and keeps its state for `ttl_ms` (0: for good)."""
+    """Runs a step over the rows of a key in order and keeps its state for `ttl_ms` (0: for good).
 
-    def __init__(self, step: Step, order: Sequence[str], columns: Sequence[str], ttl_ms: int = 0) -> None:
-        self.step, self.order, self.columns, self.ttl_ms = step, list(order), list(columns), ttl_ms
+    warm makes the first state of a key from its row in the initial table.
+    """
+
+    def __init__(self, step: Step, order: Sequence[str], columns: Sequence[str], ttl_ms: int = 0, warm: Callable[[dict], Any] | None = None) -> None:
+        self.step, self.order, self.columns, self.ttl_ms, self.warm = step, list(order), list(columns), ttl_ms, warm
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "value binary", self.ttl_ms or None)
 
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        for row in initialState.to_dict("records"):
+            self.state.update((pickle.dumps(self.warm(row)),))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
         state = pickle.loads(self.state.get()[0]) if self.state.exists() else None
@@ -32,7 +40,28 @@ class KeyedStep(StatefulProcessor):
         pass
 
 
-def run_keyed_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: str, ttl_ms: int = 0) -> DataFrame:
-    """Stream form of operators.state.run_keyed; needs the RocksDB state store."""
+def run_keyed_stream(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Step, schema: str, ttl_ms: int = 0, initial: DataFrame | None = None, warm: Callable[[dict], Any] | None = None) -> DataFrame:
+    """Stream form of operators.state.run_keyed; needs the RocksDB state store.
+
+    initial is a table of what an earlier run knew, one row a key, and warm
+    turns such a row into a state, so a stream need not start cold.
+    """
     columns = [f.split()[0] for f in schema.split(", ")]
-    return df.groupBy(*keys).transformWithStateInPandas(KeyedStep(step, order, columns, ttl_ms), schema, "append", "processingTime" if ttl_ms else "none")
+    processor = KeyedStep(step, order, columns, ttl_ms, warm)
+    first = None if initial is None else initial.groupBy(*keys)
+    return df.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "processingTime" if ttl_ms else "none", first)
+
+
+def flush(spark: SparkSession, checkpoint: str, finish: Callable[[Any], list[dict]], schema: str) -> DataFrame:
+    """What the states of a stream would put out if they ended now, read from its checkpoint; the stream itself goes on.
+
+    finish is that of the batch form: it gives the rows that a state still holds.
+    """
+    columns = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame([row for value in batch["value"] for row in finish(pickle.loads(value))], columns=columns)
+
+    states = spark.read.format("statestore").option("stateVarName", "state").load(checkpoint)
+    return states.selectExpr("value.value AS value").mapInPandas(run, schema)

@@ -125,3 +125,31 @@ def test_run_keyed_orders_rows(spark):
     df = spark.createDataFrame([("a", 9), ("a", 0), ("a", 5), ("b", 1)], "k string, t long")
     out = run_keyed(df, ["k"], ["t"], last_accepted("t", 6, ["k", "t"]), "k string, t long")
     assert sorted(map(tuple, out.collect())) == [("a", 0), ("a", 9), ("b", 1)]
+
+
+def test_keyed_stream_starts_warm_and_is_flushed(spark, tmp_path):
+    """The stream goes on from an earlier state, matches the batch form, and its states can be read while it is at rest."""
+    from aerolens.operators.state import merge_rest, merge_step
+    from aerolens.streaming.stateful import flush, run_keyed_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        spark.createDataFrame([("a", 3), ("a", 9), ("a", 12), ("b", 1)], "k string, t long").coalesce(1).write.parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("k string, t long").parquet(f"{tmp_path}/in")
+        known = spark.createDataFrame([("a", 0)], "k string, last long")
+        out = run_keyed_stream(stream, ["k"], ["t"], last_accepted("t", 6, ["k", "t"]), "k string, t long", initial=known, warm=lambda row: int(row["last"]))
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(120)
+        assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == [("a", 9), ("b", 1)]
+        assert sorted(r["t"] for r in flush(spark, f"{tmp_path}/ck", lambda last: [{"t": last}], "t long").collect()) == [1, 9]
+
+        capture_rows = [(1, 7, 0, 0, 0, 1, 6, -50, -95, False), (2, 7, 2_000_000, 2_000_000, 0, 1, 6, -50, -95, False)]
+        schema = "frame_id long, payload_hash long, ts_us long, local_us long, err_us int, sniffer_id int, channel int, rssi int, noise int, is_ctrl boolean"
+        spark.createDataFrame(capture_rows, schema).coalesce(1).write.parquet(f"{tmp_path}/captures")
+        ids = lambda rows: [{"frame_id": r["frame_id"]} for r in rows]
+        step = merge_step()
+        merged = run_keyed_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/captures"), ["payload_hash"], ["ts_us"], lambda s, r: (lambda left, done: (left, ids(done)))(*step(s, r)), "frame_id long")
+        merged.writeStream.format("parquet").option("path", f"{tmp_path}/merged").option("checkpointLocation", f"{tmp_path}/ck2").trigger(availableNow=True).start().awaitTermination(120)
+        assert [r["frame_id"] for r in spark.read.parquet(f"{tmp_path}/merged").collect()] == [1]
+        assert [r["frame_id"] for r in flush(spark, f"{tmp_path}/ck2", lambda left: ids(merge_rest(left)), "frame_id long").collect()] == [2]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
