@@ -91,10 +91,10 @@ def cookie_domain(headers: Column) -> Column:
 
 
 def port_range(text: Column) -> Column:
-    """struct(low, high) of `80` or `20-21`."""
-    parts = F.split(F.trim(text), "-")
-    low = F.get(parts, F.lit(0)).cast("int")
-    return F.struct(low.alias("low"), F.coalesce(F.get(parts, F.lit(1)).cast("int"), low).alias("high"))
+    """struct(low, high) of `80` or `20-21`; both null for any other text."""
+    one = r"^\s*(\d{1,5})\s*(?:-\s*(\d{1,5})\s*)?$"
+    low, high = (F.regexp_extract(text, one, i).try_cast("int") for i in (1, 2))
+    return F.struct(low.alias("low"), F.coalesce(high, low).alias("high"))
 
 
 def is_multicast(mac: Column) -> Column:

@@ -457,10 +457,21 @@ def _(spark, d):
     return f.select(F_ID, *(got[k].alias(k) for k in ("sa", "da", "bssid")))
 
 
-@query("fn_5_cipher_bits", "SELECT event_id, CAST(1 | CASE WHEN event_id % 2 = 0 THEN 4 ELSE 1 END | 8 AS INT) AS bits FROM events")
+def _cipher_codes(spark, d) -> DataFrame:
+    """The bits of a number as codes, some of them twice; null or empty for some."""
+    bits = F.filter(F.array(*map(F.lit, (1, 2, 4, 8, 16))), lambda b: F.col("n").bitwiseAND(b) != 0)
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 37 != 5, (F.col("event_id") * 31 + F.col("user_id")) % 32).cast("int").alias("n"))
+    return rows.select("event_id", F.when(F.col("n").isNotNull(), F.when(F.col("event_id") % 3 == 0, F.concat(bits, bits)).otherwise(bits)).alias("codes"))
+
+
+@query("fn_5_cipher_bits", "SELECT event_id, CASE WHEN event_id % 37 <> 5 THEN CAST((event_id * 31 + user_id) % 32 AS INT) END AS bits FROM events")
+def _(spark, d):
+    return _cipher_codes(spark, d).select("event_id", scalars.cipher_bits(F.col("codes")).alias("bits"))
+
+
+@query("fn_5_cipher_sums", "SELECT event_id, CASE WHEN event_id % 37 <> 5 THEN CAST((event_id * 31 + user_id) % 32 * CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS INT) END AS bits FROM events")
 def _(spark, d):
-    codes = F.array(F.lit(1), F.expr("case when event_id % 2 = 0 then 4 else 1 end"), F.lit(8))
-    return table(spark, d, "events").select("event_id", scalars.cipher_bits(codes).alias("bits"))
+    return _cipher_codes(spark, d).select("event_id", scalars.cipher_bits(F.col("codes"), sum_repeats=True).alias("bits"))
 
 
 @query("fn_6_cipher_names", "SELECT bssid, CASE WHEN encryption_types = 0 THEN 'none' ELSE coalesce((SELECT string_agg(encryption_desc, ',' ORDER BY encryption_id) FROM lu_encryptions WHERE (encryption_id & encryption_types) > 0), '') END AS names FROM fx_bss_stats")
@@ -489,16 +500,19 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", F.regexp_replace(scalars.search_query(fake, F.lit("www.example.com"), least=1), "^q=", "ref=").alias("term"))
 
 
-@query("fn_11_multicast", "SELECT event_id, user_id % 2 = 1 AS multicast FROM events")
+@query("fn_11_multicast", "SELECT event_id, CASE WHEN event_id % 31 <> 2 THEN (event_id * 7 + user_id) % 2 = 1 END AS multicast FROM events")
 def _(spark, d):
-    mac = F.concat(F.lpad(F.hex(F.col("user_id") % 256), 2, "0"), F.lit(":00:5e:00:00:01"))
+    first = F.lpad(F.hex((F.col("event_id") * 7 + F.col("user_id")) % 256), 2, "0")
+    mac = F.when(F.col("event_id") % 31 != 2, F.concat(F.when(F.col("event_id") % 2 == 0, F.lower(first)).otherwise(first), F.lit(":00:5e:00:00:01")))
     return table(spark, d, "events").select("event_id", scalars.is_multicast(mac).alias("multicast"))
 
 
-@query("fn_13_records", "SELECT event_id, trim(unnest(string_split(concat('a=', event_id, ' | b=', user_id), '|'))) AS record FROM events")
+RECORD_TEXTS = "SELECT event_id, CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN '|' WHEN 3 THEN concat(' a=', CAST(event_id AS VARCHAR(12))) WHEN 4 THEN concat('a=', CAST(event_id AS VARCHAR(12)), ' || b=', CAST(user_id AS VARCHAR(12)), '|') ELSE concat('a=', CAST(event_id AS VARCHAR(12)), ' | b=', CAST(user_id AS VARCHAR(12)), '|c') END AS t FROM events"
+
+
+@query("fn_13_records", f"SELECT event_id, trim(unnest(string_split(t, '|'))) AS record FROM ({RECORD_TEXTS}) AS r")
 def _(spark, d):
-    text = F.concat(F.lit("a="), "event_id", F.lit(" | b="), "user_id")
-    return table(spark, d, "events").select("event_id", F.explode(scalars.split_records(text)).alias("record"))
+    return run_sql(spark, d, RECORD_TEXTS).select("event_id", F.explode(scalars.split_records(F.col("t"))).alias("record"))
 
 
 @query("fn_16_midpoint", "SELECT frame_id, least(ts_us, frame_id) + CAST(floor(abs(ts_us - frame_id) / 2) AS BIGINT) AS mid FROM fx_captures")
@@ -665,24 +679,31 @@ def _(spark, d):
     return docs.groupBy(scalars.frame_hash(F.col("raw")).alias("h"), "raw").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).filter("copies > 1").select("first_doc", "copies")
 
 
-@query("fn_3_hidden", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN '' ELSE 'net' END AS ssid FROM events")
+NAMES = "SELECT event_id, CASE event_id % 8 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN chr(0) WHEN 3 THEN concat(chr(0), chr(0), chr(0)) WHEN 4 THEN concat('net', CAST(user_id AS VARCHAR(8)), chr(0)) WHEN 5 THEN ' ' ELSE concat('net', CAST(user_id AS VARCHAR(8))) END AS name FROM events"
+
+
+@query("fn_3_hidden", f"SELECT event_id, CASE WHEN replace(name, chr(0), '') = '' THEN '' ELSE name END AS ssid FROM ({NAMES}) AS n")
 def _(spark, d):
-    name = F.when(F.col("event_id") % 3 == 0, F.lit("\x00\x00")).when(F.col("event_id") % 3 == 1, F.lit("")).otherwise(F.lit("net"))
-    return table(spark, d, "events").select("event_id", scalars.visible_ssid(name).alias("ssid"))
+    return run_sql(spark, d, NAMES).select("event_id", scalars.visible_ssid(F.col("name")).alias("ssid"))
+
 
+HEADERS = """SELECT event_id, CASE WHEN event_id % 29 = 4 THEN NULL ELSE concat('HTTP/1.1 200 OK', chr(13), chr(10),
+  CASE event_id % 6 WHEN 0 THEN 'Set-Cookie: a=1; path=/' WHEN 1 THEN concat('Set-Cookie: a=1; Domain=.s', CAST(user_id AS VARCHAR(8)), '.com; path=/') WHEN 2 THEN concat('Set-Cookie: a=1; path=/; domain=s', CAST(user_id AS VARCHAR(8)), '.com')
+    WHEN 3 THEN concat('Set-Cookie: DOMAIN=x; DOMAIN=s', CAST(user_id AS VARCHAR(8)), '.com, b') WHEN 4 THEN concat('Cookie: x; domain=s', CAST(user_id AS VARCHAR(8)), '.com') ELSE 'X: 1' END, chr(13), chr(10),
+  CASE WHEN event_id % 4 = 1 THEN concat('Set-Cookie: c=2; Domain=www.t', CAST(event_id % 1000 AS VARCHAR(8)), '.com', chr(13), chr(10)) ELSE '' END) END AS head FROM events"""
 
-@query("fn_9_cookies", "SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN concat('site', event_id % 9, '.com') END AS domain FROM events")
+
+@query("fn_9_cookies", f"SELECT event_id, list_sort(list_transform(list_filter(regexp_extract_all(head, '(?m)^Set-Cookie:[^\\r\\n]*?[;\\s](?:domain|Domain|DOMAIN)=\\.?([^\\s;,]+)', 1), lambda x: x <> ''), lambda x: {{'n': -length(x), 'd': x}}))[1].d AS domain FROM ({HEADERS}) AS h")
 def _(spark, d):
-    site = F.concat(F.lit("site"), F.col("event_id") % 9, F.lit(".com"))
-    head = F.when(F.col("event_id") % 4 != 0, F.concat(F.lit("HTTP/1.1 200 OK\r\nSet-Cookie: a=1; Domain=."), site, F.lit("; path=/\r\n"))).otherwise(F.lit("HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\n"))
-    return table(spark, d, "events").select("event_id", scalars.cookie_domain(head).alias("domain"))
+    return run_sql(spark, d, HEADERS).select("event_id", scalars.cookie_domain(F.col("head")).alias("domain"))
+
 
+RANGE_TEXTS = "SELECT event_id, CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'http' WHEN 3 THEN concat(CAST(user_id AS VARCHAR(8)), '-') WHEN 4 THEN concat(' ', CAST(event_id % 60000 AS VARCHAR(8)), ' ') WHEN 5 THEN concat(CAST(user_id AS VARCHAR(8)), ' - ', CAST(user_id + 5 AS VARCHAR(8))) WHEN 6 THEN '1-2-3' ELSE concat(CAST(user_id AS VARCHAR(8)), '-', CAST(user_id + event_id % 100 AS VARCHAR(8))) END AS t FROM events"
 
-@query("fn_10_ranges", "SELECT event_id, CAST(event_id % 1000 AS INT) AS low, CAST(event_id % 1000 + event_id % 3 AS INT) AS high FROM events")
+
+@query("fn_10_ranges", "SELECT event_id, CASE event_id % 9 WHEN 4 THEN CAST(event_id % 60000 AS INT) WHEN 5 THEN CAST(user_id AS INT) WHEN 7 THEN CAST(user_id AS INT) WHEN 8 THEN CAST(user_id AS INT) END AS low, CASE event_id % 9 WHEN 4 THEN CAST(event_id % 60000 AS INT) WHEN 5 THEN CAST(user_id + 5 AS INT) WHEN 7 THEN CAST(user_id + event_id % 100 AS INT) WHEN 8 THEN CAST(user_id + event_id % 100 AS INT) END AS high FROM events")
 def _(spark, d):
-    low = F.col("event_id") % 1000
-    text = F.when(F.col("event_id") % 3 == 0, low.cast("string")).otherwise(F.concat_ws("-", low, low + F.col("event_id") % 3))
-    return table(spark, d, "events").select("event_id", scalars.port_range(text).alias("r")).select("event_id", "r.low", "r.high")
+    return run_sql(spark, d, RANGE_TEXTS).select("event_id", scalars.port_range(F.col("t")).alias("r")).select("event_id", "r.low", "r.high")
 
 
 @query("fn_15_epoch", "SELECT event_id, US(ts) // 1000000 AS s FROM events")
@@ -691,11 +712,13 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", F.unix_seconds(whole).alias("s"))
 
 
-@query("fn_17_alerts", "SELECT event_id, CAST(event_id % 50 AS INT) AS ip_count, CASE WHEN event_id % 2 = 0 THEN '1:99' END AS port_range, -1 AS port_count FROM events")
+ALERT_TEXTS = "SELECT event_id, CASE WHEN event_id % 23 = 6 THEN NULL ELSE concat('Priority Count: ', CAST(user_id % 9 AS VARCHAR(8)), chr(10), CASE WHEN event_id % 3 = 0 THEN concat('IP Count: ', CAST(event_id % 50 AS VARCHAR(8)), chr(10)) WHEN event_id % 3 = 1 THEN concat('IP Count: many', chr(10)) ELSE '' END, CASE WHEN event_id % 2 = 0 THEN concat('Port/Proto Range: ', CAST(user_id AS VARCHAR(8)), ':99', chr(10)) ELSE '' END, CASE WHEN event_id % 5 = 0 THEN concat('Port/Proto Count: ', CAST(user_id AS VARCHAR(8))) ELSE 'end' END) END AS t FROM events"
+
+
+@query("fn_17_alerts", "SELECT event_id, CASE WHEN event_id % 23 = 6 THEN -1 ELSE CAST(user_id % 9 AS INT) END AS priority_count, CASE WHEN event_id % 23 <> 6 AND event_id % 3 = 0 THEN CAST(event_id % 50 AS INT) ELSE -1 END AS ip_count, CASE WHEN event_id % 23 <> 6 AND event_id % 2 = 0 THEN concat(user_id, ':99') END AS port_range, CASE WHEN event_id % 23 <> 6 AND event_id % 5 = 0 THEN CAST(user_id AS INT) ELSE -1 END AS port_count FROM events")
 def _(spark, d):
-    text = F.concat(F.lit("Priority Count: 5\nIP Count: "), F.col("event_id") % 50, F.when(F.col("event_id") % 2 == 0, F.lit("\nPort/Proto Range: 1:99")).otherwise(F.lit("")))
-    got = scalars.alert_fields(text)
-    return table(spark, d, "events").select("event_id", *(got[k].alias(k) for k in ("ip_count", "port_range", "port_count")))
+    got = scalars.alert_fields(F.col("t"))
+    return run_sql(spark, d, ALERT_TEXTS).select("event_id", *(got[k].alias(k) for k in ("priority_count", "ip_count", "port_range", "port_count")))
 
 
 @query("fn_18_bytes", "SELECT mac, CASE WHEN n >= 1099511627776 THEN concat(format('{:,.2f}', n / 1099511627776), ' TiB') WHEN n >= 1073741824 THEN concat(format('{:,.2f}', n / 1073741824), ' GiB') WHEN n >= 1048576 THEN concat(format('{:,.2f}', n / 1048576), ' MiB') WHEN n >= 1024 THEN concat(format('{:,.2f}', n / 1024), ' KiB') ELSE concat(n, ' B') END AS bytes FROM (SELECT mac, CAST(sum(bytes) AS BIGINT) AS n FROM fx_station_stats GROUP BY mac) AS b")
