@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,16 +67,58 @@ def rolling_median(df: DataFrame, keys: Sequence[str], order: Sequence[str], val
     return df.withColumn("_v", values).withColumn("median", F.get("_v", (F.size("_v") / 2).cast("int"))).withColumn("spread", F.array_max("_v") - F.array_min("_v")).drop("_v")
 
 
-def report_duration(df: DataFrame, keys: Sequence[str], ts: str = "ts", order: Sequence[str] = (), default_seconds: float = 10) -> DataFrame:
+def with_neighbour(df: DataFrame, keys: Sequence[str], ts: str = "ts", order: Sequence[str] = (), slice_seconds: float | None = None, after: bool = False) -> DataFrame:
+    """Adds _beside, the time of the row before (or after) in its key.
+
+    With slice_seconds a key is cut into slices of time, so that a hot key is
+    many sorted runs: only the first (or last) row of a slice looks into the
+    slice beside it, which one row a slice tells.
+    """
+    step = F.lead if after else F.lag
+    if slice_seconds is None:
+        return df.withColumn("_beside", step(ts).over(Window.partitionBy(*keys).orderBy(ts, *order)))
+    run = [*keys, "_slice"]
+    rows = df.withColumn("_slice", F.floor(F.unix_micros(ts) / int(slice_seconds * 1_000_000)))
+    edge = (F.min if after else F.max)(ts)
+    slices = rows.groupBy(*run).agg(edge.alias("_edge")).withColumn("_edge", step("_edge").over(Window.partitionBy(*keys).orderBy("_slice")))
+    inside = step(ts).over(Window.partitionBy(*run).orderBy(ts, *order))
+    # null keys meet as well
+    other = slices.select(*(F.col(k).alias(f"_k_{k}") for k in run), "_edge")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in run])
+    return rows.withColumn("_inside", inside).join(other, same, "left").withColumn("_beside", F.coalesce("_inside", "_edge")).select(*df.columns, "_beside")
+
+
+def report_duration(df: DataFrame, keys: Sequence[str], ts: str = "ts", order: Sequence[str] = (), default_seconds: float = 10, slice_seconds: float | None = None) -> DataFrame:
     """Adds `duration_msec`: time since the key's previous report, the default for the first."""
-    last = F.lag(ts).over(Window.partitionBy(*keys).orderBy(ts, *order))
-    return df.withColumn("duration_msec", F.coalesce(((F.unix_micros(ts) - F.unix_micros(last)) / 1000).cast("long"), F.lit(int(default_seconds * 1000))))
+    rows = with_neighbour(df, keys, ts, order, slice_seconds)
+    return rows.withColumn("duration_msec", F.coalesce(((F.unix_micros(ts) - F.unix_micros("_beside")) / 1000).cast("long"), F.lit(int(default_seconds * 1000)))).drop("_beside")
 
 
-def moving_averages(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, spans: Sequence[int] = (1, 10, 60)) -> DataFrame:
-    """Adds avg_<n>, the mean of the last n rows, for each span."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumns({f"avg_{n}": F.avg(value).over(w.rowsBetween(1 - n, 0)) for n in spans})
+def moving_averages(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, spans: Sequence[int] = (1, 10, 60), slice_seconds: float | None = None) -> DataFrame:
+    """Adds avg_<n>, the mean of the last n rows, for each span.
+
+    With slice_seconds the first of order is a time and a key is cut into slices
+    of it; each slice begins with the last rows of those before, as many as the
+    longest span looks back.
+    """
+    if slice_seconds is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({f"avg_{n}": F.avg(value).over(w.rowsBetween(1 - n, 0)) for n in spans})
+    run, back = [*keys, "_slice"], max(spans) - 1
+    rows = df.withColumn("_slice", F.floor(F.unix_micros(order[0]) / int(slice_seconds * 1_000_000))).withColumn("_own", F.lit(True))
+    last = F.row_number().over(Window.partitionBy(*run).orderBy(*(F.col(c).desc() for c in order)))
+    tail = rows.withColumn("_n", last).filter(F.col("_n") <= back)
+    # a slice hands its last rows on to those after it, until they have enough
+    sizes = rows.groupBy(*run).agg(F.count("*").alias("_size"))
+    ahead = Window.partitionBy(*keys).orderBy("_slice")
+    spread = sizes.withColumn("_after", F.collect_list(F.struct("_slice", "_size")).over(ahead.rowsBetween(1, max(1, back))))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<to:bigint,held:bigint>>").alias("to"))
+    walk = F.aggregate("_after", start, lambda a, x: F.when(a["held"] < back, F.struct((a["held"] + x["_size"]).alias("held"), F.concat(a["to"], F.array(F.struct(x["_slice"].alias("to"), a["held"].alias("held")))).alias("to"))).otherwise(a))
+    targets = spread.select(*run, F.explode(walk["to"]).alias("t")).select(*run, "t.to", "t.held")
+    handed = tail.join(targets, run).filter(F.col("_n") + F.col("held") <= back).withColumn("_slice", F.col("to")).withColumn("_own", F.lit(False)).drop("to", "held", "_n")
+    w = Window.partitionBy(*run).orderBy(*order)
+    both = rows.unionByName(handed.select(*rows.columns)).withColumns({f"avg_{n}": F.avg(value).over(w.rowsBetween(1 - n, 0)) for n in spans})
+    return both.filter("_own").drop("_own", "_slice")
 
 
 def ewma(values: Column, shift: int = 4) -> Column:
@@ -93,10 +136,10 @@ def fidelity(df: DataFrame, ap: str = "bssid", sniffer: str = "sniffer_id", ts:
     return out if threshold is None else out.filter(F.col("fidelity") >= threshold)
 
 
-def channel_dwell(changes: DataFrame, sniffer: str = "sniffer_id", ts: str = "ts", order: Sequence[str] = ()) -> DataFrame:
+def channel_dwell(changes: DataFrame, sniffer: str = "sniffer_id", ts: str = "ts", order: Sequence[str] = (), slice_seconds: float | None = None) -> DataFrame:
     """Seconds that each sniffer spent on each channel between its changes."""
-    stay = F.unix_micros(F.lead(ts).over(Window.partitionBy(sniffer).orderBy(ts, *order))) - F.unix_micros(ts)
-    return changes.withColumn("_us", stay).filter("_us is not null").groupBy(sniffer, "channel").agg((F.sum("_us") / 1e6).alias("dwell_sec"))
+    rows = with_neighbour(changes, [sniffer], ts, order, slice_seconds, after=True)
+    return rows.withColumn("_us", F.unix_micros("_beside") - F.unix_micros(ts)).filter("_us is not null").groupBy(sniffer, "channel").agg((F.sum("_us") / 1e6).alias("dwell_sec"))
 
 
 def channel_shares(rates: DataFrame, sniffer: str = "sniffer_id", period: float = 1.0, minimum: float = 0.02) -> DataFrame:

@@ -402,12 +402,12 @@ def _(spark, d):
 
 @query("win_5_duration", "SELECT frame_id, coalesce(CAST(floor((US(ts) - lag(US(ts)) OVER (PARTITION BY sniffer_id ORDER BY ts, frame_id)) / 1000) AS BIGINT), 10000) AS duration_msec FROM fx_frames")
 def _(spark, d):
-    return windows.report_duration(view(spark, d, "fx_frames"), ["sniffer_id"], order=[F_ID]).select(F_ID, F.col("duration_msec").cast("long").alias("duration_msec"))
+    return windows.report_duration(view(spark, d, "fx_frames"), ["sniffer_id"], order=[F_ID], slice_seconds=86_400).select(F_ID, F.col("duration_msec").cast("long").alias("duration_msec"))
 
 
 @query("win_6_averages", "SELECT frame_id, avg(length) OVER (PARTITION BY sniffer_id ORDER BY ts, frame_id ROWS 9 PRECEDING) AS avg_10, avg(length) OVER (PARTITION BY sniffer_id ORDER BY ts, frame_id ROWS 59 PRECEDING) AS avg_60 FROM fx_frames")
 def _(spark, d):
-    return windows.moving_averages(view(spark, d, "fx_frames"), ["sniffer_id"], ["ts", F_ID], "length", (10, 60)).select(F_ID, "avg_10", "avg_60")
+    return windows.moving_averages(view(spark, d, "fx_frames"), ["sniffer_id"], ["ts", F_ID], "length", (10, 60), slice_seconds=86_400).select(F_ID, "avg_10", "avg_60")
 
 
 @query("win_7_fidelity", "WITH s AS (SELECT bssid, sniffer_id, US(ts) // 86400000000 AS slot, least(1.0::DOUBLE, count(*) / 24.0::DOUBLE) AS share FROM fx_frames WHERE ftype = 0 GROUP BY ALL), f AS (SELECT bssid, sniffer_id, list_reduce(list(share ORDER BY slot), lambda m, x: m + (x - m) / 16) AS fidelity FROM s GROUP BY ALL) SELECT * FROM f WHERE fidelity >= 0.01")
@@ -417,7 +417,7 @@ def _(spark, d):
 
 @query("win_8_dwell", "WITH c AS (SELECT sniffer_id, channel, US(lead(ts) OVER (PARTITION BY sniffer_id ORDER BY ts, frame_id)) - US(ts) AS us FROM fx_frames) SELECT sniffer_id, channel, sum(us) / 1e6 AS dwell_sec FROM c WHERE us IS NOT NULL GROUP BY sniffer_id, channel")
 def _(spark, d):
-    return windows.channel_dwell(view(spark, d, "fx_frames").select("sniffer_id", "channel", "ts", F_ID), order=[F_ID])
+    return windows.channel_dwell(view(spark, d, "fx_frames").select("sniffer_id", "channel", "ts", F_ID), order=[F_ID], slice_seconds=86_400)
 
 
 @query("win_9_shares", "WITH RECURSIVE c AS (SELECT sniffer_id, channel, US(lead(ts) OVER (PARTITION BY sniffer_id ORDER BY ts, frame_id)) - US(ts) AS us FROM fx_frames), w AS (SELECT sniffer_id, channel, sum(us) / 1e6 AS dwell FROM c WHERE us IS NOT NULL GROUP BY ALL), n AS (SELECT sniffer_id, channel, count(*) AS n FROM fx_frames GROUP BY ALL), r AS (SELECT sniffer_id, channel, CASE WHEN dwell > 0 THEN n / dwell ELSE 0 END AS rate FROM w JOIN n USING (sniffer_id, channel)), k AS (SELECT *, row_number() OVER (PARTITION BY sniffer_id ORDER BY rate, channel) AS i, sum(rate) OVER (PARTITION BY sniffer_id) AS total FROM r), t(sniffer_id, i, channel, leftover, rates, share) AS (SELECT DISTINCT sniffer_id, 0::BIGINT, 0, 1.0::DOUBLE, total::DOUBLE, 0.0::DOUBLE FROM k UNION ALL SELECT k.sniffer_id, k.i, k.channel, t.leftover - greatest(0.02, t.leftover * k.rate / t.rates), t.rates - k.rate, greatest(0.02, t.leftover * k.rate / t.rates) FROM t JOIN k ON k.sniffer_id = t.sniffer_id AND k.i = t.i + 1) SELECT sniffer_id, channel, round(share, 9) AS share FROM t WHERE i > 0")

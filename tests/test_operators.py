@@ -64,6 +64,15 @@ def test_ranges_without_a_join(spark):
     assert rows(joins.range_join(df, [(80, 80), (1, 100), (5, 5)], ["a", "b"]).select("id", "low", "high")) == [(1, 1, 100), (1, 5, 5), (1, 80, 80), (2, 1, 100), (2, 5, 5), (3, 1, 100)]
 
 
+def test_slices_of_time_change_nothing(spark):
+    rng = random.Random(12)
+    data = [(rng.choice(["a", "b", None]), t, i, rng.randrange(5)) for i, t in enumerate(rng.sample(range(3000), 300))]
+    df = spark.createDataFrame(data, "k string, s int, id int, channel int").withColumn("ts", F.timestamp_seconds("s"))
+    for cut in (7, 100, 2000):
+        for f in (lambda c: windows.report_duration(df, ["k"], order=["id"], slice_seconds=c), lambda c: windows.channel_dwell(df, "k", order=["id"], slice_seconds=c), lambda c: windows.moving_averages(df.filter("k is not null"), ["k"], ["ts", "id"], "channel", (1, 4, 25), slice_seconds=c)):
+            assert sorted(map(str, f(cut).collect())) == sorted(map(str, f(None).collect()))
+
+
 def test_lower_median_and_cdf(spark):
     df = spark.createDataFrame([(1,), (2,), (3,), (4,), (None,)], "x int")
     assert df.agg(aggregates.lower_median("x")).first()[0] == 2
