@@ -162,6 +162,11 @@ def write_daily(df: DataFrame, path: str, ts: str = "ts") -> None:
     df.withColumn("date", F.to_date(ts)).write.mode("append").partitionBy("date").parquet(path)
 
 
+def write_routed(df: DataFrame, path: str, route: str = "route") -> None:
+    """Rows in one folder a route, as `filters.route` names them; a route with most rows is still written by many tasks."""
+    df.write.mode("append").partitionBy(route).parquet(path)
+
+
 def prune_daily(spark: SparkSession, path: str, keep_from: str) -> DataFrame:
     """The days on or after keep_from; the partition filter reads no older folder. Deleting old folders is left to the store's own rules."""
     return spark.read.parquet(path).filter(F.col("date") >= F.lit(keep_from).cast("date"))

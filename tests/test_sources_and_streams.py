@@ -71,6 +71,23 @@ def test_daily_and_hourly_sinks(spark, tmp_path):
     assert [(str(r["date"]), r["hour"]) for r in spark.read.text(f"{tmp_path}/logs").collect()] == [("1970-01-02", 1)]
 
 
+def test_routes_have_folders(spark, tmp_path):
+    from aerolens.operators import filters
+
+    routed = filters.route(spark.range(10), [("low", F.col("id") < 3)], "other")
+    frames.write_routed(routed, f"{tmp_path}/routed")
+    assert spark.read.parquet(f"{tmp_path}/routed/route=low").count() == 3 and spark.read.parquet(f"{tmp_path}/routed").filter("route = 'other'").count() == 7
+
+
+def test_database_tables_grow(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    df = spark.createDataFrame([(1, "a"), (2, None)], "k int, v string")
+    for _ in range(2):
+        frames.write_jdbc(df, url, "stations", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    back = spark.read.jdbc(url, "stations", properties={"driver": "org.apache.derby.jdbc.EmbeddedDriver"})
+    assert sorted(map(str, back.collect())) == sorted(2 * list(map(str, df.collect())))
+
+
 def test_upsert_keeps_the_latest(spark):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, t int")
     new = spark.createDataFrame([(2, "c", 2), (3, "d", 2)], "k int, v string, t int")
