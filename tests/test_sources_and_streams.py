@@ -170,3 +170,23 @@ def test_keyed_stream_starts_warm_and_is_flushed(spark, tmp_path):
         assert [r["frame_id"] for r in flush(spark, f"{tmp_path}/ck2", lambda left: ids(merge_rest(left)), "frame_id long").collect()] == [2]
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_unique_and_session_streams(spark, tmp_path):
+    data = [("a", 0), ("a", 5), ("b", 10), ("a", 4000), ("b", 20), ("b", 9000)]
+    spark.createDataFrame(data, "k string, s int").withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k string, s int, ts timestamp").parquet(f"{tmp_path}/in")
+    run = lambda df, name: df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    run(streams.unique_stream(stream, ["k"]), "firsts")
+    assert sorted(r["k"] for r in spark.table("firsts").collect()) == ["a", "b"]
+    run(streams.session_stream(stream, ["k"]), "sessions")
+    # the sessions that the watermark has passed: all but the last
+    assert sorted((r["k"], r["requests"]) for r in spark.table("sessions").collect()) == [("a", 1), ("a", 2), ("b", 2)]
+
+
+def test_upsert_stream_keeps_the_latest(spark, tmp_path):
+    schema = "k int, v string, t int"
+    for n, part in enumerate(([(1, "a", 1), (2, "b", 1)], [(2, "c", 2), (3, "d", 2)])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        streams.upsert_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/table", "k", "t", f"{tmp_path}/ck").awaitTermination(120)
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/table/v=1").collect()) == [(1, "a"), (2, "c"), (3, "d")]
