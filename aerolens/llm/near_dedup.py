@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import UPPER, WORD, Scratch, staged
 from .components import connected_components
-from .substring_dedup import _HASHES
+from .substring_dedup import _HASHES, MAX_WORDS
 
 _WORD = re.compile(WORD)
 _LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -48,7 +48,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     without words has none.
     """
     found = _WORD.findall(text.translate(_LOWER)) if text else []
-    if len(_HASHES) > 1_000_000:
+    if len(_HASHES) > MAX_WORDS:
         _HASHES.clear()
     h = np.fromiter(map(_HASHES.__getitem__, found), dtype=np.uint64, count=len(found))
     width = min(words, len(h))

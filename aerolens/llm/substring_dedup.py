@@ -41,12 +41,14 @@ class _WordHashes(dict):
 
 
 _HASHES = _WordHashes()
+#: So many hashes a worker remembers; workers live on from job to job, so what they hold counts beside other operators' memory.
+MAX_WORDS = 200_000
 
 
 def word_hashes(text: str | None) -> tuple[list[str], np.ndarray]:
     """The words of a whole text and their 64-bit hashes."""
     words = _WORD.findall(text) if text else []
-    if len(_HASHES) > 1_000_000:
+    if len(_HASHES) > MAX_WORDS:
         _HASHES.clear()
     return words, np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
 

@@ -78,7 +78,7 @@ class Encoder:
     with a space. max_words bounds memory.
     """
 
-    def __init__(self, path: str, max_words: int = 2_000_000) -> None:
+    def __init__(self, path: str, max_words: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -154,7 +154,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(path: str, texts: pa.Array, end_id: int, chars: int = 24_000_000) -> Iterator[tuple[int, bytes]]:
+def encoded(path: str, texts: pa.Array, end_id: int, chars: int = 12_000_000) -> Iterator[tuple[int, bytes]]:
     """(row, ids with the end id as little-endian unsigned 32-bit bytes), worked on about so many bytes at a time."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -166,3 +166,6 @@ def encoded(path: str, texts: pa.Array, end_id: int, chars: int = 24_000_000) ->
         for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
             yield at + i, data[4 * a : 4 * b] + end
         at = to
+        # the worker lives on beside other work, so what Arrow keeps for later goes back
+        del ids, data
+        pa.default_memory_pool().release_unused()
