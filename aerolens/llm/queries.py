@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import nearest
+from .collocations import collocations
+from .lexical_search import lexical_search
 from .line_dedup import line_dedup
 from .mixing import mix_sources
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .substring_dedup import substring_dedup
+from .token_counts import token_counts
 from .token_shards import read_token_shards, write_token_shards
 from .toxicity import fit_toxicity, toxicity
 from .url_filter import url_filter
@@ -81,6 +84,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -92,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_shards": op8_token_shards,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_toxicity": op10_toxicity,
+    "op11_token_counts": op11_token_counts,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_collocations": op13_collocations,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -198,5 +216,54 @@ m AS (SELECT l.*, f.first_doc IS NOT NULL AND doc_id > f.first_doc AS gone FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id
+""",
+    "op12_lexical_search": rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, doc_id,
+         coalesce(regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents),
+s AS (SELECT count(*) FILTER (WHERE len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM t),
+x AS (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM t),
+c AS (SELECT row, doc_id, n, term, count(*) AS tf FROM x GROUP BY ALL),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, {_AZ}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL),
+f AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM c, s WHERE term IN (SELECT term FROM q) GROUP BY term, n_docs),
+m AS (
+  SELECT item_id, row, doc_id,
+         CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN c USING (term), s GROUP BY item_id, row, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM m WHERE score > 0 QUALIFY rank <= 20
+""",
+    "op13_collocations": rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, w
+  FROM (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(translate(text, {_AZ}), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents)
+  WHERE len(w) > 0),
+s AS (SELECT lang, w[i:i + 4] AS w FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p)),
+g AS (
+  SELECT lang, k, array_to_string(w[1:k], ' ') AS phrase, count(*) AS f
+  FROM s, (VALUES (1), (2), (3), (4), (5)) AS sizes(k) WHERE len(w) >= k GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, count(*) AS n FROM s GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k >= 2),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+v AS (
+  SELECT cuts.lang, cuts.phrase, cuts.w, cuts.a, cut, x.f AS l, y.f AS r, n.n,
+         (1000::HUGEINT * a::HUGEINT * n.n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+  FROM cuts JOIN g x ON x.lang = cuts.lang AND x.phrase = array_to_string(w[1:cut], ' ')
+  JOIN g y ON y.lang = cuts.lang AND y.phrase = array_to_string(w[cut + 1:], ' ') JOIN n ON n.lang = cuts.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS nth FROM v),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, k, m, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3), (4)) AS sizes(m) WHERE m < k)
+  GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank,
+       b.phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase
+WHERE nth = 1 AND (longer IS NULL OR 100 * longer < 100 * a) QUALIFY rank <= 2000
 """,
 }
