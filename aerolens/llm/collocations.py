@@ -219,10 +219,10 @@ def suffixes(docs: DataFrame, pairs: HashFilter, longest: int) -> DataFrame:
 def _routed(found: DataFrame, work: Scratch, longest: int, hot_rows: int) -> DataFrame:
     """lang, route, deep, suffix, n: route is the leading two words of a suffix, or more where those lead very many rows.
 
-    deep is how many words route has. A phrase of that many words and more has
-    all its suffixes under one route. Routes of hot_rows are few, so they and
-    the shorter phrases that they split are few, too. A suffix that is hot as a
-    whole is summed before it is routed.
+    A phrase of `deep` words and more has all its suffixes under one route; of
+    shorter ones a route holds a part. Routes of hot_rows are few, so they and
+    the shorter phrases that they split are few, too. Suffixes that end where a
+    hot route does are summed before they are routed.
     """
     rows = found.select("lang", F.col("lead").alias("route"), F.lit(2).alias("deep"), "suffix", "n")
     for deep in range(2, longest + 1):
@@ -232,7 +232,7 @@ def _routed(found: DataFrame, work: Scratch, longest: int, hot_rows: int) -> Dat
             break
         marked = rows.join(hot, ["lang", "route"], "left")
         ends = F.col("suffix") == F.col("route")
-        summed = marked.filter(F.col("hot") & ends).groupBy("lang", "route", "deep", "suffix").agg(F.sum("n").alias("n"))
+        summed = marked.filter(F.col("hot") & ends).groupBy("lang", "route", F.lit(deep + 1).alias("deep"), "suffix").agg(F.sum("n").alias("n"))
         further = F.col("hot").isNotNull()
         rest = marked.filter(F.col("hot").isNull() | ~ends)
         rest = rest.select("lang", F.when(further, F.substring_index("suffix", " ", deep + 1)).otherwise(F.col("route")).alias("route"), F.when(further, deep + 1).otherwise(F.col("deep")).alias("deep"), "suffix", "n")
