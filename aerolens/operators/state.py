@@ -6,15 +6,19 @@ state and the output rows.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from .scan import Scan, by_heat, scan
+
 Step = Callable[[Any, list[dict]], tuple[Any, list[dict]]]
 
 
@@ -80,25 +84,145 @@ def last_accepted(ts_us: str, window_us: int, keep: Sequence[str]) -> Step:
     return step
 
 
-def suppress_repeats(df: DataFrame, keys: Sequence[str], ts: str = "ts", window_seconds: float = 6, order: Sequence[str] = ()) -> DataFrame:
+def chain_ends(times: np.ndarray, window_us: int) -> np.ndarray:
+    """For each of a slice's ascending times the last accepted one of the chain that starts there.
+
+    Each time points to the first that is more than the window later; pointers
+    double until they leave the slice, so a chain of n takes log n rounds.
+    """
+    n = len(times)
+    to = np.searchsorted(times, times + window_us, side="right")
+    last = np.arange(n)
+    while (inside := to < n).any():
+        # where the pointer stays inside, take over what the place pointed to knows
+        at = to[inside]
+        last[inside], to[inside] = last[at], to[at]
+    return times[last]
+
+
+def accepted_in_slice(times: np.ndarray, last: int | None, window_us: int) -> tuple[np.ndarray, int | None]:
+    """(which of the ascending times are accepted after the last accepted one, the last accepted one then)."""
+    keep = np.zeros(len(times), dtype=bool)
+    at = 0 if last is None else int(np.searchsorted(times, last + window_us, side="right"))
+    while at < len(times):
+        keep[at], last = True, int(times[at])
+        at = int(np.searchsorted(times, last + window_us, side="right"))
+    return keep, last
+
+
+def _runs(batches: Iterator[pa.RecordBatch], run: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """(batch, edges of its runs of equal values of a column)."""
+    for batch in batches:
+        if batch.num_rows:
+            values = batch.column(run).to_numpy(zero_copy_only=False)
+            yield batch, np.concatenate([[0], 1 + np.flatnonzero(values[1:] != values[:-1]), [batch.num_rows]])
+
+
+def _suppress_in_slices(df: DataFrame, keys: Sequence[str], limit: int, order: Sequence[str], slice_us: int) -> DataFrame:
+    """Rows of hot keys that are no repeats, each slice of time in a task of its own; slices are at least as long as the window.
+
+    What a slice does depends only on the last accepted time before it, and only
+    through the place where its chain starts. So each slice first says, for every
+    start within a window of its own begin, where the chain ends; a walk over
+    these summaries, a row a slice, gives each slice its start; then every slice
+    picks its rows. A slice's times are held as an array.
+    """
+    names = df.columns
+    # runs have numbers, as keys may be of any types
+    rows = df.withColumn("_slice", F.floor(F.col("_us") / slice_us)).withColumn("_run", F.xxhash64(*keys, "_slice"))
+    run = [*keys, "_slice"]
+    fields = {f.name: f.dataType.simpleString() for f in rows.schema}
+    times = rows.select(*run, "_us").distinct().repartition(*run).sortWithinPartitions(*run, "_us").withColumn("_run", F.xxhash64(*run))
+    arrow = to_arrow_schema(times.select(*run).schema)
+    tail = pa.schema([*arrow, pa.field("_starts", pa.list_(pa.int64())), pa.field("_ends", pa.list_(pa.int64()))])
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        head = None
+
+        def done() -> pa.RecordBatch:
+            t = np.concatenate(held)
+            # later starts than this begin no chain that came from outside
+            some = t[: int(np.searchsorted(t, t[0] // slice_us * slice_us + limit, side="right")) + 1]
+            ends = chain_ends(t, limit)[: len(some)]
+            # of starts with one end the last is enough: a chain that enters at or before it has that end
+            keep = np.append(ends[1:] != ends[:-1], True)
+            columns = [head.column(c) for c in run]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([some[keep].tolist()], pa.list_(pa.int64())), pa.array([ends[keep].tolist()], pa.list_(pa.int64()))], schema=tail)
+
+        number = None
+        for batch, edges in _runs(batches, "_run"):
+            us, runs = batch.column("_us").to_numpy(), batch.column("_run").to_numpy()
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if number != runs[a] and held:
+                    yield done()
+                    held = []
+                if not held:
+                    head, number = batch.slice(a, 1), runs[a]
+                held.append(us[a:b])
+        if held:
+            yield done()
+
+    schema = ", ".join(f"`{c}` {fields[c]}" for c in run)
+    chains = times.mapInArrow(summarise, f"{schema}, _starts array<bigint>, _ends array<bigint>")
+
+    def walk(last: int | None, parts: list[dict]) -> tuple[int | None, list[dict]]:
+        out = []
+        for part in parts:
+            out.append({c: part[c] for c in run} | {"_last": last})
+            at = 0 if last is None else bisect_right(part["_starts"], last + limit)
+            if at < len(part["_starts"]):
+                last = part["_ends"][at]
+        return last, out
+
+    starts = run_keyed(chains, keys, ["_slice"], walk, f"{schema}, _last bigint")
+    joined = rows.withColumn("_at", F.struct(*run)).join(starts.select(F.struct(*run).alias("_at"), "_last"), "_at").drop("_at")
+    dealt = joined.repartition(*run).sortWithinPartitions(*run, "_us", *order)
+    out_schema = to_arrow_schema(df.schema)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, last = None, None
+        for batch, edges in _runs(batches, "_run"):
+            us, runs, entry = batch.column("_us").to_numpy(), batch.column("_run").to_numpy(), batch.column("_last").to_pylist()
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if number != runs[a]:
+                    number, last = runs[a], entry[a]
+                keep[a:b], last = accepted_in_slice(us[a:b], last, limit)
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).select(names).columns, schema=out_schema)
+
+    return dealt.mapInArrow(pick, df.schema)
+
+
+def suppress_repeats(df: DataFrame, keys: Sequence[str], ts: str = "ts", window_seconds: float = 6, order: Sequence[str] = (), hot_rows: int | None = 5_000_000, slice_seconds: float | None = None) -> DataFrame:
     """Rows that are not repeats of the last accepted row of their key within the window.
 
     A window of 0 only drops rows of equal time and is a window expression. Else
     rows further apart than the window start a new chain whatever came before,
     so a key is first cut into such islands; only islands of several rows need
-    the chain, and hot keys are many small groups.
+    the chain. A key with more than hot_rows is cut into slices of time instead
+    (slice_seconds, an hour or ten windows), see _suppress_in_slices, so it is
+    many tasks. Rows without time are dropped.
     """
     us = F.unix_micros(ts)
-    w = Window.partitionBy(*keys).orderBy(ts, *order)
     limit = int(window_seconds * 1_000_000)
-    marked = df.withColumn("_us", us).withColumn("_new", F.coalesce((us - F.lag(us).over(w) > limit).cast("int"), F.lit(1)))
     if limit == 0:
-        return marked.filter("_new = 1").drop("_us", "_new")
-    islands = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_island")))
-    alone = islands.filter("_n = 1").select(*df.columns)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-    chains = run_keyed(islands.filter("_n > 1"), [*keys, "_island"], ["_us", *order], last_accepted("_us", limit, df.columns), schema)
-    return alone.unionByName(chains)
+        w = Window.partitionBy(*keys).orderBy(ts, *order)
+        return df.filter(F.col(ts).isNotNull()).withColumn("_new", F.coalesce(us - F.lag(us).over(w) > 0, F.lit(True))).filter("_new").drop("_new")
+    slice_us = max(limit, int(1_000_000 * (slice_seconds or max(3600, 10 * window_seconds))))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+    def run(rows: DataFrame, sliced: bool) -> DataFrame:
+        if sliced:
+            return _suppress_in_slices(rows, keys, limit, order, slice_us).select(*df.columns)
+        w = Window.partitionBy(*keys).orderBy(ts, *order)
+        marked = rows.withColumn("_new", F.coalesce((F.col("_us") - F.lag("_us").over(w) > limit).cast("int"), F.lit(1)))
+        islands = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "_island")))
+        alone = islands.filter("_n = 1").select(*df.columns)
+        chains = run_keyed(islands.filter("_n > 1"), [*keys, "_island"], ["_us", *order], last_accepted("_us", limit, df.columns), schema)
+        return alone.unionByName(chains)
+
+    return by_heat(df.filter(F.col(ts).isNotNull()).withColumn("_us", us), keys, hot_rows, run)
 
 
 ASSOCIATION = "station string, ts_us long, bssid string, is_ap boolean, event string"
@@ -160,15 +284,23 @@ def association_rows(df: DataFrame) -> DataFrame:
     return rows.select("frame_id", "ts_us", "bssid", "s.station", "s.is_ap", "s.as_tx")
 
 
-def associations(df: DataFrame, **options) -> DataFrame:
+def associations(df: DataFrame, hot_rows: int | None = 5_000_000, slice_seconds: float = 3600, **options) -> DataFrame:
     """Association events of every station. A state ends after the timeout, so a station is cut at longer gaps.
 
-    Of the two rows of one frame the sent one comes first.
+    Of the two rows of one frame the sent one comes first. The gaps of a station
+    with more than hot_rows are found slice by slice of time, so that only an
+    island without such gaps is one task, and that is streamed.
     """
-    w = Window.partitionBy("station").orderBy("ts_us", "frame_id")
-    new = F.coalesce((F.col("ts_us") - F.lag("ts_us").over(w) > options.get("timeout_us", 300_000_000)).cast("int"), F.lit(1))
-    rows = association_rows(df).withColumn("_rx", ~F.col("as_tx")).withColumn("_new", new).withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
-    return run_keyed(rows, ["station", "_island"], ["ts_us", "frame_id", "_rx"], association_step(**options), ASSOCIATION)
+    timeout = options.get("timeout_us", 300_000_000)
+    rows = association_rows(df).withColumn("_rx", ~F.col("as_tx"))
+
+    def islands(rows: DataFrame, sliced: bool) -> DataFrame:
+        order, length = ["ts_us", "frame_id", "_rx"], slice_seconds if sliced else None
+        before = scan(rows, ["station"], order, {"_before": Scan("last", F.col("ts_us"))}, "ts_us", length)
+        new = F.coalesce((F.col("ts_us") - F.col("_before") > timeout).cast("int"), F.lit(1))
+        return scan(before.withColumn("_new", new), ["station"], order, {"_island": Scan("sum", F.col("_new"), inclusive=True)}, "ts_us", length).drop("_before", "_new")
+
+    return run_keyed(by_heat(rows, ["station"], hot_rows, islands), ["station", "_island"], ["ts_us", "frame_id", "_rx"], association_step(**options), ASSOCIATION)
 
 
 def bss_state(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -199,22 +331,6 @@ def bss_events(df: DataFrame) -> DataFrame:
     return marked.withColumn("event", event).filter("event is not null").select("bssid", "ts", "frame_id", "event", "ssid")
 
 
-def station_stats(df: DataFrame, interval: str = "300 seconds", keys: Sequence[str] = ("ta",)) -> DataFrame:
-    """Per transmitter and interval: packets, bytes, data bytes, beacons, inferred packets and role flags (client 1, access point 2, IBSS 4)."""
-    from .windows import sequence_gaps
-
-    rows = sequence_gaps(df.filter(F.col("ta").isNotNull()), keys[0])
-    data = (F.col("ftype") == 2) & (F.col("fsubtype").bitwiseAND(F.lit(4)) == 0)
-    beacon = (F.col("ftype") == 0) & (F.col("fsubtype") == 8)
-    flag = F.when(data & (F.col("dir") == 1), 1).when(data & (F.col("dir") == 2) | beacon, 2).when(data & (F.col("dir") == 0), 4).otherwise(0)
-    out = rows.groupBy(F.window("ts", interval).alias("w"), *keys).agg(
-        F.count("*").alias("packets"), F.sum("length").cast("long").alias("bytes"), F.count_if(F.col("ftype") != 1).alias("non_ctrl_packets"),
-        F.sum(F.when(F.col("ftype") != 1, F.when(F.col("gap") == 0, 1).otherwise(F.col("gap"))).otherwise(0)).cast("long").alias("inferred_packets"),
-        F.coalesce(F.sum(F.when(data, F.col("length"))), F.lit(0)).cast("long").alias("data_bytes"), F.count_if(beacon).alias("beacons"), F.bit_or(flag).alias("flags"),
-    )
-    return out.select(F.col("w.start").alias("start"), *keys, "packets", "bytes", "non_ctrl_packets", "inferred_packets", "data_bytes", "beacons", "flags")
-
-
 MERGED = "frame_id long, payload_hash long, ts_us long, channel int, is_dupe boolean, members array<struct<sniffer_id:int,ts_us:long,channel:int,rssi:int,noise:int>>"
 
 
@@ -318,7 +434,7 @@ def arrival_step(timeout_us: int = 10_000_000, expiry_us: int = 120_000_000, **o
     return step
 
 
-def merge_captures(df: DataFrame, **options) -> DataFrame:
+def merge_captures(df: DataFrame, hot_rows: int | None = 5_000_000, slice_seconds: float = 3600, **options) -> DataFrame:
     """Transmissions from captures (frame_id, payload_hash, ts_us, sniffer_id, channel, rssi, noise, is_ctrl).
 
     err_us (0) is the error bound of a time, local_us (ts_us) the time on the
@@ -328,8 +444,9 @@ def merge_captures(df: DataFrame, **options) -> DataFrame:
 
     A content is cut where no capture before can meet one after, so hot contents
     such as equal acknowledgements are many small groups; the rows of a group are
-    streamed, and only half a second of them is held. Groups of one capture never
-    reach Python.
+    streamed, and only half a second of them is held. The cuts of a content with
+    more than hot_rows captures are found slice by slice of time, so such a
+    content is many tasks. Groups of one capture never reach Python.
     """
     for column, default in (("err_us", F.lit(0)), ("local_us", F.col("ts_us"))):
         if column not in df.columns:
@@ -337,14 +454,19 @@ def merge_captures(df: DataFrame, **options) -> DataFrame:
     if "arrival_us" in df.columns:
         return run_keyed(df, ["payload_hash"], ["arrival_us", "frame_id"], arrival_step(**options), MERGED, lambda state: merge_rest(state[0] if state else None, **{k: v for k, v in options.items() if k not in ("timeout_us", "expiry_us")}))
     bound = F.when(F.col("is_ctrl"), F.least("err_us", F.lit(options.get("ctrl_err", 300)))).otherwise(F.greatest("err_us", F.lit(options.get("max_err", 250_000))))
-    w = Window.partitionBy("payload_hash").orderBy("ts_us", "sniffer_id", "frame_id")
-    reached = F.max(F.col("ts_us") + bound).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    lowest = F.min(F.col("ts_us") - F.col("err_us")).over(w.rowsBetween(0, Window.unboundedFollowing))
-    marked = df.withColumn("_new", F.coalesce((lowest > reached).cast("int"), F.lit(1)))
-    islands = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.count("*").over(Window.partitionBy("payload_hash", "_island")))
+    key, order = ["payload_hash"], ["ts_us", "sniffer_id", "frame_id"]
+
+    def islands(rows: DataFrame, sliced: bool) -> DataFrame:
+        length = slice_seconds if sliced else None
+        reached = scan(rows, key, order, {"_reached": Scan("max", F.col("ts_us") + bound)}, "ts_us", length)
+        lowest = scan(reached, key, order, {"_lowest": Scan("min", F.col("ts_us") - F.col("err_us"), inclusive=True)}, "ts_us", length, reverse=True)
+        marked = lowest.withColumn("_new", F.coalesce((F.col("_lowest") > F.col("_reached")).cast("int"), F.lit(1)))
+        return scan(marked, key, order, {"_island": Scan("sum", F.col("_new"), inclusive=True)}, "ts_us", length).drop("_reached", "_lowest", "_new")
+
+    found = by_heat(df, key, hot_rows, islands).withColumn("_n", F.count("*").over(Window.partitionBy("payload_hash", "_island")))
     own = F.array(F.struct("sniffer_id", F.col("local_us").alias("ts_us"), "channel", "rssi", "noise"))
-    alone = islands.filter("_n = 1").select("frame_id", "payload_hash", "ts_us", "channel", F.lit(False).alias("is_dupe"), own.alias("members"))
-    many = run_keyed(islands.filter("_n > 1").drop("_new", "_n"), ["payload_hash", "_island"], ["ts_us", "sniffer_id", "frame_id"], merge_step(**options), MERGED, lambda left: merge_rest(left, **options))
+    alone = found.filter("_n = 1").select("frame_id", "payload_hash", "ts_us", "channel", F.lit(False).alias("is_dupe"), own.alias("members"))
+    many = run_keyed(found.filter("_n > 1").drop("_n"), ["payload_hash", "_island"], order, merge_step(**options), MERGED, lambda left: merge_rest(left, **options))
     return alone.unionByName(many)
 
 

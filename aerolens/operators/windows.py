@@ -8,21 +8,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import Scan, scan
 
-def sequence_gaps(df: DataFrame, key: str = "ta", order: Sequence[str] = ("ts", "frame_id"), seq: str = "seq", retry: str = "retry", modulus: int = 4096, small: int = 8, slip: int = 3) -> DataFrame:
+
+#: A number below this may be the first of a counter that began at 0; steps below it are small (fixed value).
+SMALL_NUMBER = 8
+
+
+def advance(last: Column, seq: Column, retry: Column, modulus: int = 4096, small: int = SMALL_NUMBER, slip: int = 3) -> Column:
+    """Steps of a wrapping counter from its last number; a small step back of a retry is none.
+
+    Without a last number it is the number itself if that is small, else 1.
+    """
+    first = F.when(seq < small, seq).otherwise(1)
+    back = F.when((last - seq < slip) & retry, F.lit(0)).otherwise(seq + modulus - last)
+    return F.when(last.isNull(), first).when(last <= seq, seq - last).otherwise(back)
+
+
+def sequence_gaps(df: DataFrame, key: str = "ta", order: Sequence[str] = ("ts", "frame_id"), seq: str = "seq", retry: str = "retry", modulus: int = 4096, small: int = SMALL_NUMBER, slip: int = 3, slice_seconds: float | None = None) -> DataFrame:
     """Adds `gap`: frames that the sequence number says were sent since the last one of the key, this one included.
 
     A step back of less than `slip` on a retry is 0; any other step back wraps.
-    The first frame counts its number if that is under `small`, else 1.
+    The first frame counts its number if that is under `small`, else 1. Control
+    frames (ftype 1, if there is such a column) and rows without number have no
+    gap and are passed over.
     """
-    last = F.lag(seq).over(Window.partitionBy(key).orderBy(*order))
-    diff = F.when(last <= F.col(seq), F.col(seq) - last).when((last - F.col(seq) < slip) & F.col(retry), F.lit(0)).otherwise(F.col(seq) + modulus - last)
-    return df.withColumn("gap", F.when(last.isNull(), F.when(F.col(seq) < small, F.col(seq)).otherwise(1)).otherwise(diff))
+    numbered = F.col(seq) if "ftype" not in df.columns else F.when(F.coalesce(F.col("ftype") != 1, F.lit(True)), F.col(seq))
+    rows = scan(df.withColumn("_seq", numbered), [key], order, {"_last": Scan("last", F.col("_seq"))}, F.unix_micros(order[0]), slice_seconds)
+    gap = F.when(F.col("_seq").isNotNull(), advance(F.col("_last"), F.col("_seq"), F.col(retry), modulus, small, slip))
+    return rows.withColumn("gap", gap).drop("_seq", "_last")
 
 
 def inferred_packets(df: DataFrame, key: str = "ta", **options) -> DataFrame:
-    """Frames sent by each key as its sequence numbers tell; a gap of 0 still counts the captured frame."""
-    return sequence_gaps(df, key, **options).groupBy(key).agg(F.count("*").alias("captured"), F.sum(F.when(F.col("gap") == 0, 1).otherwise(F.col("gap"))).cast("long").alias("inferred"))
+    """Numbered frames of each key as captured, and as its sequence numbers tell; a gap of 0 still counts the captured frame."""
+    return sequence_gaps(df, key, **options).groupBy(key).agg(F.count("gap").alias("captured"), F.coalesce(F.sum(F.when(F.col("gap").isNotNull(), F.greatest("gap", F.lit(1)))).cast("long"), F.lit(0)).alias("inferred"))
 
 
 def ping_loss(df: DataFrame, source: str = "source", order: Sequence[str] = ("ts", "event_id"), seq: str = "seq", delay: str | None = None) -> DataFrame:

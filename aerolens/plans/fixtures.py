@@ -27,6 +27,21 @@ SELECT event_id AS frame_id, CAST(ts AS TIMESTAMP) AS ts, user_id AS ta, user_id
        CAST((event_id * 7919) % 65536 AS INT) AS sport, CAST((event_id * 104729) % 65536 AS INT) AS dport,
        -50 - CAST(event_id % 40 AS INT) AS rssi, -95 AS noise, user_id % 3 = 1 AS protected
 FROM events""",
+    # stations that number their frames; those of ta % 4 = 0 with one counter for all, and station 0 sends a third of all frames
+    "fx_numbered_frames": """
+SELECT frame_id, ts, concat('02:00:00:00:00:', CAST(10 + ta AS VARCHAR(4))) AS ta, ra, tid, ftype, fsubtype, retry, protected, dir, length, ethertype, ibss, bcn_int,
+       CAST(CASE WHEN ftype = 1 THEN NULL
+                 WHEN fsubtype >= 8 AND ftype = 2 AND ta % 4 <> 0 THEN 2 * row_number() OVER (PARTITION BY ta, ra, tid ORDER BY ts, frame_id) - frame_id % 2
+                 ELSE 3 * row_number() OVER (PARTITION BY ta ORDER BY ts, frame_id) - frame_id % 3 + CASE WHEN frame_id % 19 = 0 THEN 50 ELSE 0 END END AS INT) % 4096 AS seq
+FROM (
+  SELECT event_id AS frame_id, CAST(ts AS TIMESTAMP) AS ts, CASE WHEN user_id % 3 = 0 THEN 0 ELSE CAST(user_id % 40 AS INT) END AS ta,
+         CASE WHEN event_id % 13 = 0 THEN 'ff:ff:ff:ff:ff:ff' ELSE concat('00:00:00:00:00:', CAST(10 + event_id % 3 AS VARCHAR(4))) END AS ra,
+         CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 0 WHEN 'error' THEN 1 ELSE 2 END AS ftype,
+         CAST(CASE event_type WHEN 'signup' THEN 8 WHEN 'purchase' THEN 4 WHEN 'error' THEN 13 WHEN 'view' THEN CASE WHEN event_id % 7 = 0 THEN 12 ELSE 8 END ELSE event_id % 5 END AS INT) AS fsubtype,
+         CASE WHEN event_type = 'view' THEN CAST(event_id % 2 * 5 AS INT) END AS tid, event_id % 10 = 3 AS retry, event_id % 6 = 1 AS protected, CAST(event_id % 4 AS INT) AS dir,
+         24 + CAST((event_id * 13) % 1477 AS INT) AS length, CASE WHEN event_id % 3 > 0 THEN 2048 END AS ethertype,
+         event_type = 'signup' AND user_id % 5 = 0 AS ibss, CASE WHEN event_type = 'signup' THEN 100 + CAST(user_id % 2 * (event_id % 2) AS INT) END AS bcn_int
+  FROM events) AS e""",
     # twelve captures a content, within a second or, of control frames, within a millisecond
     "fx_captures": """
 SELECT event_id AS frame_id, event_id - event_id % 12 AS payload_hash,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolens.functions import scalars
-from aerolens.operators import aggregates, filters, graph, joins, projections, state, windows
+from aerolens.operators import aggregates, filters, graph, joins, projections, state, stations, windows
 from aerolens.plans.fixtures import run_sql, view
 from aerolens.session import table
 
@@ -377,9 +377,9 @@ def _(spark, d):
     return aggregates.association_counts(s, ["capt_node_id"])
 
 
-@query("win_1_inferred", "WITH l AS (SELECT ta, seq, retry, lag(seq) OVER (PARTITION BY ta ORDER BY ts, frame_id) AS p FROM fx_frames), g AS (SELECT ta, CASE WHEN p IS NULL THEN CASE WHEN seq < 8 THEN seq ELSE 1 END WHEN p <= seq THEN seq - p WHEN p - seq < 3 AND retry THEN 0 ELSE seq + 4096 - p END AS gap FROM l) SELECT ta, count(*) AS captured, CAST(sum(CASE WHEN gap = 0 THEN 1 ELSE gap END) AS BIGINT) AS inferred FROM g GROUP BY ta")
+@query("win_1_inferred", "WITH l AS (SELECT ta, seq, retry, lag(seq) OVER (PARTITION BY ta ORDER BY ts, frame_id) AS p FROM fx_frames WHERE ftype <> 1), g AS (SELECT ta, CASE WHEN p IS NULL THEN CASE WHEN seq < 8 THEN seq ELSE 1 END WHEN p <= seq THEN seq - p WHEN p - seq < 3 AND retry THEN 0 ELSE seq + 4096 - p END AS gap FROM l), a AS (SELECT DISTINCT ta FROM fx_frames) SELECT a.ta, count(gap) AS captured, CAST(coalesce(sum(CASE WHEN gap = 0 THEN 1 ELSE gap END), 0) AS BIGINT) AS inferred FROM a LEFT JOIN g ON g.ta = a.ta GROUP BY a.ta")
 def _(spark, d):
-    return windows.inferred_packets(view(spark, d, "fx_frames"))
+    return windows.inferred_packets(view(spark, d, "fx_frames"), slice_seconds=86_400)
 
 
 PINGS = "SELECT ta AS source, ts, frame_id AS event_id, CASE WHEN frame_id % 10 = 9 THEN 0 ELSE frame_id % 400 END AS seq, length AS delay FROM fx_frames"
@@ -559,10 +559,38 @@ def _(spark, d):
     return graph.shortest_hop_sums(state.estimate_skew(state.merge_captures(view(spark, d, "fx_captures"))), 0)
 
 
-@query("str_3_stations", "WITH l AS (SELECT *, lag(seq) OVER (PARTITION BY ta ORDER BY ts, frame_id) AS p FROM fx_frames), g AS (SELECT *, CASE WHEN p IS NULL THEN CASE WHEN seq < 8 THEN seq ELSE 1 END WHEN p <= seq THEN seq - p WHEN p - seq < 3 AND retry THEN 0 ELSE seq + 4096 - p END AS gap, frame_id % 3 AS dir, ftype = 2 AND fsubtype NOT IN (4, 12) AS data, ftype = 0 AND fsubtype = 8 AS bcn FROM l) SELECT US(ts) // 86400000000 * 86400000000 AS start_us, ta, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, CAST(sum(CASE WHEN ftype = 1 THEN 0 WHEN gap = 0 THEN 1 ELSE gap END) AS BIGINT) AS inferred_packets, CAST(coalesce(sum(length) FILTER (WHERE data), 0) AS BIGINT) AS data_bytes, count(*) FILTER (WHERE bcn) AS beacons, CAST(bit_or(CASE WHEN data AND dir = 1 THEN 1 WHEN data AND dir = 2 OR bcn THEN 2 WHEN data AND dir = 0 THEN 4 ELSE 0 END) AS INT) AS flags FROM g GROUP BY 1, ta")
+_DAY = 86_400_000_000
+_LATEST = lambda value, by: f"last_value({value} IGNORE NULLS) OVER (PARTITION BY {by} ORDER BY ts, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+_STEP = lambda last: f"CASE WHEN {last} IS NULL THEN CASE WHEN seq < 8 THEN seq ELSE 1 END WHEN {last} <= seq THEN seq - {last} WHEN {last} - seq < 3 AND retry THEN 0 ELSE seq + 4096 - {last} END"
+INFERRED_SQL = f"""slots AS (SELECT DISTINCT ta, US(ts) // {_DAY} AS slot FROM fx_numbered_frames),
+lives AS (SELECT ta, slot, max(CASE WHEN before IS NULL OR slot - before > 1 THEN slot END) OVER (PARTITION BY ta ORDER BY slot) AS life FROM (SELECT *, lag(slot) OVER (PARTITION BY ta ORDER BY slot) AS before FROM slots) AS x),
+f AS (SELECT n.*, slot, life, ftype = 2 AND fsubtype >= 8 AND ra NOT LIKE 'ff:%' AS qos, fsubtype >= 12 AS without FROM fx_numbered_frames AS n JOIN lives ON lives.ta = n.ta AND slot = US(ts) // {_DAY}),
+p AS (SELECT *, {_LATEST("seq", "ta, life")} AS p_any, {_LATEST("CASE WHEN qos AND NOT without THEN seq END", "ta, life, ra, tid")} AS p_class, {_LATEST("CASE WHEN qos THEN seq END", "ta, life, ra, tid")} AS p_null, {_LATEST("CASE WHEN qos AND NOT without THEN tid END", "ta, life, ra")} AS p_tid FROM f),
+g AS (SELECT *, {_STEP("p_any")} AS common, CASE WHEN p_class IS NULL THEN {_STEP("p_class")} ELSE least({_STEP("p_class")}, {_STEP("p_null")}) END AS own FROM p),
+t AS (SELECT * EXCLUDE (own), CASE WHEN p_tid <> tid AND seq < 8 THEN least(own, seq + 1) ELSE own END AS own FROM g),
+v AS (SELECT *, CASE WHEN qos AND NOT without AND own >= 8 AND common < 8 THEN 1 WHEN qos AND NOT without AND own < 8 AND common >= 8 THEN -1 END AS vote FROM t),
+s AS (SELECT *, sum(vote) OVER (PARTITION BY ta, life ORDER BY ts, frame_id ROWS UNBOUNDED PRECEDING) AS votes FROM v),
+c AS (SELECT *, first_value(CASE WHEN votes <= -16 THEN 0 WHEN votes >= 256 THEN 1 END IGNORE NULLS) OVER (PARTITION BY ta, life ORDER BY ts, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS decided FROM s),
+b AS (SELECT *, qos AND NOT without AND coalesce(decided = 1, coalesce(vote = 1, FALSE)) AS by_common FROM c),
+l AS (SELECT *, {_LATEST("CASE WHEN NOT qos OR by_common THEN seq END", "ta, life")} AS p_base FROM b),
+inferred AS (SELECT *, CASE WHEN ftype = 1 THEN 0 WHEN qos AND without THEN 1 ELSE greatest(1, CASE WHEN by_common THEN common WHEN qos THEN own ELSE {_STEP("p_base")} END) END AS n FROM l)"""
+
+
+@query("str_3_inferred", f"WITH {INFERRED_SQL} SELECT frame_id, n AS inferred FROM inferred")
+def _(spark, d):
+    return stations.inferred_frames(view(spark, d, "fx_numbered_frames"), interval=86_400, slice_seconds=43_200).select(F_ID, "inferred")
+
+
+@query("str_3_stations", f"""WITH {INFERRED_SQL}, x AS (SELECT *, ftype = 2 AND fsubtype NOT IN (4, 12) AS data, ftype = 0 AND fsubtype = 8 AS beacon, length - 30 - CASE WHEN dir = 3 THEN 6 ELSE 0 END - CASE WHEN fsubtype >= 8 THEN 2 ELSE 0 END AS packet FROM inferred)
+SELECT slot * {_DAY} AS start_us, ta, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, count(*) FILTER (WHERE ftype <> 1) AS non_ctrl_packets, CAST(sum(n) AS BIGINT) AS inferred_packets,
+       CAST(coalesce(sum(length) FILTER (WHERE data), 0) AS BIGINT) AS data_bytes, CAST(coalesce(sum(length) FILTER (WHERE data AND protected), 0) AS BIGINT) AS encrypt_data_bytes,
+       CAST(coalesce(sum(packet) FILTER (WHERE data AND NOT protected AND ethertype IS NOT NULL AND packet > 0), 0) AS BIGINT) AS layer3_bytes, count(*) FILTER (WHERE beacon) AS beacons,
+       CAST(CASE WHEN count(DISTINCT bcn_int) FILTER (WHERE beacon) = 1 THEN {_DAY} // (1024 * max(bcn_int)) ELSE 0 END AS BIGINT) AS inferred_beacons,
+       CAST(coalesce(bit_or(CASE WHEN data AND dir = 1 THEN 1 WHEN data AND dir = 2 THEN 2 WHEN data AND dir = 0 THEN 4 WHEN beacon THEN CASE WHEN ibss THEN 6 ELSE 2 END END), 0) AS INT) AS flags
+FROM x GROUP BY slot, ta""")
 def _(spark, d):
-    out = state.station_stats(view(spark, d, "fx_frames").withColumn("dir", (F.col(F_ID) % 3).cast("int")), "1 day")
-    return out.select(F.unix_micros("start").alias("start_us"), "ta", "packets", "bytes", "inferred_packets", "data_bytes", "beacons", "flags")
+    out = stations.station_stats(view(spark, d, "fx_numbered_frames"), 86_400, slice_seconds=43_200)
+    return out.select(F.unix_micros("start").alias("start_us"), *out.columns[1:])
 
 
 _MAC = lambda c: f"concat('00:00:00:00:0', CAST({c} % 10 AS VARCHAR(4)), ':', CAST(100 + {c} % 100 AS VARCHAR(4)))"

@@ -1,12 +1,15 @@
 """Operators on hand-made rows, K operators against slow models."""
 
 import random
+from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from aerolens.functions import metrics, scalars
-from aerolens.operators import aggregates, filters, graph, joins, projections, state, windows
+from aerolens.operators import aggregates, filters, graph, joins, projections, state, stations, windows
+from aerolens.operators.scan import Scan, scan
 from aerolens.plans import frames, logs  # noqa: F401  logs adds its queries to those of frames
 from aerolens.plans.fixtures import view
 
@@ -458,3 +461,163 @@ def test_keyed_rows_are_streamed(spark):
     out = state.run_keyed(df, ["k"], ["us"], state.last_accepted("us", 6_000_000, ["k", "us"]), "k string, us long")
     assert [r["us"] for r in out.orderBy("us").collect()] == [i * 8_000_000 for i in range(12_500)]
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def _numbered(rows):
+    """ta, ra, tid, ftype, fsubtype, retry, seq[, seconds] as frames."""
+    return [(n, datetime(2024, 1, 1) + timedelta(seconds=r[7] if len(r) > 7 else n), *r[:7]) for n, r in enumerate(rows)]
+
+
+NUMBERED = "frame_id long, ts timestamp, ta string, ra string, tid int, ftype int, fsubtype int, retry boolean, seq int"
+A, B, ALL = "02:00:00:00:00:01", "02:00:00:00:00:02", "ff:ff:ff:ff:ff:ff"
+#: One case a branch: rows (ra, tid, ftype, fsubtype, retry, seq) of one station, and what each infers.
+INFERENCES = {
+    "control frames have no number": ([(B, None, 2, 0, False, 100), (B, None, 1, 13, False, 0), (B, None, 2, 0, False, 105)], [1, 0, 5]),
+    "first small number": ([(B, None, 2, 0, False, 5)], [5]),
+    "retry steps back": ([(B, None, 2, 0, False, 100), (B, None, 2, 0, True, 98), (B, None, 2, 0, False, 97)], [1, 1, 4095]),
+    "a counter for each receiver and class": ([(B, 0, 2, 8, False, 100), (A, 0, 2, 8, False, 7), (B, 0, 2, 8, False, 103), (A, 0, 2, 8, False, 9), (B, 5, 2, 8, False, 900)], [1, 7, 3, 2, 1]),
+    "other frames pass QoS frames over": ([(B, None, 2, 0, False, 10), (B, 0, 2, 8, False, 2000), (B, None, 0, 4, False, 12)], [1, 1, 2]),
+    "group addresses use the common counter": ([(B, None, 2, 0, False, 10), (ALL, 0, 2, 8, False, 11)], [1, 1]),
+    "null frames count one": ([(B, 0, 2, 8, False, 100), (B, 0, 2, 12, False, 3000), (B, 0, 2, 8, False, 102)], [1, 1, 2]),
+    "null frames may take numbers": ([(B, 0, 2, 8, False, 100), (B, 0, 2, 12, False, 104), (B, 0, 2, 8, False, 105)], [1, 1, 1]),
+    "a change of class restarts": ([(B, 0, 2, 8, False, 100), (B, 5, 2, 8, False, 200), (B, 0, 2, 8, False, 2)], [1, 1, 3]),
+    "one counter for all: vote": ([(B, None, 2, 0, False, 100), (B, 0, 2, 8, False, 101), (A, 0, 2, 8, False, 102), (B, None, 2, 0, False, 500), (B, 0, 2, 8, False, 501), (B, None, 2, 0, False, 502)], [1, 1, 1, 400, 1, 1]),
+    "both steps large: QoS counter": ([(B, 0, 2, 8, False, 100), (B, None, 2, 0, False, 3000), (B, 0, 2, 8, False, 150)], [1, 1, 50]),
+}
+
+
+@pytest.mark.parametrize("case", INFERENCES)
+def test_frames_inferred(spark, case):
+    rows, want = INFERENCES[case]
+    df = spark.createDataFrame(_numbered([(A, *r) for r in rows]), NUMBERED)
+    for seconds in (None, 2):
+        got = stations.inferred_frames(df, slice_seconds=seconds).orderBy("frame_id").collect()
+        assert [r["inferred"] for r in got] == want
+    _, out = stations.inference_step()(None, [r.asDict() | {"ts_us": int(r["ts"].timestamp() * 1e6)} for r in df.collect()])
+    assert [r["inferred"] for r in out] == want
+
+
+def _votes(kind, n):
+    """A station that n votes find with QoS counters (-1) or with one counter only (+1), and then a frame that tells."""
+    rows = []
+    for i in range(n):
+        if kind < 0:  # steps of the QoS counter are small, those of all frames large
+            rows += [(A, B, None, 2, 0, False, 1000 + i), (A, B, 0, 2, 8, False, 2000 + i)]
+        else:  # every class counts on from the common number
+            rows += [(A, B, 0, 2, 8, False, (100 + 20 * i) % 4096), (A, B, None, 2, 0, False, (118 + 20 * i) % 4096), (A, B, 0, 2, 8, False, (119 + 20 * i) % 4096)]
+    return rows
+
+
+@pytest.mark.parametrize(("kind", "n", "votes"), [(-1, 40, -16), (1, 20, 20), (1, 300, 256)])
+def test_stations_are_decided_by_votes(spark, kind, n, votes):
+    """Sliced, whole and streamed forms agree before and after a decision, and when a station is forgotten."""
+    rows = [(*r, i // 4) for i, r in enumerate([*_votes(kind, n), (A, B, 0, 2, 8, False, 3000), (A, B, None, 2, 0, False, 1400)])]
+    rows += [(A, B, 0, 2, 8, False, 6, 5000), (B, A, 0, 2, 8, False, 9, 5001)]
+    df = spark.createDataFrame(_numbered(rows), NUMBERED)
+    forms = [[r["inferred"] for r in stations.inferred_frames(df, slice_seconds=s).orderBy("frame_id").collect()] for s in (None, 7)]
+    states, streamed = {}, []
+    step = stations.inference_step()
+    for r in df.orderBy("frame_id").collect():
+        states[r["ta"]], out = step(states.get(r["ta"]), [r.asDict() | {"ts_us": int(r["ts"].timestamp() * 1e6)}])
+        streamed.append(out[0]["inferred"])
+        if r["frame_id"] == len(rows) - 4:
+            assert states[A]["votes"] == votes
+    assert forms[0] == forms[1] == streamed
+    assert streamed[-2] == 6  # begun anew: a first small number
+
+
+def test_station_report(spark):
+    """Bytes by kind, beacons as their interval says, roles; columns that captures lack add nothing."""
+    at = datetime(2024, 1, 1)
+    schema = NUMBERED + ", length int, protected boolean, dir int, ethertype int, ibss boolean, bcn_int int"
+    rows = [
+        (1, at, A, B, None, 2, 0, False, 10, 134, False, 1, 2048, None, None),
+        (2, at, A, B, None, 2, 0, False, 11, 200, True, 2, 2048, None, None),
+        (3, at, A, B, 0, 2, 8, False, 12, 140, False, 3, 2048, None, None),
+        (4, at, A, B, None, 2, 4, False, 12, 24, False, 0, None, None, None),
+        (5, at, B, ALL, None, 0, 8, False, 1, 90, False, 0, None, True, 100),
+        (6, at + timedelta(seconds=1), B, ALL, None, 0, 8, False, 2, 90, False, 0, None, True, 100),
+        (7, at + timedelta(seconds=300), B, ALL, None, 0, 8, False, 3, 90, False, 0, None, False, 100),
+        (8, at + timedelta(seconds=301), B, ALL, None, 0, 8, False, 4, 90, False, 0, None, False, 200),
+        (9, at, None, ALL, None, 0, 8, False, 4, 90, False, 0, None, False, 200),
+    ]
+    out = {(r["ta"], r["start"]): r for r in stations.station_stats(spark.createDataFrame(rows, schema)).collect()}
+    a, b, c = out[A, at], out[B, at], out[B, at + timedelta(seconds=300)]
+    assert len(out) == 3
+    assert (a["packets"], a["bytes"], a["data_bytes"], a["encrypt_data_bytes"], a["layer3_bytes"], a["flags"]) == (4, 498, 474, 200, 104 + 102, 3)
+    assert (b["beacons"], b["inferred_beacons"], b["flags"]) == (2, 300_000_000 // 102_400, 6)
+    assert (c["beacons"], c["inferred_beacons"], c["flags"]) == (2, 0, 2)
+    bare = stations.station_stats(spark.createDataFrame(rows, schema).drop("protected", "dir", "ethertype", "ibss", "bcn_int", "ra", "tid"))
+    assert {r["ta"]: r["data_bytes"] for r in bare.filter("start = '2024-01-01'").collect()} == {A: 474, B: 0}
+
+
+@pytest.mark.parametrize("kind", ["last", "first", "max", "min", "sum"])
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_segmented_scans_equal_whole_windows(spark, kind, inclusive):
+    """Any slice length gives the plain window's values, with null keys and values and parts of a key."""
+    rng = np.random.default_rng(4)
+    rows = [(i, datetime(2024, 1, 1) + timedelta(seconds=int(rng.integers(0, 4000))), None if i % 11 == 0 else int(i % 3 > 0), int(rng.integers(0, 2)), None if i % 5 == 0 else int(rng.integers(-50, 50))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, k int, part int, x int")
+    columns = {"a": Scan(kind, F.col("x"), (), inclusive), "b": Scan(kind, F.col("x"), ("part",), inclusive)}
+    forms = [sorted(tuple(r) for r in scan(df, ["k"], ["ts", "id"], columns, F.unix_micros("ts"), s).select("id", "a", "b").collect()) for s in (None, 10, 700)]
+    assert forms[0] == forms[1] == forms[2]
+
+
+def test_chain_ends_against_a_walk():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 50, 400):
+        times = np.unique(rng.integers(0, 3000, n))
+        ends = state.chain_ends(times, 20)
+        for i, t in enumerate(times):
+            last = t
+            for u in times[i:]:
+                if u - last > 20:
+                    last = u
+            assert ends[i] == last
+
+
+@pytest.mark.parametrize("slice_seconds", [6, 30, 1000])
+def test_a_hot_key_is_suppressed_in_slices(spark, slice_seconds):
+    """Slices give the rows of the sequential walk, for keys of every kind: hot and not, null, with ties and long pauses."""
+    rng = random.Random(9)
+    rows, n = [], 0
+    for key, size, span in ((1, 600, 900), (2, 5, 900), (None, 150, 4000), (3, 200, 50), (4, 1, 1)):
+        for _ in range(size):
+            rows.append((n, key, datetime(2024, 1, 1) + timedelta(milliseconds=rng.randrange(span * 1000) // 250 * 250)))
+            n += 1
+    df = spark.createDataFrame(rows, "id long, k int, ts timestamp")
+    want, last = [], {}
+    for i, k, t in sorted(rows, key=lambda r: (str(r[1]), r[2], r[0])):
+        if k not in last or (t - last[k]).total_seconds() > 6:
+            last[k] = t
+            want.append(i)
+    for hot in (None, 100, 1):
+        got = state.suppress_repeats(df, ["k"], window_seconds=6, order=["id"], hot_rows=hot, slice_seconds=slice_seconds)
+        assert sorted(r["id"] for r in got.collect()) == sorted(want)
+
+
+def test_one_key_is_many_tasks(spark):
+    """A key with all rows is dealt over the tasks; none gets much more than its share."""
+    n = 4000
+    df = spark.range(n).select(F.col("id"), F.lit(1).alias("k"), F.timestamp_seconds(F.col("id") * 30).alias("ts"))
+    whole = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(whole, "false")  # small tasks would be joined
+    try:
+        tasks = state._suppress_in_slices(df.withColumn("_us", F.unix_micros("ts")), ["k"], 6_000_000, ["id"], 3_600_000_000)
+        sizes = [r["n"] for r in tasks.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset(whole)
+    assert sum(sizes) == n and len(sizes) > 1 and max(sizes) < 0.6 * n
+
+
+def test_islands_of_hot_contents_and_stations(spark, tmp_path):
+    """Captures merged and stations followed in slices equal the plain form."""
+    rng = random.Random(3)
+    captures = [(i, rng.choice([1, 1, 1, 2]), rng.randrange(0, 60_000_000, 50_000), rng.randrange(4), 1 + rng.randrange(3), -40 - rng.randrange(40), -95, rng.random() < 0.2, rng.randrange(50, 400)) for i in range(500)]
+    df = spark.createDataFrame(captures, "frame_id long, payload_hash long, ts_us long, sniffer_id int, channel int, rssi int, noise int, is_ctrl boolean, err_us int")
+    plain, sliced = (rows(state.merge_captures(df, hot_rows=hot, slice_seconds=2)) for hot in (None, 10))
+    assert plain == sliced and len(plain) < 500
+    frames_ = [(i, datetime(2024, 1, 1) + timedelta(seconds=rng.randrange(20_000)), 2, 0, rng.randrange(3), A, rng.choice([B, "02:00:00:00:00:03"]), rng.choice([B, "02:00:00:00:00:03"])) for i in range(300)]
+    df = spark.createDataFrame(frames_, "frame_id long, ts timestamp, ftype int, fsubtype int, dir int, ta string, ra string, bssid string")
+    plain, sliced = (rows(state.associations(df, hot_rows=hot, slice_seconds=700)) for hot in (None, 10))
+    assert plain == sliced and plain
