@@ -36,8 +36,9 @@ _BETWEEN = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0
 _TABLE = byte_table(True, space=_BETWEEN)
 #: A document has the levels that its number of occurrences reaches (any rising list from 1 gives right results).
 LEVELS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 26, 34, 44, 56, 72, 96, 128, 192, 256, 512, 1024])
-#: Rows a key sets, and keys a row holds of each document on average: a third of all bits is set.
-ROWS_A_KEY, LOAD = 2, 0.4
+#: Rows a key sets, and keys a row holds of each document on average: a third of all bits is set, and a term seems to
+#: be in one of a hundred documents without it.
+ROWS_A_KEY, LOAD = 4, 0.38
 KEYS_A_BLOCK = 2_000_000
 
 
@@ -126,7 +127,7 @@ def build_index(docs: DataFrame, *, block: int = 512, docs_at_once: int = 8 * 51
 
         n = 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4_000_000):
                 doc_ids, row_hashes = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "row_hash"))
                 data, edges = text_buffer(part.column("text"), _TABLE)
                 words, places = cut_words(data, edges, (32,))
@@ -274,10 +275,13 @@ def _scored(docs: DataFrame, wanted: DataFrame, queries: _Queries, corpus: Corpu
     return rows.join(of_doc, ["doc_id", "row_hash"]).mapInArrow(score, "q int, doc_id long, row_hash long, score long")
 
 
-def lexical_search(docs: DataFrame, items: DataFrame, *, index: DataFrame | None = None, k: int = 20, terms_at_once: int = 50_000) -> DataFrame:
+def lexical_search(docs: DataFrame, items: DataFrame, *, index: DataFrame | None = None, k: int = 20, seeds: int = 5, terms_at_once: int = 50_000) -> DataFrame:
     """The k documents of the highest score above 0 for each item, all if there are fewer.
 
-    index is what build_index made of docs (made here if not given). Items are
+    The seeds * k documents of the highest bounds are scored first: the more they
+    are, the better is the score that others must reach, whatever their number
+    the result is the same. index is what build_index made of docs (made here if
+    not given). Items are
     searched in sets of at most terms_at_once distinct terms each, an item of
     more alone; every set is matched with all documents.
 
@@ -300,8 +304,8 @@ def lexical_search(docs: DataFrame, items: DataFrame, *, index: DataFrame | None
     for number, chosen in enumerate(_query_sets(plan, terms_at_once)):
         queries = _Queries([(q, term, times, term_weight(corpus.n_docs, df)) for q, (_, own) in enumerate(chosen) for term, times, df in own])
         names = spark.createDataFrame([(q, item) for q, (item, _) in enumerate(chosen)], f"q int, item_id {items.schema['item_id'].dataType.simpleString()}")
-        seeds = work.staged(_best(_bounded(blocks, queries, corpus, None, k), "bound", k), f"seeds{number}")
-        exact = _scored(docs, seeds, queries, corpus)
+        first = work.staged(_best(_bounded(blocks, queries, corpus, None, seeds * k), "bound", seeds * k), f"seeds{number}")
+        exact = _scored(docs, first, queries, corpus)
         # the k-th best exact score of the seeds is reached by k documents
         least = {r["q"]: r["score"] for r in _best(exact, "score", k).filter(F.col("rank") == k).select("q", "score").collect()}
         left = work.staged(_bounded(blocks, queries, corpus, least, k).select("q", "doc_id", "row_hash"), f"left{number}")
