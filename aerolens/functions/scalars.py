@@ -76,8 +76,8 @@ def user_sites(df: DataFrame, site: str, remap: DataFrame, blocked: DataFrame) -
     return moved.filter(F.col(site).isNotNull()).join(blocked.select(F.col("site").alias(site)), site, "left_anti").select(*df.columns)
 
 
-def search_query(resource: Column, host: Column, least: int = 3) -> Column:
-    """The first q= (p= at yahoo.com) term of a url's query of so many characters at least, else null."""
+def search_query(resource: Column, host: Column, least: int = 1) -> Column:
+    """The first `q=term` (`p=term` at yahoo.com) of a url's query with so many characters of a term at least, else null."""
     find = lambda key: F.regexp_extract(resource, rf"[?&]({key}=([^&#]{{{least},}}))", 1)
     got = F.when(F.coalesce(host.contains("yahoo.com"), F.lit(False)), find("p")).otherwise(find("q"))
     return F.when(got != "", got)

@@ -120,19 +120,22 @@ def best_observer(counts: DataFrame, entity: str, observer: str, measures: Seque
     return counts.withColumn("_keep", keep).filter("_keep").groupBy(entity).agg(F.min(observer).alias(observer))
 
 
-def owner_with_hysteresis(counts: DataFrame, previous: DataFrame, *, entity: str = "bssid", observer: str = "sniffer_id", rate: str = "rate", ratio: float = 1.25, margin: float = 10240.0, sticky: bool = True) -> DataFrame:
+def owner_with_hysteresis(counts: DataFrame, previous: DataFrame, *, entity: str = "bssid", observer: str = "sniffer_id", rate: str = "rate", duration: str | None = None, least_duration: float = 0, ratio: float = 1.25, margin: float = 10240.0, sticky: bool = True) -> DataFrame:
     """The observer with the highest rate of each entity, later ids winning ties.
 
-    An entity keeps its previous owner unless the best rate is at least ratio
-    times and margin above the owner's own; sticky keeps an owner that no longer hears it.
+    An entity that has an owner keeps it for good if sticky; else unless the best
+    rate is at least ratio times and margin above the owner's own, which is 0
+    where it hears nothing. With a duration column an entity that no observer has
+    watched for least_duration is not decided: it keeps its owner or has none.
     """
-    best = counts.groupBy(entity).agg(F.max(F.struct(rate, observer)).alias("b"))
+    watched = F.max(duration) if duration else F.lit(float(least_duration))
+    best = counts.groupBy(entity).agg(F.max(F.struct(rate, observer)).alias("b"), watched.alias("watched")).filter(F.col("watched") >= least_duration)
     own = counts.select(entity, F.col(observer).alias("owner"), F.col(rate).alias("own_rate"))
-    old = previous.select(entity, "owner").join(own, [entity, "owner"], "left")
-    both = best.join(old, entity, "full") if sticky else best.join(old, entity, "left")
+    both = best.join(previous.select(entity, "owner").join(own, [entity, "owner"], "left"), entity, "full")
     own_rate = F.coalesce("own_rate", F.lit(0.0))
-    better = F.col("owner").isNull() | ((F.col(f"b.{rate}") >= own_rate * ratio) & (F.col(f"b.{rate}") >= own_rate + margin))
-    return both.select(entity, F.when(better & F.col("b").isNotNull(), F.col(f"b.{observer}")).otherwise(F.col("owner")).alias("owner"))
+    better = (F.col(f"b.{rate}") >= own_rate * ratio) & (F.col(f"b.{rate}") >= own_rate + margin)
+    moves = F.col("owner").isNull() | (F.lit(not sticky) & F.col("b").isNotNull() & better)
+    return both.select(entity, F.when(moves, F.col(f"b.{observer}")).otherwise(F.col("owner")).alias("owner"))
 
 
 def bytes_on_wire(size: Column, packets: Column) -> Column:

@@ -4,7 +4,8 @@ A window over a whole key is one task, however hot the key. A scan cuts keys int
 slices of time. One row a slice sums it up, a window over these few rows says what
 came before each slice, and that goes as one row more at the head of the slice; so
 each slice is scanned on its own and a hot key is many sorted runs. It works for
-all values that combine associatively: the last, first, largest, smallest and sum.
+all values that combine associatively: the last, first, largest, smallest, sum
+and union of bits.
 """
 
 from __future__ import annotations
@@ -16,12 +17,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_COMBINE = {"last": lambda c: F.last(c, ignorenulls=True), "first": lambda c: F.first(c, ignorenulls=True), "max": F.max, "min": F.min, "sum": F.sum}
+_COMBINE = {"last": lambda c: F.last(c, ignorenulls=True), "first": lambda c: F.first(c, ignorenulls=True), "max": F.max, "min": F.min, "sum": F.sum, "or": F.bit_or}
 
 
 @dataclass(frozen=True)
 class Scan:
-    """A running value: kind (last, first, max, min, sum) of what is not null in the rows before, with the row itself if inclusive.
+    """A running value: kind (last, first, max, min, sum, or) of what is not null in the rows before, with the row itself if inclusive.
 
     by are columns that part a key further.
     """

@@ -303,34 +303,6 @@ def associations(df: DataFrame, hot_rows: int | None = 5_000_000, slice_seconds:
     return run_keyed(by_heat(rows, ["station"], hot_rows, islands), ["station", "_island"], ["ts_us", "frame_id", "_rx"], association_step(**options), ASSOCIATION)
 
 
-def bss_state(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(latest state of each BSSID, rejected rows) from beacons and probe responses.
-
-    Rejected: no BSSID, the broadcast address, or no name field. The name is the
-    last non-empty one, channels and ciphers join their bits.
-    """
-    bad = F.col("bssid").isNull() | (F.col("bssid").cast("string") == "ff:ff:ff:ff:ff:ff") | F.col("ssid").isNull()
-    good = df.filter(~bad)
-    named = F.when(F.col("ssid") != "", F.struct("ts", "frame_id"))
-    mask = F.when(F.col("adv_channel") > 0, F.call_function("shiftleft", F.lit(1), (F.col("adv_channel") - 1).cast("int"))).otherwise(0)
-    state = good.groupBy("bssid").agg(
-        F.coalesce(F.max_by("ssid", named), F.lit("")).alias("ssid"), F.countDistinct(F.when(F.col("ssid") != "", F.col("ssid"))).alias("names"), F.max(F.col("is_beacon") & (F.col("ssid") != "")).alias("ssid_in_beacons"),
-        F.bit_or(mask).alias("channels"), F.bit_or("cipher_bits").alias("ciphers"), F.when(F.countDistinct("bcn_int") > 1, 0).otherwise(F.max("bcn_int")).alias("bcn_int"), F.max("ts").alias("last_updated"),
-    )
-    return state, df.filter(bad)
-
-
-def bss_events(df: DataFrame) -> DataFrame:
-    """One row for each change of a BSSID's name: bssid, ts, event, ssid."""
-    good = df.filter("bssid is not null and ssid is not null")
-    w = Window.partitionBy("bssid").orderBy("ts", "frame_id")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    name = F.when(F.col("ssid") != "", F.col("ssid"))
-    marked = good.withColumn("_n", F.row_number().over(w)).withColumn("_last", F.last(name, ignorenulls=True).over(before))
-    event = F.when(F.col("_n") == 1, "new").when(name.isNotNull() & F.col("_last").isNull(), "named").when(name.isNotNull() & (name != F.col("_last")), "renamed")
-    return marked.withColumn("event", event).filter("event is not null").select("bssid", "ts", "frame_id", "event", "ssid")
-
-
 MERGED = "frame_id long, payload_hash long, ts_us long, channel int, is_dupe boolean, members array<struct<sniffer_id:int,ts_us:long,channel:int,rssi:int,noise:int>>"
 
 

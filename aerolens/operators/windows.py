@@ -195,12 +195,23 @@ def coverage_ranges(df: DataFrame, flow: str = "flow", start: str = "start", len
     return ranges, summary.withColumn("share", F.col("covered") / F.col("span"))
 
 
-def channel_changes(df: DataFrame, ap: str = "ap", ts: str = "ts", order: Sequence[str] = (), max_per_day: int = 1500) -> DataFrame:
-    """Rows whose channel differs from the access point's last one, so many a day: ap, ts, prev_chan, new_chan."""
+def channel_changes(df: DataFrame, ap: str = "ap", ts: str = "ts", order: Sequence[str] = (), log_per_day: int = 1500, push_per_day: int = 100, frame: str | None = None) -> DataFrame:
+    """Every change of an access point's channel: ap, ts, prev_chan, new_chan, logged, pushed.
+
+    Frames without channel say nothing. The first changes of a day are to be
+    logged and, fewer of them, pushed; no change is left out. With frame, a
+    column of ids, prev_frame (the last one on the old channel) and new_frame are
+    what a push hands on.
+    """
     w = Window.partitionBy(ap).orderBy(ts, *order)
-    moved = df.withColumn("prev_chan", F.lag("channel").over(w)).filter("prev_chan is not null and prev_chan <> channel")
-    daily = Window.partitionBy(ap, F.to_date(ts)).orderBy(ts, *order)
-    return moved.withColumn("_n", F.row_number().over(daily)).filter(F.col("_n") <= max_per_day).select(ap, ts, "prev_chan", F.col("channel").alias("new_chan"))
+    seen = df.filter(F.col("channel").isNotNull()).withColumn("prev_chan", F.lag("channel").over(w))
+    frames = []
+    if frame:
+        seen = seen.withColumn("prev_frame", F.lag(frame).over(w)).withColumn("new_frame", F.col(frame))
+        frames = ["prev_frame", "new_frame"]
+    nth = F.row_number().over(Window.partitionBy(ap, F.to_date(ts)).orderBy(ts, *order))
+    moved = seen.filter("prev_chan <> channel").withColumn("_n", nth)
+    return moved.select(ap, ts, "prev_chan", F.col("channel").alias("new_chan"), (F.col("_n") <= log_per_day).alias("logged"), (F.col("_n") <= push_per_day).alias("pushed"), *frames)
 
 
 def time_order(df: DataFrame, ts: str = "ts", arrival_ts: str | None = None, timeout_seconds: float = 5, drop_late: bool = False, order: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:

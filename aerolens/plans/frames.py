@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aerolens.functions import scalars
-from aerolens.operators import aggregates, filters, graph, joins, projections, state, stations, windows
+from aerolens.operators import aggregates, filters, graph, joins, networks, projections, state, stations, windows
 from aerolens.plans.fixtures import run_sql, view
 from aerolens.session import table
 
@@ -54,12 +54,51 @@ def _(spark, d):
     return filters.min_length(view(spark, d, "fx_frames"), longest_dropped=300).select(F_ID)
 
 
-@query("fil_5_rejects", "SELECT rule, count(*) AS frames FROM (SELECT unnest(list_filter([CASE WHEN ftype = 0 AND length < 28 THEN 'short_management' END, CASE WHEN ftype = 1 AND length < 14 THEN 'short_control' END, CASE WHEN ftype = 2 AND length < 28 THEN 'short_data' END, CASE WHEN ftype = 1 AND retry THEN 'retried_control' END], lambda x: x IS NOT NULL)) AS rule FROM fx_frames) AS v GROUP BY rule")
+LENGTHS = "SELECT *, CASE WHEN frame_id % 17 = 0 THEN length - 24 ELSE 4 + length % 40 END AS n, CAST(frame_id % 13 // 12 AS INT) AS v, CASE WHEN frame_id % 19 = 0 THEN 3 ELSE ftype END AS t, CAST((fsubtype + frame_id % 7) % 16 AS INT) AS s FROM fx_numbered_frames"
+
+
+@query("fil_5_rejects", f"SELECT rule, count(*) AS frames FROM (SELECT unnest(list_filter([CASE WHEN n < 2 THEN 'no_length' END, CASE WHEN v <> 0 THEN 'bad_version' END, CASE WHEN t = 3 THEN 'unknown_type' END, CASE WHEN t = 0 AND s IN (6, 7, 14, 15) THEN 'reserved_management' END, CASE WHEN t = 1 AND s < 8 THEN 'reserved_control' END, CASE WHEN t = 0 AND n < 24 THEN 'short_management' END, CASE WHEN t = 2 AND n < CASE WHEN dir = 3 AND s >= 8 THEN 32 WHEN dir = 3 THEN 30 WHEN s >= 8 THEN 26 ELSE 24 END THEN 'short_data' END, CASE WHEN t = 1 AND (s IN (12, 13) AND n < 10 OR s IN (8, 9, 10, 11, 14, 15) AND n < 16) THEN 'short_control' END], lambda x: x IS NOT NULL)) AS rule FROM ({LENGTHS}) AS l) AS v GROUP BY rule")
 def _(spark, d):
-    _, bad = filters.validate_frames(view(spark, d, "fx_frames"), filters.FRAME_RULES)
+    named = run_sql(spark, d, LENGTHS.replace("//", "div")).drop("length", "ftype", "fsubtype").withColumnsRenamed({"n": "length", "v": "version", "t": "ftype", "s": "fsubtype"})
+    _, bad = filters.validate_frames(named, filters.FRAME_RULES)
     return bad.select(F.explode("violations").alias("rule")).groupBy("rule").agg(F.count("*").alias("frames"))
 
 
+_HEX = lambda x, n: f"lpad(hex({x}), {n}, '0')"
+_LE16 = lambda x: f"concat({_HEX(f'({x}) % 256', 2)}, {_HEX(f'({x}) div 256', 2)})"
+#: Beacons and data frames written byte by byte from events; some lack rates, name them before the name, or have a malformed RSN element.
+BYTES = f"""SELECT event_id AS frame_id, unix_micros(CAST(ts AS TIMESTAMP)) AS ts_us, 0 AS length, unhex(CASE WHEN event_id % 2 = 0 THEN
+  concat('8000', '0000', 'FFFFFFFFFFFF', '0200000000', {_HEX("user_id % 256", 2)}, '0200000000', {_HEX("user_id % 256", 2)}, {_LE16("(event_id % 4096) * 16")}, '0000000000000000', {_LE16("100 + user_id % 3")}, {_LE16("1 + event_id % 4 + CASE WHEN user_id % 3 = 0 THEN 16 ELSE 0 END")},
+    CASE WHEN event_id % 22 = 4 THEN '' WHEN event_id % 26 = 6 THEN concat('010182', '0003', hex(concat('n', lpad(user_id % 100, 2, '0')))) ELSE concat('0003', hex(concat('n', lpad(user_id % 100, 2, '0'))), '010182') END,
+    '0301', {_HEX("1 + event_id % 11", 2)}, CASE WHEN user_id % 9 = 0 THEN CASE WHEN event_id % 5 = 0 THEN '30020200' ELSE '3014' || '0100000FAC020100000FAC040100000FAC020000' END WHEN user_id % 9 = 3 THEN 'DD16' || '0050F201' || '01000050F20201000050F20201000050F201' ELSE '' END)
+  ELSE concat(CASE WHEN event_id % 3 = 0 THEN '88' ELSE '08' END, CASE WHEN event_id % 5 = 0 THEN '42' ELSE '02' END, '0000', '0200000000', {_HEX("user_id % 256", 2)}, '020000000001', '020000000002', {_LE16("(event_id % 4096) * 16")}, CASE WHEN event_id % 3 = 0 THEN concat('0', lower(hex(event_id % 8)), '00') ELSE '' END, 'AAAA03000000', CASE WHEN event_id % 7 = 0 THEN '86DD' ELSE '0800' END, '45') END) AS raw FROM events"""
+EXPECTED = """SELECT event_id AS frame_id, CASE WHEN e THEN 0 ELSE 2 END AS ftype, CASE WHEN e THEN 8 WHEN q THEN 8 ELSE 0 END AS fsubtype, NOT e AND event_id % 5 = 0 AS protected, CAST(event_id % 4096 AS INT) AS seq,
+  CASE WHEN e THEN concat('02:00:00:00:00:', printf('%02x', user_id % 256)) ELSE '02:00:00:00:00:01' END AS ta, CASE WHEN e THEN concat('02:00:00:00:00:', printf('%02x', user_id % 256)) ELSE '02:00:00:00:00:01' END AS bssid,
+  CASE WHEN e AND NOT bare THEN concat('n', printf('%02d', user_id % 100)) END AS ssid, CASE WHEN e THEN 100 + CAST(user_id % 3 AS INT) END AS bcn_int, CASE WHEN e THEN CAST(1 + event_id % 11 AS INT) END AS adv_channel,
+  CASE WHEN e THEN (1 + event_id % 4) & 2 > 0 END AS ibss, CASE WHEN e THEN CASE WHEN NOT private THEN 0 WHEN rsn THEN 2 WHEN wpa THEN 2 ELSE 1 END END AS group_cipher,
+  CASE WHEN e THEN CASE WHEN NOT private THEN 0 WHEN rsn THEN 12 WHEN wpa THEN 18 ELSE 9 END END AS cipher_bits, CASE WHEN e THEN private AND broken END AS bad_ciphers,
+  CASE WHEN NOT e AND q THEN CAST(event_id % 8 AS INT) END AS tid, CASE WHEN NOT e AND event_id % 5 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 34525 ELSE 2048 END END AS ethertype, bare, swapped
+FROM (SELECT *, event_id % 2 = 0 AS e, event_id % 3 = 0 AS q, event_id % 22 = 4 AS bare, event_id % 22 <> 4 AND event_id % 26 = 6 AS swapped, user_id % 3 = 0 AS private,
+        user_id % 9 = 0 AND event_id % 5 <> 0 AS rsn, user_id % 9 = 0 AND event_id % 5 = 0 AS broken, user_id % 9 = 3 AS wpa FROM events) AS x"""
+
+
+def _decoded(spark, d) -> DataFrame:
+    from aerolens.sources.frames import decode_frames
+
+    return decode_frames(run_sql(spark, d, BYTES)).withColumn("length", F.octet_length("raw"))
+
+
+@query("src_3_decode", f"SELECT * EXCLUDE (bare, swapped) FROM ({EXPECTED}) AS x")
+def _(spark, d):
+    return _decoded(spark, d).select(F_ID, "ftype", "fsubtype", "protected", "seq", "ta", "bssid", "ssid", "bcn_int", "adv_channel", "ibss", "group_cipher", "cipher_bits", "bad_ciphers", "tid", "ethertype")
+
+
+@query("fil_5_elements", f"SELECT frame_id, string_agg(rule, ',' ORDER BY rule) AS rules FROM (SELECT frame_id, unnest(list_filter([CASE WHEN bare OR swapped THEN 'no_name' END, CASE WHEN bare OR swapped THEN 'no_rates' END, CASE WHEN bad_ciphers THEN 'bad_ciphers' END], lambda x: x IS NOT NULL)) AS rule FROM ({EXPECTED}) AS x) AS y GROUP BY frame_id")
+def _(spark, d):
+    _, bad = filters.validate_frames(_decoded(spark, d), filters.FRAME_RULES | filters.ELEMENT_RULES)
+    return bad.select(F_ID, F.array_join(F.sort_array("violations"), ",").alias("rules"))
+
+
 @query("fil_6_route", "SELECT route, count(*) AS frames FROM (SELECT CASE WHEN dport < 1024 THEN 'system' WHEN sport < 1024 THEN 'reply' ELSE 'other' END AS route FROM fx_frames) AS r GROUP BY route")
 def _(spark, d):
     routed = filters.route(view(spark, d, "fx_frames"), [("system", F.col("dport") < 1024), ("reply", F.col("sport") < 1024)], "other")
@@ -310,11 +349,21 @@ def _(spark, d):
 RATES = "SELECT bssid, sniffer_id, CAST(sum(length) AS DOUBLE) AS rate FROM fx_frames GROUP BY bssid, sniffer_id"
 
 
-@query("agg_15_owner", f"WITH r AS ({RATES}), b AS (SELECT bssid, max((rate, sniffer_id)) AS m FROM r GROUP BY bssid), o AS (SELECT b.bssid, CAST(b.bssid % 7 AS INT) AS owner, r.rate AS own FROM b LEFT JOIN r ON r.bssid = b.bssid AND r.sniffer_id = b.bssid % 7) SELECT b.bssid, CASE WHEN m[1] >= coalesce(own, 0) * 1.05 AND m[1] >= coalesce(own, 0) + 100 THEN m[2] ELSE owner END AS owner FROM b JOIN o ON o.bssid = b.bssid")
-def _(spark, d):
-    rates = run_sql(spark, d, RATES)
-    old = rates.select("bssid", (F.col("bssid") % 7).cast("int").alias("owner")).distinct()
-    return aggregates.owner_with_hysteresis(rates, old, ratio=1.05, margin=100.0)
+OWNERS = "SELECT bssid, sniffer_id, CAST(sum(length) AS DOUBLE) AS rate, CAST(count(*) * (bssid % 5) AS DOUBLE) AS seconds FROM fx_frames GROUP BY bssid, sniffer_id"
+# every third network has no owner yet; owners may hear nothing, and one network is not heard at all
+OWNED = "SELECT DISTINCT bssid, CAST(bssid % 9 AS INT) AS owner FROM fx_frames WHERE bssid % 3 > 0 UNION ALL SELECT 999, 4"
+OWNER_SQL = f"WITH r AS ({OWNERS}), b AS (SELECT bssid, max((rate, sniffer_id)) AS m FROM r GROUP BY bssid HAVING max(seconds) >= 20), o AS ({OWNED}), j AS (SELECT coalesce(b.bssid, o.bssid) AS bssid, m, owner, coalesce((SELECT rate FROM r WHERE r.bssid = o.bssid AND r.sniffer_id = o.owner), 0) AS own FROM b FULL JOIN o ON b.bssid = o.bssid) SELECT bssid, CASE WHEN owner IS NULL {{moves}} THEN m[2] ELSE owner END AS owner FROM j"
+
+
+def _owner(sticky: bool):
+    def run(spark, d):
+        return aggregates.owner_with_hysteresis(run_sql(spark, d, OWNERS), run_sql(spark, d, OWNED), duration="seconds", least_duration=20, ratio=1.05, margin=100.0, sticky=sticky)
+
+    return run
+
+
+query("agg_15_owner", OWNER_SQL.format(moves=""))(_owner(True))
+query("agg_15_moving_owner", OWNER_SQL.format(moves="OR m IS NOT NULL AND m[1] >= own * 1.05 AND m[1] >= own + 100"))(_owner(False))
 
 
 # hosts are nations: straight on inside a region, else to the next number; one region is wired, host 0 coordinates, some have no route
@@ -497,7 +546,7 @@ def _(spark, d):
 @query("fn_8_search", "SELECT page_id, nullif(regexp_extract(url, '[?&](ref=([^&#]{1,}))', 1), '') AS term FROM pages")
 def _(spark, d):
     fake = F.regexp_replace("url", "([?&])ref=", "$1q=")
-    return table(spark, d, "pages").select("page_id", F.regexp_replace(scalars.search_query(fake, F.lit("www.example.com"), least=1), "^q=", "ref=").alias("term"))
+    return table(spark, d, "pages").select("page_id", F.regexp_replace(scalars.search_query(fake, F.lit("www.example.com")), "^q=", "ref=").alias("term"))
 
 
 @query("fn_11_multicast", "SELECT event_id, CASE WHEN event_id % 31 <> 2 THEN (event_id * 7 + user_id) % 2 = 1 END AS multicast FROM events")
@@ -619,23 +668,42 @@ def _(spark, d):
     return state.associations(run_sql(spark, d, ADDRESSED), **_ASSOC)
 
 
-BEACONS = "SELECT frame_id, ts, bssid, CASE WHEN frame_id % 4 = 0 THEN '' ELSE concat('net', CAST(frame_id % 3 AS VARCHAR(8))) END AS ssid, channel AS adv_channel, CAST(frame_id % 16 AS INT) AS cipher_bits, fsubtype = 8 AS is_beacon, CAST(100 + bssid % 2 * (frame_id % 2) AS INT) AS bcn_int FROM fx_frames WHERE ftype = 0"
+BEACONS = """SELECT frame_id, ts, bssid, CASE WHEN frame_id % 4 = 0 THEN '' WHEN bssid % 4 = 1 AND frame_id % 3 = 0 THEN 'other' ELSE concat('net', CAST(bssid % 3 AS VARCHAR(8))) END AS ssid, CASE WHEN frame_id % 5 = 0 THEN 0 ELSE 1 + CAST(frame_id * frame_id % (1 + bssid) AS INT) END AS adv_channel,
+  CASE WHEN bssid % 3 = 0 THEN 0 ELSE CAST(frame_id % 64 AS INT) END AS cipher_bits, CASE WHEN frame_id % 7 = 0 THEN 4 WHEN frame_id % 3 = 0 THEN 2 ELSE 0 END AS group_cipher, fsubtype = 8 AS is_beacon, CAST(100 + bssid % 2 * (frame_id % 11 // 10) AS INT) AS bcn_int,
+  CASE WHEN frame_id % 3 = 1 THEN -1 ELSE bssid END AS ta, bssid % 5 = 3 AND frame_id % 6 > 0 AS ibss FROM fx_frames WHERE ftype = 0"""
+#: A sequential model: one row of a network at a time, with all that is known of it.
+NETWORK_SQL = f"""b AS ({BEACONS}), n AS (SELECT *, CASE WHEN adv_channel > 0 THEN 1 << (adv_channel - 1) ELSE 0 END AS mask, NOT is_beacon AND ta <> bssid AND NOT ibss AS suspicious, row_number() OVER (PARTITION BY bssid ORDER BY ts, frame_id) AS k FROM b),
+s AS (
+  SELECT bssid, ts, frame_id, k, ssid AS name, ssid = '' AS hidden, FALSE AS renamed, ibss AS role, ssid <> '' AND is_beacon AS shown, mask AS channels, bcn_int AS gap, cipher_bits AS bits, group_cipher AS grp,
+         [{{'event': 'new', 'old': CAST(NULL AS VARCHAR), 'new': ssid, 'changed': TRUE, 'odd': FALSE}}] AS events
+  FROM n WHERE k = 1
+  UNION ALL
+  SELECT n.bssid, n.ts, n.frame_id, n.k, CASE WHEN other THEN n.ssid ELSE name END, hidden, renamed OR other, CASE WHEN ok THEN n.ibss ELSE role END, shown OR ok AND n.ssid <> '' AND n.is_beacon,
+         CASE WHEN told THEN channels | mask ELSE channels END, CASE WHEN told THEN bcn_int ELSE gap END, CASE WHEN told THEN bits | cipher_bits ELSE bits END, CASE WHEN told AND group_cipher > 0 THEN group_cipher ELSE grp END,
+         list_filter([CASE WHEN other THEN {{'event': 'renamed', 'old': name, 'new': n.ssid, 'changed': TRUE, 'odd': NOT renamed}} END,
+                      CASE WHEN ok AND n.ibss <> role THEN {{'event': 'ibss', 'old': CAST(role AS VARCHAR), 'new': CAST(n.ibss AS VARCHAR), 'changed': FALSE, 'odd': TRUE}} END,
+                      CASE WHEN ok AND n.ssid <> '' AND n.is_beacon AND NOT shown THEN {{'event': 'named_in_beacon', 'old': NULL, 'new': n.ssid, 'changed': TRUE, 'odd': FALSE}} END,
+                      CASE WHEN told AND mask & ~channels <> 0 THEN {{'event': 'channel', 'old': NULL, 'new': CAST(adv_channel AS VARCHAR), 'changed': TRUE, 'odd': FALSE}} END,
+                      CASE WHEN told AND bcn_int <> gap THEN {{'event': 'interval', 'old': CAST(gap AS VARCHAR), 'new': CAST(bcn_int AS VARCHAR), 'changed': FALSE, 'odd': TRUE}} END,
+                      CASE WHEN told AND cipher_bits & ~bits <> 0 THEN {{'event': 'ciphers', 'old': CAST(bits AS VARCHAR), 'new': CAST(bits | cipher_bits AS VARCHAR), 'changed': TRUE, 'odd': bits <> 0}} END,
+                      CASE WHEN told AND group_cipher > 0 AND group_cipher <> grp THEN {{'event': 'group', 'old': CAST(nullif(grp, 0) AS VARCHAR), 'new': CAST(group_cipher AS VARCHAR), 'changed': TRUE, 'odd': grp <> 0}} END], lambda x: x IS NOT NULL)
+  FROM (SELECT n.*, s.* EXCLUDE (bssid, ts, frame_id, k, events), NOT suspicious AS ok, NOT suspicious AND NOT ibss AS told, NOT suspicious AND n.ssid <> '' AND NOT hidden AND n.ssid <> name AS other FROM s JOIN n ON n.bssid = s.bssid AND n.k = s.k + 1) AS n)"""
 
 
-@query("str_5_networks", f"WITH b AS ({BEACONS}) SELECT bssid, coalesce(max_by(ssid, (ts, frame_id)) FILTER (WHERE ssid <> ''), '') AS ssid, count(DISTINCT ssid) FILTER (WHERE ssid <> '') AS names, CAST(bit_or(1 << (adv_channel - 1)) AS INT) AS channels, bit_or(cipher_bits) AS ciphers, CASE WHEN count(DISTINCT bcn_int) > 1 THEN 0 ELSE max(bcn_int) END AS bcn_int FROM b GROUP BY bssid")
+@query("str_5_networks", f"WITH RECURSIVE {NETWORK_SQL} SELECT bssid, name AS ssid, renamed, shown AS ssid_in_beacons, channels, gap AS bcn_int, role AS ibss, bits AS ciphers, grp AS group_cipher FROM s QUALIFY row_number() OVER (PARTITION BY bssid ORDER BY k DESC) = 1")
 def _(spark, d):
-    return state.bss_state(run_sql(spark, d, BEACONS))[0].select("bssid", "ssid", "names", "channels", "ciphers", "bcn_int")
+    return networks.network_state(run_sql(spark, d, BEACONS.replace("//", "div")), slice_seconds=86_400).drop("last_updated")
 
 
-@query("str_5_events", f"WITH b AS ({BEACONS}), n AS (SELECT *, row_number() OVER w AS k, last_value(nullif(ssid, '') IGNORE NULLS) OVER (PARTITION BY bssid ORDER BY ts, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM b WINDOW w AS (PARTITION BY bssid ORDER BY ts, frame_id)) SELECT * FROM (SELECT bssid, frame_id, CASE WHEN k = 1 THEN 'new' WHEN ssid <> '' AND p IS NULL THEN 'named' WHEN ssid <> '' AND ssid <> p THEN 'renamed' END AS event, ssid FROM n) AS e WHERE event IS NOT NULL")
+@query("str_5_events", f"WITH RECURSIVE {NETWORK_SQL} SELECT bssid, frame_id, e.event AS event, e.old AS old, e.new AS new, e.changed AS changed, e.odd AS odd FROM (SELECT bssid, frame_id, unnest(events) AS e FROM s) AS x")
 def _(spark, d):
-    return state.bss_events(run_sql(spark, d, BEACONS)).select("bssid", F_ID, "event", "ssid")
+    return networks.network_events(run_sql(spark, d, BEACONS.replace("//", "div")), slice_seconds=86_400).drop("ts")
 
 
-@query("str_6_channels", "WITH c AS (SELECT bssid AS ap, ts, frame_id, channel, lag(channel) OVER (PARTITION BY bssid ORDER BY ts, frame_id) AS p FROM fx_frames WHERE ftype = 0), m AS (SELECT *, row_number() OVER (PARTITION BY ap, CAST(ts AS DATE) ORDER BY ts, frame_id) AS n FROM c WHERE p IS NOT NULL AND p <> channel) SELECT ap, ts, p AS prev_chan, channel AS new_chan FROM m WHERE n <= 3")
+@query("str_6_channels", "WITH f AS (SELECT *, CASE WHEN frame_id % 6 > 0 THEN channel END AS c FROM fx_frames WHERE ftype = 0), c AS (SELECT bssid AS ap, ts, frame_id, c, lag(c) OVER w AS p, lag(frame_id) OVER w AS f FROM f WHERE c IS NOT NULL WINDOW w AS (PARTITION BY bssid ORDER BY ts, frame_id)), m AS (SELECT *, row_number() OVER (PARTITION BY ap, CAST(ts AS DATE) ORDER BY ts, frame_id) AS n FROM c WHERE p <> c) SELECT ap, ts, p AS prev_chan, c AS new_chan, n <= 3 AS logged, n <= 2 AS pushed, f AS prev_frame, frame_id AS new_frame FROM m")
 def _(spark, d):
-    f = view(spark, d, "fx_frames").filter("ftype = 0").select(F.col("bssid").alias("ap"), "ts", F_ID, "channel")
-    return windows.channel_changes(f, order=[F_ID], max_per_day=3)
+    f = view(spark, d, "fx_frames").filter("ftype = 0").select(F.col("bssid").alias("ap"), "ts", F_ID, F.expr("case when frame_id % 6 > 0 then channel end").alias("channel"))
+    return windows.channel_changes(f, order=[F_ID], log_per_day=3, push_per_day=2, frame=F_ID)
 
 
 @query("str_7_probes", "WITH RECURSIVE p AS (SELECT src_mac, bssid, ssid, US(ts) AS us FROM fx_probe_requests WHERE ssid <> ''), a AS (SELECT src_mac, bssid, ssid, min(us) AS us FROM p GROUP BY ALL UNION ALL SELECT a.src_mac, a.bssid, a.ssid, (SELECT min(p.us) FROM p WHERE p.src_mac = a.src_mac AND p.bssid = a.bssid AND p.ssid = a.ssid AND p.us > a.us + 864000000000) AS us FROM a WHERE a.us IS NOT NULL) SELECT src_mac, bssid, ssid, us FROM a WHERE us IS NOT NULL")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKETS = "path string, frame_id long, ts_us long, length int, raw binary"
-DECODED = "ftype int, fsubtype int, dir int, retry boolean, protected boolean, seq int, ra string, ta string, sa string, da string, bssid string, ssid string, bcn_int int, adv_channel int, cipher_bits int, ethertype int, tags array<int>, bad_elements boolean, bad_ciphers boolean"
+DECODED = "ftype int, fsubtype int, dir int, retry boolean, protected boolean, seq int, ra string, ta string, sa string, da string, bssid string, ssid string, bcn_int int, adv_channel int, cipher_bits int, ethertype int, tags array<int>, bad_ciphers boolean, group_cipher int, ibss boolean, tid int, version int"
 
 
 #: The first number of a capture file tells byte order and units a microsecond.
@@ -51,25 +51,25 @@ def read_captures(spark: SparkSession, path: str, limit: int | None = None, keep
     return out if limit is None else out.limit(limit)
 
 
-def elements(raw: bytes, at: int) -> tuple[list[tuple[int, bytes]], bool]:
-    """(tag, body) of each information element from a place on, and whether one is cut off."""
-    found = []
+def elements(raw: bytes, at: int) -> tuple[list[tuple[int, bytes]], list[int]]:
+    """(tag and body of each whole information element from a place on, the tags of all, a last one cut off included)."""
+    found, tags = [], []
     while at + 2 <= len(raw):
         tag, size = raw[at], raw[at + 1]
+        tags.append(tag)
         body = raw[at + 2 : at + 2 + size]
-        if len(body) < size:
-            return found, True
-        found.append((tag, body))
+        if len(body) == size:
+            found.append((tag, body))
         at += 2 + size
-    return found, False
+    return found, tags
 
 
-def suite_bits(body: bytes, oui: bytes) -> int | None:
-    """Bits of the group cipher, the pairwise ciphers and the key managements of an RSN or WPA element; null if it is malformed."""
+def suite_bits(body: bytes, oui: bytes) -> tuple[int, int] | None:
+    """(group cipher, bits of the pairwise ciphers and the key managements) of an RSN or WPA element; null if it is malformed."""
     if len(body) < 8 or body[:2] != b"\x01\x00":
         return None
     group = CIPHERS.get(body[5], UNKNOWN) if body[2:5] == oui else VENDOR
-    bits, at = group, 6
+    bits, at = 0, 6
     for codes, same in ((CIPHERS, group), (KEYS, UNKNOWN)):
         if at + 2 > len(body):
             break
@@ -81,21 +81,23 @@ def suite_bits(body: bytes, oui: bytes) -> int | None:
             suite = body[at + 4 * k : at + 4 * k + 4]
             bits |= VENDOR if suite[:3] != oui else same if suite[3] == 0 else codes.get(suite[3], UNKNOWN)
         at += 4 * n
-    return bits
+    return group, bits
 
 
-def network_ciphers(capability: int, found: list[tuple[int, bytes]]) -> tuple[int, bool]:
-    """(cipher bits of a beacon or probe response, whether an element of ciphers is malformed).
+def network_ciphers(capability: int, found: list[tuple[int, bytes]]) -> tuple[int, int, bool]:
+    """(group cipher, other cipher bits of a beacon or probe response, whether an element of ciphers is malformed).
 
-    Without the privacy bit there are none. RSN comes before WPA; a private
-    network that names neither, or both badly, has WEP with a shared key.
+    Without the privacy bit there are none and nothing is malformed. RSN comes
+    before WPA; a private network that names neither, or both badly, has WEP with
+    a shared key.
     """
-    rsn = next((suite_bits(body, RSN) for tag, body in found if tag == 48), 0)
-    wpa = next((suite_bits(body[4:], WPA) for tag, body in found if tag == 221 and body[:4] == WPA + b"\x01"), 0)
-    bad = rsn is None or wpa is None
     if not capability & 16:
-        return 0, bad
-    return rsn or wpa or CIPHERS[1] | KEYS[2], bad
+        return 0, 0, False
+    absent = (0, 0)
+    rsn = next((suite_bits(body, RSN) for tag, body in found if tag == 48), absent)
+    wpa = next((suite_bits(body[4:], WPA) for tag, body in found if tag == 221 and body[:4] == WPA + b"\x01"), absent)
+    group, bits = next((x for x in (rsn, wpa) if x and x != absent), (CIPHERS[1], CIPHERS[1] | KEYS[2]))
+    return group, bits, rsn is None or wpa is None
 
 
 #: Bytes of fixed fields before the elements of management frames by subtype: fixed values.
@@ -103,49 +105,56 @@ FIXED_FIELDS = {0: 4, 1: 6, 2: 10, 3: 6, 4: 0, 5: 12, 8: 12}
 
 
 def decode(raw: bytes) -> tuple:
-    """Typed fields of one frame; addresses follow the direction bits, a frame with both has no BSSID."""
-    none = (None,) * 19
-    if len(raw) < 10:
-        return none
+    """Typed fields of one frame; addresses follow the direction bits, a frame with both has no BSSID.
+
+    A frame too short for its header has the fields that are there.
+    """
+    if len(raw) < 2:
+        return (None,) * len(FIELDS)
     fc, flags = raw[0], raw[1]
     ftype, sub, direction = fc >> 2 & 3, fc >> 4, flags & 3
-    protected = bool(flags & 0x40)
+    got = {"ftype": ftype, "fsubtype": sub, "dir": direction, "retry": bool(flags & 8), "protected": bool(flags & 0x40), "version": fc & 3}
     mac = lambda k: ":".join(f"{b:02x}" for b in raw[k : k + 6]) if len(raw) >= k + 6 else None
     a1, a2, a3 = mac(4), mac(10), mac(16)
-    head = (ftype, sub, direction, bool(flags & 8), protected)
+    got["ra"] = a1
     if ftype == 1:
-        return (*head, None, a1, a2 if sub in (8, 9, 10, 11) else None, None, None, a1 if sub == 10 else None, *none[11:])
+        got |= {"ta": a2 if sub in (8, 9, 10, 11) else None, "bssid": a1 if sub == 10 else None}
+        return tuple(got.get(f) for f in FIELDS)
     seq = struct.unpack_from("<H", raw, 22)[0] >> 4 if len(raw) >= 24 else None
     a4 = mac(24) if direction == 3 else None
     sa, da, bssid = {0: (a2, a1, a3), 1: (a2, a3, a1), 2: (a3, a1, a2), 3: (a4, a3, None)}[direction]
-    ssid = interval = channel = ciphers = ethertype = tags = bad_ciphers = None
-    bad = None
-    if ftype == 0 and sub in FIXED_FIELDS and not protected:
+    got |= {"seq": seq, "ta": a2, "sa": sa, "da": da, "bssid": bssid}
+    if ftype == 0 and sub in FIXED_FIELDS and not got["protected"]:
         start = 24 + FIXED_FIELDS[sub]
-        found, bad = elements(raw, start)
-        bad = bad or len(raw) < start
-        tags = [t for t, _ in found]
+        found, got["tags"] = elements(raw, start)
         if sub in (4, 5, 8):
-            ssid = next((body.decode("latin-1") for t, body in found if t == 0), None)
-            channel = next((body[0] for t, body in found if t == 3 and len(body) == 1), None)
+            got["ssid"] = next((body.decode("latin-1") for t, body in found if t == 0), None)
+            got["adv_channel"] = next((body[0] for t, body in found if t == 3 and len(body) == 1), None)
         if sub in (5, 8) and len(raw) >= start:
-            interval, capability = struct.unpack_from("<HH", raw, 32)
-            ciphers, bad_ciphers = network_ciphers(capability, found)
-    if ftype == 2 and not sub & 4 and not protected:
-        body = 24 + 6 * (direction == 3) + 2 * (sub >> 3)
-        if raw[body : body + 6] == b"\xaa\xaa\x03\0\0\0" and len(raw) >= body + 8:
-            ethertype = struct.unpack_from(">H", raw, body + 6)[0]
-    return (*head, seq, a1, a2, sa, da, bssid, ssid, interval, channel, ciphers, ethertype, tags, bad, bad_ciphers)
+            got["bcn_int"], capability = struct.unpack_from("<HH", raw, 32)
+            got["ibss"] = bool(capability & 2)
+            got["group_cipher"], got["cipher_bits"], got["bad_ciphers"] = network_ciphers(capability, found)
+    if ftype == 2:
+        body = 24 + 6 * (direction == 3)
+        if sub & 8:
+            got["tid"] = raw[body] & 15 if len(raw) > body else None
+            body += 2
+        if not sub & 4 and not got["protected"] and raw[body : body + 6] == b"\xaa\xaa\x03\0\0\0" and len(raw) >= body + 8:
+            got["ethertype"] = struct.unpack_from(">H", raw, body + 6)[0]
+    return tuple(got.get(f) for f in FIELDS)
+
+
+#: The decoded fields in the order of decode.
+FIELDS = [f.split()[0] for f in DECODED.split(", ")]
 
 
 def decode_frames(packets: DataFrame) -> DataFrame:
     """Packets with their typed fields."""
-    names = [f.split()[0] for f in DECODED.split(", ")]  # in the order of decode
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in packets.schema)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fields = pd.DataFrame([decode(bytes(r)) for r in batch["raw"]], columns=names, index=batch.index, dtype=object)
+            fields = pd.DataFrame([decode(bytes(r)) for r in batch["raw"]], columns=FIELDS, index=batch.index, dtype=object)
             yield pd.concat([batch, fields], axis=1)
 
     return packets.mapInPandas(run, f"{schema}, {DECODED}")

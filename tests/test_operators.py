@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolens.functions import metrics, scalars
-from aerolens.operators import aggregates, filters, graph, joins, projections, state, stations, windows
+from aerolens.operators import aggregates, filters, graph, joins, networks, projections, state, stations, windows
 from aerolens.operators.scan import Scan, scan
 from aerolens.plans import frames, logs  # noqa: F401  logs adds its queries to those of frames
 from aerolens.plans.fixtures import view
@@ -94,10 +94,14 @@ def test_bytes_as_integer(spark):
 
 
 def test_owner_keeps_without_clear_gain(spark):
-    counts = spark.createDataFrame([(1, 1, 100_000.0), (1, 2, 120_000.0), (2, 1, 100_000.0), (2, 2, 200_000.0), (3, 5, 1.0)], "bssid int, sniffer_id int, rate double")
-    previous = spark.createDataFrame([(1, 1), (2, 1), (4, 9)], "bssid int, owner int")
-    assert rows(aggregates.owner_with_hysteresis(counts, previous)) == [(1, 1), (2, 2), (3, 5), (4, 9)]
-    assert rows(aggregates.owner_with_hysteresis(counts, previous, sticky=False)) == [(1, 1), (2, 2), (3, 5)]
+    counts = spark.createDataFrame([(1, 1, 100_000.0, 9.0), (1, 2, 120_000.0, 9.0), (2, 1, 100_000.0, 9.0), (2, 2, 200_000.0, 9.0), (3, 5, 1.0, 9.0), (5, 1, 1000.0, 9.0), (5, 2, 90_000.0, 9.0), (6, 1, 5.0, 2.0), (7, 1, 5.0, 2.0), (7, 2, 90_000.0, 3.0), (8, 1, 3.0, 9.0), (8, 2, 3.0, 1.0)], "bssid int, sniffer_id int, rate double, seconds double")
+    previous = spark.createDataFrame([(1, 1), (2, 1), (4, 9), (5, 1), (7, 1)], "bssid int, owner int")
+    # a sticky owner stays whatever the gain
+    assert rows(aggregates.owner_with_hysteresis(counts, previous)) == [(1, 1), (2, 1), (3, 5), (4, 9), (5, 1), (6, 1), (7, 1), (8, 2)]
+    assert rows(aggregates.owner_with_hysteresis(counts, previous, sticky=False)) == [(1, 1), (2, 2), (3, 5), (4, 9), (5, 2), (6, 1), (7, 2), (8, 2)]
+    # too short a watch decides nothing; the longest of any observer counts
+    short = aggregates.owner_with_hysteresis(counts, previous, duration="seconds", least_duration=5, sticky=False)
+    assert rows(short) == [(1, 1), (2, 2), (3, 5), (4, 9), (5, 2), (7, 1), (8, 2)]
 
 
 @pytest.mark.parametrize(("seqs", "retries", "gaps"), [([4095, 0, 1], [0, 0, 0], [1, 1, 1]), ([5, 4, 4], [0, 1, 1], [5, 0, 0]), ([7, 4], [0, 1], [7, 4093]), ([8, 10], [0, 0], [1, 2])])
@@ -231,13 +235,67 @@ def test_associations(spark):
     assert held == ["x", "y"]
 
 
-def test_networks_named_and_renamed(spark):
-    data = [(1, 1, 5, "", 0, 1, True, 100), (2, 2, 5, "n", 1, 2, True, 100), (3, 3, 5, "m", 6, 4, True, 100), (4, 4, None, "q", 1, 0, True, 100), (5, 5, 6, None, 1, 0, True, 100)]
-    df = spark.createDataFrame(data, "frame_id int, s int, bssid int, ssid string, adv_channel int, cipher_bits int, is_beacon boolean, bcn_int int").withColumn("ts", F.timestamp_seconds("s"))
-    latest, bad = state.bss_state(df)
-    assert [(r["bssid"], r["ssid"], r["channels"], r["ciphers"]) for r in latest.collect()] == [(5, "m", 33, 7)]
-    assert sorted(r["frame_id"] for r in bad.collect()) == [4, 5]
-    assert [(r["frame_id"], r["event"]) for r in state.bss_events(df).orderBy("frame_id").collect()] == [(1, "new"), (2, "named"), (3, "renamed")]
+NETWORK = "frame_id int, s int, bssid string, ta string, ssid string, is_beacon boolean, ibss boolean, bcn_int int, adv_channel int, cipher_bits int, group_cipher int"
+X, Y = "02:00:00:00:00:0a", "02:00:00:00:00:0b"
+#: Rows after (bssid, ta, ssid, is_beacon, ibss, bcn_int, adv_channel, cipher_bits, group_cipher), and the events of each.
+NETWORK_CASES = {
+    "hidden names never show": ([(X, X, "", True, False, 100, 1, 0, 0), (X, X, "net", False, False, 100, 1, 0, 0)], [(0, "new")]),
+    "a name of NULs is hidden": ([(X, X, "\0\0", True, False, 100, 1, 0, 0)], [(0, "new")]),
+    "renamed, odd the first time": ([(X, X, n, False, False, 100, 1, 0, 0) for n in ("a", "b", "", "b", "c")], [(0, "new"), (1, "renamed!"), (4, "renamed")]),
+    "named in a beacon": ([(X, X, "a", False, False, 100, 1, 0, 0), (X, X, "", True, False, 100, 1, 0, 0), (X, X, "a", True, False, 100, 1, 0, 0), (X, X, "a", True, False, 100, 1, 0, 0)], [(0, "new"), (2, "named_in_beacon")]),
+    "suspicious rows may only create": ([(X, Y, "a", False, False, 100, 1, 0, 0), (X, Y, "b", False, False, 200, 6, 4, 4), (X, X, "b", False, False, 100, 1, 0, 0)], [(0, "new"), (2, "renamed!")]),
+    "channels": ([(X, X, "a", False, False, 100, c, 0, 0) for c in (1, 6, 1, 40, 0, None, 6, 31)], [(0, "new"), (1, "channel"), (7, "channel")]),
+    "ciphers and group": ([(X, X, "a", False, False, 100, 1, c, g) for c, g in ((0, 0), (4, 0), (4, 2), (12, 2), (8, 4), (None, None))], [(0, "new"), (1, "ciphers"), (2, "group"), (3, "ciphers!"), (4, "group!")]),
+    "interval": ([(X, X, "a", False, False, i, 1, 0, 0) for i in (100, 200, 200, 100)], [(0, "new"), (1, "interval!"), (3, "interval!")]),
+    "an IBSS changes little": ([(X, Y, "a", False, True, 100, 1, 0, 0), (X, Y, "b", True, True, 200, 6, 4, 4), (X, X, "b", True, False, 100, 6, 0, 0)], [(0, "new"), (1, "renamed!"), (1, "named_in_beacon"), (2, "ibss!"), (2, "channel")]),
+    "rejected rows": ([(None, X, "a", True, False, 100, 1, 0, 0), ("ff:ff:ff:ff:ff:ff", X, "a", True, False, 100, 1, 0, 0), (X, X, None, True, False, 100, 1, 0, 0), (X, X, "a", True, False, None, 1, 0, 0)], []),
+}
+
+
+def _networks(spark, cases):
+    return spark.createDataFrame([(i, i, *r) for i, r in enumerate(cases)], NETWORK).withColumn("ts", F.timestamp_seconds("s"))
+
+
+def _stream_networks(df, reveal=False, states=None):
+    step, out, states = networks.network_step(reveal), [], states if states is not None else {}
+    for r in networks.descriptions(df)[0].orderBy("frame_id").collect():
+        states[r["bssid"]], more = step(states.get(r["bssid"]), [r.asDict()])
+        out += more
+    return out
+
+
+@pytest.mark.parametrize("case", NETWORK_CASES)
+def test_network_events(spark, case):
+    """Whole, sliced and streamed forms give the same events of each rule."""
+    given, want = NETWORK_CASES[case]
+    df = _networks(spark, given)
+    streamed = _stream_networks(df)
+    assert [(e["frame_id"], e["event"] + "!" * e["odd"]) for e in streamed] == want
+    columns = ["bssid", "frame_id", "event", "old", "new", "changed", "odd"]
+    for seconds in (None, 2):
+        assert rows(networks.network_events(df, slice_seconds=seconds).select(columns)) == sorted(tuple(e[c] for c in columns) for e in streamed)
+    assert networks.descriptions(df)[1].count() == (len(given) if case == "rejected rows" else 0)
+
+
+def test_networks_after_all_rows(spark):
+    """The state of the batch is that of the stream, and a stream goes on from it."""
+    rng = random.Random(6)
+    given = [(rng.choice([X, Y]), rng.choice([X, Y]), rng.choice(["", "a", "b", "a"]), rng.random() < 0.5, rng.random() < 0.2, rng.choice([100, 100, 200]), rng.choice([0, 1, 6, 11, None]), rng.choice([0, 4, 8, 12]), rng.choice([0, 2, 4])) for _ in range(120)]
+    for reveal in (False, True):
+        df, states = _networks(spark, given), {}
+        streamed = _stream_networks(df, reveal, states)
+        latest = {r["bssid"]: networks.known_network(r.asDict(), reveal) for r in networks.network_state(df, reveal=reveal, slice_seconds=9).collect()}
+        assert latest == states
+        assert rows(networks.network_events(df, reveal=reveal, slice_seconds=9).select("frame_id", "event", "odd")) == sorted((e["frame_id"], e["event"], e["odd"]) for e in streamed)
+        first = df.filter("s < 60")
+        warm = {r["bssid"]: networks.known_network(r.asDict(), reveal) for r in networks.network_state(first, reveal=reveal).collect()}
+        assert _stream_networks(df.filter("s >= 60"), reveal, warm) == [e for e in streamed if e["frame_id"] >= 60]
+
+
+def test_channel_changes_keep_all_rows(spark):
+    df = spark.createDataFrame([(1, 0, 1, 1), (2, 1, 1, None), (3, 2, 1, 6), (4, 3, 1, 1), (5, 4, 1, 6), (6, 90_000, 1, 1)], "frame_id int, s int, ap int, channel int").withColumn("ts", F.timestamp_seconds("s"))
+    out = windows.channel_changes(df, order=["frame_id"], log_per_day=2, push_per_day=1, frame="frame_id").orderBy("ts")
+    assert [(r["prev_chan"], r["new_chan"], r["logged"], r["pushed"], r["prev_frame"], r["new_frame"]) for r in out.collect()] == [(1, 6, True, True, 1, 3), (6, 1, True, False, 3, 4), (1, 6, False, False, 4, 5), (6, 1, True, True, 5, 6)]
 
 
 def test_skew_paths(spark):
@@ -397,7 +455,8 @@ def test_scalar_functions(spark):
     assert value(scalars.site_of_host(F.lit("www.x.co.uk"))) == "x.co.uk"
     assert value(scalars.site_of_host(F.lit("10.0.0.1"))) is None
     assert value(scalars.search_query(F.lit("/s?x=1&q=spark+sql&z"), F.lit("h"))) == "q=spark+sql"
-    assert value(scalars.search_query(F.lit("/s?q=ab"), F.lit("h"))) is None
+    assert value(scalars.search_query(F.lit("/s?q=ab"), F.lit("h"))) == "q=ab"
+    assert value(scalars.search_query(F.lit("/s?q=&p=x"), F.lit("h"))) is None
     assert value(scalars.cookie_domain(F.lit("Set-Cookie: a=b; domain=.x.com; path=/\r\nSet-Cookie: c=d; Domain=www.x.com"))) == "www.x.com"
     assert tuple(value(scalars.port_range(F.lit("20-21")))) == (20, 21) and tuple(value(scalars.port_range(F.lit("80")))) == (80, 80)
     assert value(scalars.is_multicast(F.lit("01:00:5e:00:00:01"))) and not value(scalars.is_multicast(F.lit("00:00:5e:00:00:01")))
