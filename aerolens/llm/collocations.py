@@ -32,6 +32,8 @@ _TABLE = byte_table(True, space=b"\t", end=b".,;:!?\n\x0b\x0c\r")
 #: Each filter has so many bits, whatever the input.
 FILTER_BITS = 1 << 26
 _PARTS = 64
+#: So much text is worked on at a time; what a task holds is some twenty times that.
+SLICE_BYTES = 3_000_000
 
 
 def _mix(values: np.ndarray) -> np.ndarray:
@@ -103,7 +105,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array,
     for batch in batches:
         langs = batch.column("lang").dictionary_encode()
         for code, lang in enumerate(langs.dictionary.to_pylist()):
-            for part in slices(batch.filter(pc.equal(langs.indices, code)), "text"):
+            for part in slices(batch.filter(pc.equal(langs.indices, code)), "text", SLICE_BYTES):
                 data, edges = text_buffer(part.column("text"), _TABLE)
                 words, places = cut_words(data, edges, (32, 10))
                 if not len(words):
@@ -113,8 +115,9 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array,
                 doc = np.searchsorted(edges, places, side="right")
                 goes_on = np.zeros(len(places), dtype=bool)
                 goes_on[:-1] = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])
+                del data, edges, piece, doc
                 yield lang, words.dictionary, words.indices.to_numpy(), goes_on
-        pa.default_memory_pool().release_unused()
+                pa.default_memory_pool().release_unused()
 
 
 def quicksort_counts(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, weights: np.ndarray, depth: int, least: int, whole_from: int = 0) -> Iterator[tuple[int, int, int]]:
@@ -170,8 +173,8 @@ def _word_hashes(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "hash long")
 
 
-def frequent_pairs(docs: DataFrame, words: HashFilter, least: int) -> DataFrame:
-    """hash of the pairs of frequent words that come least times, and few others."""
+def counted_pairs(docs: DataFrame, words: HashFilter) -> DataFrame:
+    """hash, n of the pairs of frequent words, and of few others."""
     shared = docs.sparkSession.sparkContext.broadcast((words.bits, words.words))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,104 +188,142 @@ def frequent_pairs(docs: DataFrame, words: HashFilter, least: int) -> DataFrame:
             pairs = _pair_hashes(hashes[pairs // len(distinct)], hashes[pairs % len(distinct)])
             yield pa.RecordBatch.from_pydict({"hash": pa.array(pairs.view(np.int64)), "n": pa.array(n)})
 
-    return docs.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("hash")
+    return docs.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+
+
+class _Suffixes:
+    """The suffixes of a stream that begin with a frequent pair, each up to the first rare one; at: their places, words: their numbers of words."""
+
+    def __init__(self, pairs: HashFilter, longest: int, lang: str, distinct: pa.Array, codes: np.ndarray, goes_on: np.ndarray) -> None:
+        self.hashes = np.append(_hashes(distinct, lang), np.uint64(0))
+        good = np.zeros(len(codes) + longest, dtype=bool)
+        at = np.flatnonzero(goes_on)
+        good[at] = pairs.has(_pair_hashes(self.hashes[codes[at]], self.hashes[codes[at + 1]]))
+        self.at = np.flatnonzero(good)
+        self.words = np.full(len(self.at), 2)
+        for i in range(2, longest):
+            self.words += (self.words == i) & good[self.at + i - 1]
+        self.codes = np.concatenate([codes, np.full(longest, len(distinct), dtype=codes.dtype)])
+
+    def prefix(self, n: int, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Hashes of the first n words."""
+        at = self.at[of]
+        out = self.hashes[self.codes[at]]
+        for i in range(1, n):
+            out = _pair_hashes(out, self.hashes[self.codes[at + i]])
+        return out
 
+    def routes(self, hot: list[HashFilter]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of the words that route each suffix, how many words these are, one more for a suffix that ends inside a hot route)."""
+        route, deep = self.prefix(2), np.full(len(self.at), 2)
+        for n, known in enumerate(hot, 2):
+            on = np.flatnonzero(deep == n)
+            on = on[known.has(route[on])]
+            deep[on] = n + 1
+            on = on[self.words[on] > n]
+            route[on] = self.prefix(n + 1, on)
+        return route, deep
 
-def suffixes(docs: DataFrame, pairs: HashFilter, longest: int) -> DataFrame:
-    """lang, lead (the first two words), suffix, n: suffixes up to the first rare pair, equal ones of a part of the texts together."""
-    shared = docs.sparkSession.sparkContext.broadcast((pairs.bits, pairs.words))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = HashFilter(*shared.value)
-        for lang, distinct, codes, goes_on in _streams(batches):
-            hashes = _hashes(distinct, lang)
-            good = np.zeros(len(codes) + longest, dtype=bool)
-            at = np.flatnonzero(goes_on)
-            good[at] = known.has(_pair_hashes(hashes[codes[at]], hashes[codes[at + 1]]))
-            at = np.flatnonzero(good)
-            reach = np.ones(len(at), dtype=np.int64)
-            for i in range(1, longest - 1):
-                reach += (reach == i) & good[at + i]
-            padded = np.concatenate([codes, np.zeros(longest, dtype=codes.dtype)])
-            columns = [distinct.take(pa.array(padded[at + i], mask=reach < i)) for i in range(longest)]
-            whole = pc.binary_join_element_wise(*columns, " ", null_handling="skip").dictionary_encode()
-            n = np.bincount(whole.indices.to_numpy(), minlength=len(whole.dictionary))
-            # one place of each distinct suffix
-            one = np.zeros(len(whole.dictionary), dtype=np.int64)
-            one[whole.indices.to_numpy()] = at
-            lead = pc.binary_join_element_wise(distinct.take(pa.array(padded[one])), distinct.take(pa.array(padded[one + 1])), " ")
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(n), pa.string()), "lead": lead, "suffix": whole.dictionary, "n": pa.array(n)})
+def hot_prefixes(docs: DataFrame, pairs: HashFilter, hot: list[HashFilter], longest: int, more: int) -> DataFrame:
+    """hash of the prefixes, one word longer than the hot ones known, that begin more suffixes than `more`."""
+    shared = docs.sparkSession.sparkContext.broadcast([(f.bits, f.words) for f in (pairs, *hot)])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, *longer = (HashFilter(*x) for x in shared.value)
+        for stream in _streams(batches):
+            found = _Suffixes(known, longest, *stream)
+            route, deep = found.routes(longer)
+            hashes, n = np.unique(route[(deep == len(longer) + 2) & (found.words >= deep)], return_counts=True)
+            yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes.view(np.int64)), "n": pa.array(n)})
 
-    return docs.mapInArrow(cut, "lang string, lead string, suffix string, n long")
+    return docs.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") > more).select("hash")
 
 
-def _routed(found: DataFrame, work: Scratch, longest: int, hot_rows: int) -> DataFrame:
-    """lang, route, deep, suffix, n: route is the leading two words of a suffix, or more where those lead very many rows.
+def hot_routes(docs: DataFrame, counted: DataFrame, pairs: HashFilter, longest: int, more: int) -> list[HashFilter]:
+    """Filters of the prefixes of two words, three and so on that begin more suffixes than `more`, as far as there are any.
 
-    A phrase of `deep` words and more has all its suffixes under one route; of
-    shorter ones a route holds a part. Routes of hot_rows are few, so they and
-    the shorter phrases that they split are few, too. Suffixes that end where a
-    hot route does are summed before they are routed.
+    Pairs are counted already; each further length is a pass over the texts that
+    only looks at suffixes with a hot prefix. Hot prefixes are few (n / more).
     """
-    rows = found.select("lang", F.col("lead").alias("route"), F.lit(2).alias("deep"), "suffix", "n")
-    for deep in range(2, longest + 1):
-        hot = rows.filter(F.col("deep") == deep).groupBy("lang", "route").agg(F.count("*").alias("rows")).filter(F.col("rows") > hot_rows)
-        hot = work.staged(hot.select("lang", "route", F.lit(True).alias("hot")), "hot")
-        if hot.isEmpty():
+    found: list[HashFilter] = []
+    hot = counted.filter(F.col("n") > more).select("hash")
+    while len(found) < longest - 2:
+        filtered = HashFilter.of(hot)
+        if not filtered.words.any():
             break
-        marked = rows.join(hot, ["lang", "route"], "left")
-        ends = F.col("suffix") == F.col("route")
-        summed = marked.filter(F.col("hot") & ends).groupBy("lang", "route", F.lit(deep + 1).alias("deep"), "suffix").agg(F.sum("n").alias("n"))
-        further = F.col("hot").isNotNull()
-        rest = marked.filter(F.col("hot").isNull() | ~ends)
-        rest = rest.select("lang", F.when(further, F.substring_index("suffix", " ", deep + 1)).otherwise(F.col("route")).alias("route"), F.when(further, deep + 1).otherwise(F.col("deep")).alias("deep"), "suffix", "n")
-        rows = rest.unionByName(summed)
-    return rows
+        found.append(filtered)
+        hot = hot_prefixes(docs, pairs, found, longest, more)
+    return found
 
 
-def frequent_phrases(found: DataFrame, work: Scratch, longest: int, least: int, rows_a_task: int) -> DataFrame:
-    """lang, phrase, k, f of the phrases of two words and more that occur least times, from staged suffixes.
+def routed_suffixes(docs: DataFrame, pairs: HashFilter, hot: list[HashFilter], longest: int, tasks: int) -> DataFrame:
+    """lang, task, deep, suffixes, n: for each part of the texts and each task that counts, its suffixes (a line each) and their numbers.
 
-    A task holds about rows_a_task suffixes; a route with more than a quarter of
-    a task's share is hot and goes on by further words.
+    A suffix is routed by its leading two words, or by more where these begin
+    very many. A phrase of `deep` words and more has all its suffixes in one
+    task; of shorter ones a task holds a part. Equal suffixes of a part of the
+    texts go as one.
     """
-    n_rows = found.count()
-    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_rows // rows_a_task))
-    dealt = _routed(found, work, longest, max(500, n_rows // (4 * tasks))).repartition(tasks, "lang", "route")
+    shared = docs.sparkSession.sparkContext.broadcast([(f.bits, f.words) for f in (pairs, *hot)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, *longer = (HashFilter(*x) for x in shared.value)
+        for lang, distinct, codes, goes_on in _streams(batches):
+            found = _Suffixes(known, longest, lang, distinct, codes, goes_on)
+            columns = [distinct.take(pa.array(found.codes[found.at + i], mask=found.words <= i)) for i in range(longest)]
+            whole = pc.binary_join_element_wise(*columns, " ", null_handling="skip").dictionary_encode()
+            del columns
+            n = np.bincount(whole.indices.to_numpy(), minlength=len(whole.dictionary)).astype(np.int64)
+            # one place of each distinct suffix
+            one = np.zeros(len(n), dtype=np.int64)
+            one[whole.indices.to_numpy()] = np.arange(len(found.at))
+            route, deep = found.routes(longer)
+            place = (_mix(route[one]) % np.uint64(tasks)).astype(np.int64) * (longest + 2) + deep[one]
+            order = np.argsort(place, kind="stable")
+            place, n = place[order], n[order].tobytes()
+            edges = np.concatenate([np.flatnonzero(np.append(True, place[1:] != place[:-1])), [len(place)]]) if len(place) else np.zeros(1, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), whole.dictionary.take(pa.array(order)))
+            heads = place[edges[:-1]]
+            yield pa.RecordBatch.from_pydict({
+                "lang": pa.array([lang] * len(heads), pa.string()), "task": pa.array(heads // (longest + 2), pa.int64()), "deep": pa.array(heads % (longest + 2), pa.int32()),
+                "suffixes": pc.binary_join(lists, "\n"), "n": pa.array([n[8 * a : 8 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary()),
+            })
+
+    return docs.mapInArrow(cut, "lang string, task long, deep int, suffixes string, n binary")
+
+
+def frequent_phrases(routed: DataFrame, tasks: int, longest: int, least: int) -> DataFrame:
+    """lang, phrase, k, f of the phrases of two words and more that occur least times, from staged suffixes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = pa.Table.from_batches((pa.RecordBatch.from_arrays(b.columns, schema=_SUFFIXES) for b in batches), schema=_SUFFIXES)
-        for deep in pc.unique(held["deep"]).to_pylist():
-            own = held.filter(pc.equal(held["deep"], deep)).combine_chunks()
-            lists = pc.split_pattern(own["suffix"].chunk(0), " ")
-            words, langs = lists.flatten().dictionary_encode(), own["lang"].chunk(0).dictionary_encode()
+        held: dict[tuple[str, int], list[tuple[pa.Array, bytes]]] = {}
+        for batch in batches:
+            lines = pc.split_pattern(batch.column("suffixes"), "\n")
+            for i, (lang, deep, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "deep", "n")), strict=True)):
+                held.setdefault((lang, deep), []).append((lines[i].values, n))
+        for (lang, deep), parts in held.items():
+            lists = pc.split_pattern(pa.concat_arrays([p for p, _ in parts]), " ")
+            weights = np.frombuffer(b"".join(n for _, n in parts), dtype=np.int64)
+            words = lists.flatten().dictionary_encode()
             edges = lists.offsets.to_numpy().astype(np.int64)
-            # the language goes before the words of a suffix
-            starts, lengths = edges[:-1] - edges[0] + np.arange(len(own)), np.diff(edges) + 1
-            codes = np.empty(len(words) + len(own), dtype=np.int64)
-            is_word = np.ones(len(codes), dtype=bool)
-            is_word[starts] = False
-            codes[is_word] = words.indices.to_numpy()
-            codes[starts] = len(words.dictionary) + langs.indices.to_numpy()
-            weights = own["n"].to_numpy()
+            codes, starts = words.indices.to_numpy(), edges[:-1] - edges[0]
             out: list[list] = [[], [], [], []]
-            for i, n_words, n in quicksort_counts(codes, starts, lengths, weights, longest + 1, least, 0 if deep == 2 else deep + 1):
-                if n_words > 2:
-                    phrase = words.dictionary.take(pa.array(codes[starts[i] + 1 : starts[i] + n_words])).to_pylist()
-                    for o, v in zip(out, (langs.dictionary[int(codes[starts[i]]) - len(words.dictionary)].as_py(), " ".join(phrase), n_words - 1, n), strict=True):
+            for i, k, n in quicksort_counts(codes, starts, np.diff(edges), weights, longest, least, 0 if deep == 2 else deep):
+                if k > 1:
+                    phrase = words.dictionary.take(pa.array(codes[starts[i] : starts[i] + k])).to_pylist()
+                    for o, v in zip(out, (lang, " ".join(phrase), k, n), strict=True):
                         o.append(v)
                 if len(out[0]) >= 50_000:
                     yield _phrases(out)
                     out = [[], [], [], []]
             yield _phrases(out)
 
-    counted = dealt.select("lang", "suffix", "n", "deep").mapInArrow(count, "lang string, phrase string, k int, f long")
+    dealt = routed.repartition(tasks, "task").select("lang", "deep", "suffixes", "n")
+    counted = dealt.mapInArrow(count, "lang string, phrase string, k int, f long")
     return counted.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 
-_SUFFIXES = pa.schema([("lang", pa.string()), ("suffix", pa.string()), ("n", pa.int64()), ("deep", pa.int32())])
-
-
 def _phrases(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"lang": pa.array(out[0], pa.string()), "phrase": pa.array(out[1], pa.string()), "k": pa.array(out[2], pa.int32()), "f": pa.array(out[3], pa.int64())})
 
@@ -298,7 +339,7 @@ def _ranked(rows: DataFrame, order: list, k: int) -> DataFrame:
     return placed.join(offsets, ["lang", "part"]).withColumn("rank", rank).filter(F.col("rank") <= k).drop("part", "at", "first_at", "before")
 
 
-def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, top: int | None = 2000, rows_a_task: int = 250_000) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, top: int | None = 2000, rows_a_task: int = 1_000_000) -> DataFrame:
     """Phrases of 2 to `longest` words that occur least times, scored by how much more often than their parts' counts say.
 
     Texts are lower-cased (A-Z) and split at `.,;:!?` and line ends into pieces,
@@ -307,6 +348,8 @@ def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, top: in
     to cut it in two, ties to the shorter first part; arithmetic is exact. Phrases
     inside a longer one that is as frequent are dropped.
 
+    A task that counts suffixes has about rows_a_task of them.
+
     Returns lang, rank, phrase, a, l, r, n, score, each lang's `top` by score and
     a descending, phrase ascending in UTF-8 bytes; all where top is None. A null
     lang is `und`; null and empty texts have no words; a missing doc_id does not
@@ -317,9 +360,12 @@ def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, top: in
     words = work.staged(count_words(texts), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     frequent = words.filter(F.col("f") >= least)
-    pairs = HashFilter.of(frequent_pairs(texts, HashFilter.of(_word_hashes(frequent)), least))
-    found = work.staged(suffixes(texts, pairs, longest), "suffixes")
-    phrases = work.staged(frequent_phrases(found, work, longest, least, rows_a_task), "phrases")
+    counted = work.staged(counted_pairs(texts, HashFilter.of(_word_hashes(frequent))).filter(F.col("n") >= least), "pairs")
+    pairs = HashFilter.of(counted.select("hash"))
+    n_suffixes = counted.agg(F.sum("n")).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n_suffixes // rows_a_task))
+    hot = hot_routes(texts, counted, pairs, longest, max(500, n_suffixes // (4 * tasks)))
+    phrases = work.staged(frequent_phrases(work.staged(routed_suffixes(texts, pairs, hot, longest, tasks), "suffixes"), tasks, longest, least), "phrases")
     scored = _scored(phrases, frequent, totals)
     # a phrase one word longer that is as frequent; longer ones only if that is, too
     split = F.split("phrase", " ")

@@ -211,9 +211,11 @@ def test_collocations_equal_plain_counts(spark, least, rows_a_task):
 def test_hot_pairs_are_split(spark, monkeypatch):
     """With nearly every route hot, suffixes go on by three words and more, and partial counts add up."""
     rows = phrase_fixture()
-    routed = phrases_of._routed
-    monkeypatch.setattr(phrases_of, "_routed", lambda found, work, longest, hot: routed(found, work, longest, 2))
+    routes = phrases_of.hot_routes
+    made = []
+    monkeypatch.setattr(phrases_of, "hot_routes", lambda docs, counted, pairs, longest, more: made.append(routes(docs, counted, pairs, longest, 12)) or made[0])
     assert found(collocations(spark.createDataFrame(rows, DOC).repartition(6), least=10)) == plain_phrases(rows, 10)
+    assert len(made[0]) == 3
 
 
 def test_a_full_filter_only_costs_work(spark, monkeypatch):
