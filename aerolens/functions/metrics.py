@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scalars import kv_field, kv_map
+from aerolens.session import staged
+
+from .scalars import kv_field, kv_map, line_pairs, pair_value
 
 #: Log levels in rising order.
 LEVELS = ("DEBUG", "DATA", "INFO", "WARN", "ERR", "CRIT")
@@ -160,17 +162,22 @@ HEADER_BYTES, COMPRESSION = 88, 0.35
 _PCAP, _SERVER = ("pcap", "script"), ("net_proxy", "to_server")
 
 
+def _parsed(key: str) -> Column:
+    """A field of an entry whose pairs are at hand (`_pairs`)."""
+    return pair_value(F.col("_pairs"), key)
+
+
 def _basic(kind: str, sources: str | Sequence[str], head: str, field: str) -> Metric:
-    return Metric(kind, _of_kind([sources] if isinstance(sources, str) else sources, head), _field(field).try_cast("double"))
+    return Metric(kind, _of_kind([sources] if isinstance(sources, str) else sources, head), _number(field))
 
 
 def _number(key: str) -> Column:
-    return _field(key).try_cast("double")
+    return _parsed(key).try_cast("double")
 
 
 def _metrics() -> dict[str, Metric]:
     """Names, kinds, sources and fields are fixed values."""
-    allocated = F.split_part(_field("alloc-pkts"), F.lit("/"), F.lit(1)).try_cast("double")
+    allocated = F.split_part(_parsed("alloc-pkts"), F.lit("/"), F.lit(1)).try_cast("double")
     new = lambda i: F.regexp_extract("data", r"^created (\d+) new routes; updated (\d+) routes", i).try_cast("double")
     routed = (F.col("source") == "wifi_ol") & F.col("data").rlike(r"^created \d+ new routes; updated \d+ routes")
     self_records = F.filter(F.split("data", r"\|"), lambda r: kv_field(r, "src") == kv_field(r, "dst"))
@@ -225,45 +232,58 @@ METRICS = (
 _ACCOUNT = {"captured-pkts": 1, "ol-waitq-drops": -1, "overlay-drops": -1, "overlay-produced": -1, "overlay-pkts-in": 1, "overlay-pkts-out": -1}
 
 
-def metric_values(entries: DataFrame, names: Sequence[str], coordinator: str, *, hosts: Sequence[str] | None = None, paths: DataFrame | None = None, order: Sequence[str] = ()) -> DataFrame:
+def metric_values(entries: DataFrame, names: Sequence[str], coordinator: str, *, hosts: Sequence[str] | None = None, paths: DataFrame | Callable[[DataFrame], DataFrame] | None = None, order: Sequence[str] = ()) -> DataFrame:
     """metric, kind, host, ts, value of each entry that reports one of the metrics, in one pass over the log.
 
     Rates are per second, byte rates in Kbit. Route metrics belong to the
     coordinator, which else counts only where the host list names it. The net
-    metrics need paths (src, dst, links) and name a link's hosts, or the link as
-    `a-b`. Unaccounted packets are the running sum of a host.
+    metrics need paths (src, dst, links), or a function that makes them from the
+    traffic's src and dst, and name a link's hosts, or the link as `a-b`.
+    Unaccounted packets are the running sum of a host.
+
+    The pairs of a line are found once. Where running sums or paths need what the
+    lines say a second time, that is staged as a table of values.
     """
     specs = _metrics()
     scale = {"packets": 1 / REPORT_SECONDS, "bytes": 8 / (1024 * REPORT_SECONDS)}
-    host = _field("host")
+    host = _parsed("host")
+    row = lambda metric, kind, who, value, src=F.lit(None), dst=F.lit(None): F.struct(F.lit(metric).alias("metric"), F.lit(kind).alias("kind"), who.alias("host"), value.cast("double").alias("value"), src.cast("string").alias("src"), dst.cast("string").alias("dst"))
     reports = []
     for name in names:
         m = specs[name]
         if m.entries is None:
             continue
         who = F.lit(coordinator) if name.startswith("route-") else kv_field(F.split_part("data", F.lit("|"), F.lit(1)), "src") if name.endswith("-self") else host
-        value = m.value * scale.get(m.kind, 1.0)
-        reports.append(F.when(m.entries & value.isNotNull() & who.isNotNull(), F.struct(F.lit(name).alias("metric"), F.lit(m.kind).alias("kind"), who.alias("host"), value.alias("value"))))
-    parts = []
-    if reports:
-        parts.append(entries.select("ts", F.explode(F.array_compact(F.array(*reports))).alias("r")).select("r.metric", "r.kind", "r.host", "ts", "r.value"))
-    if "unaccounted-packets" in names:
+        reports.append(F.when(m.entries, row(name, m.kind, who, m.value * scale.get(m.kind, 1.0))))
+    summed = "unaccounted-packets" in names
+    if summed:
         terms = [F.when(specs[n].entries, specs[n].value * sign) for n, sign in _ACCOUNT.items()]
         known = F.coalesce(*terms)
-        total = sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0))
-        touched = entries.select("ts", *order, host.alias("host"), F.when(known.isNotNull(), total).alias("_v")).filter("_v is not null and host is not null")
+        reports.append(F.when(known.isNotNull(), row("unaccounted-packets", "measure", host, sum((F.coalesce(t, F.lit(0.0)) for t in terms), F.lit(0.0)))))
+    wired = [n for n in ("net", "net-links") if n in names and paths is not None]
+    found = F.array_compact(F.array(*reports)) if reports else None
+    if wired:
+        sent = F.transform(F.coalesce(_sent(coordinator), F.array().cast(_SENT)), lambda r: row("net", "measure", F.lit(None).cast("string"), r["bytes"], r["src"], r["dst"]))
+        found = sent if found is None else F.concat(found, sent)
+    if found is None:
+        return entries.select(F.lit("").alias("metric"), F.lit("").alias("kind"), F.lit("").alias("host"), "ts", F.lit(0.0).alias("value")).limit(0)
+    # generated over, so that a line is parsed once however many metrics read it
+    parsed = entries.withColumn("_pairs", F.explode(F.array(line_pairs(F.col("data")))))
+    values = parsed.select("ts", *order, F.explode(found).alias("r")).select("ts", *order, "r.*").filter("value is not null")
+    if summed or wired:
+        values = staged(values, "metrics")
+    out = values.filter("host is not null and metric <> 'unaccounted-packets'").select("metric", "kind", "host", "ts", "value")
+    if summed:
         running = Window.partitionBy("host").orderBy("ts", *order).rowsBetween(Window.unboundedPreceding, 0)
-        parts.append(touched.select(F.lit("unaccounted-packets").alias("metric"), F.lit("measure").alias("kind"), "host", "ts", F.sum("_v").over(running).alias("value")))
-    for name in ("net", "net-links"):
-        if name in names and paths is not None:
-            links = net_traffic(entries, coordinator).join(paths, ["src", "dst"]).select("ts", "bytes", F.explode("links").alias("l"))
+        own = values.filter("host is not null and metric = 'unaccounted-packets'")
+        out = out.unionByName(own.select("metric", "kind", "host", "ts", F.sum("value").over(running).alias("value")))
+    if wired:
+        traffic = values.filter((F.col("metric") == "net") & F.col("dst").isNotNull())
+        links = paths(traffic.select("src", "dst").distinct()) if callable(paths) else paths
+        hops = traffic.join(links, ["src", "dst"]).select("ts", "value", F.explode("links").alias("l"))
+        for name in wired:
             who = F.explode(F.array("l.a", "l.b")) if name == "net" else F.concat_ws("-", "l.a", "l.b")
-            parts.append(links.select(F.lit(name).alias("metric"), F.lit("measure").alias("kind"), who.alias("host"), "ts", F.col("bytes").cast("double").alias("value")))
-    if not parts:
-        return entries.select(F.lit("").alias("metric"), F.lit("").alias("kind"), F.lit("").alias("host"), "ts", F.lit(0.0).alias("value")).limit(0)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+            out = out.unionByName(hops.select(F.lit(name).alias("metric"), F.lit("measure").alias("kind"), who.alias("host"), "ts", "value"))
     if hosts is not None:
         return out.filter(F.col("host").isin(*hosts))
     return out.filter((F.col("host") != coordinator) | F.col("metric").startswith("route-"))
@@ -280,6 +300,22 @@ def metric_series(entries: DataFrame, name: str, coordinator: str, window: int =
     return rows.groupBy("host", F.window("ts", f"{window} seconds").alias("w")).agg(at.alias("ts"), agg.alias("value")).select("host", "ts", "value")
 
 
+_SENT = "array<struct<src:string,dst:string,class:string,bytes:double>>"
+
+
+def _sent(coordinator: str) -> Column:
+    """What an entry says was sent over the network, null if nothing; without what a host sent itself."""
+    to_server = F.struct(_parsed("host").alias("src"), F.lit(coordinator).alias("dst"), F.lit("merged").alias("class"), _number("bytes").alias("bytes"))
+    raw = F.struct(_parsed("host").alias("src"), F.lit(coordinator).alias("dst"), F.lit("raw").alias("class"), ((_number("post-capt-bytes") + _number("post-capt-pkts") * HEADER_BYTES) * COMPRESSION).alias("bytes"))
+    record = lambda r: F.struct(kv_field(r, "src").alias("src"), kv_field(r, "dst").alias("dst"), F.lit("overlay").alias("class"), kv_field(r, "capt-bytes").try_cast("double").alias("bytes"))
+    sent = (
+        F.when(_of_kind(_SERVER, "STATS") & (_parsed("port") == "on_wire"), F.array(to_server))
+        .when(_of_kind(["script"], "STATS"), F.array(raw))
+        .when(_of_kind(["wifi_ol"], "NET-USAGE"), F.transform(F.split("data", r"\|"), record))
+    )
+    return F.filter(sent, lambda r: r["bytes"].isNotNull() & (r["src"] != r["dst"]) & ((r["class"] != "overlay") | ((r["bytes"] != 0) & (r["src"] != coordinator)))).cast(_SENT)
+
+
 def net_traffic(entries: DataFrame, coordinator: str) -> DataFrame:
     """src, dst, class, ts, bytes of what hosts sent over the network.
 
@@ -287,17 +323,8 @@ def net_traffic(entries: DataFrame, coordinator: str) -> DataFrame:
     would go there, with headers and compression; overlay: bytes of each record
     of a usage line but for those to oneself, from the coordinator, or none.
     """
-    to_server = F.struct(_field("host").alias("src"), F.lit(coordinator).alias("dst"), F.lit("merged").alias("class"), _number("bytes").alias("bytes"))
-    raw = F.struct(_field("host").alias("src"), F.lit(coordinator).alias("dst"), F.lit("raw").alias("class"), ((_number("post-capt-bytes") + _number("post-capt-pkts") * HEADER_BYTES) * COMPRESSION).alias("bytes"))
-    record = lambda r: F.struct(kv_field(r, "src").alias("src"), kv_field(r, "dst").alias("dst"), F.lit("overlay").alias("class"), kv_field(r, "capt-bytes").try_cast("double").alias("bytes"))
-    sent = (
-        F.when(_of_kind(_SERVER, "STATS") & (_field("port") == "on_wire"), F.array(to_server))
-        .when(_of_kind(["script"], "STATS"), F.array(raw))
-        .when(_of_kind(["wifi_ol"], "NET-USAGE"), F.transform(F.split("data", r"\|"), record))
-    )
-    rows = entries.select("ts", F.explode(sent).alias("s")).select("s.src", "s.dst", "s.class", "ts", "s.bytes")
-    overlay = (F.col("class") != "overlay") | ((F.col("bytes") != 0) & (F.col("src") != coordinator))
-    return rows.filter(F.col("src").isNotNull() & F.col("dst").isNotNull() & F.col("bytes").isNotNull() & (F.col("src") != F.col("dst")) & overlay)
+    parsed = entries.withColumn("_pairs", F.explode(F.array(line_pairs(F.col("data")))))
+    return parsed.select("ts", F.explode(_sent(coordinator)).alias("s")).select("s.src", "s.dst", "s.class", "ts", "s.bytes")
 
 
 def route_events(entries: DataFrame, coordinator: str) -> DataFrame:

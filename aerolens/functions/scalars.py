@@ -134,6 +134,22 @@ def kv_field(text: Column, key: str) -> Column:
     return F.when(value != "", F.regexp_replace(value, '^"|"$', ""))
 
 
+#: The valid pairs that a text begins with, and one pair more whatever follows it.
+_BEGIN = r'(?s)^((?:[^\s="]++(?:=(?:"[^"]*+"|[^\s"]*+))?\s++)*+(?:[^\s="]++=(?:"[^"]*"|[^\s"]*))?)'
+
+
+def line_pairs(text: Column) -> Column:
+    """The key=value pairs of a text as they stand, for pair_value; what kv_field would find, found once for all keys."""
+    return F.regexp_extract_all(F.regexp_extract(text, _BEGIN, 1), F.lit(r'([^\s="]++=(?:"[^"]*+"|[^\s"]*+))'), F.lit(1))
+
+
+def pair_value(pairs: Column, key: str) -> Column:
+    """As kv_field on the text of the pairs: the last of equal keys, quotes removed, underscores as dashes; null where missing or empty."""
+    own = F.filter(pairs, lambda p: F.translate(F.substring_index(p, "=", 1), "_", "-") == key.replace("_", "-"))
+    value = F.regexp_replace(F.substring(F.try_element_at(own, F.lit(-1)), len(key) + 2, 1 << 30), '^"|"$', "")
+    return F.when(value != "", value)
+
+
 def split_records(text: Column) -> Column:
     """The records of a line, separated by bars."""
     return F.transform(F.split(text, r"\|"), lambda x: F.trim(x))

@@ -10,31 +10,6 @@ from pyspark.sql import functions as F
 from aerolens.session import cut_lineage
 
 
-def shortest_hop_sums(edges: DataFrame, base: int) -> DataFrame:
-    """sniffer_id, hops, skew_us, spread_us: sums over the path of fewest hops from the base.
-
-    Of equal hops the path through the lowest ids wins. A level holds the
-    sniffers that no level before it has, one row each, which the driver keeps;
-    the search ends with a level that adds none. Edges are one row a pair of
-    sniffers, kept in memory as every level reads them; what is lost with an
-    executor is computed again.
-    """
-    edges = edges.persist()
-    spark = edges.sparkSession
-    schema = "sniffer_id int, hops int, skew_us long, spread_us long"
-    hops = edges.select(F.col("src").cast("int").alias("sniffer_id"), F.col("dst").cast("int").alias("next"), F.col("skew_us").cast("long").alias("e_skew"), F.col("spread_us").cast("long").alias("e_spread"))
-    level = [(base, 0, 0, 0, str(base).rjust(8, "0"))]
-    found = {base: level[0]}
-    while level:
-        via = F.concat("via", F.lit("/"), F.lpad(F.col("next").cast("string"), 8, "0"))
-        step = spark.createDataFrame(level, f"{schema}, via string").join(hops, "sniffer_id").select(F.col("next").alias("sniffer_id"), via.alias("via"), (F.col("hops") + 1).alias("hops"), (F.col("skew_us") + F.col("e_skew")).alias("skew_us"), (F.col("spread_us") + F.col("e_spread")).alias("spread_us"))
-        best = step.groupBy("sniffer_id").agg(F.min(F.struct("via", "hops", "skew_us", "spread_us")).alias("m")).select("sniffer_id", "m.hops", "m.skew_us", "m.spread_us", "m.via")
-        level = [tuple(r) for r in best.collect() if r["sniffer_id"] not in found]
-        found |= {r[0]: r for r in level}
-    edges.unpersist()
-    return spark.createDataFrame([r[:4] for r in found.values()], schema)
-
-
 def routes(observations: DataFrame, now: str | None = None, window_seconds: int = 7200) -> DataFrame:
     """src, dst, gateway: the gateway seen most often in the window before the last observation; ties keep the lowest."""
     us = F.unix_micros("ts")
@@ -47,13 +22,18 @@ def routes(observations: DataFrame, now: str | None = None, window_seconds: int
 
 
 def skew_paths(edges: DataFrame, base: int, keys: tuple[str, ...] = ("slice",)) -> DataFrame:
-    """keys, sniffer_id, hops, skew_us, spread_us: the path of fewest hops from the base in the graph of each key.
+    """keys, sniffer_id, hops, skew_us, spread_us: the path of fewest hops from the base in the graph of each key, one graph without keys.
 
     Of equal hops the path through the lowest ids wins. edges: keys, src, dst,
     skew_us, spread_us. A round extends the paths of all keys by one hop, and the
     search ends with a round that reaches no sniffer.
     """
+    if not keys:
+        found = skew_paths(edges.withColumn("slice", F.lit(0)), base).drop("slice")
+        alone = edges.sparkSession.range(1).select(F.lit(base).alias("sniffer_id"), F.lit(0).alias("hops"), F.lit(0).cast("long").alias("skew_us"), F.lit(0).cast("long").alias("spread_us"))
+        return found.unionByName(alone.join(found, "sniffer_id", "left_anti"))
     via = lambda c: F.lpad(F.col(c).cast("string"), 8, "0")
+    edges = cut_lineage(edges)  # every round reads them
     zero = F.lit(0).cast("long")
     hops = edges.select(*keys, F.col("src").alias("sniffer_id"), F.col("dst").alias("next"), F.col("skew_us").alias("e_skew"), F.col("spread_us").alias("e_spread"))
     level = edges.select(*keys).distinct().withColumns({"sniffer_id": F.lit(base), "hops": F.lit(0), "skew_us": zero, "spread_us": zero, "via": F.lit(str(base).rjust(8, "0"))})

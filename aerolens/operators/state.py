@@ -225,7 +225,7 @@ def suppress_repeats(df: DataFrame, keys: Sequence[str], ts: str = "ts", window_
     return by_heat(df.filter(F.col(ts).isNotNull()).withColumn("_us", us), keys, hot_rows, run)
 
 
-ASSOCIATION = "station string, ts_us long, bssid string, is_ap boolean, event string"
+ASSOCIATION = "station string, ts_us long, bssid string, is_ap boolean, is_ibss boolean, sniffer_id int, event string"
 
 
 def association_step(timeout_us: int = 300_000_000, refresh_us: int = 60_000_000, ap_hold_us: int = 60_000_000, tx_hold_us: int = 60_000_000, rx_guard: str = "documented") -> Step:
@@ -234,8 +234,9 @@ def association_step(timeout_us: int = 300_000_000, refresh_us: int = 60_000_000
     A frame that a station receives (as_tx false) may change its BSSID only when
     it has sent none for tx_hold_us. With rx_guard "code" every change is refused
     that long after the BSSID was last set by a sent frame, as the older system
-    does. The state of a key is its BSSID, role, last event, last update and last
-    sent frame; it ends after the timeout.
+    does. The state of a key is its BSSID, role, last event, last update, last
+    sent frame and whether the BSSID is an IBSS; it ends after the timeout. An
+    event names the sniffer of its frame, if rows have one.
     """
     documented = rx_guard == "documented"
 
@@ -243,6 +244,7 @@ def association_step(timeout_us: int = 300_000_000, refresh_us: int = 60_000_000
         out = []
         for row in rows:
             t, bssid, is_ap, as_tx = int(row["ts_us"]), row["bssid"], bool(row["is_ap"]), bool(row.get("as_tx", True))
+            is_ibss = bool(row.get("is_ibss"))
             if state is not None and t - state[3] > timeout_us:
                 state = None
             sent = t if as_tx else None
@@ -253,17 +255,18 @@ def association_step(timeout_us: int = 300_000_000, refresh_us: int = 60_000_000
                 refused = not as_tx and not quiet if documented else quiet
                 if (state[1] and t - state[3] <= ap_hold_us) or refused:
                     if documented and as_tx:
-                        state = (*state[:4], t)
+                        state = (*state[:4], t, state[5])
                     continue
                 event, sent = "change", t if as_tx else state[4]
             else:
                 last_tx = t if documented and as_tx else state[4]
                 if t - state[2] < refresh_us:
-                    state = (bssid, state[1], state[2], t, last_tx)
+                    state = (bssid, state[1], state[2], t, last_tx, state[5])
                     continue
-                event, is_ap, sent = "refresh", state[1], last_tx
-            state = (bssid, is_ap, t, t, sent)
-            out.append({"station": row["station"], "ts_us": t, "bssid": bssid, "is_ap": is_ap, "event": event})
+                event, is_ap, is_ibss, sent = "refresh", state[1], state[5], last_tx
+            state = (bssid, is_ap, t, t, sent, is_ibss)
+            sniffer = row.get("sniffer_id")
+            out.append({"station": row["station"], "ts_us": t, "bssid": bssid, "is_ap": is_ap, "is_ibss": is_ibss, "sniffer_id": None if sniffer is None else int(sniffer), "event": event})
         return state, out
 
     return step
@@ -273,15 +276,17 @@ def association_rows(df: DataFrame) -> DataFrame:
     """Two rows a data frame, for its transmitter and its receiver.
 
     Frames without data, to or from multicast addresses, and without a BSSID or
-    with the broadcast one tell nothing. Addresses are texts.
+    with the broadcast one tell nothing. A frame of neither direction is one of
+    an IBSS. Addresses are texts; sniffer_id may be missing.
     """
     from aerolens.functions.scalars import is_multicast
 
     us = F.unix_micros("ts")
     side = lambda address, role, sent: F.struct(F.col(address).alias("station"), (F.col("dir") == role).alias("is_ap"), F.lit(sent).alias("as_tx"))
     data = df.filter((F.col("ftype") == 2) & (F.col("fsubtype").bitwiseAND(F.lit(4)) == 0) & ~is_multicast(F.col("ra")) & ~is_multicast(F.col("ta")) & (F.col("bssid") != "ff:ff:ff:ff:ff:ff"))
-    rows = data.select("frame_id", us.alias("ts_us"), "bssid", F.explode(F.array(side("ta", 2, True), side("ra", 1, False))).alias("s"))
-    return rows.select("frame_id", "ts_us", "bssid", "s.station", "s.is_ap", "s.as_tx")
+    sniffer = F.col("sniffer_id") if "sniffer_id" in df.columns else F.lit(None)
+    rows = data.select("frame_id", us.alias("ts_us"), "bssid", (F.col("dir") == 0).alias("is_ibss"), sniffer.cast("int").alias("sniffer_id"), F.explode(F.array(side("ta", 2, True), side("ra", 1, False))).alias("s"))
+    return rows.select("frame_id", "ts_us", "bssid", "is_ibss", "sniffer_id", "s.station", "s.is_ap", "s.as_tx")
 
 
 def associations(df: DataFrame, hot_rows: int | None = 5_000_000, slice_seconds: float = 3600, **options) -> DataFrame:

@@ -44,18 +44,20 @@ def inferred_packets(df: DataFrame, key: str = "ta", **options) -> DataFrame:
     return sequence_gaps(df, key, **options).groupBy(key).agg(F.count("gap").alias("captured"), F.coalesce(F.sum(F.when(F.col("gap").isNotNull(), F.greatest("gap", F.lit(1)))).cast("long"), F.lit(0)).alias("inferred"))
 
 
-def ping_loss(df: DataFrame, source: str = "source", order: Sequence[str] = ("ts", "event_id"), seq: str = "seq", delay: str | None = None) -> DataFrame:
+def ping_loss(df: DataFrame, source: str = "source", order: Sequence[str] = ("ts", "event_id"), seq: str = "seq", delay: str | None = None, slice_seconds: float | None = None) -> DataFrame:
     """received, dropped, duplicates per source; with a delay column also its weighted mean over the pings received.
 
     Number 0 restarts the count; a number not above the highest since then is a
-    duplicate or late. The very first row of a source adds its own number as drops.
+    duplicate or late. The very first row of a source adds its own number as
+    drops. With slice_seconds the first of order is a time and a hot source is
+    counted slice by slice of it.
     """
-    w = Window.partitionBy(source).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    runs = df.withColumn("_run", F.sum((F.col(seq) == 0).cast("int")).over(w)).withColumn("_first", F.row_number().over(Window.partitionBy(source).orderBy(*order)) == 1)
-    before = Window.partitionBy(source, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    gaps = runs.withColumn("_high", F.max(seq).over(before))
+    us = F.unix_micros(order[0]) if slice_seconds is not None else F.lit(0)
+    runs = scan(df, [source], order, {"_run": Scan("sum", (F.col(seq) == 0).cast("int"), inclusive=True), "_any": Scan("last", F.lit(1))}, us, slice_seconds)
+    gaps = scan(runs, [source], order, {"_high": Scan("max", F.col(seq), ("_run",))}, us, slice_seconds)
+    first = F.col("_any").isNull()
     fresh = F.col("_high").isNull() | (F.col(seq) > F.col("_high"))
-    lost = F.when(F.col("_first"), F.col(seq)).when(F.col(seq) == 0, F.lit(0)).when(fresh, F.col(seq) - F.coalesce("_high", F.col(seq)) - F.when(F.col("_high").isNull(), 0).otherwise(1)).otherwise(0)
+    lost = F.when(first, F.col(seq)).when(F.col(seq) == 0, F.lit(0)).when(fresh, F.col(seq) - F.coalesce("_high", F.col(seq)) - F.when(F.col("_high").isNull(), 0).otherwise(1)).otherwise(0)
     marked = gaps.withColumn("_fresh", fresh).withColumn("_lost", lost)
     counts = marked.groupBy(source).agg(F.count_if("_fresh").alias("received"), F.sum("_lost").cast("long").alias("dropped"), F.count_if(~F.col("_fresh")).alias("duplicates"))
     if delay is None:
@@ -65,13 +67,18 @@ def ping_loss(df: DataFrame, source: str = "source", order: Sequence[str] = ("ts
     return counts.join(keyed_ewma(marked.filter("_fresh"), [source], list(order), delay).withColumnRenamed("ewma", "avg_delay"), source, "left")
 
 
-def gap_sessions(df: DataFrame, keys: Sequence[str], ts: str = "ts", gap_seconds: float = 1200, inclusive: bool = True, order: Sequence[str] = ()) -> DataFrame:
-    """Adds `session` (from 1): rows at most the gap after the previous one of their key belong together."""
-    ordered = Window.partitionBy(*keys).orderBy(ts, *order)
-    pause = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(ordered))
+def gap_sessions(df: DataFrame, keys: Sequence[str], ts: str = "ts", gap_seconds: float = 1200, inclusive: bool = True, order: Sequence[str] = (), slice_seconds: float | None = None) -> DataFrame:
+    """Adds `session` (from 1): rows at most the gap after the previous one of their key belong together.
+
+    With slice_seconds a key is cut into slices of time (see scan), so that a hot
+    key is many sorted runs.
+    """
     limit = int(gap_seconds * 1_000_000)
+    us, along = F.unix_micros(ts), [ts, *order]
+    rows = scan(df, keys, along, {"_last": Scan("last", us)}, us, slice_seconds)
+    pause = us - F.col("_last")
     new = F.when(pause.isNull(), 1).otherwise((pause > limit if inclusive else pause >= limit).cast("int"))
-    return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    return scan(rows.withColumn("_new", new), keys, along, {"session": Scan("sum", F.col("_new"), inclusive=True)}, us, slice_seconds).drop("_new", "_last")
 
 
 def session_summary(df: DataFrame, keys: Sequence[str], **options) -> DataFrame:
@@ -79,11 +86,37 @@ def session_summary(df: DataFrame, keys: Sequence[str], **options) -> DataFrame:
     return gap_sessions(df, keys, **options).groupBy(*keys, "session").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("requests"))
 
 
-def rolling_median(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, window: int = 11) -> DataFrame:
-    """Adds `median` (element n div 2 of the sorted last values) and `spread` (largest less smallest)."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - window, 0)
+def with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], back: int, slice_seconds: float) -> tuple[DataFrame, list[str]]:
+    """(rows of every slice of time and, with _own false, the last `back` rows before it, the columns that make a run).
+
+    The first of order is a time. Slices hand their last rows on to those after
+    them, past sparse ones, until these have enough.
+    """
+    run = [*keys, "_slice"]
+    rows = df.withColumn("_slice", F.floor(F.unix_micros(order[0]) / int(slice_seconds * 1_000_000))).withColumn("_own", F.lit(True))
+    last = F.row_number().over(Window.partitionBy(*run).orderBy(*(F.col(c).desc() for c in order)))
+    tail = rows.withColumn("_n", last).filter(F.col("_n") <= back)
+    sizes = rows.groupBy(*run).agg(F.count("*").alias("_size"))
+    ahead = Window.partitionBy(*keys).orderBy("_slice")
+    spread = sizes.withColumn("_after", F.collect_list(F.struct("_slice", "_size")).over(ahead.rowsBetween(1, max(1, back))))
+    start = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<to:bigint,held:bigint>>").alias("to"))
+    walk = F.aggregate("_after", start, lambda a, x: F.when(a["held"] < back, F.struct((a["held"] + x["_size"]).alias("held"), F.concat(a["to"], F.array(F.struct(x["_slice"].alias("to"), a["held"].alias("held")))).alias("to"))).otherwise(a))
+    targets = spread.select(*run, F.explode(walk["to"]).alias("t")).select(*run, "t.to", "t.held")
+    handed = tail.join(targets, run).filter(F.col("_n") + F.col("held") <= back).withColumn("_slice", F.col("to")).withColumn("_own", F.lit(False)).drop("to", "held", "_n")
+    return rows.unionByName(handed.select(*rows.columns)), run
+
+
+def rolling_median(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, window: int = 11, slice_seconds: float | None = None) -> DataFrame:
+    """Adds `median` (element n div 2 of the sorted last values) and `spread` (largest less smallest).
+
+    With slice_seconds a key is cut into slices of time, each with the rows before
+    it that its first windows look back to (see with_halo).
+    """
+    both, run = (df, list(keys)) if slice_seconds is None else with_halo(df, keys, order, window - 1, slice_seconds)
+    w = Window.partitionBy(*run).orderBy(*order).rowsBetween(1 - window, 0)
     values = F.sort_array(F.collect_list(value).over(w))
-    return df.withColumn("_v", values).withColumn("median", F.get("_v", (F.size("_v") / 2).cast("int"))).withColumn("spread", F.array_max("_v") - F.array_min("_v")).drop("_v")
+    out = both.withColumn("_v", values).withColumn("median", F.get("_v", (F.size("_v") / 2).cast("int"))).withColumn("spread", F.array_max("_v") - F.array_min("_v")).drop("_v")
+    return out if slice_seconds is None else out.filter("_own").drop("_own", "_slice")
 
 
 def with_neighbour(df: DataFrame, keys: Sequence[str], ts: str = "ts", order: Sequence[str] = (), slice_seconds: float | None = None, after: bool = False) -> DataFrame:
@@ -117,27 +150,12 @@ def moving_averages(df: DataFrame, keys: Sequence[str], order: Sequence[str], va
     """Adds avg_<n>, the mean of the last n rows, for each span.
 
     With slice_seconds the first of order is a time and a key is cut into slices
-    of it; each slice begins with the last rows of those before, as many as the
-    longest span looks back.
+    of it, each with the rows before it that the longest span looks back to.
     """
-    if slice_seconds is None:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumns({f"avg_{n}": F.avg(value).over(w.rowsBetween(1 - n, 0)) for n in spans})
-    run, back = [*keys, "_slice"], max(spans) - 1
-    rows = df.withColumn("_slice", F.floor(F.unix_micros(order[0]) / int(slice_seconds * 1_000_000))).withColumn("_own", F.lit(True))
-    last = F.row_number().over(Window.partitionBy(*run).orderBy(*(F.col(c).desc() for c in order)))
-    tail = rows.withColumn("_n", last).filter(F.col("_n") <= back)
-    # a slice hands its last rows on to those after it, until they have enough
-    sizes = rows.groupBy(*run).agg(F.count("*").alias("_size"))
-    ahead = Window.partitionBy(*keys).orderBy("_slice")
-    spread = sizes.withColumn("_after", F.collect_list(F.struct("_slice", "_size")).over(ahead.rowsBetween(1, max(1, back))))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<to:bigint,held:bigint>>").alias("to"))
-    walk = F.aggregate("_after", start, lambda a, x: F.when(a["held"] < back, F.struct((a["held"] + x["_size"]).alias("held"), F.concat(a["to"], F.array(F.struct(x["_slice"].alias("to"), a["held"].alias("held")))).alias("to"))).otherwise(a))
-    targets = spread.select(*run, F.explode(walk["to"]).alias("t")).select(*run, "t.to", "t.held")
-    handed = tail.join(targets, run).filter(F.col("_n") + F.col("held") <= back).withColumn("_slice", F.col("to")).withColumn("_own", F.lit(False)).drop("to", "held", "_n")
+    both, run = (df, list(keys)) if slice_seconds is None else with_halo(df, keys, order, max(spans) - 1, slice_seconds)
     w = Window.partitionBy(*run).orderBy(*order)
-    both = rows.unionByName(handed.select(*rows.columns)).withColumns({f"avg_{n}": F.avg(value).over(w.rowsBetween(1 - n, 0)) for n in spans})
-    return both.filter("_own").drop("_own", "_slice")
+    out = both.withColumns({f"avg_{n}": F.avg(value).over(w.rowsBetween(1 - n, 0)) for n in spans})
+    return out if slice_seconds is None else out.filter("_own").drop("_own", "_slice")
 
 
 def ewma(values: Column, shift: int = 4) -> Column:
@@ -181,14 +199,17 @@ def channel_shares(rates: DataFrame, sniffer: str = "sniffer_id", period: float
     return grouped.select(sniffer, F.explode(shares).alias("s")).select(sniffer, "s.*")
 
 
-def coverage_ranges(df: DataFrame, flow: str = "flow", start: str = "start", length: str = "length") -> tuple[DataFrame, DataFrame]:
-    """(captured ranges of each flow, touching ones merged; covered bytes, span and share per flow)."""
-    end = F.col(start) + F.col(length)
-    w = Window.partitionBy(flow).orderBy(start, "_end")
-    rows = df.filter(F.col(length) > 0).withColumn("_end", end)
-    high = F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    gap = F.when(high.isNull() | (F.col(start) > high), 1).otherwise(0)
-    marked = rows.withColumn("_gap", gap).withColumn("_island", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def coverage_ranges(df: DataFrame, flow: str = "flow", start: str = "start", length: str = "length", slice_length: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(captured ranges of each flow, touching ones merged; covered bytes, span and share per flow).
+
+    With slice_length a flow is cut into slices of so many bytes by where its
+    ranges start, so that a hot flow is many sorted runs (see scan).
+    """
+    rows = df.filter(F.col(length) > 0).withColumn("_end", F.col(start) + F.col(length))
+    along, at, slices = [start, "_end"], F.col(start) * 1_000_000, slice_length
+    rows = scan(rows, [flow], along, {"_high": Scan("max", F.col("_end"))}, at, slices)
+    gap = F.when(F.col("_high").isNull() | (F.col(start) > F.col("_high")), 1).otherwise(0)
+    marked = scan(rows.withColumn("_gap", gap), [flow], along, {"_island": Scan("sum", F.col("_gap"), inclusive=True)}, at, slices)
     ranges = marked.groupBy(flow, "_island").agg(F.min(start).alias("lo"), F.max("_end").alias("hi")).drop("_island")
     covered, span = F.sum(F.col("hi") - F.col("lo")).alias("covered"), (F.max("hi") - F.min("lo")).alias("span")
     summary = ranges.groupBy(flow).agg(F.count("*").alias("ranges"), covered, span)

@@ -132,6 +132,17 @@ FROM (
     "lu_encryptions": """
 SELECT CAST(id AS INT) AS encryption_id, name AS encryption_desc
 FROM (VALUES (0, 'none'), (1, 'WEP'), (2, 'TKIP'), (4, 'CCMP'), (8, 'PSK'), (16, '802.1X'), (256, 'vendor-specific'), (512, 'unknown')) AS t(id, name)""",
+    # fixed values: roles of stations, as bits of their flags
+    "lu_station_flags": """
+SELECT CAST(id AS INT) AS flag, name AS flag_desc FROM (VALUES (1, 'acted as client'), (2, 'acted as access point'), (4, 'acted as IBSS')) AS t(id, name)""",
+    # fixed values: what was captured of a web request, as bits of its flags
+    "lu_web_request_flags": """
+SELECT CAST(id AS INT) AS flag, name AS flag_desc
+FROM (VALUES (1, '>0 packets captured from request stream'), (2, '>0 packets captured from response stream'), (4, 'SYN captured from request stream'), (8, 'first TCP data segment captured from request stream'),
+  (16, 'value of HTTP ''Host'' header from request stream'), (32, 'value of HTTP ''Set-Cookie'' header from response stream')) AS t(id, name)""",
+    # one row a capture node, the server is 0; here named after the suppliers
+    "lu_nodes": """
+SELECT CAST(s_suppkey % 12 AS INT) AS node_id, min(s_name) AS hostname, CASE WHEN s_suppkey % 12 < 8 THEN 'indoor' END AS testbed FROM supplier GROUP BY s_suppkey % 12""",
     # fixed values: names of frame types and subtypes, spelled as users know them
     "lu_wifi_types": """
 SELECT CAST(a AS INT) AS type_id, CAST(b AS INT) AS subtype_id, name AS type_desc

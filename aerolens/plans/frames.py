@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from aerolens.functions import scalars
 from aerolens.operators import aggregates, filters, graph, joins, networks, projections, state, stations, windows
 from aerolens.plans.fixtures import run_sql, view
-from aerolens.session import table
+from aerolens.session import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -88,6 +89,22 @@ def _decoded(spark, d) -> DataFrame:
     return decode_frames(run_sql(spark, d, BYTES)).withColumn("length", F.octet_length("raw"))
 
 
+@query("src_1_captures", f"SELECT frame_id % 4 AS part, count(*) AS packets, CAST(sum(ftype + 10 * fsubtype + seq) AS BIGINT) AS fields, count(ssid) AS names, min(ts_us) AS first_us FROM (SELECT x.*, US(ts) AS ts_us FROM ({EXPECTED}) AS x JOIN events ON event_id = frame_id) AS y GROUP BY 1")
+def _(spark, d):
+    """Capture files written from events, read back by splits much smaller than a file."""
+    from aerolens.session import shared_dir
+    from aerolens.sources.captures import read_large_captures, write_captures
+    from aerolens.sources.frames import decode_frames
+
+    folder = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    # the length on the air tells the part
+    packets = run_sql(spark, d, BYTES).withColumn("length", (1000 + F.col(F_ID) % 4).cast("int")).repartition(4, "length").sortWithinPartitions("ts_us", F_ID)
+    write_captures(packets, folder).collect()
+    frames_ = decode_frames(read_large_captures(spark, folder, split_bytes=100_000))
+    fields = F.sum(F.col("ftype") + 10 * F.col("fsubtype") + F.col("seq")).cast("long")
+    return frames_.groupBy((F.col("length") - 1000).cast("long").alias("part")).agg(F.count("*").alias("packets"), fields.alias("fields"), F.count("ssid").alias("names"), F.min("ts_us").alias("first_us"))
+
+
 @query("src_3_decode", f"SELECT * EXCLUDE (bare, swapped) FROM ({EXPECTED}) AS x")
 def _(spark, d):
     return _decoded(spark, d).select(F_ID, "ftype", "fsubtype", "protected", "seq", "ta", "bssid", "ssid", "bcn_int", "adv_channel", "ibss", "group_cipher", "cipher_bits", "bad_ciphers", "tid", "ethertype")
@@ -188,6 +205,18 @@ def _(spark, d):
     return projections.shift_time(view(spark, d, "fx_frames"), 1_500_000).select(F_ID, F.unix_micros("ts").alias("us"))
 
 
+@query("src_7_roles", "SELECT flag_desc, count(DISTINCT mac) AS stations FROM fx_station_stats JOIN lu_station_flags ON (flags & flag) > 0 GROUP BY flag_desc")
+def _(spark, d):
+    roles = joins.bitmask_join(view(spark, d, "fx_station_stats"), "flags", view(spark, d, "lu_station_flags"), "flag")
+    return roles.groupBy("flag_desc").agg(F.countDistinct("mac").alias("stations"))
+
+
+@query("src_7_nodes", "SELECT hostname, coalesce(testbed, 'none') AS testbed, count(*) AS reports, CAST(sum(filt_capt_packets) AS BIGINT) AS packets FROM fx_pcap_stats JOIN lu_nodes USING (node_id) GROUP BY ALL")
+def _(spark, d):
+    named = view(spark, d, "fx_pcap_stats").join(view(spark, d, "lu_nodes"), "node_id")
+    return named.groupBy("hostname", F.coalesce("testbed", F.lit("none")).alias("testbed")).agg(F.count("*").alias("reports"), F.sum("filt_capt_packets").cast("long").alias("packets"))
+
+
 @query("jn_2_ciphers", "SELECT encryption_desc, count(DISTINCT bssid) AS networks FROM fx_bss_stats JOIN lu_encryptions ON (encryption_types & encryption_id) > 0 GROUP BY encryption_desc")
 def _(spark, d):
     return joins.bitmask_join(view(spark, d, "fx_bss_stats"), "encryption_types", view(spark, d, "lu_encryptions"), "encryption_id").groupBy("encryption_desc").agg(F.countDistinct("bssid").alias("networks"))
@@ -228,8 +257,8 @@ ASSOC = "SELECT station_mac, US(ts) AS us, max(bssid) AS ap FROM fx_associations
 def _(spark, d):
     known = run_sql(spark, d, ASSOC)
     frames = view(spark, d, "fx_frames").select(F_ID, F.expr("CASE WHEN bssid < 5 THEN bssid END AS own"), F.col("ta").alias("station_mac"), (F.col("ta") + 1).alias("peer"), F.unix_micros("ts").alias("us"))
-    by_source = joins.asof_join(frames, known, ["station_mac"], "us", "us", ["ap"]).withColumnRenamed("asof_ap", "source_ap")
-    both = joins.asof_join(by_source.drop("station_mac").withColumnRenamed("peer", "station_mac"), known, ["station_mac"], "us", "us", ["ap"])
+    by_source = joins.asof_join(frames, known, ["station_mac"], "us", "us", ["ap"], slice_length=86_400_000_000).withColumnRenamed("asof_ap", "source_ap")
+    both = joins.asof_join(by_source.drop("station_mac").withColumnRenamed("peer", "station_mac"), known, ["station_mac"], "us", "us", ["ap"], slice_length=86_400_000_000)
     return both.select(F_ID, F.coalesce("own", "source_ap", "asof_ap").alias("bssid"))
 
 
@@ -248,7 +277,7 @@ def _(spark, d):
 def _(spark, d):
     alerts = view(spark, d, "fx_alerts").select("src_mac", F.unix_micros("ts").alias("us"), "sig_id")
     seen = view(spark, d, "fx_frames").filter("ftype <> 1").select(F.col("ta").alias("src_mac"), F.unix_micros("ts").alias("us"), F_ID, "sniffer_id")
-    out = joins.asof_join(alerts, seen, ["src_mac"], "us", "us", ["frame_id", "sniffer_id"], tolerance=F.lit(86_400_000_000))
+    out = joins.asof_join(alerts, seen, ["src_mac"], "us", "us", ["frame_id", "sniffer_id"], tolerance=F.lit(86_400_000_000), slice_length=86_400_000_000)
     return out.select("src_mac", "us", "sig_id", F.col("asof_sniffer_id").alias("sniffer_id"))
 
 
@@ -420,12 +449,6 @@ def _(spark, d):
     return aggregates.loss_accounting(view(spark, d, "fx_frames").select(F.col("sniffer_id").alias("host"), kind.alias("kind"), F.col("length").cast("long").alias("n")))
 
 
-@query("agg_22_states", "SELECT capt_node_id, count(*) FILTER (WHERE NOT i AND NOT a) AS clients, count(*) FILTER (WHERE NOT i AND a) AS aps, count(*) FILTER (WHERE i) AS ibss, count(*) AS stations, count(DISTINCT bssid) AS bss FROM (SELECT capt_node_id, bssid, station_mac % 5 = 0 AS i, station_mac % 3 = 0 AS a FROM fx_associations) AS x GROUP BY capt_node_id")
-def _(spark, d):
-    s = view(spark, d, "fx_associations").withColumns({"is_ibss": F.col("station_mac") % 5 == 0, "is_ap": F.col("station_mac") % 3 == 0})
-    return aggregates.association_counts(s, ["capt_node_id"])
-
-
 @query("win_1_inferred", "WITH l AS (SELECT ta, seq, retry, lag(seq) OVER (PARTITION BY ta ORDER BY ts, frame_id) AS p FROM fx_frames WHERE ftype <> 1), g AS (SELECT ta, CASE WHEN p IS NULL THEN CASE WHEN seq < 8 THEN seq ELSE 1 END WHEN p <= seq THEN seq - p WHEN p - seq < 3 AND retry THEN 0 ELSE seq + 4096 - p END AS gap FROM l), a AS (SELECT DISTINCT ta FROM fx_frames) SELECT a.ta, count(gap) AS captured, CAST(coalesce(sum(CASE WHEN gap = 0 THEN 1 ELSE gap END), 0) AS BIGINT) AS inferred FROM a LEFT JOIN g ON g.ta = a.ta GROUP BY a.ta")
 def _(spark, d):
     return windows.inferred_packets(view(spark, d, "fx_frames"), slice_seconds=86_400)
@@ -436,12 +459,12 @@ PINGS = "SELECT ta AS source, ts, frame_id AS event_id, CASE WHEN frame_id % 10
 
 @query("win_2_pings", f"WITH p AS ({PINGS}), n AS (SELECT *, row_number() OVER w AS k, sum(CASE WHEN seq = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM p WINDOW w AS (PARTITION BY source ORDER BY ts, event_id)), h AS (SELECT *, max(seq) OVER (PARTITION BY source, run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM n), g AS (SELECT *, high IS NULL OR seq > high AS fresh FROM h) SELECT source, count(*) FILTER (WHERE fresh) AS received, CAST(sum(CASE WHEN k = 1 THEN seq WHEN seq = 0 OR NOT fresh THEN 0 ELSE seq - high - 1 END) AS BIGINT) AS dropped, count(*) FILTER (WHERE NOT fresh) AS duplicates, list_reduce(list(CAST(delay AS DOUBLE) ORDER BY k) FILTER (WHERE fresh), lambda m, x: m + (x - m) / 16) AS avg_delay FROM g GROUP BY source")
 def _(spark, d):
-    return windows.ping_loss(run_sql(spark, d, PINGS), delay="delay")
+    return windows.ping_loss(run_sql(spark, d, PINGS), delay="delay", slice_seconds=86_400)
 
 
 @query("win_3_sessions", "WITH g AS (SELECT src_mac, http_host, ts, CASE WHEN US(ts) - lag(US(ts)) OVER w <= 86400000000 THEN 0 ELSE 1 END AS n FROM fx_web_requests WINDOW w AS (PARTITION BY src_mac, http_host ORDER BY ts)), s AS (SELECT *, sum(n) OVER (PARTITION BY src_mac, http_host ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT src_mac, http_host, CAST(session AS BIGINT) AS session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS requests FROM s GROUP BY src_mac, http_host, session")
 def _(spark, d):
-    return windows.session_summary(view(spark, d, "fx_web_requests"), ["src_mac", "http_host"], gap_seconds=86_400)
+    return windows.session_summary(view(spark, d, "fx_web_requests"), ["src_mac", "http_host"], gap_seconds=86_400, slice_seconds=432_000)
 
 
 @query("win_4_rolling", "WITH r AS (SELECT frame_id, list_sort(list(length) OVER (PARTITION BY ta ORDER BY ts, frame_id ROWS 10 PRECEDING)) AS v FROM fx_frames) SELECT frame_id, v[len(v) // 2 + 1] AS median, v[len(v)] - v[1] AS spread FROM r")
@@ -594,18 +617,24 @@ path(slice, s, skew_us, spread_us, via) AS (
 best AS (SELECT slice, s, min_by(skew_us, (len(via), via)) AS skew_us, min_by(spread_us, (len(via), via)) AS spread_us FROM path GROUP BY slice, s)"""
 
 
-@query("str_2_skew", f"WITH RECURSIVE {MERGED_SQL}, {PAIRS_SQL}, {SLICES_SQL}, first AS (SELECT min(ts_us) + 60000000 AS warm FROM fx_captures) SELECT frame_id, CASE WHEN ts_us < warm THEN ts_us ELSE ts_us - coalesce(b.skew_us, 0) END AS ts_us, CASE WHEN ts_us < warm THEN 0 ELSE CAST(least(greatest(coalesce(b.spread_us, 100000), 50), 250000) AS INT) END AS err_us FROM first, fx_captures AS c LEFT JOIN best AS b ON b.s = c.sniffer_id AND b.slice = c.ts_us // {SKEW_SLICE}")
+#: A third of the contents are no beacons; skews are learned from beacons only.
+BEACON = "payload_hash % 36 <> 0"
+BEACONS_SQL = MERGED_SQL.replace("FROM fx_captures", f"FROM (SELECT * FROM fx_captures WHERE {BEACON}) AS f")
+
+
+@query("str_2_skew", f"WITH RECURSIVE {BEACONS_SQL}, {PAIRS_SQL}, {SLICES_SQL}, first AS (SELECT min(ts_us) + 60000000 AS warm FROM fx_captures) SELECT frame_id, CASE WHEN ts_us < warm THEN ts_us ELSE ts_us - coalesce(b.skew_us, 0) END AS ts_us, CASE WHEN ts_us < warm THEN 0 ELSE CAST(least(greatest(coalesce(b.spread_us, 100000), 50), 250000) AS INT) END AS err_us FROM first, fx_captures AS c LEFT JOIN best AS b ON b.s = c.sniffer_id AND b.slice = c.ts_us // {SKEW_SLICE}")
 def _(spark, d):
     captures = view(spark, d, "fx_captures")
     base, warm = state.base_sniffer(captures)
-    history = state.skew_history(state.merge_captures(captures), slice_us=SKEW_SLICE)
+    merged = staged(state.merge_captures(captures.filter(BEACON)), "merged")
+    history = state.skew_history(merged, slice_us=SKEW_SLICE)
     adjusted = state.apply_skew(captures, graph.skew_paths(history, base), slice_us=SKEW_SLICE, warmup_end=warm)
     return adjusted.select(F_ID, "ts_us", "err_us")
 
 
 @query("gra_1_paths", f"WITH RECURSIVE {MERGED_SQL}, {PAIRS_SQL}, rolled AS (SELECT *, list_sort(list(skew_us) OVER (PARTITION BY src, dst ORDER BY frame_id ROWS 10 PRECEDING)) AS v FROM pairs), edge AS (SELECT src, dst, max_by(v, frame_id) AS v FROM rolled GROUP BY ALL), path(s, skew_us, spread_us, via) AS (SELECT 0, 0::BIGINT, 0::BIGINT, [0] UNION ALL SELECT e.dst, p.skew_us + v[len(v) // 2 + 1], p.spread_us + v[len(v)] - v[1], list_append(via, e.dst) FROM path AS p JOIN edge AS e ON e.src = p.s WHERE NOT list_contains(via, e.dst)) SELECT s AS sniffer_id, CAST(min(len(via)) - 1 AS INT) AS hops, min_by(skew_us, (len(via), via)) AS skew_us, min_by(spread_us, (len(via), via)) AS spread_us FROM path GROUP BY s")
 def _(spark, d):
-    return graph.shortest_hop_sums(state.estimate_skew(state.merge_captures(view(spark, d, "fx_captures"))), 0)
+    return graph.skew_paths(state.estimate_skew(staged(state.merge_captures(view(spark, d, "fx_captures")), "merged")), 0, ())
 
 
 _DAY = 86_400_000_000
@@ -643,31 +672,55 @@ def _(spark, d):
 
 
 _MAC = lambda c: f"concat('00:00:00:00:0', CAST({c} % 10 AS VARCHAR(4)), ':', CAST(100 + {c} % 100 AS VARCHAR(4)))"
-ADDRESSED = f"SELECT frame_id, ts, ftype, CAST(frame_id % 16 AS INT) AS fsubtype, CAST(frame_id % 3 AS INT) AS dir, {_MAC('ta % 37')} AS ta, CASE frame_id % 13 WHEN 0 THEN 'ff:ff:ff:ff:ff:ff' WHEN 1 THEN '01:00:5e:00:00:01' ELSE {_MAC('(ta + frame_id) % 41')} END AS ra, CASE frame_id % 17 WHEN 0 THEN NULL WHEN 1 THEN 'ff:ff:ff:ff:ff:ff' ELSE {_MAC('(sniffer_id % 3)')} END AS bssid FROM fx_frames"
+ADDRESSED = f"SELECT frame_id, ts, ftype, CAST(frame_id % 16 AS INT) AS fsubtype, sniffer_id, CAST(frame_id % 3 AS INT) AS dir, {_MAC('ta % 37')} AS ta, CASE frame_id % 13 WHEN 0 THEN 'ff:ff:ff:ff:ff:ff' WHEN 1 THEN '01:00:5e:00:00:01' ELSE {_MAC('(ta + frame_id) % 41')} END AS ra, CASE frame_id % 17 WHEN 0 THEN NULL WHEN 1 THEN 'ff:ff:ff:ff:ff:ff' ELSE {_MAC('(sniffer_id % 3)')} END AS bssid FROM fx_frames"
 _ASSOC = {"timeout_us": 12 * 3_600_000_000, "refresh_us": 7_200_000_000, "ap_hold_us": 3_600_000_000, "tx_hold_us": 3_600_000_000}
 ASSOC_SQL = f"""f AS ({ADDRESSED}), d AS (SELECT *, US(ts) AS us FROM f WHERE ftype = 2 AND fsubtype IN (0, 1, 2, 3, 8, 9, 10, 11) AND bssid <> 'ff:ff:ff:ff:ff:ff' AND ra NOT IN ('ff:ff:ff:ff:ff:ff', '01:00:5e:00:00:01')),
-r AS (SELECT ta AS station, us, frame_id, bssid, dir = 2 AS ap, TRUE AS tx FROM d UNION ALL SELECT ra, us, frame_id, bssid, dir = 1, FALSE FROM d),
+r AS (SELECT ta AS station, us, frame_id, sniffer_id, bssid, dir = 2 AS ap, dir = 0 AS ib, TRUE AS tx FROM d UNION ALL SELECT ra, us, frame_id, sniffer_id, bssid, dir = 1, dir = 0, FALSE FROM d),
 n AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY us, frame_id, tx DESC) AS k FROM r),
--- b, a: BSSID and role; e, u, x: times of the last event, update and sent frame
+-- b, a, i: BSSID, role and whether it is an IBSS; e, u, x: times of the last event, update and sent frame
 s AS (
-  SELECT station, k, us, bssid AS b, ap AS a, us AS e, us AS u, CASE WHEN tx THEN us END AS x, 'new' AS event FROM n WHERE k = 1
+  SELECT station, k, us, sniffer_id, bssid AS b, ap AS a, ib AS i, us AS e, us AS u, CASE WHEN tx THEN us END AS x, 'new' AS event FROM n WHERE k = 1
   UNION ALL
-  SELECT station, k, us,
-         CASE WHEN event IN ('new', 'change') THEN bssid ELSE b END, CASE WHEN event IN ('new', 'change') THEN ap ELSE a END, CASE WHEN event IS NOT NULL AND event <> 'held' THEN us ELSE e END,
+  SELECT station, k, us, sniffer_id,
+         CASE WHEN event IN ('new', 'change') THEN bssid ELSE b END, CASE WHEN event IN ('new', 'change') THEN ap ELSE a END, CASE WHEN event IN ('new', 'change') THEN ib ELSE i END, CASE WHEN event IS NOT NULL AND event <> 'held' THEN us ELSE e END,
          CASE WHEN event = 'held' THEN u ELSE us END, CASE WHEN tx THEN us WHEN event = 'new' THEN NULL ELSE x END, event
   FROM (
-    SELECT n.*, s.b, s.a, s.e, s.u, s.x,
+    SELECT n.*, s.b, s.a, s.i, s.e, s.u, s.x,
            CASE WHEN n.us - s.u > {_ASSOC["timeout_us"]} THEN 'new'
                 WHEN n.bssid <> s.b THEN CASE WHEN s.a AND n.us - s.u <= {_ASSOC["ap_hold_us"]} OR NOT n.tx AND s.x IS NOT NULL AND n.us - s.x < {_ASSOC["tx_hold_us"]} THEN 'held' ELSE 'change' END
                 WHEN n.us - s.e >= {_ASSOC["refresh_us"]} THEN 'refresh' END AS event
-    FROM s JOIN n ON n.station = s.station AND n.k = s.k + 1) AS j)"""
+    FROM s JOIN n ON n.station = s.station AND n.k = s.k + 1) AS j),
+ev AS (SELECT station, us AS ts_us, b AS bssid, a AS is_ap, i AS is_ibss, sniffer_id, event, k FROM s WHERE event IN ('new', 'change', 'refresh'))"""
+COUNTS_SQL = "count(*) FILTER (WHERE NOT is_ibss AND NOT is_ap) AS clients, count(*) FILTER (WHERE NOT is_ibss AND is_ap) AS aps, count(*) FILTER (WHERE is_ibss) AS ibss, count(*) AS stations, count(DISTINCT bssid) AS bss"
 
 
-@query("str_4_associations", f"WITH RECURSIVE {ASSOC_SQL} SELECT station, us AS ts_us, b AS bssid, a AS is_ap, event FROM s WHERE event IN ('new', 'change', 'refresh')")
-def _(spark, d):
+def _associations(spark, d) -> DataFrame:
     return state.associations(run_sql(spark, d, ADDRESSED), **_ASSOC)
 
 
+def _latest(events: DataFrame, *keys: str) -> DataFrame:
+    """What the last event of each station says."""
+    fields = ("bssid", "is_ap", "is_ibss", "sniffer_id")
+    # no two events of a station have one time, as the second would be its refresh or held back
+    return events.groupBy("station", *keys).agg(F.max_by(F.struct(*fields), "ts_us").alias("v")).select("station", *keys, "v.*")
+
+
+@query("str_4_associations", f"WITH RECURSIVE {ASSOC_SQL} SELECT * EXCLUDE (k) FROM ev")
+def _(spark, d):
+    return _associations(spark, d)
+
+
+@query("agg_22_states", f"WITH RECURSIVE {ASSOC_SQL}, l AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY station ORDER BY k DESC) = 1) SELECT sniffer_id, {COUNTS_SQL} FROM l GROUP BY sniffer_id")
+def _(spark, d):
+    return aggregates.association_counts(_latest(_associations(spark, d)), ["sniffer_id"])
+
+
+@query("str_15_state_counts", f"WITH RECURSIVE {ASSOC_SQL}, l AS (SELECT *, ts_us // 86400000000 * 86400000000 AS start_us FROM ev QUALIFY row_number() OVER (PARTITION BY station, ts_us // 86400000000 ORDER BY k DESC) = 1) SELECT start_us, {COUNTS_SQL} FROM l GROUP BY start_us")
+def _(spark, d):
+    daily = _associations(spark, d).withColumn("start_us", F.expr("ts_us div 86400000000 * 86400000000"))
+    return aggregates.association_counts(_latest(daily, "start_us"), ["start_us"])
+
+
 BEACONS = """SELECT frame_id, ts, bssid, CASE WHEN frame_id % 4 = 0 THEN '' WHEN bssid % 4 = 1 AND frame_id % 3 = 0 THEN 'other' ELSE concat('net', CAST(bssid % 3 AS VARCHAR(8))) END AS ssid, CASE WHEN frame_id % 5 = 0 THEN 0 ELSE 1 + CAST(frame_id * frame_id % (1 + bssid) AS INT) END AS adv_channel,
   CASE WHEN bssid % 3 = 0 THEN 0 ELSE CAST(frame_id % 64 AS INT) END AS cipher_bits, CASE WHEN frame_id % 7 = 0 THEN 4 WHEN frame_id % 3 = 0 THEN 2 ELSE 0 END AS group_cipher, fsubtype = 8 AS is_beacon, CAST(100 + bssid % 2 * (frame_id % 11 // 10) AS INT) AS bcn_int,
   CASE WHEN frame_id % 3 = 1 THEN -1 ELSE bssid END AS ta, bssid % 5 = 3 AND frame_id % 6 > 0 AS ibss FROM fx_frames WHERE ftype = 0"""
@@ -827,7 +880,3 @@ def _(spark, d):
     return view(spark, d, "fx_frames").groupBy(scalars.link(F.col("ta"), F.col("bssid")).alias("l")).agg(F.count("*").alias("frames")).select("l.a", "l.b", "frames")
 
 
-@query("str_15_state_counts", "SELECT US(ts) // 86400000000 * 86400000000 AS start_us, count(*) FILTER (WHERE NOT i AND NOT a) AS clients, count(*) FILTER (WHERE NOT i AND a) AS aps, count(*) FILTER (WHERE i) AS ibss, count(*) AS stations, count(DISTINCT bssid) AS bss FROM (SELECT ts, bssid, station_mac % 5 = 0 AS i, station_mac % 3 = 0 AS a FROM fx_associations) AS x GROUP BY 1")
-def _(spark, d):
-    s = view(spark, d, "fx_associations").withColumns({"is_ibss": F.col("station_mac") % 5 == 0, "is_ap": F.col("station_mac") % 3 == 0, "start_us": F.expr("unix_micros(ts) div 86400000000 * 86400000000")})
-    return aggregates.association_counts(s, ["start_us"])

@@ -150,14 +150,13 @@ UNION ALL SELECT 'net', ts, unnest([a, b]), bytes FROM net)"""
 _SHOWN = f"v IS NOT NULL AND host IS NOT NULL AND (host <> '{SERVER}' OR metric LIKE 'route-%')"
 
 
-def _paths(entries: DataFrame) -> DataFrame:
-    ends = metrics.net_traffic(entries, SERVER).select("src", "dst").distinct()
+def _paths(ends: DataFrame) -> DataFrame:
     return ends.withColumn("links", F.array(F.struct(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))))
 
 
 def _values(spark, d) -> DataFrame:
     entries = view(spark, d, "fx_loglines")
-    return metrics.metric_values(entries, metrics.METRICS, SERVER, paths=_paths(entries), order=["event_id"])
+    return metrics.metric_values(entries, metrics.METRICS, SERVER, paths=_paths, order=["event_id"])
 
 
 @query("met_2_metrics", _sql(f"{_ALL} SELECT metric, host, count(*) AS entries, round(sum(v), 3) AS total FROM v WHERE {_SHOWN} GROUP BY metric, host"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aerolens.plans import analyst, frames, logs  # noqa: F401  logs adds its queries to those of frames
+from aerolens.plans import analyst, flows, frames, logs  # noqa: F401  flows and logs add their queries to those of frames
 from aerolens.plans.fixtures import sql_query, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
+from datetime import date, datetime, timedelta, timezone
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -177,10 +180,31 @@ def write_routed(df: DataFrame, path: str, route: str = "route") -> None:
 
 
 def prune_daily(spark: SparkSession, path: str, keep_from: str) -> DataFrame:
-    """The days on or after keep_from; the partition filter reads no older folder. Deleting old folders is left to the store's own rules."""
+    """The days on or after keep_from; the partition filter reads no older folder."""
     return spark.read.parquet(path).filter(F.col("date") >= F.lit(keep_from).cast("date"))
 
 
+def expire_daily(path: str, keep_days: int, today: date | None = None, dry_run: bool = True) -> list[str]:
+    """The days whose folders are keep_days old or more, oldest first; they are deleted unless it is a dry run.
+
+    A job of its own, beside the writers: today's folder and later ones are never
+    touched, nor is anything but folders of days. The days of a table are few.
+    """
+    if keep_days < 1:
+        raise ValueError("today's folder is kept at least")
+    system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    limit = (today or datetime.now(timezone.utc).date()) - timedelta(days=keep_days)
+    days = {}
+    for info in system.get_file_info(fs.FileSelector(inner)):
+        if info.type == fs.FileType.Directory and (m := re.fullmatch(r"date=(\d{4}-\d{2}-\d{2})", info.base_name)):
+            days[m[1]] = info.path
+    old = sorted(d for d in days if date.fromisoformat(d) <= limit)
+    if not dry_run:
+        for d in old:
+            system.delete_dir(days[d])
+    return old
+
+
 def write_hourly_logs(entries: DataFrame, path: str, least: int = 2) -> None:
     """Entries of level rank `least` and up, one folder a day and hour."""
     line = F.concat_ws(" ", F.date_format("ts", "MMM dd HH:mm:ss.SSS"), "source", "level", "data")

@@ -49,6 +49,26 @@ def start(frames: DataFrame, queries: Sequence[StreamQuery], path: str, checkpoi
     ]
 
 
+def fan_out(frames: DataFrame, queries: Sequence[StreamQuery], path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """All queries over one read of the stream: each micro-batch is kept while every query writes its part.
+
+    For queries that look at one row at a time. A query's rows lie in
+    path/name/batch=number and take the place of what an earlier try of the same
+    batch left, so a restart writes nothing twice.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        try:
+            for q in queries:
+                q.plan(batch).write.mode("overwrite").parquet(f"{path}/{q.name}/batch={number}")
+        finally:
+            batch.unpersist()
+
+    wanted = shared_filter(frames, [q.filter for q in queries])
+    return wanted.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def interval_stream(frames: DataFrame, keys: Sequence[str], interval: str = "300 seconds", late: str = "10 seconds", ts: str = "ts") -> DataFrame:
     """Packets and bytes of each key and event-time interval; rows later than the watermark are dropped by Spark."""
     w = frames.withWatermark(ts, late).groupBy(F.window(ts, interval).alias("w"), *keys)

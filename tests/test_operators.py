@@ -300,9 +300,9 @@ def test_channel_changes_keep_all_rows(spark):
 
 def test_skew_paths(spark):
     edges = spark.createDataFrame([(0, 1, 10, 1), (1, 2, 5, 2), (0, 3, 7, 1), (3, 2, 100, 1), (1, 0, -10, 1)], "src int, dst int, skew_us long, spread_us long")
-    assert rows(graph.shortest_hop_sums(edges, 0)) == [(0, 0, 0, 0), (1, 1, 10, 1), (2, 2, 15, 3), (3, 1, 7, 1)]
+    assert rows(graph.skew_paths(edges, 0, ())) == [(0, 0, 0, 0), (1, 1, 10, 1), (2, 2, 15, 3), (3, 1, 7, 1)]
     captures = spark.createDataFrame([(2, 100), (9, 100)], "sniffer_id int, ts_us long")
-    skews = graph.shortest_hop_sums(edges, 0).select("sniffer_id", "skew_us", "spread_us")
+    skews = graph.skew_paths(edges, 0, ()).select("sniffer_id", "skew_us", "spread_us")
     assert rows(state.apply_skew(captures, skews).select("sniffer_id", "ts_us", "err_us")) == [(2, 85, 50), (9, 100, 100_000)]
 
 
@@ -511,7 +511,7 @@ def test_log_merge_and_escape_of_all_rows(spark):
 
 def test_skew_paths_of_many_hops(spark):
     edges = spark.createDataFrame([(i, i + 1, 10, 1) for i in range(9)] + [(i + 1, i, -10, 1) for i in range(9)], "src int, dst int, skew_us long, spread_us long")
-    assert rows(graph.shortest_hop_sums(edges, 0)) == [(i, i, 10 * i, i) for i in range(10)]
+    assert rows(graph.skew_paths(edges, 0, ())) == [(i, i, 10 * i, i) for i in range(10)]
 
 
 def test_keyed_rows_are_streamed(spark):
@@ -680,3 +680,38 @@ def test_islands_of_hot_contents_and_stations(spark, tmp_path):
     df = spark.createDataFrame(frames_, "frame_id long, ts timestamp, ftype int, fsubtype int, dir int, ta string, ra string, bssid string")
     plain, sliced = (rows(state.associations(df, hot_rows=hot, slice_seconds=700)) for hot in (None, 10))
     assert plain == sliced and plain
+
+
+def test_windows_in_slices_equal_whole_windows(spark):
+    """Sessions, pings, rolling medians and covered ranges give the same in slices of any length, with null keys, pauses and sparse slices."""
+    rng = random.Random(21)
+    data = [(i, None if i % 13 == 0 else i % 3, datetime(2024, 1, 1) + timedelta(seconds=rng.choice([rng.randrange(300), rng.randrange(40_000)])), rng.choice([0, *range(30)]), rng.randrange(100)) for i in range(300)]
+    df = spark.createDataFrame(data, "id long, k int, ts timestamp, seq int, x int")
+    order = ["ts", "id"]
+    forms = {
+        "sessions": lambda s: windows.gap_sessions(df, ["k"], gap_seconds=60, order=["id"], slice_seconds=s).select("id", "session"),
+        "pings": lambda s: windows.ping_loss(df, "k", order, slice_seconds=s),
+        "medians": lambda s: windows.rolling_median(df.filter("k is not null"), ["k"], order, "x", 5, slice_seconds=s).select("id", "median", "spread"),
+        "ranges": lambda s: windows.coverage_ranges(df.filter("k is not null"), "k", "seq", "x", slice_length=s)[0],
+    }
+    for name, form in forms.items():
+        whole = sorted(map(str, map(tuple, form(None).collect())))
+        for seconds in (7, 900):
+            assert sorted(map(str, map(tuple, form(seconds).collect()))) == whole, name
+
+
+def test_pairs_are_found_once(spark):
+    """One parse of a line gives every field what a search for that field gives."""
+    texts = ["HEAD a=1 b=2", "a=1 a=2", 'q="x y" z=3', "x_y=4 x-y=5", "x-y=5 x_y=6", "a= b=", 'a=1"x b=2', "=5 a=1", "a==1", "", None, "  lead=1", "a=1  b=2\tc=3\nd=4", 'a="" b="z"', "a b c", 'a="open b=2', "n=1/2|m=2", "a=1 b"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for key in ("a", "b", "x-y", "x_y", "q", "z", "lead", "d", "n"):
+        got = df.select("t", scalars.kv_field(F.col("t"), key).alias("one"), scalars.pair_value(scalars.line_pairs(F.col("t")), key).alias("all")).collect()
+        assert [(r["t"], r["one"]) for r in got] == [(r["t"], r["all"]) for r in got], key
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from aerolens.session import clear_staged, staged
+
+    clear_staged(spark)
+    rows_ = staged(spark.range(10), "rows")
+    assert rows_.count() == 10 and clear_staged(spark) == 1 and clear_staged(spark) == 0

@@ -192,3 +192,108 @@ def test_upsert_stream_keeps_the_latest(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         streams.upsert_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), f"{tmp_path}/table", "k", "t", f"{tmp_path}/ck").awaitTermination(120)
     assert sorted((r["k"], r["v"]) for r in spark.read.parquet(f"{tmp_path}/table/v=1").collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _files(spark, folder, batches, schema):
+    """One file a micro-batch, in order."""
+    import os
+    import time
+
+    for n, rows in enumerate(batches):
+        time.sleep(0.01)
+        spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(folder)
+        for name in os.listdir(folder):
+            if name.startswith("part-") and not os.path.exists(f"{folder}/.{name}.seen"):
+                at = time.time() - 1000 + 10 * n
+                os.utime(f"{folder}/{name}", (at, at))
+                open(f"{folder}/.{name}.seen", "w").close()
+    return spark.readStream.schema(f"{schema}, ts timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_associations_end_by_event_time(spark, tmp_path):
+    """A station without rows for 300 s of event time ends and is put out, one heard in time goes on."""
+    from aerolens.streaming.stateful import run_keyed_stream
+
+    spark.conf.set(*ROCKS)
+    try:
+        schema = "station string, s int, bssid string, is_ap boolean"
+        stream = _files(spark, f"{tmp_path}/in", [[("a", 9000, "x", False), ("b", 9005, "x", False)], [("a", 9200, "x", False)], [("c", 9400, "y", False)], [("a", 9450, "y", False)], [("c", 10_000, "y", False)]], schema)
+        step = association_step()
+        rows = lambda r: r | {"ts_us": int(r["s"]) * 1_000_000}
+        keep = ("station", "bssid", "event")
+        run = lambda state, batch: (lambda s, out: (None if s is None else (*s, batch[0]["station"]), [{k: r[k] for k in keep} for r in out]))(*step(state and state[:6], [rows(r) for r in batch]))
+        ended = lambda state: [{"station": state[6], "bssid": state[0], "event": "ended"}]
+        out = run_keyed_stream(stream, ["station"], ["s"], run, "station string, bssid string, event string", expire_seconds=300, finish=ended)
+        out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(180)
+        got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+        # b ends when c is heard at 9400; a changes at 9450 and ends when c is heard at 10,000; c begins anew then
+        assert got == sorted([("a", "x", "new"), ("a", "x", "refresh"), ("b", "x", "new"), ("b", "x", "ended"), ("c", "y", "new"), ("a", "y", "change"), ("a", "y", "ended"), ("c", "y", "new")])
+    finally:
+        spark.conf.unset(ROCKS[0])
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    """Rows that come after later ones of their key are counted; they pass, or are dropped if asked."""
+    from aerolens.streaming.stateful import late_counts, run_keyed_stream
+
+    spark.conf.set(*ROCKS)
+    try:
+        schema = "k string, s int"
+        batches = [[("a", 10), ("a", 30), ("b", 5)], [("a", 24), ("a", 26), ("b", 4)], [("a", 9), ("a", 40)]]
+        for drop in (False, True):
+            where = f"{tmp_path}/{drop}"
+            stream = _files(spark, f"{where}/in", batches, schema)
+            step = lambda state, rows: (state, [{"k": r["k"], "s": int(r["s"])} for r in rows])
+            out = run_keyed_stream(stream, ["k"], ["s"], step, "k string, s int", late_seconds=5, drop_late=drop)
+            out.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/ck").trigger(availableNow=True).start().awaitTermination(180)
+            got = sorted(tuple(r) for r in spark.read.parquet(f"{where}/out").collect())
+            assert got == sorted(r for batch in batches for r in batch if not drop or r not in (("a", 24), ("a", 9)))
+            assert [(r["key"]["k"], r["late"]) for r in late_counts(spark, f"{where}/ck").collect()] == [("a", 2)]
+    finally:
+        spark.conf.unset(ROCKS[0])
+
+
+def test_one_read_serves_all_queries(spark, tmp_path):
+    """Each query gets its rows from one read of the stream; a batch that is tried again replaces its files."""
+    frame_rows(spark).coalesce(1).write.parquet(f"{tmp_path}/in")
+    schema = spark.read.parquet(f"{tmp_path}/in").schema
+    wanted = [
+        streams.StreamQuery("raw_short", lambda df: df.select("frame_id", "ta"), ["raw"], F.col("length") < 200),
+        streams.StreamQuery("merged_all", lambda df: df.select("frame_id"), ["merged"], F.col("length") >= 150),
+        streams.StreamQuery("both", lambda df: df.select("frame_id", "length"), ["raw", "merged"], dupes=True),
+    ]
+    start = lambda: streams.fan_out(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), wanted, f"{tmp_path}/out", f"{tmp_path}/ck")
+    q = start()
+    q.awaitTermination(120)
+    assert sum(p["numInputRows"] for p in q.recentProgress) == 200
+    results = lambda: {n: sorted(tuple(r)[: len(plan.columns)] for r in spark.read.parquet(f"{tmp_path}/out/{n}").select(plan.columns).collect()) for n, plan in streams.plans(frame_rows(spark), wanted).items()}
+    want = {n: sorted(map(tuple, plan.collect())) for n, plan in streams.plans(frame_rows(spark), wanted).items()}
+    assert results() == want
+    # the last batch is not known to have ended: it runs again and leaves the same rows
+    (tmp_path / "ck" / "commits" / "0").unlink()
+    (tmp_path / "ck" / "commits" / ".0.crc").unlink(missing_ok=True)
+    start().awaitTermination(120)
+    assert results() == want
+
+
+def test_old_days_expire(spark, tmp_path):
+    from datetime import date
+
+    import pytest
+
+    rows = [(i, f"2024-03-{d:02d} 12:00:00") for i, d in enumerate((1, 2, 2, 9, 10, 11))]
+    frames.write_daily(spark.createDataFrame(rows, "id int, t string").selectExpr("id", "cast(t as timestamp) ts"), f"{tmp_path}/days")
+    (tmp_path / "days" / "notes").mkdir()
+    today = date(2024, 3, 10)
+    assert frames.expire_daily(f"{tmp_path}/days", 8, today) == ["2024-03-01", "2024-03-02"]
+    assert spark.read.parquet(f"{tmp_path}/days").count() == 6  # that was a dry run
+    assert frames.expire_daily(f"{tmp_path}/days", 8, today, dry_run=False) == ["2024-03-01", "2024-03-02"]
+    assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/days").collect()) == [3, 4, 5]
+    # the current day and later ones stay whatever is asked
+    assert frames.expire_daily(f"{tmp_path}/days", 1, today, dry_run=False) == ["2024-03-09"]
+    assert (tmp_path / "days" / "date=2024-03-10").exists() and (tmp_path / "days" / "notes").exists()
+    with pytest.raises(ValueError, match="today"):
+        frames.expire_daily(f"{tmp_path}/days", 0, today)
