@@ -205,13 +205,21 @@ class TokenShard:
         return cls(np.frombuffer(parts[0], dtype="<i8"), known, ends, matrix)
 
 
-def write_token_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 2, bits: int = 16, shard_ids: int = 500_000) -> DataFrame:
+def id_bits(tokenizer: str, end_id: int) -> int:
+    """Bits that hold every id of a tokenizer file and the end id."""
+    from tokenizers import Tokenizer
+
+    return max(1, max(end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()).bit_length())
+
+
+def write_token_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 2, bits: int | None = None, shard_ids: int = 500_000) -> DataFrame:
     """Encode all texts and write them as wavelet matrices in ascending doc_id order.
 
     Returns the written shard table: part, block (in order), n_docs, n_ids,
     start (ids in all shards before) and blob. Documents are dealt by ranges of
     doc_id; a task writes one blob for every shard_ids ids or so, a longer
-    document stays whole. bits must hold the largest id. Null texts are empty;
+    document stays whole. bits are those of the largest id of the tokenizer (or
+    end_id) if not given; an id that does not fit is an error. Null texts are empty;
     null doc_ids come last; equal doc_ids are ordered by text.
     """
 
@@ -222,7 +230,10 @@ def write_token_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 2, bits
         held: list[bytes] = []
 
         def flush() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), dtype="<u4").astype(np.uint16 if bits <= 16 else np.uint32)
+            ids = np.frombuffer(b"".join(held), dtype="<u4")
+            if len(ids) and int(ids.max()) >> bits:
+                raise ValueError(f"id {ids.max()} does not fit {bits} bits")
+            ids = ids.astype(np.uint16 if bits <= 16 else np.uint32)
             blob = TokenShard.pack(doc_ids, lengths, ids, bits)
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "block": pa.array([block], pa.int32()), "n_docs": [len(doc_ids)], "n_ids": [len(ids)], "blob": pa.array([blob], pa.binary())})
 
@@ -239,6 +250,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 2, bits
         if doc_ids:
             yield flush()
 
+    bits = bits or id_bits(tokenizer, end_id)
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
     ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
     shards = staged(ranged.mapInArrow(pack, "part int, block int, n_docs long, n_ids long, blob binary"), "shards")

@@ -5,9 +5,10 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 from tokenizers import Tokenizer
 
-from aerolens.llm.token_shards import CHUNK, TokenShard, WaveletMatrix, find_token, read_token_shards, write_token_shards
+from aerolens.llm.token_shards import CHUNK, TokenShard, WaveletMatrix, find_token, id_bits, read_token_shards, write_token_shards
 from aerolens.llm.tokens import Encoder, encoded
 
 PATH = str(public_tokenizers.path("byte_bpe_50k.json"))
@@ -109,3 +110,15 @@ def test_files_give_back_all_documents(spark):
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert read_token_shards(write_token_shards(docs, PATH)).collect() == []
+
+
+def test_ids_that_do_not_fit_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "a few plain words"), (2, None)], "doc_id long, text string")
+    with pytest.raises(Exception, match="does not fit 8 bits"):
+        write_token_shards(docs, PATH, bits=8)
+    with pytest.raises(Exception, match="does not fit 16 bits"):
+        write_token_shards(docs, PATH, end_id=70_000, bits=16)
+    # without a width it is that of the largest id
+    assert id_bits(PATH, 2) == 16 and id_bits(PATH, 70_000) == 17
+    got = {r["doc_id"]: r["ids_crc32"] for r in read_token_shards(write_token_shards(docs, PATH, end_id=70_000)).collect()}
+    assert got == {1: zlib.crc32(np.array([*plain_ids("a few plain words"), 70_000], dtype="<u4").tobytes()), 2: zlib.crc32(np.array([70_000], dtype="<u4").tobytes())}
