@@ -135,7 +135,7 @@ def kv_field(text: Column, key: str) -> Column:
 
 
 #: The valid pairs that a text begins with, and one pair more whatever follows it.
-_BEGIN = r'(?s)^((?:[^\s="]++(?:=(?:"[^"]*+"|[^\s"]*+))?\s++)*+(?:[^\s="]++=(?:"[^"]*"|[^\s"]*))?)'
+_BEGIN = r'(?s)^((?:(?:[^\s="]++(?:=(?:"[^"]*+"|[^\s"]*+))?)?\s++)*+(?:[^\s="]++=(?:"[^"]*"|[^\s"]*))?)'
 
 
 def line_pairs(text: Column) -> Column:
@@ -144,10 +144,10 @@ def line_pairs(text: Column) -> Column:
 
 
 def pair_value(pairs: Column, key: str) -> Column:
-    """As kv_field on the text of the pairs: the last of equal keys, quotes removed, underscores as dashes; null where missing or empty."""
+    """As kv_field on the text of the pairs: the last of equal keys, quotes removed, underscores as dashes; null where there is none."""
     own = F.filter(pairs, lambda p: F.translate(F.substring_index(p, "=", 1), "_", "-") == key.replace("_", "-"))
-    value = F.regexp_replace(F.substring(F.try_element_at(own, F.lit(-1)), len(key) + 2, 1 << 30), '^"|"$', "")
-    return F.when(value != "", value)
+    value = F.substring(F.try_element_at(own, F.lit(-1)), len(key) + 2, 1 << 30)
+    return F.when(value != "", F.regexp_replace(value, '^"|"$', ""))
 
 
 def split_records(text: Column) -> Column:
