@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolens.llm.common import WORD, Scratch
+from aerolens.llm.common import Scratch
 from aerolens.llm.line_dedup import line_dedup
 from aerolens.llm.mixing import mix_sources
 from aerolens.llm.near_dedup import near_duplicates
@@ -56,19 +56,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, the last one of a source cut to its words.
+    """Each document as often as the mix takes it, always whole.
 
-    A document taken in part is its first words joined by spaces; one that is
-    not taken has no row. Documents without words are taken once. A null source
-    is a source.
+    The last document of a source, which the mix takes in part, is taken once
+    more if that brings the source nearer to its target, so a source is off by
+    half a document at most. One that is not taken has no row. Documents without
+    words are taken once. A null source is a source.
     """
     mixed = mix_sources(docs, carry=("text", "lang", "n_chars"))
     size, taken = F.col("size"), F.col("taken")
-    parts = F.when(size > 0, F.floor(taken / size) + (taken % size > 0).cast("long")).otherwise(F.lit(1))
-    copies = mixed.withColumn("parts", parts).filter("parts > 0").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts"))))
-    rest = (size > 0) & (F.col("nth") * size > taken)
-    text = F.when(rest, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), (taken % size).cast("int")), " ")).otherwise(F.col("text"))
-    return copies.withColumn("text", text).select("doc_id", "text", "lang", "source", F.when(rest, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
+    times = F.when(size > 0, F.floor(taken / size) + (2 * (taken % size) >= size).cast("long")).otherwise(F.lit(1).cast("long"))
+    copies = mixed.withColumn("times", times).filter("times > 0").withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return copies.select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
