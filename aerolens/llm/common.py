@@ -70,6 +70,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
     A lost executor then costs the tasks it ran, not the work before them, and the
     shuffle files of the work before go at once. Tables that a lazy result reads
-    are staged here; those that end with the work, in its Scratch.
+    are staged here, until clear_staged; those that end with the work, in its
+    Scratch.
     """
-    return _written(df, f"{shared_dir(df.sparkSession)}/aerolens-{name}-{uuid.uuid4().hex}")
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/aerolens-{name}-{uuid.uuid4().hex}"
+    _STAGED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return _written(df, path)
+
+
+#: Tables that results of an application read.
+_STAGED: dict[str, list[str]] = {}
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Empty the tables that this application's earlier results read, once these results are written or not needed; how many."""
+    paths = _STAGED.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        spark.createDataFrame([], "gone int").coalesce(1).write.mode("overwrite").parquet(path)
+    return len(paths)

@@ -1,9 +1,8 @@
 """Toxicity: a factorization machine over hashed terms.
 
 The score of a document is sigmoid(b + sum of w + sum over pairs of v.v) over the
-terms it contains, so a pair such as an insult and a group's name can weigh more
-than the two alone. A term enters the model for an effect of its own or for one
-that it has only together with another term.
+buckets of the terms it contains, so a pair such as an insult and a group's name
+can weigh more than the two alone. Every term has a bucket, and all are trained.
 """
 
 from __future__ import annotations
@@ -20,20 +19,24 @@ from pyspark.sql import functions as F
 TERM = re.compile(r"[^\W\d_]+")
 
 
+#: Every term has one of so many buckets, whatever the input.
+BUCKETS = 1 << 18
+
+
 def hashed_terms(text: str | None) -> np.ndarray:
-    """Sorted distinct 32-bit hashes of the lower-cased terms of a whole text."""
+    """Sorted distinct buckets of the lower-cased terms of a whole text."""
     terms = set(TERM.findall(text.lower())) if text else ()
-    return np.unique(np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in terms), dtype=np.uint32, count=len(terms)))
+    return np.unique(np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in terms), dtype=np.uint32, count=len(terms)))
 
 
 class FactorizationMachine:
-    """Weights of the chosen hashed terms; any other term counts nothing."""
+    """Weights and factors of all buckets; those whose weight and factors are zero are left out, as they count nothing."""
 
     def __init__(self, keys: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> None:
         self.keys, self.bias, self.w, self.v = keys, bias, w, v
 
     def known(self, terms: np.ndarray) -> np.ndarray:
-        """Indices of the terms that have weights."""
+        """Indices of the buckets that have weights."""
         if not len(self.keys) or not len(terms):
             return np.zeros(0, dtype=np.int64)
         at = np.minimum(np.searchsorted(self.keys, terms), len(self.keys) - 1)
@@ -47,13 +50,16 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     @classmethod
-    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, *, max_terms: int = 2000, pair_terms: int = 2048, min_docs: int = 3, factors: int = 4, epochs: int = 30, batch: int = 32, rate: float = 0.2, l1: float = 1e-3, l2: float = 1e-3, seed: int = 7) -> FactorizationMachine:
-        """Adaptive-gradient descent in mini-batches on log loss with an L1 step on w.
-
-        Of the terms in min_docs rows or more at most max_terms get weights:
-        first those of a pair with an effect of its own (see pair_effects; pairs
-        of the pair_terms most frequent terms are looked at), then those that
-        tell the labels best apart alone (log-odds over 2 standard errors).
+    def fit(cls, rows: list[np.ndarray], labels: np.ndarray, *, factors: int = 4, epochs: int = 20, batch: int = 32, rate: float = 0.2, together: float = 6, l1: float = 1e-3, l1_unproven: float = 8.0, l2: float = 1e-3, seed: int = 7) -> FactorizationMachine:
+        """Adaptive-gradient descent in mini-batches on log loss, all buckets trained, with an L1 step on weights and factors.
+
+        Counts of the sample only set where training starts and how strong the
+        L1 step is. Buckets that tell the labels apart by log-odds, alone (over
+        two standard errors, and one more for each ten times 380 buckets up to
+        3.5, as more pass by chance) or in a pair (over `together` beyond the two alone,
+        see pair_effects), have a weak one and start with random factors.
+        All others start at 0 and leave it only where so many rows of one batch
+        that the model gets wrong share them.
         """
         n = len(rows)
         rate_of_label = float((labels.sum() + 0.5) / (n + 1)) if n else 0.0
@@ -65,19 +71,15 @@ class FactorizationMachine:
         df = np.bincount(ids, minlength=len(keys))
         hit = np.bincount(ids, weights=labels[of], minlength=len(keys))
         odds, error = log_odds(hit, df - hit, labels.sum() - hit, n - labels.sum() - df + hit)
-        z = np.where(df >= min_docs, np.abs(odds) / error, 0)
-        frequent = np.argsort(-df, kind="stable")[:pair_terms]
-        frequent = np.sort(frequent[(df[frequent] >= min_docs) & (df[frequent] < n)])
-        place = np.full(len(keys), -1)
-        place[frequent] = np.arange(len(frequent))
-        paired = np.zeros(len(keys))
-        paired[frequent] = pair_effects(of[place[ids] >= 0], place[ids][place[ids] >= 0], labels, len(frequent))
-        score = np.where(paired > 6, 1e6 + paired, np.where(z > 2, z, 0))
-        chosen = np.sort(np.argsort(-score, kind="stable")[: min(max_terms, int((score > 0).sum()))])
-        model = cls(keys[chosen], empty.bias, np.zeros(len(chosen)), np.random.default_rng(seed).normal(0, 0.05, (len(chosen), factors)))
-        data = [model.known(r) for r in rows]
+        paired = pair_effects(of, ids, labels, len(keys)) > together
+        alone = min(3.5, max(2.0, 2 + np.log10(len(keys) / 380)))
+        proven = paired | (np.abs(odds) / error > alone)
+        shrink = np.where(proven, l1, l1_unproven)
         rng = np.random.default_rng(seed)
-        gw, gv, gb = np.full(len(chosen), 1e-8), np.full((len(chosen), factors), 1e-8), 1e-8
+        model = cls(keys, empty.bias, np.zeros(len(keys)), np.where(proven[:, None], rng.normal(0, 0.05, (len(keys), factors)), 0))
+        data = np.split(ids, np.cumsum([len(r) for r in rows])[:-1])
+        gw, gv, gb = np.full(len(keys), 1e-8), np.full((len(keys), factors), 1e-8), 1e-8
+        clip = lambda x, by: np.sign(x) * np.maximum(np.abs(x) - by, 0)
         for _ in range(epochs):
             order = rng.permutation(n)
             for at in range(0, n, batch):
@@ -96,11 +98,12 @@ class FactorizationMachine:
                 dv = np.stack([np.bincount(inverse, weights=g[of] * (s[of, f] - v[:, f]), minlength=len(used)) for f in range(factors)], axis=1) + l2 * model.v[used]
                 gw[used] += dw * dw
                 step = rate / np.sqrt(gw[used])
-                w = model.w[used] - step * dw
-                model.w[used] = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+                model.w[used] = clip(model.w[used] - step * dw, step * shrink[used])
                 gv[used] += dv * dv
-                model.v[used] -= rate * dv / np.sqrt(gv[used])
-        return model
+                step = rate / np.sqrt(gv[used])
+                model.v[used] = clip(model.v[used] - step * dv, step * np.where(proven[used], 0, l1_unproven)[:, None])
+        some = (model.w != 0) | (model.v != 0).any(axis=1)
+        return cls(keys[some].astype(np.uint32), model.bias, model.w[some], model.v[some])
 
 
 def log_odds(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,20 +112,27 @@ def log_odds(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> tupl
     return np.log(cells[0] / cells[1]) - np.log(cells[2] / cells[3]), np.sqrt(sum(1 / x for x in cells))
 
 
-def pair_effects(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_terms: int, block: int = 256) -> np.ndarray:
+def pair_effects(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_terms: int, least: int = 5, block: int = 256) -> np.ndarray:
     """For each term the largest effect, in standard errors, of a pair that it is in beyond the effects of the two alone.
 
     rows and terms say which of n_terms terms stand in which row. The effect is
-    the change of one term's log-odds with the other's presence. Pairs are
-    counted a block of terms against another, so memory stays small.
+    the change of one term's log-odds with the other's presence. A pair in fewer
+    than `least` toxic rows cannot make its terms' rows toxic by six standard
+    errors, so terms in fewer need no look. Pairs are counted a block of terms
+    against another, so memory stays small.
     """
     most = np.zeros(n_terms)
-    present = np.zeros((len(labels), n_terms), dtype=bool)
-    present[rows, terms] = True
     toxic = labels > 0
+    often = np.flatnonzero((np.bincount(terms[toxic[rows]], minlength=n_terms) >= least) & (np.bincount(terms, minlength=n_terms) < len(labels)))
+    place = np.full(n_terms, -1)
+    place[often] = np.arange(len(often))
+    found = np.zeros(len(often))
+    present = np.zeros((len(labels), len(often)), dtype=bool)
+    inside = place[terms] >= 0
+    present[rows[inside], place[terms[inside]]] = True
     df, hit = present.sum(axis=0).astype(np.float32), present[toxic].sum(axis=0).astype(np.float32)
     n, pos = np.float32(len(labels)), np.float32(toxic.sum())
-    for at in range(0, n_terms, block):
+    for at in range(0, len(often), block):
         x = present[:, at : at + block].astype(np.float32)
         for to in range(0, at + 1, block):
             y = present[:, to : to + block].astype(np.float32)
@@ -134,8 +144,9 @@ def pair_effects(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, n_term
             z = np.abs(with_other - without) / np.sqrt(e1 * e1 + e2 * e2)
             if at == to:
                 np.fill_diagonal(z, 0)
-            most[at : at + block] = np.maximum(most[at : at + block], z.max(axis=1))
-            most[to : to + block] = np.maximum(most[to : to + block], z.max(axis=0))
+            found[at : at + block] = np.maximum(found[at : at + block], z.max(axis=1))
+            found[to : to + block] = np.maximum(found[to : to + block], z.max(axis=0))
+    most[often] = found
     return most
 
 

@@ -43,7 +43,10 @@ def test_stages(spark, tmp_path):
     assert {r[0] for r in before["mixing"]} == kept
     size = lambda t: len(WORD.findall(t or ""))
     total = sum(size(r[1]) for r in before["mixing"])
-    assert abs(sum(size(r[1]) for r in before["packing"]) - 1.5 * total) <= 2
+    # whole documents only, so each of the three sources may be off by half of one
+    longest = max(size(r[1]) for r in before["mixing"])
+    assert abs(sum(size(r[1]) for r in before["packing"]) - 1.5 * total) <= 3 * longest / 2 + 2
+    assert {r[:4] for r in before["packing"]} <= {r[:4] for r in before["mixing"]}
     tokenizer = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     assert sum(r["length"] for r in packed) == sum(len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in before["packing"])
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()

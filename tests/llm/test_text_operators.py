@@ -9,7 +9,7 @@ from aerolens.llm.line_dedup import line_dedup
 from aerolens.llm.mixing import mix_sources
 from aerolens.llm.near_dedup import near_duplicates
 from aerolens.llm.substring_dedup import COVER, PERIOD, substring_dedup
-from aerolens.llm.toxicity import FactorizationMachine, fit_toxicity, hashed_terms, toxicity
+from aerolens.llm.toxicity import BUCKETS, FactorizationMachine, fit_toxicity, hashed_terms, toxicity
 from aerolens.llm.url_filter import url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -260,6 +260,22 @@ def test_terms_without_an_effect_alone_are_learned():
     assert right >= 490
 
 
+def test_no_number_of_frequent_terms_hides_a_pair():
+    """Thousands of more frequent terms do not keep a rare pair, or a rare insult, out of the model."""
+    import numpy as np
+
+    rng = random.Random(5)
+    noise = [f"noise{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(4000)]
+    rows, labels = [], []
+    for _ in range(3000):
+        own = {w for w in ("rarely", "seldom") if rng.random() < 0.15} | ({"scoundrel"} if rng.random() < 0.02 else set())
+        rows.append(hashed_terms(" ".join([*rng.sample(noise, 150), *own])))
+        labels.append(float({"rarely", "seldom"} <= own or "scoundrel" in own))
+    model = FactorizationMachine.fit(rows[:2000], np.array(labels[:2000]))
+    right = [(model.score(r) >= 0.5) == bool(y) for r, y in zip(rows[2000:], labels[2000:], strict=True)]
+    assert sum(right) >= 990 and sum(r for r, y in zip(right, labels[2000:], strict=True) if y) >= 0.85 * sum(labels[2000:])
+
+
 def test_scores_are_the_pairwise_sum(spark):
     """The scores of a query are recomputed term by term and pair by pair."""
     import math
@@ -275,7 +291,7 @@ def test_scores_are_the_pairwise_sum(spark):
     out = toxicity(docs, model).collect()
     assert len(out) == len(texts)
     for r in out:
-        found = {zlib.crc32(w.encode()) for w in (texts[r["doc_id"]] or "").split()}
+        found = {zlib.crc32(w.encode()) % BUCKETS for w in (texts[r["doc_id"]] or "").split()}
         terms = [weight[h] for h in sorted(found) if h in weight]
         z = model.bias + sum(w for w, _ in terms) + sum(float(a[1] @ b[1]) for i, a in enumerate(terms) for b in terms[:i])
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
@@ -334,3 +350,66 @@ def test_empty_tables(spark):
     assert url_filter(pages.limit(0), no_rules).count() == 0 and url_filter(pages, no_rules).first()["verdict"] == "allow"
 
 
+
+
+def test_near_duplicate_recall(spark):
+    """Of hundreds of thousands of links near the threshold, all linked documents come together, also those with few links.
+
+    Half of the group is a chain in which each document resembles only the next
+    ones at about 0.8, half a cloud of one text with words replaced.
+    """
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(120)]
+    texts = []
+    text = list(base)
+    for _ in range(400):  # the chain
+        at = rng.randrange(len(text))
+        text = [*text[:at], *(rng.choice(words) for _ in range(4)), *text[at + 4 :]]
+        texts.append(" ".join(text))
+    for _ in range(500):  # the cloud
+        text = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            text[rng.randrange(len(text))] = rng.choice(words)
+        texts.append(" ".join(text))
+    rng.shuffle(texts)
+    sets = [frozenset(zip(w, w[1:], strict=False)) for w in (t.split() for t in texts)]
+    up, links, degree = list(range(len(texts))), [], [0] * len(texts)
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
+                links.append((i, j))
+                degree[i] += 1
+                degree[j] += 1
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    docs = spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, kept int")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, words=2).collect()}
+    together = sum(got[i] == got[j] for i, j in links)
+    few = [(i, j) for i, j in links if min(degree[i], degree[j]) <= 3]
+    print(f"{len(links)} links, recall {together / len(links):.4f}, of {len(few)} links of documents with three or fewer {sum(got[i] == got[j] for i, j in few) / max(1, len(few)):.4f}")
+    assert len(links) > 30_000 and together >= 0.999 * len(links)
+    assert sum(got[i] == got[j] for i, j in few) >= 0.99 * len(few)
+    # and nothing apart from these links
+    assert all(root(i) == root(got[i]) for i in got)
+
+
+def test_staged_tables_can_be_cleared(spark):
+    """What a lazy result reads stays until the caller is done with it, and goes then."""
+    from aerolens.llm.common import clear_staged, staged
+
+    clear_staged(spark)
+    rows = staged(spark.range(1000), "rows")
+    assert rows.count() == 1000
+    files = rows.inputFiles()
+    assert clear_staged(spark) == 1 and clear_staged(spark) == 0
+    import os
+
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
