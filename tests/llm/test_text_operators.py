@@ -8,6 +8,7 @@ import pytest
 from aerolens.llm.line_dedup import line_dedup
 from aerolens.llm.mixing import mix_sources
 from aerolens.llm.near_dedup import near_duplicates
+from aerolens.llm.queries import op3_url_filter
 from aerolens.llm.substring_dedup import COVER, PERIOD, substring_dedup
 from aerolens.llm.toxicity import BUCKETS, FactorizationMachine, fit_toxicity, hashed_terms, toxicity
 from aerolens.llm.url_filter import url_filter
@@ -227,6 +228,23 @@ def test_url_filter(spark):
     assert got == want
 
 
+def test_url_query_has_the_rules_of_its_contract(spark, tmp_path):
+    """Each rule alone, and the longer rule against the shorter one that says otherwise."""
+    want = {
+        "http://a.com/en/1": ("com/en/", "block"),
+        "http://www.example.com/en/71": ("example.com/en/7", "allow"),
+        "http://example.com/en/1": ("com/en/", "block"),
+        "http://a.net/de/1": ("net/de/", "allow"),
+        "http://example.net/de/1": ("net/de/", "allow"),
+        "http://www.example.net/de/81": ("example.net/de/8", "block"),
+        "http://a.org/es/": ("org/es/", "block"),
+        "http://a.net/en/1": (None, "allow"),
+    }
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in op3_url_filter(spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(want.values()))
+
+
 # --- toxicity
 
 
