@@ -22,12 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, WORD, Scratch, staged
+from .common import UPPER, WORD, Scratch, give_back, staged
 from .components import connected_components
 from .substring_dedup import _HASHES, MAX_WORDS
+from .words import slices
 
 _WORD = re.compile(WORD)
 _LOWER = str.maketrans(UPPER, UPPER.lower())
@@ -137,18 +139,23 @@ def _links(sets: list[np.ndarray], left: int, percent: int) -> np.ndarray:
 def shingle_sets(docs: DataFrame, words: int, signature_size: int) -> DataFrame:
     """doc_id, row_hash, n_shingles, class hash (c1, c2) and signature of every row."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.pop("text"):
-                s = shingles(text, words)
-                with np.errstate(over="ignore"):
-                    c1, c2 = int(_mix(s).sum(dtype=np.uint64).view(np.int64)), int(_mix(_mix(s ^ _C1)).sum(dtype=np.uint64).view(np.int64))
-                out.append((len(s), c1, c2, signature(s, signature_size).tobytes() if len(s) else None))
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(out, columns=["n_shingles", "c1", "c2", "sig"])], axis=1)
+            for part in slices(batch, "text"):
+                out: list[list] = [[], [], [], []]
+                for text in part.column("text").to_pylist():
+                    s = shingles(text, words)
+                    with np.errstate(over="ignore"):
+                        c1, c2 = int(_mix(s).sum(dtype=np.uint64).view(np.int64)), int(_mix(_mix(s ^ _C1)).sum(dtype=np.uint64).view(np.int64))
+                    for o, v in zip(out, (len(s), c1, c2, signature(s, signature_size).tobytes() if len(s) else None), strict=True):
+                        o.append(v)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row_hash"), *map(pa.array, out, kinds)], ["doc_id", "row_hash", "n_shingles", "c1", "c2", "sig"])
+            batch = part = None
+            give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
-    return rows.mapInPandas(run, "doc_id long, row_hash long, n_shingles long, c1 long, c2 long, sig binary")
+    return rows.mapInArrow(run, "doc_id long, row_hash long, n_shingles long, c1 long, c2 long, sig binary")
 
 
 def _matrix(signatures: pd.Series) -> np.ndarray:
@@ -255,6 +262,8 @@ def _compare_groups(groups: DataFrame, percent: int, by: list[str]) -> DataFrame
                     if forest.root(i) != forest.root(j):
                         forest.join(i, j)
                 yield pd.DataFrame(forest.edges([int(x) for x in ids]), columns=["a", "b"])
+            del batch
+            give_back()
 
     return packed.select(F.col("m.id").alias("ids"), F.col("m.right").alias("right"), F.col("m.set").alias("sets")).mapInPandas(run, "a long, b long")
 
@@ -266,6 +275,8 @@ def exact_links(docs: DataFrame, groups: DataFrame, work: Scratch, *, words: int
         for batch in batches:
             batch["set"] = [shingles(t, words).astype("<u8").tobytes() for t in batch.pop("text")]
             yield batch
+            del batch
+            give_back()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
     picked = groups.join(texts, ["doc_id", "row_hash"]).select("group", "id", "text").dropDuplicates(["id"])

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 _ENCODERS: dict[str, Encoder] = {}
 #: Words whose ids depend on their surroundings: white space at an edge, or the start of a special token.
 _ODD = r"^[\s\v\x1c-\x1f\x85\pZ]|[\s\v\x1c-\x1f\x85\pZ]$|<\|"
@@ -154,7 +156,7 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def encoded(path: str, texts: pa.Array, end_id: int, chars: int = 12_000_000) -> Iterator[tuple[int, bytes]]:
+def encoded(path: str, texts: pa.Array, end_id: int, chars: int = 3_000_000) -> Iterator[tuple[int, bytes]]:
     """(row, ids with the end id as little-endian unsigned 32-bit bytes), worked on about so many bytes at a time."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -166,6 +168,5 @@ def encoded(path: str, texts: pa.Array, end_id: int, chars: int = 12_000_000) ->
         for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
             yield at + i, data[4 * a : 4 * b] + end
         at = to
-        # the worker lives on beside other work, so what Arrow keeps for later goes back
         del ids, data
-        pa.default_memory_pool().release_unused()
+        give_back()

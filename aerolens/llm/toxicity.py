@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import give_back
+
 TERM = re.compile(r"[^\W\d_]+")
 
 
@@ -198,6 +200,8 @@ def toxicity(docs: DataFrame, model: FactorizationMachine, *, threshold: float =
         for batch in batches:
             texts = batch["text"] if whole else batch.pop("text")
             yield batch.assign(score=[model.score(hashed_terms(t)) for t in texts])
+            del batch, texts
+            give_back()
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *(F.col(c) for c in carry if c not in ("doc_id", "text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if whole or f.name != "text") + ", score double"

@@ -1,5 +1,7 @@
 """Token ids against the tokenizer itself; the wavelet matrix against plain lists."""
 
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -28,6 +30,32 @@ def test_ids_equal_the_tokenizers():
     assert [data for _, data in encoded(PATH, pa.array(texts), 2, chars=40)] == want
 
 
+def test_a_worker_keeps_and_takes_little_memory():
+    """In a process of its own: 20 MB of text are encoded in slices, and what was freed is the system's again."""
+    run = """
+import re, sys, threading, time
+import numpy as np, pyarrow as pa
+from aerolens.llm.tokens import encoded, encoder
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+rng = np.random.default_rng(0)
+words = np.array(["".join(w) for w in rng.choice(list("abcdefghij"), (4000, 7))])
+texts = pa.array([" ".join(words[rng.integers(0, 4000, 400)]) for _ in range(6500)])
+for _ in encoded(sys.argv[1], texts.slice(0, 50), 2): pass
+before, most, on = held(), 0, True
+def watch():
+    global most
+    while on:
+        most = max(most, held())
+        time.sleep(0.002)
+t = threading.Thread(target=watch); t.start()
+for _ in encoded(sys.argv[1], texts, 2): pass
+on = False; t.join()
+print(most - before, held() - before)
+"""
+    most, kept = map(float, subprocess.run([sys.executable, "-c", run, PATH], capture_output=True, text=True, check=True).stdout.split())
+    assert most < 70 and kept < 20, (most, kept)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n in (1, 7, 512, 513, 3000, CHUNK, CHUNK + 1, 3 * CHUNK - 5):
