@@ -9,8 +9,10 @@ what its level can add to a score, bounds every document's score from above.
 
 A search takes the documents of the highest bounds first and scores them exactly.
 The k-th best of these scores is reached by k documents at least, so a document
-whose bound lies below it is excluded for certain. All others are scored exactly
-from their whole texts.
+whose bound lies below it is excluded for certain. Of the others again those of the
+highest bounds come first, many more than before, as the larger the table the more
+of the highest bounds are chance; their k-th best score excludes most of the rest.
+All that are not excluded are scored exactly from their whole texts.
 """
 
 from __future__ import annotations
@@ -251,8 +253,8 @@ def _best(scores: DataFrame, by: str, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(by), "doc_id", "row_hash"))).filter(F.col("rank") <= k)
 
 
-def _scored(docs: DataFrame, wanted: DataFrame, queries: _Queries, corpus: Corpus) -> DataFrame:
-    """q, doc_id, row_hash, score of the wanted (q, doc_id, row_hash), exact, from whole texts; a row for each repeated row."""
+def _scored(docs: DataFrame, wanted: DataFrame, queries: _Queries, corpus: Corpus, *, few: bool = False) -> DataFrame:
+    """q, doc_id, row_hash, score of the wanted (q, doc_id, row_hash), exact, from whole texts; a row for each repeated row. few: so many a query that all tasks can have them."""
     of_doc = wanted.select("q", "doc_id", "row_hash").distinct().groupBy("doc_id", "row_hash").agg(F.collect_list("q").alias("qs"))
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), "text")
 
@@ -272,15 +274,15 @@ def _scored(docs: DataFrame, wanted: DataFrame, queries: _Queries, corpus: Corpu
                                 o.append(v)
             yield pa.RecordBatch.from_pydict({"q": pa.array(out[0], pa.int32()), "doc_id": pa.array(out[1], pa.int64()), "row_hash": pa.array(out[2], pa.int64()), "score": pa.array(out[3], pa.int64())})
 
-    return rows.join(of_doc, ["doc_id", "row_hash"]).mapInArrow(score, "q int, doc_id long, row_hash long, score long")
+    return rows.join(F.broadcast(of_doc) if few else of_doc, ["doc_id", "row_hash"]).mapInArrow(score, "q int, doc_id long, row_hash long, score long")
 
 
-def lexical_search(docs: DataFrame, items: DataFrame, *, index: DataFrame | None = None, k: int = 20, seeds: int = 5, terms_at_once: int = 50_000) -> DataFrame:
+def lexical_search(docs: DataFrame, items: DataFrame, *, index: DataFrame | None = None, k: int = 20, seeds: int = 5, more_seeds: int = 50, terms_at_once: int = 50_000) -> DataFrame:
     """The k documents of the highest score above 0 for each item, all if there are fewer.
 
-    The seeds * k documents of the highest bounds are scored first: the more they
-    are, the better is the score that others must reach, whatever their number
-    the result is the same. index is what build_index made of docs (made here if
+    The seeds * k documents of the highest bounds are scored first, then more_seeds * k
+    of those that they do not exclude: the more they are, the better is the score
+    that others must reach, whatever their number the result is the same. index is what build_index made of docs (made here if
     not given). Items are
     searched in sets of at most terms_at_once distinct terms each, an item of
     more alone; every set is matched with all documents.
@@ -305,11 +307,16 @@ def lexical_search(docs: DataFrame, items: DataFrame, *, index: DataFrame | None
         queries = _Queries([(q, term, times, term_weight(corpus.n_docs, df)) for q, (_, own) in enumerate(chosen) for term, times, df in own])
         names = spark.createDataFrame([(q, item) for q, (item, _) in enumerate(chosen)], f"q int, item_id {items.schema['item_id'].dataType.simpleString()}")
         first = work.staged(_best(_bounded(blocks, queries, corpus, None, seeds * k), "bound", seeds * k), f"seeds{number}")
-        exact = _scored(docs, first, queries, corpus)
+        exact = _scored(docs, first, queries, corpus, few=True)
         # the k-th best exact score of the seeds is reached by k documents
         least = {r["q"]: r["score"] for r in _best(exact, "score", k).filter(F.col("rank") == k).select("q", "score").collect()}
-        left = work.staged(_bounded(blocks, queries, corpus, least, k).select("q", "doc_id", "row_hash"), f"left{number}")
-        ranked = _best(_scored(docs, left, queries, corpus), "score", k)
+        left = work.staged(_bounded(blocks, queries, corpus, least, k), f"left{number}")
+        second = work.staged(_best(left, "bound", more_seeds * k).select("q", "doc_id", "row_hash").distinct(), f"more{number}")
+        exact = work.staged(_best(_scored(docs, second, queries, corpus, few=True), "score", k).drop("rank"), f"exact{number}")
+        kth = exact.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k).select("q", "least")
+        rest = left.join(F.broadcast(kth), "q", "left").filter("least is null or bound >= least").select("q", "doc_id", "row_hash")
+        rest = work.staged(rest.join(second, ["q", "doc_id", "row_hash"], "left_anti"), f"rest{number}")
+        ranked = _best(exact.unionByName(_scored(docs, rest, queries, corpus)), "score", k)
         results.append(ranked.join(names, "q").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
     if not results:
         return spark.createDataFrame([], f"item_id {items.schema['item_id'].dataType.simpleString()}, rank int, doc_id long, score long")

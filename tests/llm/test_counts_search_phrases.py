@@ -133,6 +133,21 @@ def test_search_with_an_index_made_before_and_few_hits(spark):
     assert sorted((tuple(r) for r in out.collect()), key=str) == plain_search(docs, items[:3], 3)
 
 
+def test_a_second_round_of_seeds_excludes_most_of_the_rest(spark, monkeypatch):
+    """After the first seeds many bounds reach their k-th score; few of them are left after the second, and no result is lost."""
+    docs, items = search_fixture()
+    items = items[:6] + [(94, "w3 w4"), (None, "w5 w6 w7")]
+    scored, bounded, counts, left = search._scored, search._bounded, [], []
+    monkeypatch.setattr(search, "_scored", lambda docs, wanted, *a, **b: counts.append(wanted.distinct().count()) or scored(docs, wanted, *a, **b))
+    monkeypatch.setattr(search, "_bounded", lambda *a: left.append(out := bounded(*a)) or out)
+    df = spark.createDataFrame([(i, t, "en", "x") for i, t in docs], DOC).repartition(3)
+    index = build_index(df, block=64)
+    out = lexical_search(df, spark.createDataFrame(items, "item_id int, text string"), index=index, k=3, seeds=1, more_seeds=6)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == plain_search(docs, items, 3)
+    # first seeds, more seeds, the rest: all bounds that the first seeds do not exclude were scored before
+    assert len(counts) == 3 and 0 < counts[2] and counts[1] + counts[2] < left[1].select("q", "doc_id", "row_hash").distinct().count()
+
+
 def test_search_of_nothing(spark):
     none, asked = spark.createDataFrame([], DOC), spark.createDataFrame([(1, "a")], "item_id int, text string")
     assert lexical_search(none, asked).collect() == []
