@@ -25,15 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, staged
-from .words import byte_table, cut_words, slices, text_buffer
+from .common import Scratch, give_back, staged
+from .words import byte_table, cut_words, text_buffer
 
 _TABLE = byte_table(True, space=b"\t", end=b".,;:!?\n\x0b\x0c\r")
 #: Each filter has so many bits, whatever the input.
 FILTER_BITS = 1 << 26
+#: Hot prefixes are few (four a task): a worker holds a filter of 128 KB of each length beside that of the pairs.
+HOT_BITS = 1 << 20
 _PARTS = 64
 #: So much text is worked on at a time; what a task holds is some twenty times that.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 2_000_000
 
 
 def _mix(values: np.ndarray) -> np.ndarray:
@@ -105,8 +107,14 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array,
     for batch in batches:
         langs = batch.column("lang").dictionary_encode()
         for code, lang in enumerate(langs.dictionary.to_pylist()):
-            for part in slices(batch.filter(pc.equal(langs.indices, code)), "text", SLICE_BYTES):
-                data, edges = text_buffer(part.column("text"), _TABLE)
+            # a language is copied slice by slice
+            own = np.flatnonzero(pc.equal(langs.indices, code).to_numpy(zero_copy_only=False))
+            ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)[own].astype(np.int64))
+            at = 0
+            while at < len(own):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+                data, edges = text_buffer(batch.column("text").take(pa.array(own[at:to])), _TABLE)
+                at = to
                 words, places = cut_words(data, edges, (32, 10))
                 if not len(words):
                     continue
@@ -117,7 +125,8 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array,
                 goes_on[:-1] = (piece[1:] == piece[:-1]) & (doc[1:] == doc[:-1])
                 del data, edges, piece, doc
                 yield lang, words.dictionary, words.indices.to_numpy(), goes_on
-                pa.default_memory_pool().release_unused()
+                del words, places, goes_on
+                give_back()
 
 
 def quicksort_counts(codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, weights: np.ndarray, depth: int, least: int, whole_from: int = 0) -> Iterator[tuple[int, int, int]]:
@@ -249,7 +258,7 @@ def hot_routes(docs: DataFrame, counted: DataFrame, pairs: HashFilter, longest:
     found: list[HashFilter] = []
     hot = counted.filter(F.col("n") > more).select("hash")
     while len(found) < longest - 2:
-        filtered = HashFilter.of(hot)
+        filtered = HashFilter.of(hot, HOT_BITS)
         if not filtered.words.any():
             break
         found.append(filtered)
@@ -271,6 +280,7 @@ def routed_suffixes(docs: DataFrame, pairs: HashFilter, hot: list[HashFilter], l
         known, *longer = (HashFilter(*x) for x in shared.value)
         for lang, distinct, codes, goes_on in _streams(batches):
             found = _Suffixes(known, longest, lang, distinct, codes, goes_on)
+            del codes, goes_on
             columns = [distinct.take(pa.array(found.codes[found.at + i], mask=found.words <= i)) for i in range(longest)]
             whole = pc.binary_join_element_wise(*columns, " ", null_handling="skip").dictionary_encode()
             del columns
@@ -284,11 +294,13 @@ def routed_suffixes(docs: DataFrame, pairs: HashFilter, hot: list[HashFilter], l
             place, n = place[order], n[order].tobytes()
             edges = np.concatenate([np.flatnonzero(np.append(True, place[1:] != place[:-1])), [len(place)]]) if len(place) else np.zeros(1, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), whole.dictionary.take(pa.array(order)))
+            del found, whole, distinct, one, route, deep, order
             heads = place[edges[:-1]]
             yield pa.RecordBatch.from_pydict({
                 "lang": pa.array([lang] * len(heads), pa.string()), "task": pa.array(heads // (longest + 2), pa.int64()), "deep": pa.array(heads % (longest + 2), pa.int32()),
                 "suffixes": pc.binary_join(lists, "\n"), "n": pa.array([n[8 * a : 8 * b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary()),
             })
+            del lists, n, place, edges, heads
 
     return docs.mapInArrow(cut, "lang string, task long, deep int, suffixes string, n binary")
 

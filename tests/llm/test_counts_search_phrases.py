@@ -3,6 +3,8 @@
 import base64
 import math
 import re
+import subprocess
+import sys
 from collections import Counter
 from fractions import Fraction
 
@@ -233,6 +235,50 @@ def test_hot_pairs_are_split(spark, monkeypatch):
     assert len(made[0]) == 3
 
 
+def test_a_worker_gives_back_what_slices_took():
+    """In a process of its own: suffixes of 16 MB of text are routed in slices, and what was freed is the system's again."""
+    run = """
+import re, threading, time
+import numpy as np, pyarrow as pa
+from aerolens.llm import collocations as c
+held = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+class Docs:
+    sparkSession = sparkContext = property(lambda self: self)
+    def broadcast(self, x):
+        self.value = x
+        return self
+    def mapInArrow(self, f, schema):
+        return f
+rng = np.random.default_rng(0)
+words = np.array(["".join(w) for w in rng.choice(list("abcdefghij"), (4000, 7))])
+batch = pa.RecordBatch.from_pydict({"lang": pa.array(["en"] * 5000), "text": pa.array([" ".join(words[rng.integers(0, 4000, 400)]) for _ in range(5000)])})
+full = c.HashFilter(1 << 20, np.full(1 << 14, ~np.uint64(0)))
+cut = c.routed_suffixes(Docs(), full, [], 5, 4)
+for _ in cut(iter([batch.slice(0, 50)])): pass
+before, most, on = held(), 0, True
+def watch():
+    global most
+    while on:
+        most = max(most, held())
+        time.sleep(0.002)
+t = threading.Thread(target=watch); t.start()
+for _ in cut(iter([batch])): pass
+on = False; t.join()
+print(most - before, held() - before)
+"""
+    most, kept = map(float, subprocess.run([sys.executable, "-c", run], capture_output=True, text=True, check=True).stdout.split())
+    print(most, kept)
+    assert most < 180 and kept < 25, (most, kept)
+
+
+def test_hot_filters_are_small(spark):
+    rows = [(1, "a b c " * 60, "en", "x")]
+    docs = spark.createDataFrame(rows, DOC).select("lang", "text")
+    counted = phrases_of.counted_pairs(docs, HashFilter(64, np.full(1, ~np.uint64(0))))
+    hot = phrases_of.hot_routes(docs, counted, HashFilter(64, np.full(1, ~np.uint64(0))), 5, 50)
+    assert len(hot) == 3 and all(f.words.nbytes == 1 << 17 for f in hot)
+
+
 def test_a_full_filter_only_costs_work(spark, monkeypatch):
     """Where every bit is set all suffixes travel, with the same result."""
     rows = phrase_fixture()[:80]
