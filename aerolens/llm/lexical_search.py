@@ -10,9 +10,11 @@ what its level can add to a score, bounds every document's score from above.
 A search takes the documents of the highest bounds first and scores them exactly.
 The k-th best of these scores is reached by k documents at least, so a document
 whose bound lies below it is excluded for certain. Of the others again those of the
-highest bounds come first, many more than before, as the larger the table the more
-of the highest bounds are chance; their k-th best score excludes most of the rest.
-All that are not excluded are scored exactly from their whole texts.
+highest bounds come first, many more than before and in proportion to the table, as
+the larger it is the more of the highest bounds are chance; their k-th best score
+excludes most of the rest. Each round reads the signatures again, so no list of what
+only the first seeds leave is ever made. All that are not excluded in the end are
+scored exactly from their whole texts.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii, staged
+from .common import Scratch, give_back, lower_ascii, staged
 from .words import byte_table, cut_words, slices, text_buffer
 
 #: A term is a run of ASCII letters and digits and of all characters beyond ASCII.
@@ -42,6 +44,11 @@ LEVELS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 26, 34, 44, 56, 72, 96,
 #: be in one of a hundred documents without it.
 ROWS_A_KEY, LOAD = 4, 0.38
 KEYS_A_BLOCK = 2_000_000
+#: The second seeds of an item are one of so many documents, if that is more than more_seeds * k. A task offers four
+#: times its share of them, as the documents that an item resembles may stand together.
+DOCS_A_SEED, OFFERED = 256, 4
+#: So many (item, document) pairs go to all tasks; more are joined.
+FEW_PAIRS = 1_000_000
 
 
 def terms(text: Column) -> Column:
@@ -148,7 +155,7 @@ def build_index(docs: DataFrame, *, block: int = 512, docs_at_once: int = 8 * 51
                 if n >= docs_at_once or len(counted) > 400_000 or sum(len(h[4]) for h in held) > KEYS_A_BLOCK:
                     n = 0
                     yield from out()
-            pa.default_memory_pool().release_unused()
+            give_back()
         if held:
             yield from out()
 
@@ -220,11 +227,12 @@ class _Queries:
         return sum(w * _gain(tf, m) for t, w in self.of[q] if (tf := counts.get(t)))
 
 
-def _bounded(blocks: DataFrame, queries: _Queries, corpus: Corpus, least: dict[int, int] | None, k: int) -> DataFrame:
-    """q, doc_id, row_hash, bound of a task's k highest bounds of each query or, given scores, of all bounds that reach them."""
+def _bounded(blocks: DataFrame, queries: _Queries, corpus: Corpus, least: dict[int, int], most: int | None, share: float = 0.0) -> DataFrame:
+    """q, doc_id, row_hash, bound of all bounds that reach a query's least score (1, where none is given) or of a task's highest of these: `most`, or this share of its documents if that is more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, list[np.ndarray]] = {}
+        best: dict[int, np.ndarray] = {}
+        seen = 0
 
         def rows(q: int, found: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"q": pa.array(np.full(found.shape[1], q), pa.int32()), "doc_id": pa.array(found[1]), "row_hash": pa.array(found[2]), "bound": pa.array(found[0])})
@@ -232,17 +240,18 @@ def _bounded(blocks: DataFrame, queries: _Queries, corpus: Corpus, least: dict[i
         for batch in batches:
             for b in batch.to_pylist():
                 ids, texts, lengths = (np.frombuffer(b[c], dtype=np.int64) for c in ("doc_ids", "row_hashes", "lengths"))
+                seen += len(ids)
                 for q, bound in queries.bounds(corpus, lengths, b["rows"], b["top"], b["bits"]):
-                    take = np.flatnonzero(bound >= max(1, least.get(q, 1) if least else 1))
+                    take = np.flatnonzero(bound >= max(1, least.get(q, 1)))
                     if not len(take):
                         continue
                     found = np.stack([bound[take].astype(np.int64), ids[take], texts[take]])
-                    if least is not None:
+                    if most is None:
                         yield rows(q, found)
                         continue
                     if q in best:
                         found = np.concatenate([best[q], found], axis=1)
-                    best[q] = found[:, np.lexsort((found[1], -found[0]))[:k]]
+                    best[q] = found[:, np.lexsort((found[1], -found[0]))[: max(most, math.ceil(share * seen))]]
         for q, found in best.items():
             yield rows(q, found)
 
@@ -281,10 +290,10 @@ def lexical_search(docs: DataFrame, items: DataFrame, *, index: DataFrame | None
     """The k documents of the highest score above 0 for each item, all if there are fewer.
 
     The seeds * k documents of the highest bounds are scored first, then more_seeds * k
-    of those that they do not exclude: the more they are, the better is the score
-    that others must reach, whatever their number the result is the same. index is what build_index made of docs (made here if
-    not given). Items are
-    searched in sets of at most terms_at_once distinct terms each, an item of
+    (or one of 256 documents of the table, if that is more) of those that they do not
+    exclude: the more they are, the better is the score that others must reach,
+    whatever their number the result is the same. index is what build_index made of
+    docs (made here if not given). Items are searched in sets of at most terms_at_once distinct terms each, an item of
     more alone; every set is matched with all documents.
 
     Returns item_id, rank (from 1), doc_id, score; equal scores go to the smaller
@@ -306,17 +315,18 @@ def lexical_search(docs: DataFrame, items: DataFrame, *, index: DataFrame | None
     for number, chosen in enumerate(_query_sets(plan, terms_at_once)):
         queries = _Queries([(q, term, times, term_weight(corpus.n_docs, df)) for q, (_, own) in enumerate(chosen) for term, times, df in own])
         names = spark.createDataFrame([(q, item) for q, (item, _) in enumerate(chosen)], f"q int, item_id {items.schema['item_id'].dataType.simpleString()}")
-        first = work.staged(_best(_bounded(blocks, queries, corpus, None, seeds * k), "bound", seeds * k), f"seeds{number}")
+        first = work.staged(_best(_bounded(blocks, queries, corpus, {}, seeds * k), "bound", seeds * k), f"seeds{number}")
         exact = _scored(docs, first, queries, corpus, few=True)
         # the k-th best exact score of the seeds is reached by k documents
         least = {r["q"]: r["score"] for r in _best(exact, "score", k).filter(F.col("rank") == k).select("q", "score").collect()}
-        left = work.staged(_bounded(blocks, queries, corpus, least, k), f"left{number}")
-        second = work.staged(_best(left, "bound", more_seeds * k).select("q", "doc_id", "row_hash").distinct(), f"more{number}")
-        exact = work.staged(_best(_scored(docs, second, queries, corpus, few=True), "score", k).drop("rank"), f"exact{number}")
-        kth = exact.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter(F.col("n") >= k).select("q", "least")
-        rest = left.join(F.broadcast(kth), "q", "left").filter("least is null or bound >= least").select("q", "doc_id", "row_hash")
+        more = max(more_seeds * k, corpus.n_docs // DOCS_A_SEED)
+        offered = _bounded(blocks, queries, corpus, least, k, OFFERED * more / max(1, corpus.n_docs))
+        second = work.staged(_best(offered, "bound", more).select("q", "doc_id", "row_hash").distinct(), f"more{number}")
+        exact = work.staged(_best(_scored(docs, second, queries, corpus, few=len(chosen) * more <= FEW_PAIRS), "score", k), f"exact{number}")
+        reached = {r["q"]: max(r["score"], least.get(r["q"], 1)) for r in exact.filter(F.col("rank") == k).select("q", "score").collect()}
+        rest = _bounded(blocks, queries, corpus, least | reached, None).select("q", "doc_id", "row_hash")
         rest = work.staged(rest.join(second, ["q", "doc_id", "row_hash"], "left_anti"), f"rest{number}")
-        ranked = _best(exact.unionByName(_scored(docs, rest, queries, corpus)), "score", k)
+        ranked = _best(exact.drop("rank").unionByName(_scored(docs, rest, queries, corpus)), "score", k)
         results.append(ranked.join(names, "q").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
     if not results:
         return spark.createDataFrame([], f"item_id {items.schema['item_id'].dataType.simpleString()}, rank int, doc_id long, score long")

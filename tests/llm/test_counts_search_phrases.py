@@ -150,6 +150,23 @@ def test_a_second_round_of_seeds_excludes_most_of_the_rest(spark, monkeypatch):
     assert len(counts) == 3 and 0 < counts[2] and counts[1] + counts[2] < left[1].select("q", "doc_id", "row_hash").distinct().count()
 
 
+def test_the_second_seeds_are_a_share_of_all_documents(spark, monkeypatch):
+    """What the first seeds leave is not listed: a round gives its share and the rest only what the second seeds leave, and no result is lost."""
+    docs, items = search_fixture()
+    items = items[:6] + [(94, "w3 w4"), (None, "w5 w6 w7")]
+    bounded, made = search._bounded, []
+    monkeypatch.setattr(search, "_bounded", lambda *a: made.append((a, out := bounded(*a))) or out)
+    df = spark.createDataFrame([(i, t, "en", "x") for i, t in docs], DOC).repartition(3)
+    index = build_index(df, block=64)
+    out = lexical_search(df, spark.createDataFrame(items, "item_id int, text string"), index=index, k=2, seeds=1, more_seeds=4)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == plain_search(docs, items, 2)
+    (_, first), (given, second), *later = made
+    blocks, queries, corpus, least = given[:4]
+    # 8 seeds an item, four times as many offered by all tasks together, a task's last place rounded up
+    assert second.groupBy("q").count().agg({"count": "max"}).first()[0] <= 4 * 8 + 3
+    assert len(later) == 1 and second.count() < bounded(blocks, queries, corpus, dict(least), None).count()
+
+
 def test_search_of_nothing(spark):
     none, asked = spark.createDataFrame([], DOC), spark.createDataFrame([(1, "a")], "item_id int, text string")
     assert lexical_search(none, asked).collect() == []
