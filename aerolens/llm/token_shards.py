@@ -28,6 +28,9 @@ from .tokens import encoded
 MAGIC = b"WMX2"
 #: Bits to a count inside a chunk, and bits of a chunk.
 BLOCK, CHUNK = 512, 1 << 15
+#: Text encoded at once and words remembered by a worker: fewer words are looked up and encoded twice than in packing,
+#: whose workers share their memory with the pipeline's other stages.
+CHARS, WORDS = 12_000_000, 2_000_000
 
 
 def wavelet_planes(ids: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -239,7 +242,7 @@ def write_token_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 2, bits
 
         for batch in batches:
             known = batch.column("doc_id").to_pylist()
-            for row, data in encoded(tokenizer, batch.column("text"), end_id):
+            for row, data in encoded(tokenizer, batch.column("text"), end_id, CHARS, WORDS):
                 doc_ids.append(known[row])
                 lengths.append(len(data) // 4)
                 held.append(data)

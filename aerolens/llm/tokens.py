@@ -11,7 +11,9 @@ import pyarrow.compute as pc
 
 from .common import give_back
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+#: Words that a worker remembers; an entry takes some 30 bytes.
+MAX_WORDS = 500_000
 #: Words whose ids depend on their surroundings: white space at an edge, or the start of a special token.
 _ODD = r"^[\s\v\x1c-\x1f\x85\pZ]|[\s\v\x1c-\x1f\x85\pZ]$|<\|"
 #: A mark after letters is a piece of its own.
@@ -80,7 +82,7 @@ class Encoder:
     with a space. max_words bounds memory.
     """
 
-    def __init__(self, path: str, max_words: int = 500_000) -> None:
+    def __init__(self, path: str, max_words: int = MAX_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -149,21 +151,21 @@ def _joined(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, dtype="<u4"), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, max_words: int = MAX_WORDS) -> Encoder:
     """The encoder of this worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, max_words) not in _ENCODERS:
+        _ENCODERS[path, max_words] = Encoder(path, max_words)
+    return _ENCODERS[path, max_words]
 
 
-def encoded(path: str, texts: pa.Array, end_id: int, chars: int = 3_000_000) -> Iterator[tuple[int, bytes]]:
+def encoded(path: str, texts: pa.Array, end_id: int, chars: int = 3_000_000, max_words: int = MAX_WORDS) -> Iterator[tuple[int, bytes]]:
     """(row, ids with the end id as little-endian unsigned 32-bit bytes), worked on about so many bytes at a time."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
     end = np.array([end_id], dtype="<u4").tobytes()
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chars, side="right")))
-        ids, offsets = encoder(path).encode(texts.slice(at, to - at))
+        ids, offsets = encoder(path, max_words).encode(texts.slice(at, to - at))
         data = ids.tobytes()
         for i, (a, b) in enumerate(zip(offsets.tolist(), offsets[1:].tolist(), strict=False)):
             yield at + i, data[4 * a : 4 * b] + end

@@ -10,6 +10,8 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from aerolens.llm import token_shards as shards_of
+from aerolens.llm import tokens
 from aerolens.llm.token_shards import CHUNK, TokenShard, WaveletMatrix, find_token, id_bits, read_token_shards, write_token_shards
 from aerolens.llm.tokens import Encoder, encoded
 
@@ -56,6 +58,27 @@ print(most - before, held() - before)
     assert most < 70 and kept < 20, (most, kept)
 
 
+def test_shards_encode_each_word_once(spark, monkeypatch):
+    """A task with 700,000 words, each twice, encodes no word that starts no line twice."""
+    made = []
+    monkeypatch.setattr(tokens._Words, "_encode", lambda self, words, encode=tokens._Words._encode: made.append(len(words)) or encode(self, words))
+    texts = [" ".join(f"q{i}" for i in range(at, at + 10_000)) for at in range(0, 700_000, 10_000)] * 2
+
+    class Docs:
+        def __getattr__(self, name):
+            return lambda *a, **b: self
+
+        def mapInArrow(self, f, schema):  # noqa: N802
+            for _ in f(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})])):
+                pass
+            raise StopIteration
+
+    monkeypatch.setattr(shards_of, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 0)}))}))
+    with pytest.raises(StopIteration):
+        write_token_shards(Docs(), PATH)
+    assert 700_000 <= sum(made) <= 700_000 + len(texts)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(1)
     for n in (1, 7, 512, 513, 3000, CHUNK, CHUNK + 1, 3 * CHUNK - 5):
