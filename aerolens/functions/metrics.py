@@ -292,12 +292,16 @@ def metric_values(entries: DataFrame, names: Sequence[str], coordinator: str, *,
 def metric_series(entries: DataFrame, name: str, coordinator: str, window: int = 60, hosts: Sequence[str] | None = None, **options) -> DataFrame:
     """host, ts, value of a metric in windows: sums of rates and counts, means of measures; the time is the mean time.
 
+    Times are summed exactly, as a sum of doubles would lose microseconds and depend on the order of rows.
     Without a host list the coordinator counts only for routes.
     """
     rows = metric_values(entries, [name], coordinator, hosts=hosts, **options)
     agg = F.when(F.first("kind") == "measure", F.avg("value")).otherwise(F.sum("value"))
-    at = F.timestamp_micros(F.floor(F.avg(F.unix_micros("ts"))).cast("long"))
-    return rows.groupBy("host", F.window("ts", f"{window} seconds").alias("w")).agg(at.alias("ts"), agg.alias("value")).select("host", "ts", "value")
+    total = F.sum(F.unix_micros("ts").cast("decimal(19,0)")).alias("_us")
+    out = rows.groupBy("host", F.window("ts", f"{window} seconds").alias("w")).agg(total, F.count("*").alias("_n"), agg.alias("value")).withColumn("_whole", F.expr("_us div _n"))
+    # the double nearest the mean, rounded down
+    at = F.floor(F.col("_whole") + (F.col("_us") % F.col("_n")).cast("double") / F.col("_n"))
+    return out.select("host", F.timestamp_micros(at.cast("long")).alias("ts"), "value")
 
 
 _SENT = "array<struct<src:string,dst:string,class:string,bytes:double>>"

@@ -1,7 +1,9 @@
 """Operators on hand-made rows, K operators against slow models."""
 
+import math
 import random
 from datetime import datetime, timedelta
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -700,6 +702,30 @@ def test_windows_in_slices_equal_whole_windows(spark):
             assert sorted(map(str, map(tuple, form(seconds).collect()))) == whole, name
 
 
+#: Lines that report a metric, and the value each gives.
+REPORTS = {"cpu": ("system", "SYSINFO host=node1 cpu-10=3", 3.0)}
+
+
+@pytest.mark.parametrize("name", sorted(REPORTS))
+def test_series_take_the_exact_mean_time(spark, name):
+    """Sums of microseconds pass 2**53 after a few reports of a window; the time is the double nearest the mean, rounded down."""
+    source, data, value = REPORTS[name]
+    rng, times = random.Random(5), []
+    for hour in range(200):
+        start = datetime(1960 if hour % 50 == 0 else 2024, 1, 1) + timedelta(hours=hour)
+        times += [start + timedelta(microseconds=rng.randrange(3_600_000_000)) for _ in range(20 + hour)]
+    rng.shuffle(times)
+    entries = spark.createDataFrame([(t, source, data) for t in times], "ts timestamp, source string, data string").repartition(7)
+    us = lambda t: (t - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    held = {}
+    for t in times:
+        held.setdefault(us(t) // 3_600_000_000, []).append(us(t))
+    one = (lambda n: value * n) if name == "kern-recv" else (lambda n: value)
+    want = sorted((math.floor(float(Fraction(sum(x), len(x)))), round(one(len(x)), 6)) for x in held.values())
+    got = metrics.metric_series(entries, name, "server", window=3600).select(F.unix_micros("ts"), F.round("value", 6))
+    assert rows(got) == want
+
+
 def test_pairs_are_found_once(spark):
     """One parse of a line gives every field what a search for that field gives."""
     texts = ["HEAD a=1 b=2", "a=1 a=2", 'q="x y" z=3', "x_y=4 x-y=5", "x-y=5 x_y=6", "a= b=", 'a=1"x b=2', "=5 a=1", "a==1", "", None, "  lead=1", "a=1  b=2\tc=3\nd=4", 'a="" b="z"', "a b c", 'a="open b=2', "n=1/2|m=2", "a=1 b"]
