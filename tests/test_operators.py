@@ -703,7 +703,7 @@ def test_windows_in_slices_equal_whole_windows(spark):
 
 
 #: Lines that report a metric, and the value each gives.
-REPORTS = {"cpu": ("system", "SYSINFO host=node1 cpu-10=3", 3.0)}
+REPORTS = {"cpu": ("system", "SYSINFO host=node1 cpu-10=3", 3.0), "kern-recv": ("pcap", "STATS host=node1 kern-recv=25", 2.5)}
 
 
 @pytest.mark.parametrize("name", sorted(REPORTS))
