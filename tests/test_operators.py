@@ -703,7 +703,11 @@ def test_windows_in_slices_equal_whole_windows(spark):
 
 
 #: Lines that report a metric, and the value each gives.
-REPORTS = {"cpu": ("system", "SYSINFO host=node1 cpu-10=3", 3.0), "kern-recv": ("pcap", "STATS host=node1 kern-recv=25", 2.5)}
+REPORTS = {
+    "cpu": ("system", "SYSINFO host=node1 cpu-10=3", 3.0),
+    "kern-recv": ("pcap", "STATS host=node1 kern-recv=25", 2.5),
+    "merge-rate": ("wifi_merge", "STATS host=node1 avg_merge=1.5 out_merges=2", 1.5),
+}
 
 
 @pytest.mark.parametrize("name", sorted(REPORTS))
