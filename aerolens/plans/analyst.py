@@ -114,3 +114,13 @@ FROM (SELECT mac, capt_node_id, sum(non_ctrl_packets) AS packets, sum(inferred_p
 GROUP BY capt_node_id ORDER BY packet_fidelity DESC, capt_node_id""",
     "v01": f"SELECT type_desc, sniffer_id, count(*) AS packets, {_sum('length')} AS bytes FROM lu_wifi_types AS lt JOIN fx_frames AS f ON lt.type_id = f.ftype AND lt.subtype_id = f.fsubtype GROUP BY type_desc, sniffer_id",
 }
+
+#: What Spark runs for a query whose SQL it can only plan with a list sent to every task, as it does for NOT IN; the same rows.
+SPARK_FORMS: dict[str, str] = {
+    # the two lists are tests on the rows of a station; a station without address on the second list leaves nothing
+    "q40": """SELECT mac, min(ts) FILTER (WHERE counted) AS first_ts, max(ts) FILTER (WHERE counted) AS last_ts,
+  CAST(sum(inferred_beacons) AS BIGINT) AS ibcn, CAST(sum(packets) FILTER (WHERE counted) AS BIGINT) AS pkts
+FROM (SELECT *, inferred_beacons IS NOT NULL AS counted FROM fx_station_stats) AS s
+WHERE mac IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fx_station_stats WHERE mac IS NULL AND (flags & 4) = 4)
+GROUP BY mac HAVING bool_or((flags & 2) = 2) AND NOT coalesce(bool_or((flags & 4) = 4), FALSE) AND sum(beacons) FILTER (WHERE counted) = 0 AND sum(inferred_beacons) > 0""",
+}

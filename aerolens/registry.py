@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {name: sql_query(sql) for name, sql in analyst.QUERIES.items()} | frames.QUERIES
+    return {name: sql_query(sql) for name, sql in (analyst.QUERIES | analyst.SPARK_FORMS).items()} | frames.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

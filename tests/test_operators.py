@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from aerolens.functions import metrics, scalars
 from aerolens.operators import aggregates, filters, graph, joins, networks, projections, state, stations, windows
 from aerolens.operators.scan import Scan, scan
-from aerolens.plans import frames, logs  # noqa: F401  logs adds its queries to those of frames
+from aerolens.plans import analyst, frames, logs  # noqa: F401  logs adds its queries to those of frames
 from aerolens.plans.fixtures import view
+from aerolens.registry import queries
 
 
 def rows(df):
@@ -730,6 +731,28 @@ def test_series_take_the_exact_mean_time(spark, name):
     assert rows(got) == want
 
 
+@pytest.mark.parametrize("nameless", [(), (2,), (4,)])
+def test_spark_forms_give_the_rows_of_their_sql(spark, nameless):
+    """Stations with and without rows on either list, without flags or address; nameless: flags of rows without address."""
+    rng = random.Random(7)
+    maybe = lambda *values: rng.choice([None, *values])
+    data = [(rng.randrange(60), datetime(2024, 1, 1, 0, rng.randrange(60)), maybe(0, 0, 0, 1), maybe(0, 1, 2), maybe(1, 5), maybe(1, 2, 2, 2, 3, 6 if rng.random() < 0.4 else 2)) for _ in range(200)]
+    data += [(None, datetime(2024, 1, 1), 0, 1, 1, flags) for flags in nameless]
+    spark.createDataFrame(data, "mac long, ts timestamp, beacons long, inferred_beacons long, packets long, flags int").createOrReplaceTempView("fx_station_stats")
+    try:
+        for name, form in analyst.SPARK_FORMS.items():
+            want = rows(spark.sql(analyst.QUERIES[name]))
+            assert rows(spark.sql(form)) == want and bool(want) == (4 not in nameless), name
+    finally:
+        spark.catalog.dropTempView("fx_station_stats")
+
+
+def test_no_list_of_stations_is_broadcast(spark):
+    """Half the rows of lineitem are on the NOT IN list."""
+    plan = queries()["q40"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti" not in plan and "BroadcastExchange" not in plan
+
+
 def test_pairs_are_found_once(spark):
     """One parse of a line gives every field what a search for that field gives."""
     texts = ["HEAD a=1 b=2", "a=1 a=2", 'q="x y" z=3', "x_y=4 x-y=5", "x-y=5 x_y=6", "a= b=", 'a=1"x b=2', "=5 a=1", "a==1", "", None, "  lead=1", "a=1  b=2\tc=3\nd=4", 'a="" b="z"', "a b c", 'a="open b=2', "n=1/2|m=2", "a=1 b"]
