@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,3 +19,8 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column])
+
+
+def arrow_matrix(column: pa.Array) -> np.ndarray:
+    """Rows of an Arrow column of vectors of one length without nulls."""
+    return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from aerolens.llm.ann import CentroidGraph, balanced_centroids, nearest
+from aerolens.llm.ann import CentroidGraph, Nearest, balanced_centroids, nearest
 from aerolens.llm.packing import Grouping, evolve, pack_documents
 from aerolens.llm.vector_dedup import vector_near_duplicates
 
@@ -190,6 +190,50 @@ def test_recall_with_more_lists_than_probes(spark, n, list_rows, lists):
     assert recall >= 0.9 and least == 10
 
 
+def test_driver_holds_a_bounded_sample(spark):
+    """With more lists than the driver's sample can tell apart, tasks send the driver less than the 20,000 vectors (2.6 MB or more) of four a list."""
+    rng = np.random.default_rng(4)
+    rows = [(i * 10, v) for i, v in enumerate(rng.normal(size=(20_000, 32)).astype(np.float32).tolist())]
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.driver.maxResultSize", "1g")
+    conf.set("spark.driver.maxResultSize", "2m")
+    try:
+        recall, least = recall_of(spark, rows, list_rows=4, sample_rows=500)
+    finally:
+        conf.set("spark.driver.maxResultSize", before)
+    print(f"cut in cells: recall {recall:.3f}")
+    assert recall >= 0.9 and least == 10
+
+
+def test_queries_in_sets(spark):
+    """Sets of a few queries, equal vectors among them, give what one set gives."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 8)).astype(np.float32).tolist()
+    rows = frame(spark, [(i * 10, v) for i, v in enumerate(x)] + [(100_000 + i * 100, x[i % 3]) for i in range(40)])
+    one, many = (sorted(map(tuple, nearest(rows, list_rows=16, set_bytes=b).collect())) for b in (32 << 20, 8 * 8 * 30))
+    assert one == many and len(one) == 10 * (150 + 40)
+    # each of the copies finds the smallest ids among the others
+    copies = {q: [i for q_, _, i, far in one if q_ == q and far == 0] for q in range(100_000, 104_000, 100)}
+    for q, found in copies.items():
+        same = [10 * (q // 100 % 10**3 % 40 % 3)] + [100_000 + 100 * i for i in range(40) if i % 3 == q // 100 % 1000 % 3]
+        assert found == [i for i in same if i != q][:10]
+
+
+def test_nearest_of_a_set_against_all_pairs():
+    """Rows on a grid tie; a row comes from several lists; queries and rows exceed a tile."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 4, size=(900, 3)).astype(float)
+    ids = rng.permutation(900)
+    queries = rng.integers(0, 4, size=(70, 3)).astype(float)
+    found = Nearest(queries, np.full(70, np.inf), 11)
+    found.QUERIES, found.ROWS, found.PAIRS = 16, 64, 50
+    for part in (slice(0, 500), slice(300, 900), slice(100, 400)):
+        found.offer(np.arange(70), x[part], ids[part], ids[part])
+    for q, query in enumerate(queries):
+        far = np.sqrt(((x - query) ** 2).sum(axis=1))
+        assert list(zip(found.far[q], found.first[q], strict=True)) == sorted(zip(far, ids, strict=True))[:11]
+
+
 def test_queries_in_small_lists_get_all_hits(spark):
     """Four vectors far from all others are a list of their own."""
     rng = np.random.default_rng(6)
